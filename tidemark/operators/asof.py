@@ -109,21 +109,21 @@ def next_boundary(assigned: DataFrame, instances: DataFrame, when: Column) -> Da
     return exploded.join(F.broadcast(ahead), "node", "left").groupBy("domain", "dataset").agg(F.min("ready").alias("boundary"))
 
 
-def release_table(instances: DataFrame, nodes: Sequence[str], start: str, end: str) -> DataFrame:
-    """Per day, the day's instances of a job set and the next release after it.
+def release_table(instances: DataFrame, sets: Sequence[Sequence[str]], start: str, end: str) -> DataFrame:
+    """Per job set and day, the day's instances and the next release after it.
 
-    One row per calendar day: an as-of lookup of any number of rows becomes an
-    equi-join on the day with this table.
+    One row per (set, calendar day): an as-of lookup of any number of rows
+    becomes an equi-join on the day with this table.
     """
     spark = instances.sparkSession
-    mine = instances.where(F.col("node").isin(*nodes))
-    per_day = mine.groupBy("day").agg(
+    members = spark.createDataFrame([("|".join(names), name) for names in sets for name in names], "_set string, node string")
+    per_day = instances.join(F.broadcast(members), "node").groupBy("_set", "day").agg(
         F.collect_list(F.struct("start", "ready")).alias("runs"), F.min("ready").alias("_first_ready")
     )
-    days = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
-    later = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    joined = days.join(per_day, "day", "left")
-    return joined.select("day", "runs", F.min("_first_ready").over(later).alias("next_ready"))
+    days = F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day")
+    grid = members.select("_set").distinct().select("_set", days)
+    later = Window.partitionBy("_set").orderBy("day").rowsBetween(1, Window.unboundedFollowing)
+    return grid.join(per_day, ["_set", "day"], "left").select("_set", "day", "runs", F.min("_first_ready").over(later).alias("next_ready"))
 
 
 def visible_at(
@@ -132,18 +132,15 @@ def visible_at(
     """Add ``visible_at``: the first release covering the row's stamp.
 
     Rows carry ``nodes`` from :func:`assign_nodes`; a row without nodes is
-    visible at its stamp. ``start``/``end`` bound the stamps; each distinct
-    job set contributes days x 1 rows to a broadcast table.
+    visible at its stamp. ``start``/``end`` bound the stamps. The broadcast
+    side has one row per declared job set and calendar day, whatever the data.
     """
     until = (date.fromisoformat(end) + timedelta(days=horizon_days)).isoformat()
-    sets = sorted({tuple(names) for names in list(catalog.DATASET_NODES.values()) + list(catalog.DOMAIN_NODES.values()) if names})
-    instances = node_instances(spark, start, until)
-    tables = None
-    for names in sets:
-        listed = release_table(instances, names, start, until).withColumn("_set", F.lit("|".join(names)))
-        tables = listed if tables is None else tables.unionByName(listed)
+    declared = list(catalog.DATASET_NODES.values()) + list(catalog.DOMAIN_NODES.values())
+    sets = sorted({tuple(names) for names in declared if names})
+    table = release_table(node_instances(spark, start, until), sets, start, until).withColumnRenamed("day", "_day")
     stamped = df.withColumns({"_set": F.array_join("nodes", "|"), "_day": F.to_date("available_at")})
-    joined = stamped.join(F.broadcast(tables.withColumnRenamed("day", "_day")), ["_set", "_day"], "left")
+    joined = stamped.join(F.broadcast(table), ["_set", "_day"], "left")
     same_day = F.array_min(
         F.transform(F.filter("runs", lambda run: run["start"] >= F.col("available_at")), lambda run: run["ready"])
     )

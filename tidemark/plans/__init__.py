@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stamping", "visibility")
+MODULES = ("stamping", "visibility", "market", "intraday")
 
 
 def load_all() -> None:

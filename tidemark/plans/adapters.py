@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..registry import rounded
 from ..sources.tables import table
 
 
@@ -16,8 +17,7 @@ def text_of(stamp):
     return stamp.cast("timestamp_ntz").cast("string")
 
 
-def r(column, places: int = 6):
-    return F.round(column, places)
+r = rounded
 
 
 # -- dated events with availability ------------------------------------------
@@ -106,3 +106,96 @@ def filings(spark: SparkSession, sf: str) -> DataFrame:
 
 def with_sql(*parts: str) -> str:
     return "with " + ",\n".join(parts) + "\n"
+
+
+# -- names, daily and minute bars --------------------------------------------
+
+def code_sql(key: str) -> str:
+    """Security-style code of a number: board prefix, number, exchange."""
+    number = f"lpad(cast({key} as varchar), cast(greatest(3, length(cast({key} as varchar))) as integer), '0')"
+    return (
+        f"case {key} % 6 when 0 then '000' || {number} || '.SZ' when 1 then '002' || {number} || '.SZ' when 2 then '300' || {number} || '.SZ' "
+        f"when 3 then '600' || {number} || '.SH' when 4 then '688' || {number} || '.SH' else '830' || {number} || '.BJ' end"
+    )
+
+
+def code_of(key):
+    number = F.lpad(key.cast("string"), 12, "0")
+    trimmed = F.when(F.length(key.cast("string")) >= 3, key.cast("string")).otherwise(F.substring(number, 10, 3))
+    part, out = key % 6, None
+    for rest, (prefix, suffix) in enumerate((("000", ".SZ"), ("002", ".SZ"), ("300", ".SZ"), ("600", ".SH"), ("688", ".SH"), ("830", ".BJ"))):
+        named = F.concat(F.lit(prefix), trimmed, F.lit(suffix))
+        out = F.when(part == rest, named) if out is None else out.when(part == rest, named)
+    return out
+
+
+# One bar per supplier and month: the "trading day" is the month's first day.
+DAILY_SQL = f"""prices as (select l_suppkey as k, cast(date_trunc('month', l_shipdate) as date) as trade_date, l_extendedprice / l_quantity as p,
+    l_quantity as q, l_extendedprice as e, l_discount as d from lineitem),
+  agg as (select k, trade_date, min(p) as low, max(p) as high, avg(p) as close, sum(q) as vol, sum(e) as amount, avg(d) as disc, count(*) as n,
+    year(trade_date) * 12 + month(trade_date) as mi from prices group by all),
+  daily as (select a.k, {code_sql('a.k')} as ts_code, trade_date, low, high, close, 0.7 * close + 0.3 * low as open, vol, amount, mi,
+    (s_acctbal + 2000) * close as circ_mv, case when n % 7 = 0 then -1.0 else 1.0 + 20 * disc end as pb, vol / (1000 + a.k % 7 * 100) as turnover_rate,
+    case when (a.k + mi) % 11 = 0 then 0.7 * close + 0.3 * low else high * 1.1 end as up_limit, low * 0.9 as down_limit,
+    (a.k + mi) % 17 = 0 as is_suspended, 1.0 + (a.k % 3) * (mi - 23940) * 0.01 as adj_factor,
+    case when (a.k + mi) % 13 = 0 then 0.9 else 1.0 end * lag(close) over (partition by a.k order by trade_date) as pre_close
+    from agg a join supplier on s_suppkey = a.k)"""
+
+
+def daily(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    bars = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.trunc("l_shipdate", "month").alias("trade_date")).agg(
+        F.min(price).alias("low"), F.max(price).alias("high"), F.avg(price).alias("close"), F.sum("l_quantity").alias("vol"),
+        F.sum("l_extendedprice").alias("amount"), F.avg("l_discount").alias("disc"), F.count(F.lit(1)).alias("n"),
+    )
+    names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), "s_acctbal")
+    k, mi = F.col("k"), F.year("trade_date") * 12 + F.month("trade_date")
+    open_price = 0.7 * F.col("close") + 0.3 * F.col("low")
+    own = Window.partitionBy("k").orderBy("trade_date")
+    reset = F.when((k + mi) % 13 == 0, 0.9).otherwise(1.0)
+    return bars.join(names, "k").select(
+        "k", code_of(k).alias("ts_code"), "trade_date", "low", "high", "close", open_price.alias("open"), "vol", "amount", mi.cast("long").alias("mi"),
+        ((F.col("s_acctbal") + 2000) * F.col("close")).alias("circ_mv"),
+        F.when(F.col("n") % 7 == 0, -1.0).otherwise(1.0 + 20 * F.col("disc")).alias("pb"),
+        (F.col("vol") / (1000 + k % 7 * 100)).alias("turnover_rate"),
+        F.when((k + mi) % 11 == 0, open_price).otherwise(F.col("high") * 1.1).alias("up_limit"), (F.col("low") * 0.9).alias("down_limit"),
+        ((k + mi) % 17 == 0).alias("is_suspended"), (1.0 + (k % 3) * (mi - 23940) * 0.01).alias("adj_factor"),
+        (reset * F.lag("close").over(own)).alias("pre_close"),
+    )
+
+
+# Event clocks scaled onto the 241 minute labels 09:30, 09:31-11:30, 13:01-15:00.
+MINUTES_SQL = """grid as (select event_id, user_id % 10 as c, cast(ts as date) as d, ts,
+    cast((hour(ts) * 60 + minute(ts)) * 241 // 1440 as bigint) as slot, value as close, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as double) as vol from events),
+  lowest as (select c, d, slot, arg_min(close, event_id) as close, arg_min(vol, event_id) as vol, min(event_id) as event_id from grid group by all),
+  minutes as (select case when c = 9 then '83000' || c || '.BJ' when c % 3 = 0 then '00000' || c || '.SZ' when c % 3 = 1 then '30000' || c || '.SZ' else '60000' || c || '.SH' end as ts_code,
+    strftime(d, '%Y%m%d') as trade_date,
+    strftime(d + to_minutes(cast(case when slot <= 120 then 570 + slot else 660 + slot end as integer)), '%Y-%m-%d %H:%M:%S') as trade_time,
+    coalesce(lag(close) over (partition by c, d order by slot), close) as open, close, vol, close * vol as amount, event_id from lowest)"""
+
+
+def minutes(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    ts, c, slot = F.col("ts"), F.col("c"), F.col("slot")
+    grid = table(spark, sf, "events").select(
+        "event_id", (F.col("user_id") % 10).alias("c"), F.to_date(ts).alias("d"),
+        F.floor((F.hour(ts) * 60 + F.minute(ts)) * 241 / 1440).cast("int").alias("slot"), F.col("value").alias("close"),
+        F.get_json_object("props", "$.k").cast("double").alias("vol"),
+    )
+    low = grid.groupBy("c", "d", "slot").agg(
+        F.min_by("close", "event_id").alias("close"), F.min_by("vol", "event_id").alias("vol"), F.min("event_id").alias("event_id")
+    )
+    before = F.lag("close").over(Window.partitionBy("c", "d").orderBy("slot"))
+    text = c.cast("string")
+    code = (
+        F.when(c == 9, F.concat(F.lit("83000"), text, F.lit(".BJ"))).when(c % 3 == 0, F.concat(F.lit("00000"), text, F.lit(".SZ")))
+        .when(c % 3 == 1, F.concat(F.lit("30000"), text, F.lit(".SZ"))).otherwise(F.concat(F.lit("60000"), text, F.lit(".SH")))
+    )
+    at = F.col("d").cast("timestamp_ntz") + F.make_dt_interval(mins=F.when(slot <= 120, 570 + slot).otherwise(660 + slot))
+    return low.select(
+        code.alias("ts_code"), F.date_format("d", "yyyyMMdd").alias("trade_date"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("trade_time"),
+        F.coalesce(before, "close").alias("open"), "close", "vol", (F.col("close") * F.col("vol")).alias("amount"), "event_id",
+    )

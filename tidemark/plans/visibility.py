@@ -8,7 +8,7 @@ from .. import catalog
 from ..operators import asof, calendar as cal_ops
 from ..registry import query
 from ..sources.tables import table
-from .adapters import CALENDAR_SQL, NOTICES_SQL, calendar, notices, text_of, with_sql
+from .adapters import CALENDAR_SQL, NOTICES_SQL, calendar, notices, r, text_of, with_sql
 
 WHEN = "1998-06-15 09:25:00"
 SEEN_LATER = "case when seen_at > available_at then seen_at else available_at end"
@@ -188,7 +188,7 @@ def _(spark, sf):
         F.col("o_orderkey").alias("id"), (F.col("o_custkey") % F.col("n")).alias("code"),
         (F.col("o_orderdate") + F.make_dt_interval(hours=F.lit(9), mins=F.lit(25))).alias("inference_at"))
     found = asof.asof_join(decisions, bars, ["code"], "inference_at", "available_at", ["trade_date", "close"])
-    return found.select("id", F.col("trade_date").alias("last_bar"), F.round("close", 6).alias("close"))
+    return found.select("id", F.col("trade_date").alias("last_bar"), r(F.col("close")).alias("close"))
 
 
 @query("pit15_duplicate_bars", """
