@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stamping", "visibility", "market", "intraday")
+MODULES = ("stamping", "visibility", "market", "intraday", "screening")
 
 
 def load_all() -> None:

@@ -199,3 +199,67 @@ def minutes(spark: SparkSession, sf: str) -> DataFrame:
         code.alias("ts_code"), F.date_format("d", "yyyyMMdd").alias("trade_date"), F.date_format(at, "yyyy-MM-dd HH:mm:ss").alias("trade_time"),
         F.coalesce(before, "close").alias("open"), "close", "vol", (F.col("close") * F.col("vol")).alias("amount"), "event_id",
     )
+
+
+# -- return series, curves and fills ------------------------------------------
+
+# One series per order priority; a day's return comes from its cents, so it is exact.
+SERIES_SQL = """cents as (select o_orderpriority as run_id, cast(o_orderdate as date) as trade_date, cast(sum(cast(ROUND(o_totalprice * 100) as bigint)) as bigint) as c from orders group by all),
+  series as (select run_id, trade_date, (c % 40000 - 19900) / 1000000.0 as value, (c % 30000 - 15000) / 1500000.0 as base, c from cents),
+  mkt as (select trade_date, (cast(sum(c) as bigint) % 20000 - 9950) / 1000000.0 as market, (cast(sum(c) as bigint) % 7919 - 3959) / 1000000.0 as size from cents group by all),
+  curve as (select run_id, trade_date, 1000000.0 as initial_equity, 1000000.0 * exp(sum(ln(1 + value)) over w) as equity,
+     1000000.0 * exp(sum(ln(1 + value)) over w) * (c % 7) / 10.0 as cash, value, base from series window w as (partition by run_id order by trade_date))"""
+
+
+def series(spark: SparkSession, sf: str) -> DataFrame:
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    days = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("run_id"), F.to_date("o_orderdate").alias("trade_date")).agg(F.sum(cents).alias("c"))
+    return days.select("run_id", "trade_date", ((F.col("c") % 40000 - 19900) / 1000000.0).alias("value"), ((F.col("c") % 30000 - 15000) / 1500000.0).alias("base"), "c")
+
+
+def market_legs(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.sum(F.round(F.col("o_totalprice") * 100).cast("long"))
+    days = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("trade_date")).agg(total.alias("t"))
+    return days.select("trade_date", ((F.col("t") % 20000 - 9950) / 1000000.0).alias("market"), ((F.col("t") % 7919 - 3959) / 1000000.0).alias("size"))
+
+
+def curve(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("run_id").orderBy("trade_date")
+    equity = 1000000.0 * F.exp(F.sum(F.log(1 + F.col("value"))).over(order))
+    return series(spark, sf).withColumns({"initial_equity": F.lit(1000000.0), "equity": equity}).withColumn("cash", F.col("equity") * (F.col("c") % 7) / 10.0)
+
+
+FILLS_SQL = """fills as (select o_orderpriority as run_id, 'S' || cast(l_partkey % 500 as varchar) as ts_code, l_partkey % 500 as symbol_no,
+    case when l_returnflag = 'A' or (l_returnflag = 'N' and l_orderkey % 2 = 0) then 'buy' else 'sell' end as action, cast(l_quantity as bigint) as quantity,
+    l_extendedprice / l_quantity as price, cast(l_shipdate as date) as fill_date, l_orderkey, l_linenumber, l_partkey,
+    case when l_linestatus = 'F' then 'filled' else 'rejected' end as status,
+    case when l_linestatus <> 'F' then (['suspended', 'invalid_buy_lot', 'unfilled_limit', 'cash'])[l_linenumber % 4 + 1] end as reason,
+    case when l_linestatus = 'F' and not (l_returnflag = 'A' or (l_returnflag = 'N' and l_orderkey % 2 = 0)) then (l_extendedprice / l_quantity - 1500) * l_quantity end as realized_pnl,
+    l_extendedprice * 0.00025 as commission, l_extendedprice * 0.0005 as stamp_duty
+  from lineitem join orders on o_orderkey = l_orderkey)"""
+
+
+def fills(spark: SparkSession, sf: str) -> DataFrame:
+    orders = table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("run_id"))
+    buy = (F.col("l_returnflag") == "A") | ((F.col("l_returnflag") == "N") & (F.col("l_orderkey") % 2 == 0))
+    price, filled = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_linestatus") == "F"
+    reasons = F.array(*[F.lit(name) for name in ("suspended", "invalid_buy_lot", "unfilled_limit", "cash")])
+    return table(spark, sf, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        "run_id", F.concat(F.lit("S"), (F.col("l_partkey") % 500).cast("string")).alias("ts_code"), (F.col("l_partkey") % 500).alias("symbol_no"),
+        F.when(buy, "buy").otherwise("sell").alias("action"), F.col("l_quantity").cast("long").alias("quantity"), price.alias("price"),
+        F.to_date("l_shipdate").alias("fill_date"), "l_orderkey", "l_linenumber", "l_partkey", F.when(filled, "filled").otherwise("rejected").alias("status"),
+        F.when(~filled, F.element_at(reasons, (F.col("l_linenumber") % 4 + 1).cast("int"))).alias("reason"),
+        F.when(filled & ~buy, (price - 1500) * F.col("l_quantity")).alias("realized_pnl"),
+        (F.col("l_extendedprice") * 0.00025).alias("commission"), (F.col("l_extendedprice") * 0.0005).alias("stamp_duty"))
+
+
+# Three holdings per run and date of the monthly panel, as a symbol -> quantity map.
+POSITIONS_SQL = """held as (select 'R' || cast(k % 3 as varchar) as run_id, trade_date, ts_code, (k % 5 + 1) * 100 as quantity from daily where (k + mi) % 9 = 0)"""
+
+
+def positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Holdings rows; the map form is tested on fixtures, where books are small."""
+    rows = daily(spark, sf).where("(k + mi) % 9 = 0")
+    return rows.select(F.concat(F.lit("R"), (F.col("k") % 3).cast("string")).alias("run_id"), "trade_date", "ts_code", ((F.col("k") % 5 + 1) * 100).alias("quantity"))
