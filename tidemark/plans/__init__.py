@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stamping", "visibility", "market", "intraday", "screening")
+MODULES = ("stamping", "visibility", "market", "intraday", "screening", "performance")
 
 
 def load_all() -> None:
