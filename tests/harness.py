@@ -26,7 +26,7 @@ def connect(folder: str):
 
 
 def normal(value):
-    if value is None or value is pd.NaT:
+    if value is None or value is pd.NaT or value is pd.NA:
         return None
     if isinstance(value, float):
         return None if math.isnan(value) else value
