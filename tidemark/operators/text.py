@@ -53,12 +53,11 @@ def split_library(df: DataFrame, row_id: str, dataset: str = "dataset", group_ro
     return index, named.select("text_id", dataset, "body")
 
 
-def dedupe_filings(df: DataFrame, row_id: str) -> DataFrame:
-    """One row per filing: unprefixed, then shorter, earlier, with an id, smallest url.
+def filing_ids(df: DataFrame, row_id: str) -> DataFrame:
+    """Narrow rows with ``filing``: the url's id, a twin's id, or the title itself.
 
-    A filing is the code and the id in its url. A row without an id takes the
-    smallest id sharing its code, day and normalised title, else that title
-    itself is the filing.
+    A row without an id takes the smallest id of the rows with its code, day
+    and normalised title. Ids are reduced to one per title before the join.
     """
     url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
     found = F.regexp_extract(url, FILING_ID, 1)
@@ -67,10 +66,15 @@ def dedupe_filings(df: DataFrame, row_id: str) -> DataFrame:
     marked = narrow.withColumn("_norm", normal_title("_title"))
     twins = marked.where(F.col("_id").isNotNull()).groupBy(*same).agg(F.min("_id").alias("_twin"))
     joined = marked.join(twins, same, "left")
-    filing = F.coalesce(F.concat(F.lit("#"), F.coalesce("_id", "_twin")), F.concat_ws("|", F.lit("~"), "ann_date", "_norm"))
+    return joined.withColumn("filing", F.coalesce(F.concat(F.lit("#"), F.coalesce("_id", "_twin")), F.concat_ws("|", F.lit("~"), "ann_date", "_norm")))
+
+
+def dedupe_filings(df: DataFrame, row_id: str) -> DataFrame:
+    """One row per filing: unprefixed, then shorter, earlier, with an id, smallest url."""
+    rows = filing_ids(df, row_id)
     prefixed = F.col("_title").rlike(f"{TAG}|{PREFIX}")
     order = F.struct(prefixed.alias("p"), F.length(F.trim("_title")).alias("l"), F.col("available_at").alias("a"), F.col("_id").isNull().alias("i"), F.col("_url").alias("u"), F.col(row_id).alias("r"))
-    best = joined.groupBy("ts_code", filing.alias("_filing")).agg(F.min(order).alias("_o"))
+    best = rows.groupBy("ts_code", "filing").agg(F.min(order).alias("_o"))
     return df.join(best.select(F.col("_o.r").alias(row_id)), row_id, "left_semi")
 
 

@@ -233,7 +233,7 @@ def curve(spark: SparkSession, sf: str) -> DataFrame:
 
 FILLS_SQL = """fills as (select o_orderpriority as run_id, 'S' || cast(l_partkey % 500 as varchar) as ts_code, l_partkey % 500 as symbol_no,
     case when l_returnflag = 'A' or (l_returnflag = 'N' and l_orderkey % 2 = 0) then 'buy' else 'sell' end as action, cast(l_quantity as bigint) as quantity,
-    l_extendedprice / l_quantity as price, cast(l_shipdate as date) as fill_date, l_orderkey, l_linenumber, l_partkey,
+    l_extendedprice / l_quantity as price, cast(l_shipdate as date) as fill_date, l_orderkey, l_linenumber, l_partkey, l_suppkey,
     case when l_linestatus = 'F' then 'filled' else 'rejected' end as status,
     case when l_linestatus <> 'F' then (['suspended', 'invalid_buy_lot', 'unfilled_limit', 'cash'])[l_linenumber % 4 + 1] end as reason,
     case when l_linestatus = 'F' and not (l_returnflag = 'A' or (l_returnflag = 'N' and l_orderkey % 2 = 0)) then (l_extendedprice / l_quantity - 1500) * l_quantity end as realized_pnl,
@@ -249,7 +249,7 @@ def fills(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").join(orders, F.col("o_orderkey") == F.col("l_orderkey")).select(
         "run_id", F.concat(F.lit("S"), (F.col("l_partkey") % 500).cast("string")).alias("ts_code"), (F.col("l_partkey") % 500).alias("symbol_no"),
         F.when(buy, "buy").otherwise("sell").alias("action"), F.col("l_quantity").cast("long").alias("quantity"), price.alias("price"),
-        F.to_date("l_shipdate").alias("fill_date"), "l_orderkey", "l_linenumber", "l_partkey", F.when(filled, "filled").otherwise("rejected").alias("status"),
+        F.to_date("l_shipdate").alias("fill_date"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(filled, "filled").otherwise("rejected").alias("status"),
         F.when(~filled, F.element_at(reasons, (F.col("l_linenumber") % 4 + 1).cast("int"))).alias("reason"),
         F.when(filled & ~buy, (price - 1500) * F.col("l_quantity")).alias("realized_pnl"),
         (F.col("l_extendedprice") * 0.00025).alias("commission"), (F.col("l_extendedprice") * 0.0005).alias("stamp_duty"))
@@ -263,3 +263,18 @@ def positions(spark: SparkSession, sf: str) -> DataFrame:
     """Holdings rows; the map form is tested on fixtures, where books are small."""
     rows = daily(spark, sf).where("(k + mi) % 9 = 0")
     return rows.select(F.concat(F.lit("R"), (F.col("k") % 3).cast("string")).alias("run_id"), "trade_date", "ts_code", ((F.col("k") % 5 + 1) * 100).alias("quantity"))
+
+
+# Filled lines as trades in the monthly panel's names: three books, board-lot sizes.
+TRADES_SQL = f"""trades as (select 'B' || cast(l_linenumber % 3 as varchar) as run_id, {code_sql('l_suppkey')} as ts_code, cast(date_trunc('month', l_shipdate) as date) as trade_date,
+    case when l_returnflag = 'A' or (l_returnflag = 'N' and l_orderkey % 2 = 0) then 'buy' else 'sell' end as action, cast(l_quantity as bigint) * 100 as quantity, l_extendedprice / l_quantity as price,
+    l_orderkey, l_linenumber, l_partkey from lineitem where l_linestatus = 'F')"""
+TRADE_ORDER = ["trade_date", "l_orderkey", "l_linenumber", "l_partkey"]
+
+
+def trades(spark: SparkSession, sf: str) -> DataFrame:
+    buy = (F.col("l_returnflag") == "A") | ((F.col("l_returnflag") == "N") & (F.col("l_orderkey") % 2 == 0))
+    return table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(
+        F.concat(F.lit("B"), (F.col("l_linenumber") % 3).cast("string")).alias("run_id"), code_of(F.col("l_suppkey")).alias("ts_code"), F.trunc("l_shipdate", "month").alias("trade_date"),
+        F.when(buy, "buy").otherwise("sell").alias("action"), (F.col("l_quantity").cast("long") * 100).alias("quantity"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
+        "l_orderkey", "l_linenumber", "l_partkey")
