@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("stamping", "visibility", "market", "intraday", "screening", "performance", "reconcile", "audits", "corpus", "trading")
+MODULES = ("stamping", "visibility", "market", "intraday", "screening", "performance", "reconcile", "audits", "corpus", "trading", "storage")
 
 
 def load_all() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,14 +29,24 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder every executor can reach, as the cluster names it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or spark.sparkContext.getCheckpointDir()
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage through the cluster's shared checkpoint folder.
 
-    The folder named by ``spark.checkpoint.dir`` is used when the session has
-    one; a private one is set only where none is configured (tests, laptops).
+    A private folder is set only where none is configured (tests, laptops).
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        shared = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables, in the shared folder when there is one."""
+    base = shared_folder(spark) or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/{name}-{uuid.uuid4().hex}"

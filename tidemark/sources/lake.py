@@ -18,12 +18,24 @@ def partition_value(path: Column, key: str | None = None) -> Column:
 
 
 def read_dataset(spark: SparkSession, folder: str, schema: T.StructType | None = None) -> DataFrame:
-    """All files of a dataset with the value in their name as a column."""
+    """All files of a dataset with the value in their name as a column.
+
+    The partition lives in the file's path (``key=value.parquet`` or a
+    ``key=value`` folder), so a filter on it is a filter on file metadata.
+    """
     reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet")
     df = (reader.schema(schema) if schema else reader).parquet(folder)
     return df.withColumn(PARTITION, partition_value(F.col("_metadata.file_path")))
 
 
+def read_hive(spark: SparkSession, folder: str, key: str, start: str, end: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of ``key=value`` folders in a range, pruned at planning time."""
+    df = spark.read.option("basePath", folder).parquet(folder)
+    value = F.col(key).cast("string")
+    kept = df.where(value.between(start, end)) if start <= end else df.where(F.lit(False))
+    return kept.select(*columns) if columns else kept
+
+
 def read_range(
     spark: SparkSession, folder: str, start: str, end: str, columns: Sequence[str] | None = None, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -50,8 +62,9 @@ def overlaps(stem: Column, start: str, end: str) -> Column:
 def read_window(spark: SparkSession, folder: str, start: str, end: str, schema: T.StructType | None = None) -> DataFrame:
     """Partitions whose name overlaps the window ``YYYYMMDD..YYYYMMDD``."""
     df = read_dataset(spark, folder, schema)
-    stem = F.regexp_replace(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1), r"\.parquet$", "")
-    return df.where(overlaps(stem, start, end))
+    path = F.col("_metadata.file_path")
+    named = F.regexp_extract(path, r".*(?:^|/)([A-Za-z_]+=[^/]+?)(?:\.parquet)?(?:/[^=]*)?$", 1)
+    return df.where(overlaps(named, start, end))
 
 
 def read_sources(spark: SparkSession, folder: str, sources: Sequence[str], months: tuple[str, str] | None = None) -> DataFrame:
