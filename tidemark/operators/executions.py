@@ -144,7 +144,9 @@ def pool_positions(trips: DataFrame, daily: DataFrame, bucket: str, boards: Sequ
     closed = pool.where("exit_day is not null").join(exits, ["exit_day", "ts_code"], "left_semi")
     both = closed.unionByName(pool.where("exit_day is null")).withColumn("_one", F.lit(1).cast("long"))
     keyed = both.withColumn("_exit", F.coalesce("exit_day", F.lit("9999-12-31").cast("date")))
-    return running(keyed, ["entry_day", "_exit", bucket], ["cost", "ts_code"], {"place": Running("sum", "_one")}, group_rows=group_rows).drop("_one", "exit_day")
+    # A pool holds at most the names of one day: that bound is measured on the bars.
+    size = largest_group(daily, ["trade_date"]) if group_rows is None else group_rows
+    return running(keyed, ["entry_day", "_exit", bucket], ["cost", "ts_code"], {"place": Running("sum", "_one")}, group_rows=size).drop("_one", "exit_day")
 
 
 def affordable(trips: DataFrame, pool: DataFrame, bucket: str, group_rows: int | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
 from .ordered import MAX_GROUP_ROWS, Running, average_rank, largest_group, running
 from .panel import unique_or_fail
 
@@ -239,15 +240,17 @@ def run_screen(
 ) -> DataFrame:
     """One row per horizon: IC, its decay and size-neutral form, top excess, turnover."""
     grid, size = prepare(daily, signal, horizons, **window)
+    grid = materialise(grid)
     ic = rank_ic(metric_pairs(grid, horizons), ["metric", "horizon", "di", "trade_date"], min_names, group_rows=size)
     ics = summarise(ic, ["metric", "horizon"], "ic", F.greatest("horizon", F.lit(1)))
+    # One row per (metric, horizon): turned into columns by an aggregate, not joins.
+    pick = lambda metric, column, name: F.max(F.when(F.col("metric") == metric, F.col(column))).alias(name)
+    main = ics.where(F.col("metric") != "autocorr").groupBy("horizon").agg(
+        pick("ic", "n_days", "n_days"), pick("ic", "mean", "ic_mean"), pick("ic", "std", "ic_std"), pick("ic", "ratio", "icir"), pick("ic", "t_stat", "t_stat"),
+        pick("ic", "positive_share", "positive_day_share"), pick("ic", "positive_month_share", "positive_month_share"), pick("ic", "n_months", "n_months"),
+        pick("ic_marginal", "mean", "ic_marginal"), pick("ic_size_neutral", "mean", "ic_size_neutral"), pick("ic_size_neutral", "ratio", "icir_size_neutral"))
     excess = top_excess(grid, horizons, min_names)
-    tops = summarise(excess, ["horizon"], "excess", F.col("horizon"))
+    tops = summarise(excess.where("excess is not null"), ["horizon"], "excess", F.col("horizon")).select(
+        "horizon", F.col("mean").alias("top_excess_mean"), F.col("positive_share").alias("top_excess_hit"), F.col("t_stat").alias("top_excess_t_stat"))
     names = excess.groupBy("horizon").agg(F.avg(F.when(F.col("usable"), F.col("top_count"))).alias("top_names_mean"))
-    part = lambda metric, *cols: ics.where(F.col("metric") == metric).select("horizon", *cols)
-    main = part("ic", "n_days", F.col("mean").alias("ic_mean"), F.col("std").alias("ic_std"), F.col("ratio").alias("icir"), "t_stat",
-                F.col("positive_share").alias("positive_day_share"), "positive_month_share", "n_months")
-    out = main.join(part("ic_marginal", F.col("mean").alias("ic_marginal")), "horizon", "left")
-    out = out.join(part("ic_size_neutral", F.col("mean").alias("ic_size_neutral"), F.col("ratio").alias("icir_size_neutral")), "horizon", "left")
-    out = out.join(tops.select("horizon", F.col("mean").alias("top_excess_mean"), F.col("positive_share").alias("top_excess_hit"), F.col("t_stat").alias("top_excess_t_stat")), "horizon", "left")
-    return out.join(names, "horizon", "left")
+    return main.join(F.broadcast(tops), "horizon", "left").join(F.broadcast(names), "horizon", "left")

@@ -168,7 +168,7 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
 
 # Event clocks scaled onto the 241 minute labels 09:30, 09:31-11:30, 13:01-15:00.
 MINUTES_SQL = """grid as (select event_id, user_id % 10 as c, cast(ts as date) as d, ts,
-    cast((hour(ts) * 60 + minute(ts)) * 241 // 1440 as bigint) as slot, value as close, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as double) as vol from events),
+    cast((hour(ts) * 60 + minute(ts)) * 241 // 1440 as bigint) as slot, greatest(value, 0.01) as close, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as double) as vol from events),
   lowest as (select c, d, slot, arg_min(close, event_id) as close, arg_min(vol, event_id) as vol, min(event_id) as event_id from grid group by all),
   minutes as (select case when c = 9 then '83000' || c || '.BJ' when c % 3 = 0 then '00000' || c || '.SZ' when c % 3 = 1 then '30000' || c || '.SZ' else '60000' || c || '.SH' end as ts_code,
     strftime(d, '%Y%m%d') as trade_date,
@@ -182,7 +182,7 @@ def minutes(spark: SparkSession, sf: str) -> DataFrame:
     ts, c, slot = F.col("ts"), F.col("c"), F.col("slot")
     grid = table(spark, sf, "events").select(
         "event_id", (F.col("user_id") % 10).alias("c"), F.to_date(ts).alias("d"),
-        F.floor((F.hour(ts) * 60 + F.minute(ts)) * 241 / 1440).cast("int").alias("slot"), F.col("value").alias("close"),
+        F.floor((F.hour(ts) * 60 + F.minute(ts)) * 241 / 1440).cast("int").alias("slot"), F.greatest("value", F.lit(0.01)).alias("close"),
         F.get_json_object("props", "$.k").cast("double").alias("vol"),
     )
     low = grid.groupBy("c", "d", "slot").agg(

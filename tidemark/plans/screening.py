@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import screen as ops, style
 from ..registry import query
+from ..session import materialise
 from .adapters import DAILY_SQL, POSITIONS_SQL, SERIES_SQL, daily, market_legs, positions, r, series, with_sql
 
 KEYS = ["trade_date", "ts_code"]
@@ -48,8 +49,15 @@ SUMMARY = """count(v) as n_days, avg(v) as mean, stddev_samp(v) as std, avg(v) /
 SCREEN_SQL = (DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL, PAIRS_SQL)
 
 
+def panel_once(spark, sf):
+    """The monthly panel written once: a screen reads it several times."""
+    return materialise(daily(spark, sf))
+
+
 def grid(spark, sf):
-    return ops.prepare(daily(spark, sf), reversal, HORIZONS)
+    """The screen's grid, written once for the aggregates that follow."""
+    prepared, size = ops.prepare(panel_once(spark, sf), reversal, HORIZONS)
+    return prepared, size
 
 
 @query("scr01_signal_contract", with_sql(DAILY_SQL, "x as (select trade_date, 'k0' as ts_code, vol as score from daily where k = 0 union all select trade_date, 'k1', vol from daily where k = 1)") + """
@@ -84,7 +92,7 @@ def _(spark, sf):
 @query("scr05_forward_returns", with_sql(DAILY_SQL, GRID_SQL) + """
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, round(ret_1, 7) as ret_1, round(ret_1, 7) as step_1, round(ret_3, 7) as ret_3, round(step_3, 7) as step_3 from grid""")
 def _(spark, sf):
-    out = ops.forward_returns(daily(spark, sf), HORIZONS)
+    out = ops.forward_returns(panel_once(spark, sf), HORIZONS)
     return day_text(out).select(*KEYS, *[r(F.col(c), 7).alias(c) for c in ("ret_1", "step_1", "ret_3", "step_3")])
 
 
@@ -173,7 +181,7 @@ select cast(a.horizon as bigint) as horizon, a.n_days, round(a.mean, 8) as ic_me
   round(x.mean, 8) as top_excess_mean, round(x.positive_share, 8) as top_excess_hit, round(x.t_stat, 6) as top_excess_t_stat, round(t.tn, 6) as top_names_mean
 from a join a m on m.metric = 'ic_marginal' and m.horizon = a.horizon join a n on n.metric = 'ic_size_neutral' and n.horizon = a.horizon join x on x.horizon = a.horizon, t where a.metric = 'ic'""")
 def screen_report(spark, sf):
-    out = ops.run_screen(daily(spark, sf), reversal, HORIZONS, min_names=MIN)
+    out = ops.run_screen(panel_once(spark, sf), reversal, HORIZONS, min_names=MIN)
     digits = {"icir": 7, "icir_size_neutral": 7, "t_stat": 6, "top_excess_t_stat": 6, "top_names_mean": 6}
     names = ("ic_mean", "icir", "t_stat", "ic_marginal", "ic_size_neutral", "icir_size_neutral", "top_excess_mean", "top_excess_hit", "top_excess_t_stat", "top_names_mean")
     return out.select(F.col("horizon").cast("long").alias("horizon"), "n_days", *[r(F.col(c), digits.get(c, 8)).alias(c) for c in names])
@@ -195,7 +203,7 @@ PCT_SQL = "pct as (select *, close / lag(close) over (partition by ts_code order
 def with_pct(spark, sf):
     from pyspark.sql import Window
     own = Window.partitionBy("ts_code").orderBy("trade_date")
-    return daily(spark, sf).withColumn("pct_chg", F.col("close") / F.lag("close").over(own) - 1)
+    return materialise(daily(spark, sf).withColumn("pct_chg", F.col("close") / F.lag("close").over(own) - 1))
 
 
 SPREAD_SQL = """q as (select {g}, quantile_cont(prior, 0.3) as lo, quantile_cont(prior, 0.7) as hi, count(*) as n from {t} where prior is not null and pct_chg is not null group by all),
@@ -266,7 +274,7 @@ VALUED_SQL = """rk as (select trade_date, ts_code, close, (rank() over (partitio
 @query("st07_style_tilts", with_sql(DAILY_SQL, POSITIONS_SQL, VALUED_SQL, "d as (select run_id, trade_date, sum(w * (rs - 0.5) * 2) as s, sum(w * (rp - 0.5) * 2) as p, sum(w * (rt - 0.5) * 2) as t, count(*) as n, max(gross) as g from v group by all)") + """
 select run_id, count(*) as days, round(avg(s), 7) as tilt_size, round(avg(p), 7) as tilt_pb, round(avg(t), 7) as tilt_turnover, round(avg(n), 6) as avg_names, round(avg(g), 2) as avg_long_gross from d group by all""")
 def _(spark, sf):
-    out = style.style_tilts(style.valued_holdings(positions(spark, sf), daily(spark, sf)))
+    out = style.style_tilts(style.valued_holdings(positions(spark, sf), panel_once(spark, sf)))
     return out.select("run_id", "days", *[r(F.col(c), 7).alias(c) for c in ("tilt_size", "tilt_pb", "tilt_turnover")], r(F.col("avg_names")).alias("avg_names"), r(F.col("avg_long_gross"), 2).alias("avg_long_gross"))
 
 
@@ -276,7 +284,7 @@ def _(spark, sf):
        "n as (select run_id, count(distinct trade_date) as days from v group by all)") + """
 select run_id, industry, round(sw / days, 8) as weight, place from (select *, row_number() over (partition by run_id order by sw desc, industry) as place from ind join n using (run_id)) where place <= 8""")
 def _(spark, sf):
-    d = daily(spark, sf)
+    d = panel_once(spark, sf)
     name = F.when(F.col("k") % 13 != 0, F.concat(F.lit("I"), ((F.col("k") + F.floor(F.col("mi") / 6)) % 12).cast("string")))
     vintages = d.where("mi % 6 = 1").select(F.col("trade_date").alias("vintage"), "ts_code", name.alias("l1_name"))
     out = style.industry_weights(style.valued_holdings(positions(spark, sf), d), vintages)
@@ -296,12 +304,12 @@ def _(spark, sf):
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, round((ret_5 - m5) / nullif(s5, 0), 6) as z_ret_5, round((ret_20 - m20) / nullif(s20, 0), 6) as z_ret_20, round((vol_20 - mv) / nullif(sv, 0), 6) as z_vol_20,
  case when fwd is not null then case when fwd > med then 1.0 else 0.0 end end :: double as label from f join s using (trade_date)""")
 def _(spark, sf):
-    out = style.feature_panel(daily(spark, sf))
+    out = style.feature_panel(panel_once(spark, sf))
     return day_text(out).select(*KEYS, *[r(F.col(c)).alias(c) for c in ("z_ret_5", "z_ret_20", "z_vol_20")], "label")
 
 
 @query("st12_fit_score")
 def _(spark, sf):
-    panel = style.feature_panel(daily(spark, sf))
+    panel = materialise(style.feature_panel(panel_once(spark, sf)))
     scored = style.fit_score(panel, ["z_ret_5", "z_ret_20", "z_vol_20"], F.lit("1999-12-01").cast("date"))
     return day_text(style.equal_budget(scored, 5, 200000.0)).select(*KEYS, r(F.col("score")).alias("score"), "budget")

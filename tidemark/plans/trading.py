@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cal_ops, executions as ops, signals, text as text_ops, topk
 from ..registry import query
+from ..session import materialise
 from ..sources.tables import table
 from .adapters import (
     CALENDAR_SQL, DAILY_SQL, FILINGS_SQL, FILLS_SQL, NOTICES_SQL, TRADE_ORDER, TRADES_SQL, calendar, daily, filings, fills, notices, r, text_of, trades, with_sql,
@@ -58,7 +59,7 @@ def _(spark, sf):
    hv as (select run_id, di, sum(qty * coalesce(close, 0)) as h, count(*) filter (where qty <> 0) as n from gr left join cl using (ts_code, di) group by all)""") + """
 select run_id, strftime(trade_date, '%Y%m%d') as trade_date, round(cash, 1) as cash, round(coalesce(h, 0), 1) as holdings, coalesce(n, 0) as names, round(cash + coalesce(h, 0), 1) as equity from ca left join hv using (run_id, di)""")
 def _(spark, sf):
-    out = ops.book_curve(trades(spark, sf), daily(spark, sf), 1e9)
+    out = ops.book_curve(trades(spark, sf), materialise(daily(spark, sf)), 1e9)
     return out.select("run_id", day("trade_date"), *[r(F.col(c), 1).alias(c) for c in ("cash", "holdings", "equity")], "names")
 
 
@@ -76,14 +77,15 @@ TRIP_SQL = (DAILY_SQL, DECILE_SQL, TRADES_SQL, "tb as (select * from trades wher
 
 
 def matched_trips(spark, sf):
-    ranked = ops.deciles(daily(spark, sf))
+    ranked = materialise(ops.deciles(daily(spark, sf)))
     paired = ops.round_trips(trades(spark, sf).where("run_id = 'B1'"), FILL_KEYS, TRADE_ORDER, ["trade_date", "price", "l_orderkey", "l_linenumber", "l_partkey"])
     trips = paired.select(
         "ts_code", F.col("trip_quantity").alias("quantity"), F.col("entry_trade_date").alias("entry_day"), F.col("exit_trade_date").alias("exit_day"),
         (F.col("trip_quantity") * F.col("entry_price")).alias("notional"), F.col("entry_l_orderkey").alias("o"), F.col("entry_l_linenumber").alias("l"), F.col("entry_l_partkey").alias("p"))
     own = ranked.select(F.col("trade_date").alias("entry_day"), "ts_code", "decile")
-    trips = trips.join(own, ["entry_day", "ts_code"])
-    return trips, ops.pool_positions(trips, ranked, "decile", BOARDS), ranked
+    trips = materialise(trips.join(own, ["entry_day", "ts_code"]))
+    pool = materialise(ops.pool_positions(trips, ranked, "decile", BOARDS))
+    return trips, pool, ranked
 
 
 @query("ex03_candidate_pool", with_sql(*TRIP_SQL) + """
@@ -99,20 +101,20 @@ TRIP_ID = ["entry_day", "ts_code", "quantity", "o", "l", "p"]
 
 
 def picks(spark, sf):
-    trips, pool, _ = matched_trips(spark, sf)
-    return ops.draw(ops.affordable(trips, pool, "decile"), pool, "decile", DRAWS, 7, TRIP_ID)
+    trips, pool, ranked = matched_trips(spark, sf)
+    return ops.draw(ops.affordable(trips, pool, "decile"), pool, "decile", DRAWS, 7, TRIP_ID), ranked
 
 
 @query("ex05_seeded_draw")
 def _(spark, sf):
-    return picks(spark, sf).select("draw", "o", "l", "p", "ts_code", day("entry_day"), "drawn_code", "drawn_quantity", "pool_size")
+    return picks(spark, sf)[0].select("draw", "o", "l", "p", "ts_code", day("entry_day"), "drawn_code", "drawn_quantity", "pool_size")
 
 
 @query("ex06_random_baseline")
 def _(spark, sf):
-    d = daily(spark, sf)
+    drawn, d = picks(spark, sf)
     curve = ops.book_curve(trades(spark, sf).where("run_id = 'B1'"), d, 1e9)
-    out = ops.baseline(ops.drawn_pnl(picks(spark, sf), d), curve, DRAWS)
+    out = ops.baseline(ops.drawn_pnl(drawn, d), curve, DRAWS)
     return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 9).alias("draw_sd"))
 
 
