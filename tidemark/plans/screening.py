@@ -44,7 +44,7 @@ PAIRS_SQL = """pairs as (select trade_date, di, 'autocorr' as metric, 0 as horiz
    union all select trade_date, di, 'ic_size_neutral', 1, neutral, ret_1 from full_grid union all select trade_date, di, 'ic_size_neutral', 3, neutral, ret_3 from full_grid),
   ranked as (select *, rank() over (partition by metric, horizon, di order by a) + (count(*) over (partition by metric, horizon, di, a) - 1) / 2.0 as ra,
      rank() over (partition by metric, horizon, di order by b) + (count(*) over (partition by metric, horizon, di, b) - 1) / 2.0 as rb from pairs where a is not null and b is not null),
-  ics as (select metric, horizon, trade_date, di, count(*) as pairs, case when count(*) >= 8 and var_pop(ra) > 0 and var_pop(rb) > 0 then corr(ra, rb) end as ic from ranked group by all)"""
+  ics as (select metric, horizon, trade_date, di, count(*) as pairs, case when count(*) >= 8 then (count(*) * sum(ra * rb) - sum(ra) * sum(rb)) / nullif(sqrt((count(*) * sum(ra * ra) - sum(ra) * sum(ra)) * (count(*) * sum(rb * rb) - sum(rb) * sum(rb))), 0) end as ic from ranked group by all)"""
 SUMMARY = """count(v) as n_days, avg(v) as mean, stddev_samp(v) as std, avg(v) / nullif(stddev_samp(v), 0) as ratio, avg(v) / nullif(stddev_samp(v), 0) * sqrt(count(v) / max(h)) as t_stat, avg(case when v > 0 then 1.0 else 0.0 end) as positive_share"""
 SCREEN_SQL = (DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL, PAIRS_SQL)
 
