@@ -120,7 +120,7 @@ def aligned_mean(series: DataFrame, group: Sequence[str], member: str) -> DataFr
     days = series.groupBy(*group, "trade_date").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("_n"))
     sizes = series.groupBy(*group).agg(F.count_distinct(member).alias("_members"))
     odd = F.raise_error(F.lit("a member measured other days than the book")).cast("double")
-    joined = days.join(F.broadcast(sizes), list(group)) if group else days.join(F.broadcast(sizes))
+    joined = days.join(sizes, list(group)) if group else days.join(F.broadcast(sizes))
     return joined.withColumn("value", F.when(F.col("_n") == F.col("_members"), F.col("value")).otherwise(odd)).drop("_n", "_members")
 
 

@@ -139,28 +139,44 @@ def sub_windows(curve: DataFrame, fills: DataFrame, windows: DataFrame, start: C
         F.coalesce("trade_count", F.lit(0).cast("long")).alias("trade_count"))
 
 
+def growth_by_day(series: DataFrame) -> DataFrame:
+    """Log growth of one series up to every calendar day, gaps carried.
+
+    One row per calendar day, whatever reads it: two lookups give the
+    compounded return of any span. Returns must exceed -100 %.
+    """
+    span = series.agg(F.date_sub(F.min("trade_date"), 1).alias("lo"), F.max("trade_date").alias("hi"))
+    days = span.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+    order = Window.orderBy("day")
+    value = F.coalesce(F.log1p("value"), F.lit(0.0))
+    return days.join(series.withColumnRenamed("trade_date", "day"), "day", "left").select("day", F.sum(value).over(order).alias("growth"), F.count("value").over(order).alias("seen"))
+
+
 def attach_benchmark(windows: DataFrame, benchmark: DataFrame, active: DataFrame | None = None, baseline: DataFrame | None = None) -> DataFrame:
     """Benchmark and excess per window; with a baseline, active excess as well.
 
-    Windows (runs x years) are few; the daily series join them by range, each
-    day meeting only the windows that hold it.
+    The benchmark is looked up by the window's two end days. A run's own series
+    joins its windows by run; a run has one row per trading day.
     """
     keys = [RUN, "label"]
-    spans = windows.select(*keys, "start", "end")
+    path = growth_by_day(benchmark)
+    edge = path.agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
+    clamp = lambda day: F.least(F.greatest(day, F.col("_first")), F.col("_last"))
+    at = lambda tag: F.broadcast(path.select(F.col("day").alias(f"_{tag}"), F.col("growth").alias(f"_g_{tag}"), F.col("seen").alias(f"_n_{tag}")))
+    placed = windows.join(F.broadcast(edge)).withColumns({"_a": clamp(F.date_sub("start", 1)), "_b": clamp(F.col("end"))})
+    placed = placed.join(at("a"), "_a", "left").join(at("b"), "_b", "left")
+    covered = F.col("_n_b") > F.col("_n_a")
+    out = placed.withColumn("benchmark_return", F.when(covered, F.exp(F.col("_g_b") - F.col("_g_a")) - 1)).select(*windows.columns, "benchmark_return")
+    out = out.withColumn("excess_return", F.col("return") - F.col("benchmark_return"))
 
-    def folded(series: DataFrame, value: Column, per_run: bool) -> DataFrame:
-        held = F.col("trade_date").between(F.col("start"), F.col("end"))
-        if per_run:
-            held = held & (F.col(f"s.{RUN}") == F.col(f"w.{RUN}"))
-        joined = series.alias("s").join(F.broadcast(spans.alias("w")), held)
-        return joined.groupBy(f"w.{RUN}", "w.label").agg(value)
+    def folded(series: DataFrame, value: Column) -> DataFrame:
+        joined = series.join(windows.select(*keys, "start", "end"), RUN).where(F.col("trade_date").between(F.col("start"), F.col("end")))
+        return joined.groupBy(*keys).agg(value)
 
-    out = windows.join(folded(benchmark, compounded(F.col("value")).alias("benchmark_return"), False), keys, "left")
-    out = out.withColumn("excess_return", F.col("return") - F.col("benchmark_return"))
     if active is not None:
-        out = out.join(folded(active, (F.avg("value") * TRADING_DAYS).alias("active_excess_return"), True), keys, "left")
+        out = out.join(folded(active, (F.avg("value") * TRADING_DAYS).alias("active_excess_return")), keys, "left")
     if baseline is not None:
-        out = out.join(folded(baseline, compounded(F.col("value")).alias("baseline_return"), True), keys, "left")
+        out = out.join(folded(baseline, compounded(F.col("value")).alias("baseline_return")), keys, "left")
     return out
 
 

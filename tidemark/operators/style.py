@@ -192,7 +192,7 @@ def industry_weights(valued: DataFrame, vintages: DataFrame, run: str = "run_id"
     labelled = valued.join(F.broadcast(days), "trade_date").join(vintages, ["vintage", "ts_code"], "left")
     name = F.when(F.coalesce("l1_name", F.lit("")) == "", UNCLASSIFIED).otherwise(F.col("l1_name"))
     total = valued.groupBy(run).agg(F.count_distinct("trade_date").alias("_days"))
-    sums = labelled.groupBy(run, name.alias("industry")).agg(F.sum("weight").alias("_sum")).join(F.broadcast(total), run)
+    sums = labelled.groupBy(run, name.alias("industry")).agg(F.sum("weight").alias("_sum")).join(total, run)
     shares = sums.select(run, "industry", (F.col("_sum") / F.col("_days")).alias("weight"))
     order = Window.partitionBy(run).orderBy(F.col("weight").desc(), "industry")
     return shares.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= top)

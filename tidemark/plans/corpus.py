@@ -170,10 +170,10 @@ MARK_SQL = """mk as (select run_id, seq as step, timestamp '2024-01-01' + to_sec
 @query("log04_interval_metering", with_sql(LOG_SQL, MARK_SQL, "s as (select * from mk where role = 'user')") + """
 select run_id, step, cast(calls - lag(calls, 1, 0) over (partition by run_id order by step) as bigint) as calls_spent, cast(date_diff('second', lag(tm) over (partition by run_id order by step), tm) as double) as wall_seconds from s""")
 def _(spark, sf):
-    from pyspark.sql import Window
+    from ..operators.ordered import Running, running
     lg = trace(spark, sf)
     at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("seq").cast("decimal(18,6)"))
-    budgets = lg.select("run_id", at.alias("seen_at"), F.sum("prompt_tokens").over(Window.partitionBy("run_id").orderBy("seq")).alias("calls"))
+    budgets = running(lg.withColumn("seen_at", at), ["run_id"], ["seq"], {"calls": Running("sum", "prompt_tokens")}).select("run_id", "seen_at", "calls")
     steps = lg.where("role = 'user'").select("run_id", F.col("seq").alias("step"), at.alias("at"))
     return logs.intervals(logs.meter_marks(steps, budgets, ["calls"]), ["calls"]).select("run_id", "step", "calls_spent", F.col("wall_seconds").cast("double").alias("wall_seconds"))
 

@@ -118,15 +118,12 @@ def _(spark, sf):
     return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 9).alias("draw_sd"))
 
 
-@query("ex07_carried_limit", with_sql(DAILY_SQL, "n as (select *, lead(pre_close) over (partition by trade_date order by ts_code) as other from daily where pre_close is not null)") + """
-select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, floor(low / pre_close * other * 100 + 0.5) / 100 as carried from n where other is not null""")
+@query("ex07_carried_limit", with_sql(DAILY_SQL, "n as (select trade_date, ts_code, low, pre_close from daily where pre_close is not null)", "o as (select trade_date, arg_max(pre_close, ts_code) as other from n group by all)") + """
+select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, floor(low / pre_close * other * 100 + 0.5) / 100 as carried from n join o using (trade_date)""")
 def _(spark, sf):
     d = daily(spark, sf).where("pre_close is not null").select("trade_date", "ts_code", "low", "pre_close")
-    ranked = d.join(d.select("trade_date", F.col("ts_code").alias("_c")).withColumn("_one", F.lit(1)).groupBy("trade_date").agg(F.array_sort(F.collect_list("_c")).alias("_codes")), "trade_date")
-    nxt = F.try_element_at("_codes", F.array_position("_codes", F.col("ts_code")).cast("int") + 1)
-    other = d.select("trade_date", F.col("ts_code").alias("_next"), F.col("pre_close").alias("other"))
-    joined = ranked.withColumn("_next", nxt).join(other, ["trade_date", "_next"])
-    return joined.select(day("trade_date"), "ts_code", ops.carried_limit(F.col("low"), F.col("pre_close"), F.col("other")).alias("carried"))
+    other = d.groupBy("trade_date").agg(F.max_by("pre_close", "ts_code").alias("other"))
+    return d.join(F.broadcast(other), "trade_date").select(day("trade_date"), "ts_code", ops.carried_limit(F.col("low"), F.col("pre_close"), F.col("other")).alias("carried"))
 
 
 @query("ex08_sellable_shares", with_sql(DAILY_SQL, RESET_SQL, TRADES_SQL, "tb as (select * from trades where run_id = 'B1')", fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date, price, l_orderkey, l_linenumber, l_partkey"),

@@ -41,7 +41,7 @@ def build_missing(source: DataFrame, folder: str, build: Callable[[DataFrame], D
     spark = source.sparkSession
     # Fixed before the write: a later read of the folder must not stand in for it.
     todo = materialise(missing_partitions(source, held_partitions(spark, folder, key), key))
-    derived = build(source.join(F.broadcast(todo), key, "left_semi"))
+    derived = build(source.join(todo, key, "left_semi"))
     derived.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
     built = spark.read.parquet(folder).withColumn(key, F.col(key).cast("string")).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
     empty = todo.join(built, key, "left_anti").limit(20).collect()
