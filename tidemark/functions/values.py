@@ -18,15 +18,17 @@ DIVIDEND_TAX_FLOOR = "20130101"
 
 
 def canonical(value: Column) -> Column:
-    """One text per value: ``1.0`` and ``1`` agree, empty markers are ''."""
+    """One text per value: ``1.0`` and ``1`` agree, empty markers are ''.
+
+    Numbers of up to 20 whole and 18 fraction digits compare exactly; longer
+    ones stay as they are written.
+    """
     text = F.trim(value.cast("string"))
     empty = text.isNull() | F.lower(text).isin("nan", "none", "nat", "")
-    number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,2})?$")
-    exact = F.when(number, text.try_cast("decimal(38,18)"))
-    plain = F.regexp_replace(F.regexp_replace(exact.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    plain = F.when(exact == 0, F.lit("0")).otherwise(F.when(plain.startswith("0E"), F.lit("0")).otherwise(plain))
-    lossless = exact.isNotNull() & ~text.rlike(r"\.\d{19,}")
-    return F.when(empty, F.lit("")).when(lossless, plain).otherwise(text)
+    number = text.rlike(r"^[+-]?(\d{1,20}(\.\d{0,18})?|\.\d{1,18})([eE][+-]?\d{1,2})?$")
+    exact = text.try_cast("decimal(38,18)")
+    plain = F.regexp_replace(exact.cast("string"), r"(\.\d*[1-9])0+$|\.0*$", "$1")
+    return F.when(empty, F.lit("")).when(number, F.coalesce(F.when(exact == 0, F.lit("0")), plain, text)).otherwise(text)
 
 
 def usable_price(value: Column) -> Column:

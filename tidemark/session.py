@@ -1,4 +1,4 @@
-"""Session helpers: defaults for our own runs, checkpoints for shared clusters."""
+"""Session helpers: defaults for our own runs, shared tables on clusters."""
 
 from __future__ import annotations
 
@@ -36,14 +36,14 @@ def shared_folder(spark: SparkSession) -> str | None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder.
+    """Cut lineage: write a table in the shared folder and read it back.
 
-    A private folder is set only where none is configured (tests, laptops).
+    The copy survives lost executors, is columnar, and its known size lets
+    Spark choose a broadcast where it is small.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    folder = scratch_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
