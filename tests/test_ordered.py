@@ -16,7 +16,7 @@ from tidemark.operators.ordered import Running, average_rank, keep_first, keep_l
 def skewed(spark, rows=900, seed=3):
     """One key holds most rows; values tie often; some are null."""
     rng = random.Random(seed)
-    data = [("hot" if rng.random() < 0.7 else f"k{rng.randrange(20)}", i, rng.randrange(40), None if rng.random() < 0.3 else float(rng.randrange(15))) for i in range(rows)]
+    data = [((None if seed % 2 == 0 else "hot") if rng.random() < 0.7 else f"k{rng.randrange(20)}", i, rng.randrange(40), None if rng.random() < 0.3 else float(rng.randrange(15))) for i in range(rows)]
     return spark.createDataFrame(data, "key string, at int, qty int, val double").repartition(5)
 
 
@@ -33,6 +33,15 @@ def test_chunked_running_matches_window(spark):
         pd.testing.assert_frame_equal(plain, split[plain.columns])
 
 
+def test_a_null_key_is_a_group_like_any_other(spark):
+    df = skewed(spark, seed=4)
+    plain = running(df, ["key"], ["at"], SPECS).toPandas().sort_values("at").reset_index(drop=True)
+    split = running(df, ["key"], ["at"], SPECS, max_group_rows=25).toPandas().sort_values("at").reset_index(drop=True)
+    pd.testing.assert_frame_equal(plain, split[plain.columns])
+    ranks = [average_rank(df, ["key"], "val", "rank", max_group_rows=limit).toPandas().sort_values("at")["rank"].to_numpy(float) for limit in (10**6, 20)]
+    np.testing.assert_allclose(*ranks, equal_nan=True)
+
+
 def test_chunks_cut_only_hot_groups(spark):
     from tidemark.operators.ordered import add_chunks
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import LOT, any_size_minimum, board, lot_quantity
-from ..functions.values import Profile, share_multiplier, trade_fee, usable_price
+from ..functions.values import Profile, trade_fee, usable_price
 from .asof import asof_join
 from .ordered import MAX_GROUP_ROWS, Running, keep_last, largest_group, running, value_positions
 from .screen import date_index

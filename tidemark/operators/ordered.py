@@ -89,7 +89,7 @@ def running(
         "_chunk",
         *[_fold(spec, f"_tot_{name}").over(before).alias(f"_carry_{name}") for name, spec in values.items()],
     )
-    joined = inside.join(carried, [*keys, "_chunk"], "left")
+    joined = null_safe_join(inside, carried, [*keys, "_chunk"])
     for name, spec in values.items():
         joined = joined.withColumn(name, _combine(spec, F.col(name), F.col(f"_carry_{name}")))
     return joined.drop("_chunk", *[f"_carry_{name}" for name in values])
@@ -108,17 +108,19 @@ def add_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
     )
     measured = cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0
     cuts = F.broadcast(cuts) if measured <= BROADCAST_CUTS else cuts
-    null_safe = None
-    left, right = df.alias("_rows"), cuts.alias("_cuts_table")
-    for key in keys:
-        same = F.col(f"_rows.{key}").eqNullSafe(F.col(f"_cuts_table.{key}"))
-        null_safe = same if null_safe is None else null_safe & same
-    if null_safe is None:
-        null_safe = F.lit(True)
-    joined = left.join(right, null_safe, "left").select("_rows.*", "_cuts_table._cuts")
+    joined = null_safe_join(df, cuts, keys)
     return joined.withColumn("_chunk", _cuts_up_to(F.col("_cuts"), F.struct(*order))).drop("_cuts")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join on keys where null equals null, as grouping treats it."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_right_{key}"))
+    return left.join(renamed, same, how).drop(*[f"_right_{key}" for key in keys])
+
+
 def _cuts_up_to(cuts: Column, value: Column) -> Column:
     """How many sorted cuts lie at or below ``value`` (binary search)."""
     steps = F.array(*[F.lit(1 << power) for power in range(MAX_CUTS.bit_length() - 1, -1, -1)])
@@ -184,7 +186,7 @@ def value_positions(
         max_group_rows=max_group_rows, group_rows=group_rows,
     )
     sizes = counts.groupBy(*group).agg(F.sum("n_equal").alias("n_all"))
-    joined = ranked.join(sizes, list(group), "inner") if group else ranked.crossJoin(F.broadcast(sizes))
+    joined = null_safe_join(ranked, sizes, group, "inner") if group else ranked.join(F.broadcast(sizes))
     return joined.withColumn("n_below", F.coalesce("n_below", F.lit(0).cast("long")))
 
 
@@ -214,7 +216,7 @@ def average_rank(
         *group, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name),
         *([F.col("n_all").alias(count_name)] if count_name else []),
     )
-    return df.join(positions, [*group, value], "left")
+    return null_safe_join(df, positions, [*group, value])
 
 
 def quantiles(

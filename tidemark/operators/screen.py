@@ -113,14 +113,14 @@ def forward_returns(daily: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return grid.select(*KEYS, *[f"{kind}_{h}" for h in horizons for kind in ("ret", "step")])
 
 
-def size_neutral(df: DataFrame, score: str = "score", size: str = "log_mv", name: str = "neutral", group_rows: int | None = None) -> DataFrame:
+def size_neutral(df: DataFrame, score: str = "score", size: str = "log_mv", name: str = "neutral", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Residual of the score's rank on log size per date (one-factor fit).
 
     Only one row per date is joined back, so the fit is a broadcast.
     """
     both = F.col(score).isNotNull() & F.col(size).isNotNull()
     usable = df.withColumn("_s", F.when(both, F.col(score)))
-    ranked = average_rank(usable, ["di"], "_s", "_rank", group_rows=group_rows)
+    ranked = average_rank(usable, ["di"], "_s", "_rank", group_rows=group_rows, max_group_rows=max_group_rows)
     x, s = F.when(F.col("_rank").isNotNull(), F.col(size)), F.col("_rank")
     fit = ranked.groupBy("di").agg(F.avg(s).alias("_ms"), F.avg(x).alias("_mx"), F.try_divide(F.covar_pop(s, x), F.var_pop(x)).alias("_beta"))
     joined = ranked.join(F.broadcast(fit), "di")
@@ -128,14 +128,17 @@ def size_neutral(df: DataFrame, score: str = "score", size: str = "log_mv", name
     return joined.withColumn(name, F.when(s.isNotNull(), residual)).drop("_s", "_rank", "_ms", "_mx", "_beta")
 
 
-def rank_ic(pairs: DataFrame, group: Sequence[str], min_names: int, a: str = "a", b: str = "b", group_rows: int | None = None) -> DataFrame:
+def rank_ic(
+    pairs: DataFrame, group: Sequence[str], min_names: int, a: str = "a", b: str = "b", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Spearman correlation of ``a`` and ``b`` per group over complete pairs.
 
     Groups with fewer than ``min_names`` pairs, or without spread, are null.
     """
     whole = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    ranked = average_rank(whole, group, a, "_ra", group_rows=group_rows)
-    ranked = average_rank(ranked, group, b, "_rb", group_rows=group_rows)
+    limits = {"group_rows": group_rows, "max_group_rows": max_group_rows}
+    ranked = average_rank(whole, group, a, "_ra", **limits)
+    ranked = average_rank(ranked, group, b, "_rb", **limits)
     # Ranks are half-integers: plain sums are exact, so equal orders cancel to exactly zero.
     n = F.count(F.lit(1)).cast("double")
     cross = lambda x, y: n * F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y)
@@ -143,12 +146,12 @@ def rank_ic(pairs: DataFrame, group: Sequence[str], min_names: int, a: str = "a"
     return ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= min_names, ic).alias("ic"), F.count(F.lit(1)).alias("pairs"))
 
 
-def top_selection(df: DataFrame, fraction: float, name: str = "is_top", group_rows: int | None = None) -> DataFrame:
+def top_selection(df: DataFrame, fraction: float, name: str = "is_top", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Mark the best ``ceil(n x fraction)`` tradable names per date, ties by code."""
     usable = F.col("tradable_next") & F.col("score").isNotNull()
     marked = df.withColumns({"_usable": usable.cast("long"), "_neg": F.when(usable, -F.col("score")).otherwise(float("inf"))})
     counts = marked.groupBy("di").agg(F.sum("_usable").alias("_n"))
-    placed = running(marked, ["di"], ["_neg", "ts_code"], {"_pos": Running("sum", "_usable")}, group_rows=group_rows)
+    placed = running(marked, ["di"], ["_neg", "ts_code"], {"_pos": Running("sum", "_usable")}, group_rows=group_rows, max_group_rows=max_group_rows)
     joined = placed.join(F.broadcast(counts), "di")
     wanted = F.ceil(F.col("_n") * F.lit(fraction))
     return joined.withColumn(name, (F.col("_usable") == 1) & (F.col("_pos") <= wanted)).drop("_usable", "_neg", "_n", "_pos")
@@ -233,17 +236,17 @@ def prepare(
     if end:
         grid = grid.where(F.col("trade_date") <= end)
     size = largest_group(daily, ["trade_date"])
-    grid = size_neutral(grid, group_rows=size)
-    return top_selection(grid, top_fraction, group_rows=size), size
+    grid = size_neutral(grid, group_rows=size, max_group_rows=max_group_rows)
+    return top_selection(grid, top_fraction, group_rows=size, max_group_rows=max_group_rows), size
 
 
 def run_screen(
-    daily: DataFrame, signal: DataFrame | Callable[[DataFrame], DataFrame], horizons: Sequence[int] = (1, 5, 10, 20), *, min_names: int = 30, **window,
+    daily: DataFrame, signal: DataFrame | Callable[[DataFrame], DataFrame], horizons: Sequence[int] = (1, 5, 10, 20), *, min_names: int = 30, max_group_rows: int = MAX_GROUP_ROWS, **window,
 ) -> DataFrame:
     """One row per horizon: IC, its decay and size-neutral form, top excess, turnover."""
-    grid, size = prepare(daily, signal, horizons, **window)
+    grid, size = prepare(daily, signal, horizons, max_group_rows=max_group_rows, **window)
     grid = materialise(grid)
-    ic = rank_ic(metric_pairs(grid, horizons), ["metric", "horizon", "di", "trade_date"], min_names, group_rows=size)
+    ic = rank_ic(metric_pairs(grid, horizons), ["metric", "horizon", "di", "trade_date"], min_names, group_rows=size, max_group_rows=max_group_rows)
     ics = summarise(ic, ["metric", "horizon"], "ic", F.greatest("horizon", F.lit(1)))
     # One row per (metric, horizon): turned into columns by an aggregate, not joins.
     pick = lambda metric, column, name: F.max(F.when(F.col("metric") == metric, F.col(column))).alias(name)

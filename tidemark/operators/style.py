@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import board
 from .asof import asof_join
-from .ordered import average_rank, largest_group, quantiles
+from .ordered import MAX_GROUP_ROWS, average_rank, largest_group, quantiles
 from .screen import with_index
 
 TRADING_DAYS = 244
@@ -24,10 +24,10 @@ TAIL, MIN_NAMES, TURNOVER_DAYS, TURNOVER_MIN_DAYS = 0.30, 30, 20, 10
 UNCLASSIFIED = "未分类"
 
 
-def spread(rows: DataFrame, group: Sequence[str], *, tail: float = TAIL, min_names: int = MIN_NAMES, group_rows: int | None = None) -> DataFrame:
+def spread(rows: DataFrame, group: Sequence[str], *, tail: float = TAIL, min_names: int = MIN_NAMES, group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """Top-minus-bottom mean of ``pct_chg`` sorted by ``prior``, per group."""
     usable = rows.where("prior is not null and pct_chg is not null and not isnan(prior) and not isnan(pct_chg)")
-    cuts = quantiles(usable, group, "prior", {"_low": tail, "_high": 1.0 - tail}, group_rows=group_rows)
+    cuts = quantiles(usable, group, "prior", {"_low": tail, "_high": 1.0 - tail}, group_rows=group_rows, max_group_rows=max_group_rows)
     joined = usable.join(F.broadcast(cuts), list(group))
     high = F.avg(F.when(F.col("prior") >= F.col("_high"), F.col("pct_chg")))
     low = F.avg(F.when(F.col("prior") <= F.col("_low"), F.col("pct_chg")))

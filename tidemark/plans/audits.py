@@ -9,7 +9,7 @@ from ..operators import asof, quality as ops, stamps, units
 from ..registry import query
 from ..sources.tables import table
 from .adapters import DAILY_SQL, FILINGS_SQL, NOTICES_SQL, calendar, daily, filings, notices, r, with_sql
-from .market import AUCTION_SQL, LISTING_SQL, listing
+from .market import LISTING_SQL, listing
 from .reconcile import UNLOCK_SQL, VENDOR_SQL, unlocks, vendor
 
 FINDING_SQL = """fnd as (select case when o_orderkey % 50 = 0 then 'error' when o_orderkey % 9 = 0 then 'warning' else 'info' end as severity,

@@ -8,7 +8,7 @@ from ..functions.titles import normal_title
 from ..operators import asof, logs, text as ops
 from ..registry import query
 from ..sources.tables import table
-from .adapters import r, text_of, with_sql
+from .adapters import r, with_sql
 
 # Documents as texts with codes, titles and stamps; every 9th arrives twice, later and re-titled.
 TEXTS_SQL = """docs as (select doc_id as row_id, source as ts_code, lang as dataset, left(text, 40) as head, text, timestamp '2024-01-01 08:00:00' + to_days(cast(doc_id % 90 as integer)) as available_at from documents)"""

@@ -8,7 +8,7 @@ from ..functions import codes, values
 from ..operators import asof, auction, membership, orders as order_ops, panel, universe, units
 from ..registry import query
 from ..sources.tables import table
-from .adapters import DAILY_SQL, FILINGS_SQL, MINUTES_SQL, NOTICES_SQL, calendar, code_of, code_sql, daily, filings, minutes, notices, r, text_of, with_sql
+from .adapters import DAILY_SQL, FILINGS_SQL, MINUTES_SQL, code_of, code_sql, daily, filings, minutes, r, with_sql
 
 KEYS = ["trade_date", "ts_code"]
 
@@ -231,7 +231,7 @@ def _(spark, sf):
 select ts_code, cast(y as bigint) as year, cast(greatest(b, make_date(y, 1, 1)) as varchar) as window_start, cast(least(e, make_date(y, 12, 31)) as varchar) as window_end
 from c, (select unnest(generate_series(1995, 2001)) as y) where b <= e and y between year(b) and year(e)""")
 def _(spark, sf):
-    days = listing(spark, sf).select("ts_code", F.try_to_date("list_date", F.lit("yyyyMMdd")).alias("list_day") if False else F.to_date("list_date", "yyyyMMdd").alias("list_day"),
+    days = listing(spark, sf).select("ts_code", F.to_date("list_date", "yyyyMMdd").alias("list_day"),
                                      F.when(F.length("delist_date") == 8, F.to_date(F.when(F.length("delist_date") == 8, F.col("delist_date")), "yyyyMMdd")).alias("delist_day"))
     years = universe.active_years(days, "1995-03-01", "2001-06-30")
     return years.select("ts_code", F.col("year").cast("long").alias("year"), F.col("window_start").cast("string").alias("window_start"), F.col("window_end").cast("string").alias("window_end"))

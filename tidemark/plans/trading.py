@@ -9,7 +9,7 @@ from ..registry import query
 from ..session import materialise
 from ..sources.tables import table
 from .adapters import (
-    CALENDAR_SQL, DAILY_SQL, FILINGS_SQL, FILLS_SQL, NOTICES_SQL, TRADE_ORDER, TRADES_SQL, calendar, daily, filings, fills, notices, r, text_of, trades, with_sql,
+    CALENDAR_SQL, DAILY_SQL, FILINGS_SQL, FILLS_SQL, NOTICES_SQL, TRADE_ORDER, TRADES_SQL, calendar, daily, filings, fills, notices, r, trades, with_sql,
 )
 from .corpus import ANN_SQL, announcements
 from .market import RESET_SQL
