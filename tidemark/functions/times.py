@@ -65,11 +65,11 @@ def source_time(text: Column) -> Column:
 
 def stamp_text(stamp: Column) -> Column:
     """The stored text form of a stamp, null for null."""
-    return F.concat(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"), F.lit("+08:00"))
+    return F.concat(F.substring(stamp.cast("timestamp_ntz").cast("string"), 1, 19), F.lit("+08:00"))
 
 
 def ceil_second(stamp: Column) -> Column:
-    floor = F.date_trunc("second", stamp).cast("timestamp_ntz")
+    floor = F.substring(stamp.cast("string"), 1, 19).cast("timestamp_ntz")
     return F.when(floor == stamp, stamp).otherwise(floor + F.make_dt_interval(secs=F.lit(1).cast("decimal(18,6)")))
 
 

@@ -80,7 +80,7 @@ def price_at(orders: DataFrame, minutes: DataFrame, when: str = "execute_at") ->
     Two bars for one (code, minute) fail the job; nothing is rounded or filled.
     """
     bars = unique_or_fail(minutes.select("ts_code", "minute", "close", "available_at"), ["ts_code", "minute"], "minute bars")
-    joined = orders.withColumn("minute", F.date_trunc("minute", when).cast("timestamp_ntz")).join(bars, ["ts_code", "minute"], "left")
+    joined = orders.withColumn("minute", F.concat(F.substring(F.col(when).cast("string"), 1, 16), F.lit(":00")).cast("timestamp_ntz")).join(bars, ["ts_code", "minute"], "left")
     known = F.when(F.col("available_at") <= F.col(when), F.col("close"))
     return joined.withColumn("price", known).drop("close", "available_at", "minute")
 

@@ -135,7 +135,7 @@ def stamp_text(df: DataFrame, column: str, time_column: str, first_seen: str | N
 
     believable = said.isNotNull() & (day.isNull() | near(said))
     implausible = said.isNotNull() & day.isNotNull() & ~near(said)
-    bare = believable & day.isNotNull() & (F.date_trunc("day", said).cast("timestamp_ntz") == said)
+    bare = believable & day.isNotNull() & (F.to_date(said).cast("timestamp_ntz") == said)
     landed = landing_run(F.col(first_seen), node) if first_seen else F.lit(None).cast("timestamp_ntz")
     received = bare & F.coalesce(near(landed), F.lit(False))
     stamp = F.when(believable & ~bare, said).when(received, landed).when(day.isNotNull(), at_clock(day, fallback_clock))

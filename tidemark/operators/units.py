@@ -86,11 +86,11 @@ def match_columns(inventory: DataFrame, rules: DataFrame) -> DataFrame:
     hits = left.join(right, own & F.expr("i.column rlike r.pattern"), "left")
     order = F.struct("r.tier", "r.position", "r.glob")
     payload = F.struct("r.tier", "r.semantic", "r.source_unit", "r.factor", "r.unit", "r.status")
-    best = hits.groupBy("i.file", "i.dataset", "i.column").agg(
+    best = hits.groupBy("i.file", "i.dataset", "i.column", "i.filled").agg(
         F.min_by(payload, order).alias("best"), F.count_if(F.col("r.tier") == 1).alias("explicit")
     )
     return best.select(
-        "file", "dataset", "column", "best.semantic", "best.source_unit", "best.factor", "best.unit",
+        "file", "dataset", "column", "filled", "best.semantic", "best.source_unit", "best.factor", "best.unit",
         F.when(F.col("best.tier").isNull(), "unresolved").when(F.col("explicit") > 1, "overlap").otherwise(F.col("best.status")).alias("status"),
     )
 
@@ -104,18 +104,25 @@ def resolve_columns(inventory: DataFrame, rules: Sequence[UnitRule]) -> DataFram
     return matched
 
 
-def column_inventory(spark: SparkSession, frames: dict[tuple[str, str | None], DataFrame]) -> DataFrame:
-    """Physical columns of named tables as rows."""
-    rows = [(file, dataset, name) for (file, dataset), df in frames.items() for name in df.columns]
-    return spark.createDataFrame(rows, "file string, dataset string, column string")
+def column_inventory(frames: dict[tuple[str, str | None], DataFrame]) -> DataFrame:
+    """Physical columns of named tables with how many rows fill each, one scan per table."""
+    out = None
+    for (file, dataset), df in frames.items():
+        counts = df.agg(*[F.count(name).alias(name) for name in df.columns])
+        rows = F.explode(F.array(*[F.struct(F.lit(name).alias("column"), F.col(name).alias("filled")) for name in df.columns])).alias("r")
+        part = counts.select(F.lit(file).alias("file"), F.lit(dataset).cast("string").alias("dataset"), rows).select("file", "dataset", "r.*")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        raise ValueError("no tables to list")
+    return out
 
 
 def reconcile_columns(physical: DataFrame, declared: DataFrame) -> DataFrame:
     """Columns no dataset declares, and declared columns the file lacks."""
     held = declared.select("file", "column").distinct()
-    extra = physical.join(held, ["file", "column"], "left_anti").select("file", "column", F.lit("unattributed").alias("problem"))
+    extra = physical.join(held, ["file", "column"], "left_anti").select("file", "column", "filled", F.lit("unattributed").alias("problem"))
     lost = declared.join(physical.select("file", "column").distinct(), ["file", "column"], "left_anti")
-    return extra.unionByName(lost.select("file", "column", F.lit("undeclared_in_file").alias("problem")).distinct())
+    return extra.unionByName(lost.select("file", "column", F.lit(0).cast("long").alias("filled"), F.lit("undeclared_in_file").alias("problem")).distinct())
 
 
 def literal_rules(rules: Sequence[UnitRule]) -> Column:

@@ -9,7 +9,7 @@ from ..operators import asof, quality as ops, stamps, units
 from ..registry import query
 from ..sources.tables import table
 from .adapters import DAILY_SQL, FILINGS_SQL, NOTICES_SQL, calendar, daily, filings, notices, r, with_sql
-from .market import LISTING_SQL, listing
+from .market import LISTING_SQL, inventory_sql, listing
 from .reconcile import UNLOCK_SQL, VENDOR_SQL, unlocks, vendor
 
 FINDING_SQL = """fnd as (select case when o_orderkey % 50 = 0 then 'error' when o_orderkey % 9 = 0 then 'warning' else 'info' end as severity,
@@ -175,12 +175,12 @@ def _(spark, sf):
     return ops.audit_events(df, asof.at("1995-06-01 00:00:00"), asof.at("2001-01-31 23:59:59"), r"^(source|fallback_joined|missing)", ["actual_date"])
 
 
-@query("dq14_unit_coverage", """
-select table_name as file, column_name as "column" from information_schema.columns where table_name in ('orders', 'customer') and column_name not in ('o_totalprice', 'o_orderkey', 'o_custkey', 'c_acctbal', 'c_custkey', 'c_nationkey')""")
+@query("dq14_unit_coverage", with_sql(inventory_sql("orders", "customer")) + """
+select file, "column", filled from inv where "column" not in ('o_totalprice', 'o_orderkey', 'o_custkey', 'c_acctbal', 'c_custkey', 'c_nationkey')""")
 def _(spark, sf):
     rules = [units.UnitRule("orders", None, ("o_totalprice",)), units.UnitRule("orders", None, ("*key",)), units.UnitRule("customer", None, ("c_acctbal",)), units.UnitRule("customer", None, ("*key",))]
-    inv = units.column_inventory(spark, {(name, None): table(spark, sf, name) for name in ("orders", "customer")})
-    return units.match_columns(inv, units.rule_table(spark, rules)).where("status = 'unresolved'").select("file", "column")
+    inv = units.column_inventory({(name, None): table(spark, sf, name) for name in ("orders", "customer")})
+    return units.match_columns(inv, units.rule_table(spark, rules)).where("status = 'unresolved'").select("file", "column", "filled")
 
 
 @query("dq15_commit_pairs", with_sql("f as (select 'p' || cast(o_custkey as varchar) || case when o_custkey % 40 = 0 then '.tmp' else '' end as path, count(*) as file_rows, 'w' || cast(o_custkey as varchar) as file_id from orders where o_custkey % 11 <> 0 group by o_custkey)",
@@ -275,9 +275,9 @@ def _(spark, sf):
     return ops.asof_ranges(notices(spark, sf).where(F.col("available_at") <= asof.at("1998-06-15 09:25:00")))
 
 
-@query("dq23_column_reconciliation", """select table_name as file, column_name as "column", 'unattributed' as problem from information_schema.columns where table_name = 'orders' and column_name not in ('o_orderkey', 'o_custkey', 'o_totalprice') union all select 'orders', 'o_comment', 'undeclared_in_file'""")
+@query("dq23_column_reconciliation", with_sql(inventory_sql("orders")) + """select file, "column", filled, 'unattributed' as problem from inv where "column" not in ('o_orderkey', 'o_custkey', 'o_totalprice') union all select 'orders', 'o_comment', cast(0 as bigint), 'undeclared_in_file'""")
 def _(spark, sf):
-    inv = units.column_inventory(spark, {("orders", None): table(spark, sf, "orders")}).select("file", "column")
+    inv = units.column_inventory({("orders", None): table(spark, sf, "orders")}).select("file", "column", "filled")
     held = spark.range(1).select(F.lit("orders").alias("file"), F.explode(F.array(*[F.lit(c) for c in ("o_orderkey", "o_custkey", "o_totalprice", "o_comment")])).alias("column"))
     return units.reconcile_columns(inv, held)
 

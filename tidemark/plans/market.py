@@ -254,11 +254,24 @@ def _(spark, sf):
     return day_text(out).select(*KEYS, r(F.col("vol"), 2).alias("vol"), r(F.col("amount"), 0).alias("amount"), r(F.col("turnover_rate"), 8).alias("turnover_rate"), r(F.col("circ_mv"), 0).alias("circ_mv"))
 
 
-INVENTORY_SQL = """inv as (select table_name as file, column_name as "column" from information_schema.columns where table_name in ('orders', 'customer', 'lineitem', 'supplier'))"""
+COLUMNS = {
+    "orders": ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"),
+    "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"),
+    "lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"),
+    "supplier": ("s_suppkey", "s_name", "s_nationkey", "s_acctbal"),
+}
+
+
+def inventory_sql(*tables):
+    rows = [f"""select '{name}' as file, '{column}' as "column", count({column}) as filled from {name}""" for name in tables for column in COLUMNS[name]]
+    return "inv as (" + " union all ".join(rows) + ")"
+
+
+INVENTORY_SQL = inventory_sql("orders", "customer", "lineitem", "supplier")
 
 
 def inventory(spark, sf):
-    return units.column_inventory(spark, {(name, None): table(spark, sf, name) for name in ("orders", "customer", "lineitem", "supplier")})
+    return units.column_inventory({(name, None): table(spark, sf, name) for name in ("orders", "customer", "lineitem", "supplier")})
 
 
 ORDER_RULES = (
@@ -269,12 +282,12 @@ ORDER_RULES = (
 
 
 @query("sc02_unit_registry", with_sql(INVENTORY_SQL) + """
-select file, "column", case when file = 'orders' then case when "column" = 'o_totalprice' then 'official' when "column" = 'o_orderkey' then 'overlap'
+select file, "column", filled, case when file = 'orders' then case when "column" = 'o_totalprice' then 'official' when "column" = 'o_orderkey' then 'overlap'
       when "column" like '%key' or "column" like 'o\\_order%' escape '\\' then 'official' else 'unresolved' end
    when file = 'lineitem' then case when "column" = 'l_tax' then 'official' else 'unknown' end
    when file = 'customer' and "column" = 'c_acctbal' then 'official' else 'unresolved' end as status from inv""")
 def _(spark, sf):
-    return units.match_columns(inventory(spark, sf), units.rule_table(spark, ORDER_RULES)).select("file", "column", "status")
+    return units.match_columns(inventory(spark, sf), units.rule_table(spark, ORDER_RULES)).select("file", "column", "filled", "status")
 
 
 @query("sc03_auction_correction", with_sql(MINUTES_SQL) + """

@@ -95,7 +95,7 @@ def _(spark, sf):
     old, new = vendor(spark, sf)
     day = lambda text: F.lit(text).cast("date")
     observed = old.select(*KEYS).distinct().withColumn("first_seen_at", day("2020-01-01"))
-    broken = new.select(*KEYS).limit(50).withColumn("first_seen_at", day("2020-01-20"))
+    broken = new.where("status = 'X'").select(*KEYS).withColumn("first_seen_at", day("2020-01-20"))
     out = ops.update_observations(observed.unionByName(broken), new, KEYS, day("2020-02-01"), day("2020-01-15"))
     return out.withColumn("first_seen_at", F.col("first_seen_at").cast("string"))
 

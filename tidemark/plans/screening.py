@@ -60,11 +60,11 @@ def grid(spark, sf):
     return prepared, size
 
 
-@query("scr01_signal_contract", with_sql(DAILY_SQL, "x as (select trade_date, 'k0' as ts_code, vol as score from daily where k = 0 union all select trade_date, 'k1', vol from daily where k = 1)") + """
+@query("scr01_signal_contract", with_sql(DAILY_SQL, "x as (select trade_date, 'k' || cast(k % 2 as varchar) as ts_code, sum(vol) as score from daily group by trade_date, k % 2)") + """
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, score from x""")
 def _(spark, sf):
-    d = daily(spark, sf).where("k < 2")
-    wide = d.groupBy("trade_date").agg(F.max(F.when(F.col("k") == 0, F.col("vol"))).alias("k0"), F.max(F.when(F.col("k") == 1, F.col("vol"))).alias("k1"))
+    half = lambda n: F.sum(F.when(F.col("k") % 2 == n, F.col("vol"))).alias(f"k{n}")
+    wide = daily(spark, sf).groupBy("trade_date").agg(half(0), half(1))
     return day_text(ops.check_signal(ops.long_signal(wide)))
 
 
@@ -76,9 +76,9 @@ def _(spark, sf):
 
 
 @query("scr03_wide_pivot", with_sql(DAILY_SQL) + """
-select strftime(trade_date, '%Y%m%d') as trade_date, round(max(case when k = 0 then vol end), 2) as "c0", round(max(case when k = 1 then vol end), 2) as "c1", round(max(case when k = 2 then vol end), 2) as "c2" from daily where k < 3 group by trade_date""")
+select strftime(trade_date, '%Y%m%d') as trade_date, round(sum(case when k % 3 = 0 then vol end), 2) as "c0", round(sum(case when k % 3 = 1 then vol end), 2) as "c1", round(sum(case when k % 3 = 2 then vol end), 2) as "c2" from daily group by trade_date""")
 def _(spark, sf):
-    d = daily(spark, sf).where("k < 3").withColumn("ts_code", F.concat(F.lit("c"), F.col("k").cast("string")))
+    d = daily(spark, sf).groupBy("trade_date", F.concat(F.lit("c"), (F.col("k") % 3).cast("string")).alias("ts_code")).agg(F.sum("vol").alias("vol"))
     wide = ops.wide_table(d, "vol", ["c0", "c1", "c2"])
     return day_text(wide).select("trade_date", *[r(F.col(c), 2).alias(c) for c in ("c0", "c1", "c2")])
 

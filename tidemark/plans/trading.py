@@ -72,13 +72,21 @@ def _(spark, sf):
 
 
 BOARDS = ["main", "gem", "star"]
-TRIP_SQL = (DAILY_SQL, DECILE_SQL, TRADES_SQL, "tb as (select * from trades where run_id = 'B1')", fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date, price, l_orderkey, l_linenumber, l_partkey"),
+# All lines as one book.
+BOOK_SQL = "tb as (select * replace ('B' as run_id) from trades)"
+
+
+def book(spark, sf):
+    return trades(spark, sf).withColumn("run_id", F.lit("B"))
+
+
+TRIP_SQL = (DAILY_SQL, DECILE_SQL, TRADES_SQL, BOOK_SQL, fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date, price, l_orderkey, l_linenumber, l_partkey"),
             """tp as (select run_id, t.ts_code, qty, ent.trade_date as entry_day, ext.trade_date as exit_day, qty * ent.price as notional, ent.l_orderkey as o, ent.l_linenumber as l, ent.l_partkey as p, decile from trips t join dec d on d.ts_code = t.ts_code and d.trade_date = ent.trade_date)""")
 
 
 def matched_trips(spark, sf):
     ranked = materialise(ops.deciles(daily(spark, sf)))
-    paired = ops.round_trips(trades(spark, sf).where("run_id = 'B1'"), FILL_KEYS, TRADE_ORDER, ["trade_date", "price", "l_orderkey", "l_linenumber", "l_partkey"])
+    paired = ops.round_trips(book(spark, sf), FILL_KEYS, TRADE_ORDER, ["trade_date", "price", "l_orderkey", "l_linenumber", "l_partkey"])
     trips = paired.select(
         "ts_code", F.col("trip_quantity").alias("quantity"), F.col("entry_trade_date").alias("entry_day"), F.col("exit_trade_date").alias("exit_day"),
         (F.col("trip_quantity") * F.col("entry_price")).alias("notional"), F.col("entry_l_orderkey").alias("o"), F.col("entry_l_linenumber").alias("l"), F.col("entry_l_partkey").alias("p"))
@@ -113,7 +121,7 @@ def _(spark, sf):
 @query("ex06_random_baseline")
 def _(spark, sf):
     drawn, d = picks(spark, sf)
-    curve = ops.book_curve(trades(spark, sf).where("run_id = 'B1'"), d, 1e9)
+    curve = ops.book_curve(book(spark, sf), d, 1e9)
     out = ops.baseline(ops.drawn_pnl(drawn, d), curve, DRAWS)
     return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 9).alias("draw_sd"))
 
@@ -126,14 +134,14 @@ def _(spark, sf):
     return d.join(F.broadcast(other), "trade_date").select(day("trade_date"), "ts_code", ops.carried_limit(F.col("low"), F.col("pre_close"), F.col("other")).alias("carried"))
 
 
-@query("ex08_sellable_shares", with_sql(DAILY_SQL, RESET_SQL, TRADES_SQL, "tb as (select * from trades where run_id = 'B1')", fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date, price, l_orderkey, l_linenumber, l_partkey"),
+@query("ex08_sellable_shares", with_sql(DAILY_SQL, RESET_SQL, TRADES_SQL, BOOK_SQL, fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date, price, l_orderkey, l_linenumber, l_partkey"),
        "mu as (select ts_code, trade_date, last_close / pre_close as m from carried where last_close is not null and ROUND(abs(pre_close - last_close), 6) > 0.005)",
        "tq as (select ts_code, cast(qty as bigint) as quantity, ent.trade_date as e, ext.trade_date as x, ent.l_orderkey as o, ent.l_linenumber as l, ent.l_partkey as p, ext.l_orderkey as xo from trips where ext is not null)",
        "ls as (select tq.*, list([m, case when mu.trade_date = x then 1.0 else 0.0 end] order by mu.trade_date) filter (where m is not null) as ms from tq left join mu on mu.ts_code = tq.ts_code and mu.trade_date > e and mu.trade_date <= x group by all)") + """
 select o, l, p, xo, ts_code, quantity, cast(coalesce(list_reduce(list_prepend([cast(quantity as double), 0.0], ms), lambda a, b: [case when b[2] = 1.0 then least(a[1], floor(ROUND(a[1] * b[1], 6))) else floor(ROUND(a[1] * b[1], 6)) end, 0.0])[1], quantity) as bigint) as sellable from ls""")
 def _(spark, sf):
     from ..operators import panel
-    paired = ops.round_trips(trades(spark, sf).where("run_id = 'B1'"), FILL_KEYS, TRADE_ORDER, ["trade_date", "l_orderkey", "l_linenumber", "l_partkey"]).where("exit_trade_date is not null")
+    paired = ops.round_trips(book(spark, sf), FILL_KEYS, TRADE_ORDER, ["trade_date", "l_orderkey", "l_linenumber", "l_partkey"]).where("exit_trade_date is not null")
     trips = paired.select("ts_code", F.col("trip_quantity").alias("quantity"), F.col("entry_trade_date").alias("entry_day"), F.col("exit_trade_date").alias("exit_day"),
                           F.col("entry_l_orderkey").alias("o"), F.col("entry_l_linenumber").alias("l"), F.col("entry_l_partkey").alias("p"), F.col("exit_l_orderkey").alias("xo"))
     from ..functions.values import share_multiplier
@@ -169,13 +177,13 @@ def _(spark, sf):
     return out.select("ts_code", "ex_date", r(F.col("cash_per_share")).alias("cash_per_share"), r(F.col("stock_per_share")).alias("stock_per_share"), "record_date")
 
 
-@query("sc13_dividend_tax", with_sql(DAILY_SQL, TRADES_SQL, "tb as (select * from trades where run_id = 'B1')", fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date"),
+@query("sc13_dividend_tax", with_sql(DAILY_SQL, TRADES_SQL, BOOK_SQL, fifo_sql("tb", ", ".join(TRADE_ORDER), "trade_date"),
        "lots as (select ts_code, qty, cast(ent.trade_date + interval 18 year as date) as a, cast(ext.trade_date + interval 18 year as date) as s from trips where ext is not null and ext.trade_date > ent.trade_date)",
        "ac as (select ts_code, cast(trade_date + interval 18 year as date) as x, 0.5 as cps from daily where mi % 6 = 0)",
        "j as (select lots.ts_code, qty * cps as inc, case when s <= cast(a + interval 1 month as date) then 0.2 when s <= cast(a + interval 12 month as date) then 0.1 when x < date '2015-09-08' then 0.05 else 0 end - case when x < date '2015-09-08' then 0.05 else 0 end as rt from lots join ac on ac.ts_code = lots.ts_code and x > a and x <= s)") + """
 select ts_code, round(sum(inc), 2) as income, round(sum(inc * rt), 3) as tax from j group by all""")
 def _(spark, sf):
-    paired = ops.round_trips(trades(spark, sf).where("run_id = 'B1'"), FILL_KEYS, TRADE_ORDER, ["trade_date"]).where("exit_trade_date > entry_trade_date")
+    paired = ops.round_trips(book(spark, sf), FILL_KEYS, TRADE_ORDER, ["trade_date"]).where("exit_trade_date > entry_trade_date")
     lots = paired.select("ts_code", F.col("trip_quantity").alias("quantity"), F.add_months("entry_trade_date", 216).alias("acquired"), F.add_months("exit_trade_date", 216).alias("sold"))
     ex = F.add_months("trade_date", 216)
     actions = daily(spark, sf).where("mi % 6 = 0").select("ts_code", ex.alias("ex_day"), ex.alias("record_day"), F.lit(0.5).alias("cash_per_share"), F.lit(0.0).alias("bonus_per_share"))
