@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,6 +16,7 @@ DEFAULTS = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
+CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "tidemark") -> SparkSession:
@@ -29,17 +31,28 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as the cluster names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.sparkContext.getCheckpointDir()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
+
+    A local session without the setting gets a folder of its own, since driver
+    and executors are one process there; a cluster without it is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR, None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    own = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set(CHECKPOINT_DIR, own)
+    return own
 
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it back.
 
     The copy survives lost executors, is columnar, and its known size lets
-    Spark choose a broadcast where it is small.
+    Spark choose a broadcast where it is small. It goes when the driver ends.
     """
     folder = scratch_folder(df.sparkSession, "table")
     df.write.parquet(folder)
@@ -47,6 +60,15 @@ def materialise(df: DataFrame) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for intermediate tables, in the shared folder when there is one."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="spark-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder for intermediate tables in the shared folder; removed at exit."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(drop_folder, spark, folder)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of ours through Spark's file system, if the session still runs."""
+    if spark.sparkContext._jsc is None:
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
