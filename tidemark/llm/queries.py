@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, pieces, rules, urls
+from tidemark.llm import chat, pieces, rules, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +30,12 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+@query("op1_document_fingerprints")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    compared = winnow.compare_with_next(table(spark, folder, "documents", "doc_id", "text"))
+    return compared.withColumns({name: winnow.spelled(F.col(name)) for name in ("fingerprint", "edited_fingerprint")})
+
+
 @query("op2_piece_encoding")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(PIECE_MODEL)
