@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, packing, pieces, rules, urls, winnow
+from tidemark.llm import chat, jaccard, packing, pieces, rules, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -92,6 +92,11 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op5_ngram_jaccard_join")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents", "doc_id", "text"))
+
+
 @query("op6_best_fit_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents", "doc_id", "text"), public_tokenizers.path(WORD_MODEL))
