@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, packing, pieces, rules, urls, winnow
+from tidemark.llm import chat, jaccard, lines, packing, pieces, rules, urls, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -122,6 +122,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages", "page_id", "url"), urls.ship(spark, URL_RULES))
 
 
+@query("op9_line_dedup")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents", "doc_id", "text")).drop("th")
+
+
 @query("op10_quality_rules", r"""
     with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
     w as (select r, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words,

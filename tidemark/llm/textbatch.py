@@ -18,7 +18,6 @@ import pyarrow.compute as pc
 #: Bytes of text handled at a time; one longer text is handled alone and whole.
 SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
@@ -31,18 +30,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for name, base in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+def powers(n: int, base: np.uint64 = BASE) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base and of its inverse, modulo 2**64."""
+    held = _powers.get(int(base))
+    if held is None or len(held[0]) < n:
+        steps = np.full((2, max(n, SLICE_BYTES + 1024)), base, np.uint64)
+        steps[1] = pow(int(base), -1, 1 << 64)
+        steps[:, 0] = 1
+        held = _powers[int(base)] = tuple(np.multiply.accumulate(row) for row in steps)
+    return held[0][:n], held[1][:n]
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
