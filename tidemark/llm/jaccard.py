@@ -14,8 +14,10 @@ the next band as well. Equal sets are one node from the start.
 
 Subsets travel packed by hash range. Sets that meet are verified exactly: first
 each set against the one it meets most, then, among what is still unconnected,
-every remaining candidate. So copies of one text cost one check each, and no
-link between different texts is lost.
+every remaining candidate. Before shingles are fetched, counts of them in a few
+cells, which never differ more than the sets, rule out most unlike pairs. So
+copies of one text cost one check each, and no link between different texts is
+lost.
 
 The list of common shingles steers the order alone and is bounded by
 ``COMMON``; any list gives the same links.
@@ -39,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
+from tidemark.llm.linking import filter_of, may_hold
 from tidemark.llm.textbatch import BASE, TextBatch, distinct_per_text, mix, slices
 from tidemark.session import materialise
 
@@ -51,6 +54,8 @@ SLACK = 1.5
 COMMON = 50_000
 #: Shingles that a task names as common: found this often in one slice of texts.
 COMMON_IN_SLICE, COMMON_A_TASK = 8, 5_000
+#: Cells of the counts that tell most unlike sets apart before their shingles are compared.
+CELLS = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _DELETION, _SINGLE, _SHORT = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x5A5A5A5A5A5A5A5A, 0xC3C3C3C3C3C3C3C3))
@@ -245,25 +250,66 @@ def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]]) -> DataFra
     return packed.groupBy("part").applyInArrow(gather, "a long, b long, hits long, members array<long>")
 
 
-def _sets_of(docs: DataFrame, words: int) -> DataFrame:
-    """Rows (k1, k2, n, shingles) of documents' sets."""
+def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> DataFrame:
+    """Rows (rep, k1, n, profile) of the sets of ``wanted(rep, k1, k2)``.
+
+    The profile is the shingles themselves (``full``), or counts of shingles in
+    ``CELLS`` cells: the counts of two sets differ in all by no more than the
+    sets do.
+    """
+    held = filter_of(wanted.select("rep"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            for start, stop in slices(record.column(0)):
-                keys, bounds, sets = shingle_sets(record.column(0).slice(start, stop - start), words)
-                packed = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["k1", "k2", "n", "shingles"])
+            record = record.filter(pa.array(may_hold(held.value, record.column(0).to_numpy())))
+            for start, stop in slices(record.column(1)):
+                keys, bounds, sets = shingle_sets(record.column(1).slice(start, stop - start), words)
+                if full:
+                    packed = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                else:
+                    of = np.repeat(np.arange(len(sets)), np.diff(bounds))
+                    cells = np.bincount(of * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS * len(sets))
+                    packed = [row.tobytes() for row in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
+                yield pa.RecordBatch.from_arrays([record.column(0).slice(start, len(sets)), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["rep", "k1", "k2", "n", "profile"])
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "rep long, k1 long, k2 long, n long, profile binary")
+    return materialise(found.join(wanted, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]).select("rep", "k1", "n", "profile"))
+
+
+def _near(n_x, n_y, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether sizes and counts by cell allow the threshold; arrays broadcast."""
+    fits = OF * np.minimum(n_x, n_y) >= AT_LEAST * np.maximum(n_x, n_y)
+    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    return fits & (apart <= (n_x + n_y) * (OF - AT_LEAST) // (OF + AT_LEAST))
+
+
+def _cells(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+
+
+def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of first set keys, those (a, b) of representatives that sizes and counts allow."""
+    sides = [nodes.toDF(f"rep_{x}", x, f"n_{x}", f"cells_{x}") for x in "ab"]
+    sized = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(OF * F.least("n_a", "n_b") >= AT_LEAST * F.greatest("n_a", "n_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            n_a, n_b = record.column(2).to_numpy(), record.column(3).to_numpy()
+            ok = pa.array(_near(n_a, n_b, _cells(record.column(4)), _cells(record.column(5))))
+            yield pa.RecordBatch.from_arrays([record.column(i).filter(ok) for i in (0, 1)], ["a", "b"])
+
+    return _ordered(sized.select("rep_a", "rep_b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long"))
+
 
-    return docs.select("text").mapInArrow(run, "k1 long, k2 long, n long, shingles binary")
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of first set keys, the links (a, b) between documents that reach the threshold."""
-    sides = [sets.select(F.col("k1").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("n").alias(f"n_{x}"), F.col("shingles").alias(f"set_{x}")) for x in "ab"]
-    sized = pairs.select("a", "b").distinct().join(sides[0].drop("set_a"), "a").join(sides[1].drop("set_b"), "b")
-    near = sized.where((OF * F.least("n_a", "n_b") >= AT_LEAST * F.greatest("n_a", "n_b")) & (F.col("rep_a") != F.col("rep_b"))).select("a", "b", "rep_a", "rep_b")
-    full = near.join(sides[0].select("rep_a", "set_a"), "rep_a").join(sides[1].select("rep_b", "set_b"), "rep_b").select("rep_a", "rep_b", "set_a", "set_b")
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of representatives whose sets reach the threshold."""
+    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = _profiles(docs, words, nodes.join(ids, "rep", "left_semi"), full=True)
+    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("profile").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("profile").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
@@ -280,33 +326,35 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.mapInArrow(run, "a long, b long")
 
 
-def _across(found: DataFrame, tried: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) not tried yet whose sets are in different components.
+def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of representatives in different components that share a bucket and may reach the threshold.
 
-    ``labels`` has ``k1, label`` of every set that a bucket holds; sets with one
-    first key but different labels count as different.
+    ``nodes`` has rep, k1, n and the counts by cell, ``labels`` rep and label.
     """
-    of = labels.groupBy("k1").agg(F.min("label").alias("label"), (F.min("label") != F.max("label")).alias("mixed"))
-    left, right = (of.toDF(x, f"label_{x}", f"mixed_{x}") for x in "ab")
-    stars = found.where("members is null").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    apart = (F.col("label_a") != F.col("label_b")) | F.col("mixed_a") | F.col("mixed_b")
-    open_stars = stars.join(left, "a").join(right, "b").where(apart).select("a", "b")
-    buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").dropDuplicates(["bucket", "members"])
-    tagged = buckets.select("bucket", F.explode("members").alias("k1")).join(of, "k1")
-    sides = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("mixed").alias("mixed")).where("low <> high or mixed")
-    members = tagged.join(sides.select("bucket"), "bucket", "left_semi").groupBy("bucket").agg(F.collect_list(F.struct("k1", "label", "mixed")).alias("rows"))
+    named = nodes.select("rep", "k1").join(labels, "rep")
+    left, right = (named.select(F.col("k1").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
+    stars = found.where("members is null").select("a", "b").distinct().join(left, "a").join(right, "b").where("label_a <> label_b").select("a", "b").distinct()
+    buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").distinct()
+    tagged = buckets.select("bucket", F.explode("members").alias("k1")).distinct().join(named, "k1")
+    open_ = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
+    rows = tagged.join(open_, "bucket", "left_semi").select("bucket", "rep", "label").join(nodes.select("rep", "n", "profile"), "rep")
+    members = rows.groupBy("bucket").agg(F.collect_list(F.struct("rep", "label", "n", "profile")).alias("rows")).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            for rows in record.column(0).to_pylist():
-                keys = np.array([r["k1"] for r in rows], np.int64)
-                label, mixed = np.array([r["label"] for r in rows], np.int64), np.array([r["mixed"] for r in rows], bool)
-                for i in range(len(keys) - 1):
-                    other = keys[i + 1:][(label[i + 1:] != label[i]) | mixed[i + 1:] | mixed[i]]
-                    if len(other):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, keys[i])), pa.array(np.maximum(other, keys[i]))], ["a", "b"])
+            for rows in record.column(0):
+                rep, label, n, cells = rows.values.flatten()
+                rep, label, n, cells = rep.to_numpy(), label.to_numpy(), n.to_numpy(), _cells(cells)
+                order = np.argsort(n, kind="stable")
+                rep, label, n, cells = rep[order], label[order], n[order], cells[order]
+                for i in range(len(rep) - 1):
+                    end = int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right"))
+                    at = i + 1 + np.flatnonzero(label[i + 1:end] != label[i])
+                    at = at[_near(n[i], n[at], cells[i], cells[at])]
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep[i])), pa.array(rep[at])], ["a", "b"])
 
-    return open_stars.union(members.select("rows").mapInArrow(run, "a long, b long")).distinct().join(tried, ["a", "b"], "left_anti")
+    return _near_pairs(stars, nodes).union(_ordered(members.mapInArrow(run, "a long, b long"))).distinct()
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -321,15 +369,15 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     pairs = found.where("members is null").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
     met = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    wanted = materialise(classes.join(met, "k1", "left_semi").select("k1", "k2", "rep"))
-    texts = live.join(wanted.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    sets = materialise(_sets_of(texts, words).dropDuplicates(["k1", "k2"]).join(wanted, ["k1", "k2"]))
-
-    best = materialise(pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a")).select("a", "b"))
-    links = materialise(_verified(best, sets))
-    labels = sets.select("k1", "rep").join(components(links).toDF("rep", "component"), "rep", "left").select("k1", F.coalesce("component", "rep").alias("label"))
-    rest = materialise(_across(found, best, labels))
-    linked = components(links.union(_verified(rest, sets))).toDF("rep", "component")
+    wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "k1", "k2"))
+    nodes = _profiles(live, words, wanted, full=False)
+
+    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
+    tried = materialise(_near_pairs(best, nodes))
+    links = materialise(_verified(tried, live, words, wanted))
+    labels = materialise(nodes.select("rep").join(components(links).toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")))
+    rest = materialise(_across(found, nodes, labels).join(tried, ["a", "b"], "left_anti"))
+    linked = components(links.union(_verified(rest, live, words, wanted))).toDF("rep", "component")
 
     of = classes.join(linked, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(of, ["k1", "k2"], "left")
