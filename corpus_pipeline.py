@@ -1,10 +1,19 @@
-"""The corpus pipeline: its stages, in order, over the documents table."""
+"""The corpus pipeline: its stages, in order, over the documents table.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
+kept; all but the last return the columns of documents. A document that loses
+all of its words to the removal of repeated lines or passages goes; one that had
+none before stays. ``n_chars`` follows the text.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import rules
+from tidemark.llm import jaccard, lines, packing, rules, substrings
+from tidemark.session import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -14,14 +23,47 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rules.apply_rules(docs.select(*COLUMNS))
 
 
-STAGES = [("quality rules", quality_rules)]
+def _with_words(cut: DataFrame) -> DataFrame:
+    """Documents that still have a word, or lost nothing, with the length of what stays."""
+    left = cut.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that equal, or nearly equal, an earlier one."""
+    return _with_words(lines.dedup_lines(docs, carry=("lang", "source")))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return jaccard.keep_one(docs.select(*COLUMNS))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that occurred before."""
+    return _with_words(substrings.dedup_substrings(docs, carry=("lang", "source")))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents, packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("substring dedup", substring_dedup),
+    ("best-fit packing", best_fit_packing),
+]
 
 #: SQL cannot express the joins and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; each stage's documents are stored before the next reads them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -227,7 +227,7 @@ def _near_lines(docs: DataFrame, threshold: int, shortest: int) -> DataFrame:
     return link(found, near, verify)
 
 
-def drop_lines(docs: DataFrame, removed: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+def drop_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` (with keys doc_id, th) without the line numbers in ``removed.lines``; adds n_lines and n_removed."""
     joined = docs.join(removed.toDF("_d", "_t", "lines"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left")
     feed = F.split("text", "\n")
@@ -235,9 +235,9 @@ def drop_lines(docs: DataFrame, removed: DataFrame, extra: tuple[str, ...] = ())
     return joined.withColumns({"text": kept, "n_lines": F.coalesce(F.size(feed), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("lines"), F.lit(0)).cast("long")}).drop("_d", "_t", "lines")
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
-    """Per document: doc_id, th (hash of the text), n_lines, n_removed and the text that stays."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("th", F.xxhash64("text"))
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, shortest: int = SHORTEST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, n_lines, n_removed, the text that stays, and the columns to ``carry`` along."""
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("th", F.xxhash64("text"))
     rows = materialise(_line_rows(docs).distinct())
     linked = _near_lines(docs, threshold, shortest)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
@@ -247,4 +247,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", thresh
     named = heads.join(firsts.toDF("f1", "f2", "head"), (F.col("c1") == F.col("f1")) & F.col("c2").eqNullSafe(F.col("f2"))).select("h1", "h2", "head")
     gone = rows.join(named, ["h1", "h2"]).where(order != F.col("head"))
     removed = gone.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    return drop_lines(docs, removed).select("doc_id", "th", "n_lines", "n_removed", "text")
+    return drop_lines(docs, removed).select("doc_id", "n_lines", "n_removed", "text", *carry)

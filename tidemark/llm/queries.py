@@ -134,7 +134,7 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_line_dedup")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return lines.dedup_lines(table(spark, folder, "documents", "doc_id", "text")).drop("th")
+    return lines.dedup_lines(table(spark, folder, "documents", "doc_id", "text"))
 
 
 @query("op10_quality_rules", r"""

@@ -269,10 +269,10 @@ def cut_words(units: Units, gone: np.ndarray) -> np.ndarray:
     return np.cumsum(change)[:-1] == 0
 
 
-def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Per document: doc_id, the text that stays, n_words, n_removed (words) and ``kept_in``, the ids that hold what was removed."""
+def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: doc_id, the text that stays, n_words, n_removed (words), ``kept_in``, the ids that hold what was removed, and the columns to ``carry`` along."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
     pieces = materialise(_repeated_pieces(docs, parts))
     linked = materialise(_linked_lines(docs, parts))
     places = materialise(_places(docs, filter_of(pieces.select("key")), filter_of(linked.select("node"))))
@@ -282,7 +282,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     heads = lines.groupBy("component").agg(F.min(place).alias("head"))
     behind = lines.join(heads, "component").where(place != F.col("head")).select("id", "piece", "unit", F.col("head.id").alias("kept"))
     removed = later.union(behind).distinct().groupBy("id").agg(F.collect_list(F.struct("piece", "unit", "kept")).alias("gone"))
-    joined = docs.join(removed, "id", "left").select("doc_id", "text", "gone")
+    joined = docs.join(removed, "id", "left").select("doc_id", "text", "gone", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
@@ -306,6 +306,7 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 open_end = (lost > 0) & ~pc.fill_null(pc.ends_with(texts, "\n"), False).to_numpy(zero_copy_only=False)
                 cut = [body[a:b].decode() if valid else None for valid, a, b in zip(texts.is_valid().to_pylist(), bounds[:-1], bounds[1:], strict=True)]
                 cut = [t.removesuffix("\n") if t and strip else t for t, strip in zip(cut, open_end.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([record.column(0).slice(start, n), pa.array(cut, pa.string()), pa.array(units.batch.n_words), pa.array(lost.astype(np.int64)), pa.array(held, pa.list_(pa.int64()))], ["doc_id", "text", "n_words", "n_removed", "kept_in"])
+                yield pa.RecordBatch.from_arrays([record.column(0).slice(start, n), pa.array(cut, pa.string()), pa.array(units.batch.n_words), pa.array(lost.astype(np.int64)), pa.array(held, pa.list_(pa.int64())), *(record.column(3 + i).slice(start, n) for i in range(len(carry)))], ["doc_id", "text", "n_words", "n_removed", "kept_in", *carry])
 
-    return joined.mapInArrow(run, "doc_id long, text string, n_words long, n_removed long, kept_in array<long>")
+    carried = "".join(f", `{name}` {docs.schema[name].dataType.simpleString()}" for name in carry)
+    return joined.mapInArrow(run, f"doc_id long, text string, n_words long, n_removed long, kept_in array<long>{carried}")
