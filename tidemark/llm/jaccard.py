@@ -13,11 +13,11 @@ differences; should even that not suffice, its single shingles. Sets that stradd
 the next band as well. Equal sets are one node from the start.
 
 Subsets travel packed by hash range. Sets that meet are verified exactly: first
-each set against the one it meets most, then, among what is still unconnected,
-every remaining candidate. Before shingles are fetched, counts of them in a few
-cells, which never differ more than the sets, rule out most unlike pairs. So
-copies of one text cost one check each, and no link between different texts is
-lost.
+each bucket's first set against the others, then as many pairs as would join the
+rest of a bucket, then, among what is still unconnected, every remaining
+candidate. Before shingles are fetched, counts of them in a few cells, which
+never differ more than the sets, rule out most unlike pairs. So copies of one
+text cost a few checks each, and no link between different texts is lost.
 
 The list of common shingles steers the order alone and is bounded by
 ``COMMON``; any list gives the same links.
@@ -197,8 +197,8 @@ def unpack_entries(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return subset.view(np.uint64).ravel(), np.repeat(names, counts)
 
 
-def meetings(subset: np.ndarray, name: np.ndarray) -> tuple[dict, list[list[int]]]:
-    """Pairs (first of a bucket, other) with how often they meet, and the distinct buckets of three or more."""
+def meetings(subset: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct pairs (first of a bucket, other), and the distinct buckets of three or more."""
     order = np.lexsort((name, subset))
     subset, name = subset[order], name[order]
     new = np.ones(len(subset), bool)
@@ -210,13 +210,13 @@ def meetings(subset: np.ndarray, name: np.ndarray) -> tuple[dict, list[list[int]
     other = np.ones(len(subset), bool)
     other[begin] = False
     pairs = np.stack([name[begin][of][other], name[other]], axis=1)
-    found, hits = np.unique(pairs, axis=0, return_counts=True) if len(pairs) else (pairs, np.zeros(0, np.int64))
+    pairs = np.unique(pairs, axis=0)
     buckets = {name[begin[i]:begin[i] + size[i]].tobytes() for i in np.flatnonzero(size > 2)}
-    return {"a": found[:, 0], "b": found[:, 1], "hits": hits}, [np.frombuffer(x, np.int64) for x in sorted(buckets)]
+    return pairs, [np.frombuffer(x, np.int64) for x in sorted(buckets)]
 
 
 def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]]) -> DataFrame:
-    """Rows (a, b, hits, members): pairs of sets that meet, and whole buckets of three or more."""
+    """Rows (a, b, members): pairs of sets that meet, and whole buckets of three or more."""
     spark = docs.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     names = np.array([k for k, _ in common], np.int64).view(np.uint64)
@@ -238,16 +238,15 @@ def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]]) -> DataFra
     def gather(table: pa.Table) -> pa.Table:
         unpacked = [unpack_entries(x) for x in table.column("payload").to_pylist()]
         pairs, buckets = meetings(np.concatenate([x for x, _ in unpacked]), np.concatenate([x for _, x in unpacked]))
-        n, k = len(pairs["a"]), len(buckets)
+        n, k = len(pairs), len(buckets)
         blank = pa.nulls(k, pa.int64())
         return pa.table({
-            "a": pa.concat_arrays([pa.array(pairs["a"], pa.int64()), blank]), "b": pa.concat_arrays([pa.array(pairs["b"], pa.int64()), blank]),
-            "hits": pa.concat_arrays([pa.array(pairs["hits"], pa.int64()), blank]),
+            "a": pa.concat_arrays([pa.array(pairs[:, 0], pa.int64()), blank]), "b": pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), blank]),
             "members": pa.concat_arrays([pa.nulls(n, pa.list_(pa.int64())), pa.array(buckets, pa.list_(pa.int64()))]),
         })
 
     packed = docs.select("text").mapInArrow(scatter, "part int, payload binary")
-    return packed.groupBy("part").applyInArrow(gather, "a long, b long, hits long, members array<long>")
+    return packed.groupBy("part").applyInArrow(gather, "a long, b long, members array<long>")
 
 
 def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> DataFrame:
@@ -326,14 +325,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, nodes: DataFrame) -
     return full.mapInArrow(run, "a long, b long")
 
 
-def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) of representatives in different components that share a bucket and may reach the threshold.
+def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (a, b) of representatives in different components that share a larger bucket and may reach the threshold.
 
     ``nodes`` has rep, k1, n and the counts by cell, ``labels`` rep and label.
+    With ``forest`` a bucket gives only as many pairs as would join what may be
+    joined in it; else it gives all.
     """
     named = nodes.select("rep", "k1").join(labels, "rep")
-    left, right = (named.select(F.col("k1").alias(x), F.col("rep").alias(f"rep_{x}"), F.col("label").alias(f"label_{x}")) for x in "ab")
-    stars = found.where("members is null").select("a", "b").distinct().join(left, "a").join(right, "b").where("label_a <> label_b").select("a", "b").distinct()
     buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").distinct()
     tagged = buckets.select("bucket", F.explode("members").alias("k1")).distinct().join(named, "k1")
     open_ = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
@@ -344,17 +343,24 @@ def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
         for record in batches:
             for rows in record.column(0):
                 rep, label, n, cells = rows.values.flatten()
-                rep, label, n, cells = rep.to_numpy(), label.to_numpy(), n.to_numpy(), _cells(cells)
+                rep, label, n, cells = rep.to_numpy(), label.to_numpy().copy(), n.to_numpy(), _cells(cells)
                 order = np.argsort(n, kind="stable")
                 rep, label, n, cells = rep[order], label[order], n[order], cells[order]
                 for i in range(len(rep) - 1):
                     end = int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right"))
                     at = i + 1 + np.flatnonzero(label[i + 1:end] != label[i])
                     at = at[_near(n[i], n[at], cells[i], cells[at])]
+                    if forest:
+                        chosen = []
+                        while len(at):
+                            chosen.append(at[0])
+                            label[label == label[at[0]]] = label[i]
+                            at = at[label[at] != label[i]]
+                        at = np.array(chosen, np.int64)
                     if len(at):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep[i])), pa.array(rep[at])], ["a", "b"])
 
-    return _near_pairs(stars, nodes).union(_ordered(members.mapInArrow(run, "a long, b long"))).distinct()
+    return _ordered(members.mapInArrow(run, "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
@@ -367,17 +373,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     found = materialise(_meet(live, words, [tuple(r) for r in common]))
     classes = sizes.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
 
-    pairs = found.where("members is null").groupBy("a", "b").agg(F.sum("hits").alias("hits"))
+    pairs = found.where("members is null").select("a", "b").distinct()
     met = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "k1", "k2"))
     nodes = _profiles(live, words, wanted, full=False)
 
-    best = pairs.groupBy("b").agg(F.max_by("a", F.struct("hits", -F.col("a"))).alias("a"))
-    tried = materialise(_near_pairs(best, nodes))
+    # Each round verifies few pairs for each set; only what they leave apart is compared in full.
+    tried = materialise(_near_pairs(pairs, nodes))
     links = materialise(_verified(tried, live, words, wanted))
-    labels = materialise(nodes.select("rep").join(components(links).toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")))
-    rest = materialise(_across(found, nodes, labels).join(tried, ["a", "b"], "left_anti"))
-    linked = components(links.union(_verified(rest, live, words, wanted))).toDF("rep", "component")
+    for forest in (True, False):
+        labels = materialise(nodes.select("rep").join(components(links).toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")))
+        open_pairs = materialise(_across(found, nodes, labels, forest).join(tried, ["a", "b"], "left_anti"))
+        links = materialise(links.union(_verified(open_pairs, live, words, wanted)))
+        tried = tried.union(open_pairs)
+    linked = components(links).toDF("rep", "component")
 
     of = classes.join(linked, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
     out = sizes.join(of, ["k1", "k2"], "left")
