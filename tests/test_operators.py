@@ -115,13 +115,13 @@ def test_next_open_day_and_coverage(spark):
     closed = {d for d in days if d.weekday() >= 5 or pd.Timestamp("2024-02-09") <= d <= pd.Timestamp("2024-02-17")}
     cal = spark.createDataFrame([(d.date(), d not in closed) for d in days], "cal_date date, is_open boolean")
     rows = spark.createDataFrame([("20240208",), ("20240220",)], "trade_date string")
-    out = stamps.stamp_official(rows, "trade_date", catalog.NEXT_TRADING_DAY_09, cal).select("available_at").collect()
+    out = stamps.stamp_official(rows, "trade_date", catalog.OFFICIAL["next_open_09"], cal).select("available_at").collect()
     assert out[0][0] == dt.datetime(2024, 2, 19, 9, 0)
     with pytest.raises(Exception, match="calendar"):
         cal_ops.open_days(cal, "2024-02-01", "2024-02-20").collect()
     late = spark.createDataFrame([("20240221",)], "trade_date string")
     with pytest.raises(Exception, match="calendar ends"):
-        stamps.stamp_official(late, "trade_date", catalog.NEXT_TRADING_DAY_09, cal).collect()
+        stamps.stamp_official(late, "trade_date", catalog.OFFICIAL["next_open_09"], cal).collect()
 
 
 def test_refusals(spark):
@@ -131,7 +131,7 @@ def test_refusals(spark):
     with pytest.raises(Exception, match="duplicate keys"):
         screen.check_signal(bars).collect()
     with pytest.raises(ValueError):
-        catalog.PublicationRule("09:00", "x", day_offset=1, trading_day_offset=1)
+        catalog.checked({"x": catalog.Clock("x", "trade_date", "09:00", "weeks", 1)})
     bad = spark.createDataFrame([("fatal", "c", "m", {"a": "b"})], "severity string, check string, message string, details map<string,string>")
     with pytest.raises(Exception, match="invalid finding"):
         quality.report(bad).collect()

@@ -18,17 +18,51 @@ DIVIDEND_TAX_FLOOR = "20130101"
 
 
 def canonical(value: Column) -> Column:
-    """One text per value: ``1.0`` and ``1`` agree, empty markers are ''.
+    """One text per value: ``1.0``, ``1`` and ``1e0`` agree, empty markers are ''.
 
-    Numbers of up to 20 whole and 18 fraction digits compare exactly; longer
-    ones stay as they are written.
+    Every digit counts: a number is written out plainly, whatever its length.
+    Only exponents beyond three digits keep a power, of one fixed form.
     """
     text = F.trim(value.cast("string"))
     empty = text.isNull() | F.lower(text).isin("nan", "none", "nat", "")
-    number = text.rlike(r"^[+-]?(\d{1,20}(\.\d{0,18})?|\.\d{1,18})([eE][+-]?\d{1,2})?$")
-    exact = text.try_cast("decimal(38,18)")
-    plain = F.regexp_replace(exact.cast("string"), r"(\.\d*[1-9])0+$|\.0*$", "$1")
-    return F.when(empty, F.lit("")).when(number, F.coalesce(F.when(exact == 0, F.lit("0")), plain, text)).otherwise(text)
+    plain = text.rlike(r"^(0|-?[1-9]\d*|-?(0|[1-9]\d*)\.\d*[1-9])$")
+    number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,8})?$")
+    return F.when(empty, F.lit("")).when(plain, text).when(number, _written_out(text)).otherwise(text)
+
+
+def _written_out(text: Column) -> Column:
+    """A decimal number without leading or trailing zeros and without an exponent."""
+
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def spell(sign: Column, significant: Column, point: Column) -> Column:
+        size = F.length(significant)
+        small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), significant)
+        large = F.concat(significant, F.repeat(F.lit("0"), point - size))
+        mixed = F.concat(F.substring(significant, F.lit(1), point), F.lit("."), F.substring(significant, point + 1, size))
+        far = F.concat(F.lit("0."), significant, F.lit("e"), point.cast("string"))
+        body = F.when(F.abs(point) > 999, far).when(point <= 0, small).when(point >= size, large).otherwise(mixed)
+        return F.when(size == 0, F.lit("0")).otherwise(F.concat(F.when(sign == "-", F.lit("-")).otherwise(F.lit("")), body))
+
+    def places(parts: Column) -> Column:
+        # The decimal point stands behind this many of the digits from the first that is not zero.
+        point = F.length(parts["whole"]) - (F.length(parts["digits"]) - F.length(parts["stripped"])) + parts["exponent"]
+        return F.struct(parts["sign"].alias("sign"), F.regexp_replace(parts["stripped"], "0+$", "").alias("significant"), point.alias("point"))
+
+    def strip(parts: Column) -> Column:
+        digits = F.concat(parts["whole"], parts["fraction"])
+        return F.struct(parts["sign"].alias("sign"), parts["whole"].alias("whole"), digits.alias("digits"), F.regexp_replace(digits, "^0+", "").alias("stripped"), F.coalesce(parts["power"].try_cast("int"), F.lit(0)).alias("exponent"))
+
+    groups = ("sign", "whole", "fraction", "power")
+    parsed = F.struct(*(F.regexp_extract(text, r"^([+-]?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$", i + 1).alias(name) for i, name in enumerate(groups)))
+    return let(parsed, lambda p: let(strip(p), lambda q: let(places(q), lambda v: spell(v["sign"], v["significant"], v["point"]))))
+
+
+def digest_number(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of the parts' texts, for draws that any engine can repeat."""
+    text = F.concat_ws("|", *(part.cast("string") for part in parts))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def usable_price(value: Column) -> Column:

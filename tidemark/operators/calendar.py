@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import PublicationRule
+from ..catalog import Clock
 from ..functions.times import at_clock, day_end
 
 
@@ -36,14 +36,13 @@ def on_or_next_open(calendar: DataFrame) -> DataFrame:
     return calendar.select("cal_date", F.first(opened, ignorenulls=True).over(ahead).alias("open_day"))
 
 
-def latest_published(calendar: DataFrame, rule: PublicationRule, when: Column) -> DataFrame:
+def latest_published(calendar: DataFrame, rule: Clock, when: Column) -> DataFrame:
     """Newest open day whose publication moment has passed at ``when``."""
     opens = calendar.where("is_open").select("cal_date")
     landing = on_or_next_open(calendar).withColumnRenamed("cal_date", "named")
-    shift = rule.day_offset
-    named = opens.withColumn("named", F.date_add("cal_date", shift))
-    if rule.trading_day_offset:
-        nxt = nth_next_open(calendar, rule.trading_day_offset)
+    named = opens.withColumn("named", F.date_add("cal_date", rule.offset))
+    if rule.unit == "opens":
+        nxt = nth_next_open(calendar, rule.offset)
         named = opens.join(nxt, "cal_date").withColumn("named", F.col("next_open"))
     published = named.join(F.broadcast(landing), "named").where(at_clock(F.col("open_day"), rule.clock) <= when)
     return published.agg(F.max("cal_date").alias("trade_date"))
@@ -86,16 +85,16 @@ def due_days(days: DataFrame, period: str) -> DataFrame:
     return marked.withColumn("_prior", prior).where(F.col("_prior").isNull() | (F.col("_prior") != F.col("period_start"))).drop("_prior")
 
 
-def publication_stamp(day: Column, rule: PublicationRule | None, next_open: Column | None = None, is_new: bool = False) -> tuple[Column, Column]:
+def publication_stamp(day: Column, rule: Clock | None, next_open: Column | None = None, is_new: bool = False) -> tuple[Column, Column]:
     """``(available_at, rule)`` of a source date under an official rule."""
-    if rule is not None and rule.only_when_is_new and not is_new:
+    if rule is not None and rule.latest_only and not is_new:
         rule = None
     if rule is None:
         stamp, label = day_end(day), F.lit("conservative_date_eod")
     else:
         target = day
-        if rule.trading_day_offset:
-            missing = F.raise_error(F.lit(f"{rule.rule}: calendar ends before the publication day")).cast("date")
+        if rule.unit == "opens":
+            missing = F.raise_error(F.lit(f"{rule.label}: calendar ends before the publication day")).cast("date")
             target = F.when(day.isNotNull() & next_open.isNull(), missing).otherwise(next_open)
-        stamp, label = at_clock(target, rule.clock, rule.day_offset), F.lit(rule.rule)
+        stamp, label = at_clock(target, rule.clock, rule.offset if rule.unit == "days" else 0), F.lit(rule.label)
     return stamp, F.when(day.isNull(), F.lit("missing_source_date")).otherwise(label)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import LOT, any_size_minimum, board, lot_quantity
-from ..functions.values import Profile, trade_fee, usable_price
+from ..functions.values import Profile, digest_number, trade_fee, usable_price
 from .asof import asof_join
 from .ordered import MAX_GROUP_ROWS, Running, keep_last, largest_group, running, value_positions
 from .screen import date_index
@@ -168,11 +168,14 @@ def affordable(trips: DataFrame, pool: DataFrame, bucket: str, group_rows: int |
 def draw(sized: DataFrame, pool: DataFrame, bucket: str, draws: int, seed: int, trip: Sequence[str]) -> DataFrame:
     """One uniformly picked replacement per (draw, trip) with a non-empty pool.
 
-    The pick is a hash of (seed, draw, trip identity), the same on any cluster
-    and after any retry; ``trip`` names the identity columns.
+    The pick is a digest of (seed, draw, trip identity, twin), the same in any
+    engine and after any retry. ``trip`` names the identity columns; the twins
+    of one identity are numbered by exit, so each draws a name of its own.
     """
-    rows = sized.where("pool_size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = F.pmod(F.xxhash64(F.lit(seed), "draw", *trip), F.col("pool_size")) + 1
+    same = Window.partitionBy(*trip).orderBy(F.col("exit_day").asc_nulls_last())
+    numbered = sized.withColumn("twin", F.row_number().over(same))
+    rows = numbered.where("pool_size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    picked = F.pmod(digest_number(F.lit(seed), F.col("draw"), *map(F.col, trip), F.col("twin")), F.col("pool_size")) + 1
     place = F.when(F.col("own_place") <= picked, picked + 1).otherwise(picked)
     keys = ["entry_day", "_exit", bucket]
     names = pool.select(*keys, "place", F.col("ts_code").alias("drawn_code"), "pool_open")

@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.values import digest_number
 from .stats import drawdown_path
 from .style import TRADING_DAYS, factor_ols
 
 # Minimum days of a regression, draws, block length, power constant.
 MIN_DAYS, DRAWS, BLOCK_DAYS, DETECT_Z = 8, 2000, 20, 2.12
+# Draws of one series that a row computes at a time.
+LOT_DRAWS = 250
 
 
 @F.pandas_udf(T.DoubleType())
@@ -60,10 +63,6 @@ def pooled(readings: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("p_value", upper_tail("z")).drop("_weighted")
 
 
-def null_p_value(ratio: Column, years: Column) -> Column:
-    return upper_tail(ratio * F.sqrt(years))
-
-
 # -- moving-block bootstrap -------------------------------------------------------
 
 
@@ -79,14 +78,14 @@ def prefix_sums(series: DataFrame, group: Sequence[str]) -> DataFrame:
 def block_estimate(prefix: Column, days: Column, seed: Column, draw: Column, block: int = BLOCK_DAYS) -> Column:
     """Mean of one resample made of whole blocks, the last one cut to length.
 
-    Block starts are a hash of (seed, draw, block number): the same seed gives
-    the same days on any cluster and after any retry.
+    Block starts are a digest of (seed, draw, block number): the same seed gives
+    the same days in any engine and after any retry.
     """
     blocks = F.ceil(days / block).cast("int")
     places = F.sequence(F.lit(0), blocks - 1)
 
     def gain(total: Column, number: Column) -> Column:
-        start = F.pmod(F.xxhash64(seed, draw, number), days - block + 1).cast("int")
+        start = F.pmod(digest_number(seed, draw, number), days - block + 1).cast("int")
         length = F.least(F.lit(block), days.cast("int") - number * block)
         return total + F.element_at(prefix, start + length + 1) - F.element_at(prefix, start + 1)
 
@@ -94,11 +93,18 @@ def block_estimate(prefix: Column, days: Column, seed: Column, draw: Column, blo
 
 
 def bootstrap_draws(prefixes: DataFrame, seed: Column, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
-    """One row per (series, draw) with the resampled mean."""
+    """One row per (series, draw) with the resampled mean.
+
+    The estimates are made where the running sums are, and only they are
+    exploded; draws come in lots, so one series fills several tasks.
+    """
     short = F.raise_error(F.lit("series shorter than one bootstrap block")).cast("bigint")
-    ready = prefixes.withColumn("days", F.when(F.col("days") >= block, F.col("days")).otherwise(short)).withColumn("_seed", seed)
-    rows = ready.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    return rows.withColumn("estimate", block_estimate(F.col("prefix"), F.col("days"), F.col("_seed"), F.col("draw"), block)).drop("prefix", "_seed")
+    ready = prefixes.withColumn("days", F.when(F.col("days") >= block, F.col("days")).otherwise(short)).withColumn("_seed", seed.cast("string"))
+    lots = ready.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(LOT_DRAWS)))).repartition(F.col("_seed"), F.col("_lot"))
+    numbers = F.sequence(F.col("_lot"), F.least(F.col("_lot") + LOT_DRAWS, F.lit(draws)) - 1)
+    estimate = F.transform(numbers, lambda draw: F.struct(draw.alias("draw"), block_estimate(F.col("prefix"), F.col("days"), F.col("_seed"), draw, block).alias("estimate")))
+    names = [name for name in prefixes.columns if name != "prefix"]
+    return lots.select(*names, estimate.alias("_drawn")).select(*names, F.explode("_drawn").alias("_d")).select(*names, "_d.draw", "_d.estimate")
 
 
 def block_bootstrap(series: DataFrame, group: Sequence[str], seed: Column, confidence: float, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
@@ -214,7 +220,7 @@ def first_transition(
     prefixes = prefix_sums(paths.withColumn("value", F.col("active")), group).withColumnRenamed("days", "_total")
     marks = F.sequence(F.lit(checkpoint_days).cast("long"), F.col("_total"), F.lit(checkpoint_days).cast("long"))
     points = prefixes.where(F.col("_total") >= F.lit(max(checkpoint_days, block))).withColumn("days", F.explode(marks)).where(F.col("days") >= block)
-    drawn = bootstrap_draws(points.select(*group, "days", "prefix"), F.xxhash64(*group), draws, block)
+    drawn = bootstrap_draws(points.select(*group, "days", "prefix"), F.concat_ws("|", *group), draws, block)
     bounds = drawn.groupBy(*group, "days").agg(
         (F.percentile("estimate", F.lit(1.0 - confirm_confidence)) * TRADING_DAYS).alias("confirm_lower_bound"),
         (F.percentile("estimate", F.lit(kill_confidence)) * TRADING_DAYS).alias("kill_upper_bound"))

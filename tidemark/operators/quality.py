@@ -6,6 +6,7 @@ are aggregated first; only summary rows are ever compared or listed.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -282,8 +283,8 @@ def audit_commits(files: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def rotation_offset(seed: str, size: int) -> int:
-    """Start of a rotated sample: position-weighted character codes of the seed."""
-    return sum((place + 1) * ord(char) for place, char in enumerate(seed)) % size if size else 0
+    """Start of a rotated sample: the seed's digest within the list."""
+    return int(hashlib.md5(seed.encode(), usedforsecurity=False).hexdigest()[:7], 16) % max(size, 1)
 
 
 def rotate_sample(keys: DataFrame, column: str, n: int, seed: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import catalog
-from ..catalog import Contract, PublicationRule, RefreshNode
+from ..catalog import Clock, RefreshNode
 from ..functions.times import (
     at_clock, compact_date, date_text, day_end, market_time, source_time,
 )
@@ -22,23 +22,23 @@ def _stamped(df: DataFrame, stamp: Column, rule: Column) -> DataFrame:
     return df.withColumns({"available_at": stamp, "available_at_rule": rule})
 
 
-def stamp_contract(df: DataFrame, contract: Contract) -> DataFrame:
+def stamp_contract(df: DataFrame, contract: Clock) -> DataFrame:
     """Partition date plus lag at the contract clock; unreadable dates stay null."""
-    stamp = at_clock(compact_date(F.col(contract.key)), contract.clock, contract.lag_days)
-    return _stamped(df, stamp, F.lit(contract.rule))
+    stamp = at_clock(compact_date(F.col(contract.key)), contract.clock, contract.offset)
+    return _stamped(df, stamp, F.lit(contract.label))
 
 
-def _with_next_open(df: DataFrame, column: str, rule: PublicationRule | None, calendar: DataFrame | None, name: str) -> DataFrame:
-    if rule is None or not rule.trading_day_offset:
+def _with_next_open(df: DataFrame, column: str, rule: Clock | None, calendar: DataFrame | None, name: str) -> DataFrame:
+    if rule is None or rule.unit != "opens":
         return df.withColumn(name, F.lit(None).cast("date"))
     if calendar is None:
-        raise ValueError(f"{rule.rule} needs the trading calendar")
-    steps = nth_next_open(calendar, rule.trading_day_offset).select(F.col("cal_date").alias("_cal"), F.col("next_open").alias(name))
+        raise ValueError(f"{rule.label} needs the trading calendar")
+    steps = nth_next_open(calendar, rule.offset).select(F.col("cal_date").alias("_cal"), F.col("next_open").alias(name))
     return df.join(F.broadcast(steps), compact_date(F.col(column)) == F.col("_cal"), "left").drop("_cal")
 
 
 def stamp_official(
-    df: DataFrame, column: str, rule: PublicationRule | None, calendar: DataFrame | None = None, is_new: bool = False
+    df: DataFrame, column: str, rule: Clock | None, calendar: DataFrame | None = None, is_new: bool = False
 ) -> DataFrame:
     """Official clock on the source date, a later calendar day or the N-th next open day."""
     joined = _with_next_open(df, column, rule, calendar, "_open")
@@ -47,7 +47,7 @@ def stamp_official(
 
 
 def stamp_event(
-    df: DataFrame, column: str, fallback: str | None, rule: PublicationRule | None, calendar: DataFrame | None = None
+    df: DataFrame, column: str, fallback: str | None, rule: Clock | None, calendar: DataFrame | None = None
 ) -> DataFrame:
     """The primary date's stamp, else the fallback date's, marked as such."""
     trimmed = df.withColumn(column, F.trim(F.col(column)))
@@ -97,7 +97,7 @@ def stamp_macro(df: DataFrame, column: str, time_column: str | None = None) -> D
 
 
 def stamp_board(
-    df: DataFrame, time_column: str | None, column: str | None, rule: PublicationRule | None, *, is_new: bool = False, static: bool = False
+    df: DataFrame, time_column: str | None, column: str | None, rule: Clock | None, *, is_new: bool = False, static: bool = False
 ) -> DataFrame:
     """Source clock where present, else the official stamp of the date column."""
     stamp, label = F.lit(None).cast("timestamp_ntz"), F.lit("missing_source_time")
@@ -250,14 +250,14 @@ def normalise_columns(df: DataFrame, declared: Sequence[str], required: Sequence
     return df.select(*[F.col(f"`{served[name.lower()]}`").alias(name) for name in declared if name.lower() in served])
 
 
-def apply_close_contracts(union: DataFrame, spark, contracts: dict[str, Contract] | None = None) -> DataFrame:
+def apply_close_contracts(union: DataFrame, spark, contracts: dict[str, Clock] | None = None) -> DataFrame:
     """Re-stamp the union's same-day macro rows at their close contract.
 
     The contracts are a fixed list of about twenty rows, joined as a broadcast.
     """
     chosen = contracts or catalog.MACRO_CONTRACTS
     rules = spark.createDataFrame(
-        [(c.dataset, c.key, c.clock, c.lag_days, c.rule) for c in chosen.values()],
+        [(name, c.key, c.clock, c.offset, c.label) for name, c in chosen.items()],
         "dataset string, _key string, _clock string, _lag int, _rule string",
     )
     joined = union.join(F.broadcast(rules), "dataset", "left")
@@ -282,7 +282,3 @@ def restamp(df: DataFrame, stamp, partition: str) -> tuple[DataFrame, DataFrame]
     )
     changed = report.where("moved > 0").select(partition)
     return fresh.drop("_old_at", "_old_rule").join(changed, partition, "left_semi"), report
-
-
-def canonical_json(payload: dict) -> str:
-    return json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))

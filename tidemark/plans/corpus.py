@@ -10,13 +10,13 @@ from ..registry import query
 from ..sources.tables import table
 from .adapters import r, with_sql
 
-# Documents as texts with codes, titles and stamps; every 9th arrives twice, later and re-titled.
-TEXTS_SQL = """docs as (select doc_id as row_id, source as ts_code, lang as dataset, left(text, 40) as head, text, timestamp '2024-01-01 08:00:00' + to_days(cast(doc_id % 90 as integer)) as available_at from documents)"""
+# Documents as texts with codes, titles (their first line) and stamps; every 9th arrives twice, later and re-titled.
+TEXTS_SQL = """docs as (select doc_id as row_id, source as ts_code, lang as dataset, split_part(text, chr(10), 1) as head, text, timestamp '2024-01-01 08:00:00' + to_days(cast(doc_id % 90 as integer)) as available_at from documents)"""
 
 
 def docs(spark, sf):
     at = F.lit("2024-01-01 08:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("doc_id") % 90).cast("int"))
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("ts_code"), F.col("lang").alias("dataset"), F.substring("text", 1, 40).alias("head"), "text", at.alias("available_at"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), F.col("source").alias("ts_code"), F.col("lang").alias("dataset"), F.substring_index("text", "\n", 1).alias("head"), "text", at.alias("available_at"))
 
 
 @query("txt01_text_index", with_sql(TEXTS_SQL) + """

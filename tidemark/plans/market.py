@@ -191,7 +191,7 @@ def _(spark, sf):
     return listed(spark, sf).select("ts_code", "list_date")
 
 
-@query("uni02_screened_universe", with_sql(LISTING_SQL, DAILY_SQL, "b as (select * from daily where trade_date = date '2000-05-01')") + """
+@query("uni02_screened_universe", with_sql(LISTING_SQL, DAILY_SQL, "b as (select * from daily where trade_date = (select max(trade_date) from daily where trade_date + interval 18 hour <= timestamp '2000-06-15 09:25:00'))") + """
 select l.ts_code from listing l join b on b.ts_code = l.ts_code where list_date <= '20000615' and (delist_date in ('', 'None') or delist_date > '20000615')
  and l.name is not null and upper(name) not like '%ST%' and list_date <= strftime(date '2000-06-15' - interval 700 day, '%Y%m%d')
  and l.k % 6 in (0, 1, 2, 3) and circ_mv / 1e4 between 10 and 2000 and close <= 2000""")
@@ -202,7 +202,7 @@ def _(spark, sf):
         listing(spark, sf).where("name is not null").select("ts_code", F.regexp_replace("name", "Supplier", "Name").alias("name"), F.col("list_date").alias("start_date"), F.lit(None).cast("string").alias("ann_date")),
         F.lit("20000615")), "ts_code", "left")
     basics = day_text(daily(spark, sf)).select(*KEYS, "close", "circ_mv")
-    newest = universe.latest_basics(stamp_contract(basics, catalog.CONTRACTS["daily_basic"]).where("trade_date <= '20000501'"), asof.at("2000-06-15 09:25:00"))
+    newest = universe.latest_basics(stamp_contract(basics, catalog.CONTRACTS["daily_basic"]), asof.at("2000-06-15 09:25:00"))
     screen = universe.Screen(listed_days=700, boards=("main", "gem"), min_cap=10, max_cap=2000, max_price=2000)
     return universe.screen_universe(names, newest, screen, "2000-06-15")
 

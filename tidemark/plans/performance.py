@@ -222,10 +222,23 @@ def _(spark, sf):
     return out.select("measured", "unmeasured", *keep("years", "p_value", places=7), *keep("pooled_ratio", "z"))
 
 
-@query("tst03_block_bootstrap")
+# Resampled means: 2,000 draws of 20-day blocks whose starts are digests of (series, draw, block).
+DRAWN_SQL = ("bp as (select run_id, value - base as v, row_number() over (partition by run_id order by trade_date) as i from series)",
+             "cum as (select run_id, i, sum(v) over (partition by run_id order by i) as s from bp union all select distinct run_id, 0, 0.0 from bp)")
+
+
+def drawn_sql(points: str) -> str:
+    """Draws of every (run_id, days) of a table: the mean of blocks within the first ``days`` days."""
+    return f"""bs as (select run_id, days, draw, blk, cast('0x' || substr(md5(run_id || '|' || draw || '|' || blk), 1, 15) as bigint) % (days - 19) as st, least(20, days - blk * 20) as len
+       from {points}, (select unnest(range(2000)) as draw), (select unnest(range(1000)) as blk) where blk * 20 < days),
+     be as (select bs.run_id, days, draw, sum(b.s - a.s) / days as e from bs join cum a on a.run_id = bs.run_id and a.i = st join cum b on b.run_id = bs.run_id and b.i = st + len group by bs.run_id, days, draw)"""
+
+
+@query("tst03_block_bootstrap", with_sql(SERIES_SQL, *DRAWN_SQL, "pt as (select run_id, count(*) as days from bp group by run_id)", drawn_sql("pt")) + """
+select run_id, round(quantile_cont(e, 0.1) * 244, 7) as lower_bound, days from be group by run_id, days""")
 def _(spark, sf):
     s = series(spark, sf).withColumn("value", F.col("value") - F.col("base"))
-    return inference.block_bootstrap(s, [RUN], F.xxhash64(RUN), 0.9)
+    return inference.block_bootstrap(s, [RUN], F.col(RUN), 0.9).select(RUN, *keep("lower_bound", places=7), "days")
 
 
 @query("tst04_seed_mean", with_sql(SERIES_SQL, "g0 as (select run_id, year(trade_date) as yy, avg(value) as v0, avg(base) as b0 from series group by run_id, year(trade_date))",
@@ -291,10 +304,20 @@ def _(spark, sf):
     return inference.candidate_changes(entries(spark, sf).withColumn("fingerprint", F.col("days") % 3), [RUN])
 
 
-@query("tst11_first_transition")
+@query("tst11_first_transition", with_sql(SERIES_SQL, *DRAWN_SQL, "tot as (select run_id, count(*) as n from bp group by run_id)", "pt as (select run_id, unnest(range(120, n + 1, 120)) as days from tot)", drawn_sql("pt"),
+       "bnd as (select run_id, days, quantile_cont(e, 0.05) * 244 as lo, quantile_cont(e, 0.95) * 244 as hi from be group by run_id, days)",
+       "eq as (select run_id, trade_date, row_number() over w as days, exp(sum(ln(1 + value)) over w) as a, exp(sum(ln(1 + value - base)) over w) as b from series window w as (partition by run_id order by trade_date))",
+       "dd as (select *, 1 - a / greatest(1, max(a) over w) as ad, 1 - b / greatest(1, max(b) over w) as bd from eq window w as (partition by run_id order by trade_date))",
+       """ev as (select dd.*, lo, hi, case when ad > 0.7 then 'account_drawdown_exceeded' when bd > 0.7 then 'active_drawdown_exceeded' when hi < 0 then 'kill_upper_bound_below_zero' when lo > 0 then 'confirm_lower_bound_above_zero' end as reason
+         from dd left join bnd on bnd.run_id = dd.run_id and bnd.days = dd.days)""") + """
+select run_id, days, case when reason = 'confirm_lower_bound_above_zero' then 'confirmed' else 'killed' end as status, strftime(trade_date, '%Y%m%d') as trade_date, reason,
+  round(ad, 7) as account_drawdown, round(bd, 7) as active_drawdown, round(lo, 7) as confirm_lower_bound, round(hi, 7) as kill_upper_bound
+from ev where reason is not null qualify row_number() over (partition by run_id order by days) = 1""")
 def _(spark, sf):
     paths = series(spark, sf).select(RUN, "trade_date", F.col("value").alias("account"), (F.col("value") - F.col("base")).alias("active"))
-    return inference.first_transition(paths, [RUN], max_drawdown=0.7, active_max_drawdown=0.7, checkpoint_days=120, kill_confidence=0.95, confirm_confidence=0.95, draws=400)
+    out = inference.first_transition(paths, [RUN], max_drawdown=0.7, active_max_drawdown=0.7, checkpoint_days=120, kill_confidence=0.95, confirm_confidence=0.95)
+    bounds = keep("account_drawdown", "active_drawdown", "confirm_lower_bound", "kill_upper_bound", places=7)
+    return out.select(RUN, "days", "status", F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), "reason", *bounds)
 
 
 @query("tst12_forward_slice", with_sql(SERIES_SQL, "x as (select * from series where trade_date between date '2000-01-01' and date '2000-12-31')",

@@ -47,7 +47,7 @@ union all select id, 'latest_only', cast(d + interval '23 hours 59 minutes 59 se
   case when d is null then 'missing_source_date' else 'conservative_date_eod' end from t""")
 def _(spark, sf):
     df, cal = dated(spark, sf), calendar(spark, sf)
-    kinds = {"next_open": catalog.NEXT_TRADING_DAY_09, "next_day": catalog.NEXT_DAY_0830, "latest_only": catalog.LATEST_2230}
+    kinds = {"next_open": catalog.OFFICIAL["next_open_09"], "next_day": catalog.OFFICIAL["next_day_0830"], "latest_only": catalog.OFFICIAL["latest_2230"]}
     parts = [shown(stamps.stamp_official(df, "trade_date", rule, cal), "id", F.lit(kind).alias("kind")) for kind, rule in kinds.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -58,7 +58,7 @@ select id, cast(coalesce(try_strptime(ann_date, '%Y%m%d'), try_strptime(f_ann_da
        when try_strptime(f_ann_date, '%Y%m%d') is not null then 'fallback_conservative_from:f_ann_date'
        else 'missing_source_date' end as available_at_rule from filings""")
 def _(spark, sf):
-    return shown(stamps.stamp_event(filings(spark, sf), "ann_date", "f_ann_date", catalog.OFFICIAL_19), "id")
+    return shown(stamps.stamp_event(filings(spark, sf), "ann_date", "f_ann_date", catalog.OFFICIAL["day_19"]), "id")
 
 
 PERIODS = """select id, case id % 4 when 0 then event_date when 1 then left(event_date, 6)
@@ -90,7 +90,7 @@ def _(spark, sf):
     served = F.when(F.col("id") % 6 == 0, F.concat("event_date", F.lit(" 08:31:00"))).when(
         F.col("id") % 3 == 0, F.concat(F.col("event_day").cast("string"), F.lit(" 08:31:00"))).otherwise(F.lit(""))
     df = notices(spark, sf).select("id", served.alias("served_at"), F.col("event_date").alias("trade_date"))
-    return shown(stamps.stamp_board(df, "served_at", "trade_date", catalog.OFFICIAL_16), "id")
+    return shown(stamps.stamp_board(df, "served_at", "trade_date", catalog.OFFICIAL["day_16"]), "id")
 
 
 TEXT_ROWS_SQL = """t as (select id, event_day as d, cast(event_day as timestamp) as base,
@@ -220,7 +220,7 @@ def _(spark, sf):
         "id", F.col("event_date").alias("trade_date"), F.date_format("event_day", "yyyyMM").alias("month"),
         clock.alias("available_at"), F.lit("official_19_from:trade_date").alias("available_at_rule"),
     )
-    _, report = stamps.restamp(held, lambda df: stamps.stamp_official(df, "trade_date", catalog.OFFICIAL_19), "month")
+    _, report = stamps.restamp(held, lambda df: stamps.stamp_official(df, "trade_date", catalog.OFFICIAL["day_19"]), "month")
     return report
 
 

@@ -101,7 +101,7 @@ def _(spark, sf):
     return back.groupBy("trade_date").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("ts_code").alias("codes"), r(F.sum("vol"), 2).alias("vol"))
 
 
-@query("sink01_missing_build", with_sql(MINUTES_SQL) + "select trade_date, count(*) as rows from (select distinct trade_date, ts_code from minutes) group by all")
+@query("sink01_missing_build", with_sql(MINUTES_SQL) + "select trade_date, count(*) as rows from (select distinct trade_date, ts_code from minutes where trade_date >= '20240111') group by all")
 def _(spark, sf):
     folder = scratch_folder(spark, "derived")
     bars = minutes(spark, sf)

@@ -113,7 +113,17 @@ def picks(spark, sf):
     return ops.draw(ops.affordable(trips, pool, "decile"), pool, "decile", DRAWS, 7, TRIP_ID), ranked
 
 
-@query("ex05_seeded_draw")
+# Each trip's affordable names in order of cost, and the pick of every draw by digest.
+PICK_SQL = f"""tw as (select *, cast(qty as bigint) as quantity, row_number() over (partition by entry_day, ts_code, qty, o, l, p order by exit_day nulls last) as twin from tp),
+   cd as (select tw.*, c.ts_code as code, c.open as pool_open, c.open * case when c.ts_code like '688%' then 200 else 100 end as cost from tw join dec c on c.trade_date = tw.entry_day and c.decile = tw.decile and c.ts_code <> tw.ts_code
+     where right(c.ts_code, 3) <> '.BJ' and c.open > 0 and cost <= notional and (tw.exit_day is null or exists (select 1 from daily x where x.trade_date = tw.exit_day and x.ts_code = c.ts_code))),
+   po as (select o, l, p, ts_code, quantity, notional, entry_day, exit_day, twin, count(*) as pool_size, list(code order by cost, code) as codes, list(pool_open order by cost, code) as opens from cd group by all),
+   pk as (select po.*, draw, cast('0x' || substr(md5(concat_ws('|', '7', draw, entry_day, ts_code, quantity, o, l, p, twin)), 1, 15) as bigint) % pool_size + 1 as spot from po, (select unnest(range({DRAWS})) as draw))"""
+
+
+@query("ex05_seeded_draw", with_sql(*TRIP_SQL, PICK_SQL) + """
+select cast(draw as integer) as draw, o, l, p, ts_code, strftime(entry_day, '%Y%m%d') as entry_day, codes[spot] as drawn_code, pool_size,
+  cast(case when codes[spot] like '688%' then floor(notional / opens[spot]) else floor(notional / opens[spot] / 100) * 100 end as bigint) as drawn_quantity from pk""")
 def _(spark, sf):
     return picks(spark, sf)[0].select("draw", "o", "l", "p", "ts_code", day("entry_day"), "drawn_code", "drawn_quantity", "pool_size")
 

@@ -242,7 +242,7 @@ union all select 'margin', cast(max(c.cal_date) as varchar) from calendar c wher
   (select min(n.cal_date) from calendar n where n.is_open and n.cal_date > c.cal_date) + interval 9 hour <= timestamp '1998-06-15 09:25:00'""")
 def _(spark, sf):
     days, when = calendar(spark, sf), asof.at(WHEN)
-    rules = {"daily": catalog.OFFICIAL_19, "margin": catalog.NEXT_TRADING_DAY_09}
+    rules = {"daily": catalog.OFFICIAL["day_19"], "margin": catalog.OFFICIAL["next_open_09"]}
     parts = [cal_ops.latest_published(days, rule, when).select(F.lit(name).alias("rule"), F.col("trade_date").cast("string").alias("trade_date")) for name, rule in rules.items()]
     return parts[0].unionByName(parts[1])
 

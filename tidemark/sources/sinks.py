@@ -34,19 +34,21 @@ def held_partitions(spark: SparkSession, folder: str, key: str) -> DataFrame | N
 def build_missing(source: DataFrame, folder: str, build: Callable[[DataFrame], DataFrame], key: str = "trade_date") -> DataFrame:
     """Derive only partitions not yet in ``folder``; returns rows per built partition.
 
-    A non-empty source partition that derives nothing is an error: published,
-    it would read as "no data" ever after. Only the partitions being built are
+    A non-empty source partition that derives nothing is an error, found before
+    anything is written: published, it would read as "no data" ever after. Only the partitions being built are
     overwritten, so a repeated run after a failure is safe.
     """
     spark = source.sparkSession
     # Fixed before the write: a later read of the folder must not stand in for it.
     todo = materialise(missing_partitions(source, held_partitions(spark, folder, key), key))
-    derived = build(source.join(todo, key, "left_semi"))
+    derived = materialise(build(source.join(todo, key, "left_semi")))
+    built = derived.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
+    lacking = todo.select(F.col(key).cast("string").alias(key)).join(built, key, "left_anti")
+    missing = lacking.count()
+    if missing:
+        named = [row[0] for row in lacking.orderBy(key).limit(20).collect()]
+        raise ValueError(f"{missing} source partitions produced no rows, among them {named}")
     derived.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
-    built = spark.read.parquet(folder).withColumn(key, F.col(key).cast("string")).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    empty = todo.join(built, key, "left_anti").limit(20).collect()
-    if empty:
-        raise ValueError(f"source partitions produced no rows: {[row[0] for row in empty]}")
     return built
 
 
