@@ -10,7 +10,8 @@ from ..session import materialise
 from .adapters import DAILY_SQL, POSITIONS_SQL, SERIES_SQL, daily, market_legs, positions, r, series, with_sql
 
 KEYS = ["trade_date", "ts_code"]
-HORIZONS = (1, 3)
+HORIZONS = (1, 5, 10, 20)
+STEPS = tuple(zip(HORIZONS, (0, *HORIZONS)))
 MIN = 8
 
 
@@ -24,14 +25,16 @@ def reversal(panel):
 
 
 # The grid: every (date, name) bar with next-day gates, forward returns and score.
-GRID_SQL = """d as (select *, dense_rank() over (order by trade_date) as di from daily),
+_AHEAD = sorted({1, *(h + 1 for h in HORIZONS)})
+_RETURNS = ", ".join(f"n{h + 1}.adj_open / n1.adj_open - 1 as ret_{h}, n{h + 1}.adj_open / n{before + 1}.adj_open - 1 as step_{h}" for h, before in STEPS)
+_JOINS = " ".join(f"left join base n{i} on n{i}.ts_code = b.ts_code and n{i}.di = b.di + {i}" for i in _AHEAD)
+GRID_SQL = f"""d as (select *, dense_rank() over (order by trade_date) as di from daily),
   sig as (select ts_code, di, -ROUND(vol, 0) as score from d where (k * 7 + mi) % 10 <> 0),
   base as (select d.trade_date, d.di, d.ts_code, d.k, case when open > 0 then open * adj_factor end as adj_open, coalesce(open >= up_limit, false) as at_limit, is_suspended, ln(circ_mv) as log_mv, score from d left join sig using (ts_code, di)),
   grid as (select b.*, n1.adj_open as entry_open, coalesce(n1.at_limit, false) as limit_next, coalesce(n1.is_suspended, false) as suspended_next,
      n1.adj_open is not null and not coalesce(n1.is_suspended, false) and not coalesce(n1.at_limit, false) as tradable_next,
-     n2.adj_open / n1.adj_open - 1 as ret_1, n4.adj_open / n1.adj_open - 1 as ret_3, n4.adj_open / n2.adj_open - 1 as step_3, p.score as score_before
-   from base b left join base n1 on n1.ts_code = b.ts_code and n1.di = b.di + 1 left join base n2 on n2.ts_code = b.ts_code and n2.di = b.di + 2
-     left join base n4 on n4.ts_code = b.ts_code and n4.di = b.di + 4 left join base p on p.ts_code = b.ts_code and p.di = b.di - 1)"""
+     {_RETURNS}, p.score as score_before
+   from base b {_JOINS} left join base p on p.ts_code = b.ts_code and p.di = b.di - 1)"""
 NEUTRAL_SQL = """nr as (select *, case when score is not null and log_mv is not null then rank() over (partition by di, score is null or log_mv is null order by score) + (count(*) over (partition by di, score is null or log_mv is null, score) - 1) / 2.0 end as rk from grid),
   nf as (select di, avg(rk) as ms, avg(log_mv) as mx, covar_pop(rk, log_mv) / nullif(var_pop(log_mv), 0) as beta from nr where rk is not null group by di),
   neut as (select nr.*, case when rk is not null then (rk - ms) - (log_mv - mx) * coalesce(beta, 0) end as neutral from nr left join nf using (di))"""
@@ -39,9 +42,10 @@ TOP_SQL = """cnt as (select di, count(*) as n from neut where tradable_next and
   pos as (select trade_date, di, ts_code, row_number() over (partition by di order by score desc, ts_code) as p from neut where tradable_next and score is not null),
   tops as (select pos.*, p <= ceil(n * 0.1) as is_top from pos join cnt using (di)),
   full_grid as (select neut.*, coalesce(is_top, false) as is_top from neut left join (select di, ts_code, is_top from tops) t using (di, ts_code))"""
-PAIRS_SQL = """pairs as (select trade_date, di, 'autocorr' as metric, 0 as horizon, score as a, score_before as b from full_grid union all select trade_date, di, 'ic', 1, score, ret_1 from full_grid
-   union all select trade_date, di, 'ic', 3, score, ret_3 from full_grid union all select trade_date, di, 'ic_marginal', 1, score, ret_1 from full_grid union all select trade_date, di, 'ic_marginal', 3, score, step_3 from full_grid
-   union all select trade_date, di, 'ic_size_neutral', 1, neutral, ret_1 from full_grid union all select trade_date, di, 'ic_size_neutral', 3, neutral, ret_3 from full_grid),
+_PAIRS = " union all ".join(
+    f"select trade_date, di, '{metric}' as metric, {h} as horizon, {score} as a, {value}_{h} as b from full_grid"
+    for h in HORIZONS for metric, score, value in (("ic", "score", "ret"), ("ic_marginal", "score", "step"), ("ic_size_neutral", "neutral", "ret")))
+PAIRS_SQL = f"""pairs as (select trade_date, di, 'autocorr' as metric, 0 as horizon, score as a, score_before as b from full_grid union all {_PAIRS}),
   ranked as (select *, rank() over (partition by metric, horizon, di order by a) + (count(*) over (partition by metric, horizon, di, a) - 1) / 2.0 as ra,
      rank() over (partition by metric, horizon, di order by b) + (count(*) over (partition by metric, horizon, di, b) - 1) / 2.0 as rb from pairs where a is not null and b is not null),
   ics as (select metric, horizon, trade_date, di, count(*) as pairs, case when count(*) >= 8 then (count(*) * sum(ra * rb) - sum(ra) * sum(rb)) / nullif(sqrt((count(*) * sum(ra * ra) - sum(ra) * sum(ra)) * (count(*) * sum(rb * rb) - sum(rb) * sum(rb))), 0) end as ic from ranked group by all)"""
@@ -89,11 +93,14 @@ def _(spark, sf):
     return day_text(ops.build_panel(daily(spark, sf))).select(*KEYS, r(F.col("adj_open")).alias("adj_open"), "at_limit", "suspended", r(F.col("log_mv")).alias("log_mv"), "tradable_next")
 
 
-@query("scr05_forward_returns", with_sql(DAILY_SQL, GRID_SQL) + """
-select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, round(ret_1, 7) as ret_1, round(ret_1, 7) as step_1, round(ret_3, 7) as ret_3, round(step_3, 7) as step_3 from grid""")
+FORWARD = [f"{kind}_{h}" for h in HORIZONS for kind in ("ret", "step")]
+
+
+@query("scr05_forward_returns", with_sql(DAILY_SQL, GRID_SQL) + f"""
+select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, {", ".join(f"round({c}, 7) as {c}" for c in FORWARD)} from grid""")
 def _(spark, sf):
     out = ops.forward_returns(panel_once(spark, sf), HORIZONS)
-    return day_text(out).select(*KEYS, *[r(F.col(c), 7).alias(c) for c in ("ret_1", "step_1", "ret_3", "step_3")])
+    return day_text(out).select(*KEYS, *[r(F.col(c), 7).alias(c) for c in FORWARD])
 
 
 @query("scr06_average_rank", with_sql(DAILY_SQL, "v as (select trade_date, ts_code, case when pb > 0 then vol - vol % 20 end as v from daily)") + """
@@ -146,13 +153,13 @@ def _(spark, sf):
     return ic.groupBy(F.col("horizon").cast("long").alias("horizon")).agg(pick("ic"), pick("ic_marginal"))
 
 
-EXCESS_SQL = """ex as (select trade_date, di, count(*) filter (where score is not null and tradable_next) as usable, count(*) filter (where is_top) as top_count,
-   avg(ret_1) filter (where is_top) - avg(ret_1) filter (where score is not null) as x1, avg(ret_3) filter (where is_top) - avg(ret_3) filter (where score is not null) as x3 from full_grid group by all)"""
+_EXCESS = ", ".join(f"avg(ret_{h}) filter (where is_top) - avg(ret_{h}) filter (where score is not null) as x{h}" for h in HORIZONS)
+EXCESS_SQL = f"""ex as (select trade_date, di, count(*) filter (where score is not null and tradable_next) as usable, count(*) filter (where is_top) as top_count, {_EXCESS} from full_grid group by all)"""
+EXCESS_ROWS_SQL = "xs as (" + " union all ".join(f"select trade_date, top_count, {h} as horizon, {h} as h, case when usable >= 8 and top_count > 0 then x{h} end as v from ex" for h in HORIZONS) + ")"
 
 
-@query("scr12_top_excess", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL, EXCESS_SQL) + """
-select strftime(trade_date, '%Y%m%d') as trade_date, top_count, cast(1 as bigint) as horizon, round(case when usable >= 8 and top_count > 0 then x1 end, 7) as excess from ex
-union all select strftime(trade_date, '%Y%m%d'), top_count, cast(3 as bigint), round(case when usable >= 8 and top_count > 0 then x3 end, 7) from ex""")
+@query("scr12_top_excess", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL, EXCESS_SQL, EXCESS_ROWS_SQL) + """
+select strftime(trade_date, '%Y%m%d') as trade_date, top_count, cast(horizon as bigint) as horizon, round(v, 7) as excess from xs""")
 def _(spark, sf):
     out = ops.top_excess(grid(spark, sf)[0], HORIZONS, MIN)
     return day_text(out).select("trade_date", "top_count", F.col("horizon").cast("long").alias("horizon"), r(F.col("excess"), 7).alias("excess"))
@@ -175,7 +182,7 @@ def _(spark, sf):
 
 
 @query("scr15_screen_report", with_sql(*SCREEN_SQL, EXCESS_SQL, "s as (select horizon, metric, ic as v, horizon as h, date_trunc('month', trade_date) as m from ics where ic is not null and metric <> 'autocorr')",
-       f"a as (select horizon, metric, {SUMMARY} from s group by all)", "xs as (select 1 as horizon, 1 as h, case when usable >= 8 and top_count > 0 then x1 end as v from ex union all select 3, 3, case when usable >= 8 and top_count > 0 then x3 end from ex)",
+       f"a as (select horizon, metric, {SUMMARY} from s group by all)", EXCESS_ROWS_SQL,
        f"x as (select horizon, {SUMMARY} from xs where v is not null group by all)", "t as (select avg(top_count) as tn from ex where usable >= 8)") + """
 select cast(a.horizon as bigint) as horizon, a.n_days, round(a.mean, 8) as ic_mean, round(a.ratio, 7) as icir, round(a.t_stat, 6) as t_stat, round(m.mean, 8) as ic_marginal, round(n.mean, 8) as ic_size_neutral, round(n.ratio, 7) as icir_size_neutral,
   round(x.mean, 8) as top_excess_mean, round(x.positive_share, 8) as top_excess_hit, round(x.t_stat, 6) as top_excess_t_stat, round(t.tn, 6) as top_names_mean
