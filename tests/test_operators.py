@@ -262,3 +262,43 @@ def test_file_named_partitions(spark, tmp_path):
     assert sorted(row[1] for row in got.collect()) == ["20240102", "20240103"]
     assert lake.read_range(spark, str(tmp_path), "20240110", "20240101").count() == 0
     assert lake.read_window(spark, str(tmp_path), "20240103", "20240131").count() == 2
+
+
+def test_canonical_keeps_every_digit(spark):
+    from decimal import Decimal, localcontext
+
+    from tidemark.functions.values import canonical
+
+    texts = ["1.0", "1", "1e0", "-0", "1e-20", "3e-19", "1.5E-19", "1.0E21", "000123.4500", "+7", ".5", "5.", "1234567890123456789012345678901234567890.10", "-12.340", "1e-3"]
+    got = [row[0] for row in spark.createDataFrame([(t,) for t in texts], "v string").select(canonical(F.col("v"))).collect()]
+    with localcontext() as context:
+        context.prec = 100
+        assert [Decimal(t) for t in texts] == [Decimal(g) for g in got]
+    assert len(set(got[:3])) == 1 and got[3] == "0" and len(set(got[4:8])) == 4
+    assert not any("e" in g.lower() for g in got)
+    odd = spark.createDataFrame([("NaN",), ("",), (None,), (" x ",), ("1e9999",), ("10e9998",)], "v string").select(canonical(F.col("v"))).collect()
+    assert [row[0] for row in odd][:4] == ["", "", "", "x"] and odd[4] == odd[5]
+
+
+def test_builds_refuse_before_writing(spark, tmp_path):
+    from tidemark.sources import sinks
+
+    bars = spark.createDataFrame([("20240101", 1.0), ("20240102", -1.0)], "trade_date string, vol double")
+    folder = str(tmp_path / "derived")
+    with pytest.raises(ValueError, match="1 source partitions"):
+        sinks.build_missing(bars, folder, lambda df: df.where("vol > 0"))
+    assert sinks.held_partitions(spark, folder, "trade_date") is None
+    built = sinks.build_missing(bars.where("vol > 0"), folder, lambda df: df)
+    assert [tuple(r) for r in built.collect()] == [("20240101", 1)]
+    later = sinks.build_missing(bars, folder, lambda df: df)
+    assert [tuple(r) for r in later.collect()] == [("20240102", 1)]
+
+
+def test_twins_draw_names_of_their_own(spark):
+    from tidemark.operators import executions
+
+    trips = spark.createDataFrame([("2024-01-02", "A", 100, None, 1.0e9, 3, None)] * 4, "entry_day string, ts_code string, quantity long, exit_day string, notional double, pool_size long, own_place long")
+    trips = trips.withColumns({"entry_day": F.col("entry_day").cast("date"), "exit_day": F.col("exit_day").cast("date"), "_exit": F.lit("9999-12-31").cast("date"), "decile": F.lit(0).cast("long")})
+    pool = spark.createDataFrame([(i + 1, f"60000{i}.SH", 10.0) for i in range(3)], "place long, ts_code string, pool_open double").withColumns({"entry_day": F.lit("2024-01-02").cast("date"), "_exit": F.lit("9999-12-31").cast("date"), "decile": F.lit(0).cast("long")})
+    drawn = executions.draw(trips, pool, "decile", 30, 7, ["entry_day", "ts_code", "quantity"]).groupBy("draw").agg(F.count_distinct("drawn_code").alias("n")).collect()
+    assert len(drawn) == 30 and max(r["n"] for r in drawn) > 1
