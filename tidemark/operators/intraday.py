@@ -138,6 +138,18 @@ def auction_alignment(minutes: DataFrame, auctions: DataFrame, daily: DataFrame,
     return cuts.join(counts, groups)
 
 
+def minute_sums(bars: DataFrame, daily: DataFrame) -> DataFrame:
+    """Mean ratio of summed minute volume and amount to the daily table, by market bucket.
+
+    ``daily`` has the totals ``vol`` and ``amount`` of each stock-day; days that
+    either side lacks are left out.
+    """
+    sums = bars.groupBy("ts_code", "trade_date").agg(F.sum("vol").alias("_v"), F.sum("amount").alias("_a"))
+    both = sums.join(daily.select("ts_code", "trade_date", "vol", "amount"), ["ts_code", "trade_date"])
+    return both.groupBy(market_bucket(F.col("ts_code")).alias("bucket")).agg(
+        F.count(F.lit(1)).alias("stock_days"), F.avg(F.try_divide("_v", "vol")).alias("vol_ratio"), F.avg(F.try_divide("_a", "amount")).alias("amount_ratio"))
+
+
 def normalise_minutes(df: DataFrame, trade_date: str | None = None, order: str = "row_no") -> DataFrame:
     """Trim, date and stamp minute bars, keep the last of each (code, time)."""
     code, time = F.trim("ts_code"), F.trim(F.col("trade_time").cast("string"))

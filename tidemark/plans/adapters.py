@@ -166,10 +166,10 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-# Event clocks scaled onto the 241 minute labels 09:30, 09:31-11:30, 13:01-15:00.
+# Event clocks scaled onto the 241 minute labels 09:30, 09:31-11:30, 13:01-15:00; a bar sums all events of its slot.
 MINUTES_SQL = """grid as (select event_id, user_id % 10 as c, cast(ts as date) as d, ts,
     cast((hour(ts) * 60 + minute(ts)) * 241 // 1440 as bigint) as slot, greatest(value, 0.01) as close, cast(regexp_extract(props, '"k": *([0-9]+)', 1) as double) as vol from events),
-  lowest as (select c, d, slot, arg_min(close, event_id) as close, arg_min(vol, event_id) as vol, min(event_id) as event_id from grid group by all),
+  lowest as (select c, d, slot, arg_max(close, event_id) as close, sum(vol) as vol, min(event_id) as event_id from grid group by all),
   minutes as (select case when c = 9 then '83000' || c || '.BJ' when c % 3 = 0 then '00000' || c || '.SZ' when c % 3 = 1 then '30000' || c || '.SZ' else '60000' || c || '.SH' end as ts_code,
     strftime(d, '%Y%m%d') as trade_date,
     strftime(d + to_minutes(cast(case when slot <= 120 then 570 + slot else 660 + slot end as integer)), '%Y-%m-%d %H:%M:%S') as trade_time,
@@ -186,7 +186,7 @@ def minutes(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("double").alias("vol"),
     )
     low = grid.groupBy("c", "d", "slot").agg(
-        F.min_by("close", "event_id").alias("close"), F.min_by("vol", "event_id").alias("vol"), F.min("event_id").alias("event_id")
+        F.max_by("close", "event_id").alias("close"), F.sum("vol").alias("vol"), F.min("event_id").alias("event_id")
     )
     before = F.lag("close").over(Window.partitionBy("c", "d").orderBy("slot"))
     text = c.cast("string")

@@ -71,14 +71,28 @@ def _(spark, sf):
     return out.select("trade_date", "bucket", "metric", *[r(F.col(c)).alias(c) for c in ("p10", "median", "p90")], "names")
 
 
-@query("ag06_minute_sum_vs_daily", with_sql(MINUTES_SQL, AUCT_SQL) + """
+# Daily totals from the events themselves, a stock-day in seven without, some off by a tenth.
+TOTALS_SQL = """dt as (select cast(ts as date) as d, user_id % 10 as c, sum(cast(regexp_extract(props, '"k": *([0-9]+)', 1) as double)) as v, sum(greatest(value, 0.01)) as a, count(*) as n from events group by all),
+  totals as (select case when c = 9 then '83000' || c || '.BJ' when c % 3 = 0 then '00000' || c || '.SZ' when c % 3 = 1 then '30000' || c || '.SZ' else '60000' || c || '.SH' end as ts_code,
+    strftime(d, '%Y%m%d') as trade_date, v * case when n % 5 = 0 then 1.1 else 1.0 end as vol, a as amount from dt where n % 7 <> 0)"""
+
+
+def daily_totals(spark, sf):
+    c = F.col("c")
+    parts = table(spark, sf, "events").groupBy(F.date_format("ts", "yyyyMMdd").alias("trade_date"), (F.col("user_id") % 10).alias("c")).agg(
+        F.sum(F.get_json_object("props", "$.k").cast("double")).alias("v"), F.sum(F.greatest("value", F.lit(0.01))).alias("amount"), F.count(F.lit(1)).alias("n"))
+    text = c.cast("string")
+    code = (F.when(c == 9, F.concat(F.lit("83000"), text, F.lit(".BJ"))).when(c % 3 == 0, F.concat(F.lit("00000"), text, F.lit(".SZ")))
+            .when(c % 3 == 1, F.concat(F.lit("30000"), text, F.lit(".SZ"))).otherwise(F.concat(F.lit("60000"), text, F.lit(".SH"))))
+    return parts.where("n % 7 <> 0").select(code.alias("ts_code"), "trade_date", (F.col("v") * F.when(F.col("n") % 5 == 0, 1.1).otherwise(1.0)).alias("vol"), "amount")
+
+
+@query("ag06_minute_sum_vs_daily", with_sql(MINUTES_SQL, TOTALS_SQL) + """
 select case when ts_code like '00%' then 'sz_main_00' when ts_code like '30%' then 'sz_gem_30' when ts_code like '60%' then 'sh_main_60' else 'bj' end as bucket, count(*) as stock_days,
- round(avg(sv / dv), 6) as vol_ratio, round(avg(sa / da), 6) as amount_ratio from (select ts_code, trade_date, sum(m.vol) as sv, sum(m.amount) as sa, any_value(a.dv) as dv, any_value(a.da) as da from minutes m join auct a using (ts_code, trade_date) group by all) group by all""")
+ round(avg(sv / nullif(dv, 0)), 6) as vol_ratio, round(avg(sa / nullif(da, 0)), 6) as amount_ratio from (select ts_code, trade_date, sum(m.vol) as sv, sum(m.amount) as sa, any_value(t.vol) as dv, any_value(t.amount) as da from minutes m join totals t using (ts_code, trade_date) group by all) group by all""")
 def _(spark, sf):
-    from ..functions.codes import market_bucket
-    sums = minutes(spark, sf).groupBy("ts_code", "trade_date").agg(F.sum("vol").alias("v"), F.sum("amount").alias("a"))
-    ratio = sums.select(market_bucket(F.col("ts_code")).alias("bucket"), (F.col("v") / (F.col("v") / 100.0 + 1)).alias("rv"), (F.col("a") / (F.col("a") / 1000.0 + 1)).alias("ra"))
-    return ratio.groupBy("bucket").agg(F.count(F.lit(1)).alias("stock_days"), r(F.avg("rv")).alias("vol_ratio"), r(F.avg("ra")).alias("amount_ratio"))
+    out = ops.minute_sums(minutes(spark, sf), daily_totals(spark, sf))
+    return out.select("bucket", "stock_days", r(F.col("vol_ratio")).alias("vol_ratio"), r(F.col("amount_ratio")).alias("amount_ratio"))
 
 
 @query("ag07_minute_normalise", """

@@ -68,14 +68,14 @@ def _(spark, sf):
 
 
 @query("j04_classification_switch", with_sql(MEMBER_SQL) + """
-select ts_code, l1_code, 'name of ' || l1_code as l1_name, day from (
+select ts_code, case when day = '20220105' then 'N' || l1_code else l1_code end as l1_code, case when day = '20220105' then 'new ' else 'old ' end || l1_code as l1_name, day from (
  select *, row_number() over (partition by day, ts_code order by in_date desc, out_date desc, l1_code desc) as rn from spans, (values ('20011201'), ('20220105')) v(day)
  where in_date <= day and (out_date in ('', 'None') or out_date > day)) where rn = 1""")
 def _(spark, sf):
     df = spans(spark, sf).select("ts_code", "in_date", "out_date", "l1_code")
-    names = df.select("l1_code").distinct().withColumn("l1_name", F.concat(F.lit("name of "), "l1_code"))
-    named = df.withColumn("l1_name", F.concat(F.lit("name of "), "l1_code"))
-    parts = [membership.industry_asof(df, named, names, day).withColumn("day", F.lit(day.replace("-", ""))) for day in ("2001-12-01", "2022-01-05")]
+    names = df.select("l1_code").distinct().withColumn("l1_name", F.concat(F.lit("old "), "l1_code"))
+    newer = df.withColumns({"l1_name": F.concat(F.lit("new "), "l1_code"), "l1_code": F.concat(F.lit("N"), "l1_code")})
+    parts = [membership.industry_asof(df, newer, names, day).withColumn("day", F.lit(day.replace("-", ""))) for day in ("2001-12-01", "2022-01-05")]
     return parts[0].unionByName(parts[1])
 
 
