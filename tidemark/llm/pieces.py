@@ -86,15 +86,16 @@ class Normaliser:
         return self._spelled(data)[0] if data else b""
 
     def _spelled(self, data: bytes) -> tuple[bytes, np.ndarray]:
-        chars: list[tuple[bytes, int]] = []
+        chars: list[tuple[bytes, int, int]] = []  # text, source, and 1 where its bytes are the source's own
         at = 0
         while at < len(data):
             used, to = self.map.longest(data, at)
+            own = 0 if used else 1
             if not used:
                 first = data[at]
                 used = 1 if first < 0xC0 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
                 to = data[at:at + used]
-            chars.append((to, at))
+            chars.append((to, at, own))
             at += used
         out, source, end = bytearray(), [], len(data)
         space = SPACE if self.escape else b" "
@@ -109,12 +110,12 @@ class Normaliser:
             out += space
             source += [chars[0][1]] * len(space)
         was_space = self.squeeze
-        for to, begin in chars:
+        for to, begin, own in chars:
             text = to.lstrip(b" ") if was_space else to
-            for byte in text:
+            for k, byte in enumerate(text):
                 piece = space if byte == 0x20 else bytes([byte])
                 out += piece
-                source += [begin] * len(piece)
+                source += [begin + k * own] * len(piece)
             if text:
                 was_space = self.squeeze and text.endswith(b" ")
         if self.squeeze:
