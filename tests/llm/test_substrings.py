@@ -88,6 +88,28 @@ def test_bands_catch_the_threshold():
     assert missed <= 6
 
 
+def test_bucket_links_join_what_all_pairs_join(monkeypatch):
+    rng = np.random.default_rng(4)
+    for cells in (1 << 22, 200):
+        monkeypatch.setattr(substrings, "CELLS_AT_A_TIME", cells)
+        base = rng.integers(0, 1 << 62, 40).astype(np.uint64)
+        sets = [np.sort(np.concatenate([base[rng.random(40) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 6)).astype(np.uint64)])) for _ in range(60)]
+        for i, both in substrings.common_counts(sets):
+            assert all(k == i or both[k] == len(np.intersect1d(sets[i], s)) for k, s in enumerate(sets))
+        links = substrings.bucket_links(np.arange(60), np.arange(60), sets)
+        assert all(substrings.similar(sets[a].tobytes(), sets[b].tobytes()) for a, b in links)
+
+        def joined(pairs):
+            label = list(range(60))
+            for a, b in pairs:
+                old, new = label[b], label[a]
+                label = [new if x == old else x for x in label]
+            return [label.index(x) for x in label]
+
+        every = [(a, b) for a in range(60) for b in range(a) if substrings.similar(sets[a].tobytes(), sets[b].tobytes())]
+        assert joined(links) == joined(every) and len(links) < 60
+
+
 def test_pieces_depend_on_near_words_only():
     rng = random.Random(5)
     passage = prose(rng, 80)

@@ -41,7 +41,7 @@ def pack_entries(buckets: np.ndarray, nodes: np.ndarray, sketches: np.ndarray, p
     return part[np.array(bounds[:-1], np.int64)], [packed[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def meetings(packed: np.ndarray, near: Near) -> tuple[np.ndarray, list[np.ndarray]]:
+def meetings(packed: np.ndarray, near: Near, small: int = SMALL) -> tuple[np.ndarray, list[np.ndarray]]:
     """Pairs (n, 2) of nodes that share a bucket and are near by sketch, and the large buckets (n, 2) of node and sketch."""
     wide = np.zeros((len(packed), 8), np.uint8)
     wide[:, :6] = packed["low"]
@@ -56,27 +56,27 @@ def meetings(packed: np.ndarray, near: Near) -> tuple[np.ndarray, list[np.ndarra
     of = np.repeat(np.arange(len(begin)), size)
     place = np.arange(len(bucket)) - begin[of] if len(bucket) else np.zeros(0, np.int64)
     found = []
-    for step in range(1, SMALL):
-        left = np.flatnonzero((place + step < size[of]) & (size[of] <= SMALL))
+    for step in range(1, small):
+        left = np.flatnonzero((place + step < size[of]) & (size[of] <= small))
         if not len(left):
             break
         ok = near(sketch[left], sketch[left + step])
         found.append(np.stack([node[left[ok]], node[left[ok] + step]], axis=1))
-    spokes = np.flatnonzero((size[of] > SMALL) & (place > 0))
+    spokes = np.flatnonzero((size[of] > small) & (place > 0))
     if len(spokes):
         hub = begin[of[spokes]]
         ok = near(sketch[hub], sketch[spokes])
         found.append(np.stack([node[hub[ok]], node[spokes[ok]]], axis=1))
     pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-    large = {np.stack([node[a:a + n], sketch[a:a + n].view(np.int64)], axis=1).tobytes() for a, n in zip(begin[size > SMALL], size[size > SMALL], strict=True)}
+    large = {np.stack([node[a:a + n], sketch[a:a + n].view(np.int64)], axis=1).tobytes() for a, n in zip(begin[size > small], size[size > small], strict=True)}
     return pairs, [np.frombuffer(x, np.int64).reshape(-1, 2) for x in sorted(large)]
 
 
-def meet(packed: DataFrame, near: Near) -> DataFrame:
+def meet(packed: DataFrame, near: Near, small: int = SMALL) -> DataFrame:
     """Of rows (part, payload): rows of pairs (a, b) and of large buckets (nodes, sketches)."""
 
     def gather(table: pa.Table) -> pa.Table:
-        pairs, large = meetings(np.frombuffer(b"".join(table.column("payload").to_pylist()), ENTRY), near)
+        pairs, large = meetings(np.frombuffer(b"".join(table.column("payload").to_pylist()), ENTRY), near, small)
         n, k, longs = len(pairs), len(large), pa.list_(pa.int64())
         return pa.table({
             "a": pa.concat_arrays([pa.array(pairs[:, 0]), pa.nulls(k, pa.int64())]), "b": pa.concat_arrays([pa.array(pairs[:, 1]), pa.nulls(k, pa.int64())]),
@@ -87,12 +87,17 @@ def meet(packed: DataFrame, near: Near) -> DataFrame:
     return packed.groupBy("part").applyInArrow(gather, "a long, b long, nodes array<long>, sketches array<long>")
 
 
-def across(found: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
-    """Pairs (a, b), near by sketch, of large buckets' nodes that lie in different components of ``labels(node, component)``."""
+def open_buckets(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (bucket, node, sketch, component) of large buckets whose nodes lie in several components of ``labels(node, component)``."""
     large = found.where("nodes is not null").select(F.xxhash64("nodes").alias("bucket"), F.explode(F.arrays_zip("nodes", "sketches")).alias("x")).select("bucket", "x.*").distinct()
     tagged = large.toDF("bucket", "node", "sketch").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = tagged.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    rows = tagged.join(open_, "bucket", "left_semi").groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch", "component")).alias("rows")).select("rows")
+    return tagged.join(open_, "bucket", "left_semi")
+
+
+def across(found: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
+    """Pairs (a, b), near by sketch, of large buckets' nodes that lie in different components."""
+    rows = open_buckets(found, labels).groupBy("bucket").agg(F.collect_list(F.struct("node", "sketch", "component")).alias("rows")).select("rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
@@ -110,13 +115,19 @@ def across(found: DataFrame, labels: DataFrame, near: Near) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def link(found: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """``node, component`` of all nodes with a verified link; ``verify`` keeps the true pairs of (a, b)."""
+def link(found: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], inside: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``node, component`` of all nodes with a verified link; ``verify`` keeps the true pairs of (a, b).
+
+    ``inside``, if given, makes links from the rows of :func:`open_buckets`
+    itself, where that is cheaper than listing and verifying the pairs.
+    """
     tried = found.where("nodes is null").select("a", "b").distinct()
     links = materialise(verify(tried))
     if found.where("nodes is not null").isEmpty():
         return components(links)
     labels = materialise(components(links))
+    if inside:
+        return components(links.union(inside(open_buckets(found, labels))))
     rest = across(found, labels, near).join(tried, ["a", "b"], "left_anti")
     return components(links.union(verify(rest)))
 

@@ -40,6 +40,10 @@ ROWS, BANDS = 3, 12
 MIN_WORDS = 20
 #: A cut is the least word-pair hash among this many neighbours on either side.
 NEIGHBOURS = 4
+#: Lines of a bucket that is listed pair by pair; larger ones are compared in their task.
+LISTED = 4
+#: Cells of a matrix that counts common shingles (4 bytes each).
+CELLS_AT_A_TIME = 1 << 22
 LAST = (1 << 63) - 1
 PIECE = np.dtype([("piece", "<u8"), ("doc", "<i8"), ("unit", "<u4"), ("many", "u1")])
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 62, (ROWS * BANDS, 2)).astype(np.uint64)
@@ -129,6 +133,44 @@ def similar(x: bytes, y: bytes) -> bool:
     return OF * common >= AT_LEAST * (len(both) - common)
 
 
+def common_counts(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each set in turn how many members it shares with every set.
+
+    Members that only one set has are left out of the counting, which is a
+    product of 0/1 matrices in blocks of bounded size.
+    """
+    n = len(sets)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    _, token, counts = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = counts[token] > 1
+    order = np.argsort(token[shared], kind="stable")
+    owner, token = owner[shared][order], token[shared][order]
+    token = np.cumsum(np.append(0, np.diff(token) > 0)) if len(token) else token
+    width = max(1, CELLS_AT_A_TIME // n)
+    rows = max(1, CELLS_AT_A_TIME // n)
+    for top in range(0, n, rows):
+        total = np.zeros((min(rows, n - top), n), np.float32)
+        for left in range(0, int(token[-1]) + 1 if len(token) else 0, width):
+            a, b = np.searchsorted(token, [left, left + width])
+            block = np.zeros((n, width), np.float32)
+            block[owner[a:b], token[a:b] - left] = 1
+            total += block[top:top + rows] @ block.T
+        for i, row in enumerate(total):
+            yield top + i, row
+
+
+def bucket_links(node: np.ndarray, component: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """As many true links of one bucket as join what its true links join."""
+    size, label, links = np.array([len(s) for s in sets]), component.copy(), []
+    for i, both in common_counts(sets):
+        at = np.flatnonzero((label != label[i]) & (OF * both >= AT_LEAST * (size + size[i] - both)))
+        while len(at):
+            links.append((int(node[i]), int(node[at[0]])))
+            label[label == label[at[0]]] = label[i]
+            at = at[label[at] != label[i]]
+    return links
+
+
 def _linked_lines(docs: DataFrame, parts: int) -> DataFrame:
     """``node, component`` of long lines (by hash) that are linked with a different line."""
 
@@ -148,7 +190,7 @@ def _linked_lines(docs: DataFrame, parts: int) -> DataFrame:
                 part, payloads = pack_entries(bands.ravel(), np.repeat(nodes, BANDS), np.repeat(size, BANDS), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(payloads, pa.binary())], ["part", "payload"])
 
-    found = materialise(meet(docs.select("text").mapInArrow(scatter, "part int, payload binary"), near_sizes))
+    found = materialise(meet(docs.select("text").mapInArrow(scatter, "part int, payload binary"), near_sizes, LISTED))
     nodes = materialise(found.where("nodes is null").select(F.col("a").alias("node")).union(found.where("nodes is null").select("b")).union(found.where("nodes is not null").select(F.explode("nodes"))).distinct())
     held = filter_of(nodes)
 
@@ -174,7 +216,19 @@ def _linked_lines(docs: DataFrame, parts: int) -> DataFrame:
 
         return both.mapInArrow(run, "a long, b long")
 
-    return link(found, near_sizes, verify)
+    def inside(rows: DataFrame) -> DataFrame:
+        held = rows.select("bucket", "node", "component").join(shingles, "node").groupBy("bucket").agg(F.collect_list(F.struct("node", "component", "shingles")).alias("rows")).select("rows")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for record in batches:
+                for members in record.column(0):
+                    node, component, sets = members.values.flatten()
+                    links = bucket_links(node.to_numpy(), component.to_numpy(), [np.frombuffer(x, np.uint64) for x in sets.to_pylist()])
+                    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        return held.mapInArrow(run, "a long, b long")
+
+    return link(found, near_sizes, verify, inside)
 
 
 def _repeated_pieces(docs: DataFrame, parts: int) -> DataFrame:
