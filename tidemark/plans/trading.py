@@ -50,13 +50,18 @@ def _(spark, sf):
     return ops.unpaired_sells(fills(spark, sf).where("status = 'filled'"), FILL_KEYS, FILL_ORDER)
 
 
-@query("ex02_book_curve", with_sql(DAILY_SQL, TRADES_SQL, """dd as (select trade_date, row_number() over (order by trade_date) as di from (select distinct trade_date from daily)), rn as (select distinct run_id from trades),
-   fl as (select run_id, trade_date, sum(case when action = 'buy' then -1 else 1 end * price * quantity) as f from trades group by all),
+def curve_sql(source: str) -> str:
+    """Cash and holdings of every run of a table of trades on every day."""
+    return f"""dd as (select trade_date, row_number() over (order by trade_date) as di from (select distinct trade_date from daily)), rn as (select distinct run_id from {source}),
+   fl as (select run_id, trade_date, sum(case when action = 'buy' then -1 else 1 end * price * quantity) as f from {source} group by all),
    ca as (select run_id, trade_date, di, 1e9 + sum(coalesce(f, 0)) over (partition by run_id order by di) as cash from rn cross join dd left join fl using (run_id, trade_date)),
-   q as (select run_id, ts_code, trade_date, sum(case when action = 'buy' then quantity else -quantity end) as dq from trades group by all),
-   gr as (select run_id, ts_code, di, sum(coalesce(dq, 0)) over (partition by run_id, ts_code order by di) as qty from (select distinct run_id, ts_code from trades) cross join dd left join q using (run_id, ts_code, trade_date)),
+   q as (select run_id, ts_code, trade_date, sum(case when action = 'buy' then quantity else -quantity end) as dq from {source} group by all),
+   gr as (select run_id, ts_code, di, sum(coalesce(dq, 0)) over (partition by run_id, ts_code order by di) as qty from (select distinct run_id, ts_code from {source}) cross join dd left join q using (run_id, ts_code, trade_date)),
    cl as (select ts_code, di, last_value(close ignore nulls) over (partition by ts_code order by di) as close from (select distinct ts_code from daily) cross join dd left join daily using (ts_code, trade_date)),
-   hv as (select run_id, di, sum(qty * coalesce(close, 0)) as h, count(*) filter (where qty <> 0) as n from gr left join cl using (ts_code, di) group by all)""") + """
+   hv as (select run_id, di, sum(qty * coalesce(close, 0)) as h, count(*) filter (where qty <> 0) as n from gr left join cl using (ts_code, di) group by all)"""
+
+
+@query("ex02_book_curve", with_sql(DAILY_SQL, TRADES_SQL, curve_sql("trades")) + """
 select run_id, strftime(trade_date, '%Y%m%d') as trade_date, round(cash, 1) as cash, round(coalesce(h, 0), 1) as holdings, coalesce(n, 0) as names, round(cash + coalesce(h, 0), 1) as equity from ca left join hv using (run_id, di)""")
 def _(spark, sf):
     out = ops.book_curve(trades(spark, sf), materialise(daily(spark, sf)), 1e9)
@@ -128,12 +133,28 @@ def _(spark, sf):
     return picks(spark, sf)[0].select("draw", "o", "l", "p", "ts_code", day("entry_day"), "drawn_code", "drawn_quantity", "pool_size")
 
 
-@query("ex06_random_baseline")
+# Daily profit of the drawn holdings: bought at the open unless halted or at the limit, valued by growth over the previous close.
+_FEE = "(greatest({0} * 2.5 / 10000.0, 5.0) + {0} * 0.1 / 10000.0)"
+PROFIT_SQL = f"""ix as (select ts_code, di, open, pre_close, close, up_limit, is_suspended, exp(sum(coalesce(ln(close / case when pre_close > 0 then pre_close end), 0)) over (partition by ts_code order by di)) as i from daily join dd using (trade_date)),
+   ib as (select *, lag(i) over (partition by ts_code order by di) as before from ix),
+   dp as (select draw, codes[spot] as code, a.di as f, b.di as t, case when codes[spot] like '688%' then floor(notional / opens[spot]) else floor(notional / opens[spot] / 100) * 100 end as dq
+     from pk join dd a on a.trade_date = entry_day left join dd b on b.trade_date = exit_day),
+   bt as (select dp.*, e.open as o, e.close as c, e.i as ie from dp join ib e on e.ts_code = code and e.di = f where not e.is_suspended and e.open < e.up_limit),
+   hd as (select draw, code, f, coalesce(t, (select max(di) from dd)) as stop, t is not null as sold, sum(dq) as n, any_value(o) as o, any_value(c) as c, any_value(ie) as ie from bt group by all),
+   mk as (select hd.*, m.di, m.i, m.before, n * c / ie as base, n * c / ie * m.before * coalesce(m.open / case when m.pre_close > 0 then m.pre_close end, 1) as leave from hd join ib m on m.ts_code = code and m.di between f and stop),
+   gn as (select draw, di, sum(case when di = f then n * (c - o) - {_FEE.format("(n * o)")} when di = stop and sold then leave - base * before - {_FEE.format("leave")} else base * (i - before) end) as pnl from mk group by all),
+   eq as (select trade_date, di, cash + coalesce(h, 0) as equity from ca left join hv using (run_id, di)),
+   cp as (select trade_date, di, coalesce(lag(equity) over (order by di), 1e9) as capital from eq),
+   rt as (select trade_date, coalesce(sum(pnl / capital), 0) as s, coalesce(sum(pnl / capital * (pnl / capital)), 0) as ss from cp left join gn using (di) group by trade_date)"""
+
+
+@query("ex06_random_baseline", with_sql(*TRIP_SQL, PICK_SQL, curve_sql("tb"), PROFIT_SQL) + f"""
+select strftime(trade_date, '%Y%m%d') as trade_date, round(s / {DRAWS}, 9) as value, round(sqrt(greatest(0.0, (ss - s * s / {DRAWS}) / {DRAWS - 1})), 7) as draw_sd from rt""")
 def _(spark, sf):
     drawn, d = picks(spark, sf)
     curve = ops.book_curve(book(spark, sf), d, 1e9)
     out = ops.baseline(ops.drawn_pnl(drawn, d), curve, DRAWS)
-    return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 9).alias("draw_sd"))
+    return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 7).alias("draw_sd"))
 
 
 @query("ex07_carried_limit", with_sql(DAILY_SQL, "n as (select trade_date, ts_code, low, pre_close from daily where pre_close is not null)", "o as (select trade_date, arg_max(pre_close, ts_code) as other from n group by all)") + """
