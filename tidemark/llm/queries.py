@@ -97,7 +97,17 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("op5_ngram_jaccard_join")
+@query("op5_ngram_jaccard_join", r"""
+    with recursive d as (
+        select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+    ), s as (select distinct doc_id, case when len(w) < 5 then w else w[i:i + 4] end as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) as i from d where len(w) > 0)),
+    n as (select doc_id, count(*) as n from s group by doc_id),
+    c as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y on x.g = y.g and x.doc_id < y.doc_id group by x.doc_id, y.doc_id),
+    l as (select a, b from c join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * shared >= 75 * (na.n + nb.n - shared)),
+    e as (select a, b from l union all select b, a from l),
+    r(doc_id, other) as (select doc_id, doc_id from d union select r.doc_id, e.b from r join e on e.a = r.other)
+    select d.doc_id, cast(coalesce(n, 0) as bigint) as n_shingles, m as component_id
+    from d left join n using (doc_id) join (select doc_id, min(other) as m from r group by doc_id) using (doc_id)""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents", "doc_id", "text"))
 
