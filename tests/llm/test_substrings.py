@@ -134,3 +134,11 @@ def test_defined_cases(spark, table_of):
     assert by[2] == [long, long] and by[4] == [""] and by[None] == [""] and by[5] == [None] and by[6] == [""] and by[7] == [" \n "]
     assert by[8] == ["short text\nshort text"] and by[10] == ["own line\nlast"]
     assert substrings.dedup_substrings(table_of([])).collect() == []
+
+
+def test_rows_of_one_id_are_told_apart(spark, table_of):
+    rng = random.Random(7)
+    passage, own, other = (" ".join(prose(rng, n)) for n in (60, 30, 40))
+    rows = [(1, passage, 1), (None, f"{own}\n{passage}\n{other}", 1), (None, "a short one", 1), (3, f"{other} end\n{passage}", 1), (3, "another\ntext", 1)]
+    got = {(r["doc_id"], r["n_words"]): (r["text"], r["n_removed"]) for r in substrings.dedup_substrings(table_of(rows).repartition(1)).collect()}
+    assert got == {(1, 60): (passage, 0), (None, 130): (own, 100), (None, 3): ("a short one", 0), (3, 101): (f"{other} end", 60), (3, 2): ("another\ntext", 0)}

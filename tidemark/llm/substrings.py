@@ -9,15 +9,17 @@ hash is the smallest among its neighbours: the cuts depend on nearby words only,
 so a passage is cut alike wherever it stands. Pieces that occurred before are
 removed where a run of them has at least ``min_words`` words.
 
-The first occurrence (smallest document id, then place) stays. Repeated pieces
-are counted by hash in ranges, each task sending a piece once for each slice of
-its texts, so a passage that a third of all documents share is no hot key.
+The first occurrence (smallest document id, then hash of the text, then place)
+stays. Repeated pieces are counted by hash in ranges, each task sending a piece
+once for each slice of its texts, so a passage that a third of all documents
+share is no hot key.
 
 Defined cases: words are runs of characters other than ASCII white space; a null
-text stays null; rows with a null id come after all others; rows of one id count
-as one document, and equal ones keep the same words; a text may end up empty; an
-empty table gives an empty result; other columns are not looked at. Pieces and
-lines are told apart by 64-bit hashes.
+text stays null; rows with a null id come after all others; rows equal in id and
+text are one document and keep the same words, any other rows are documents of
+their own; a text may end up empty; an empty table gives an empty result; other
+columns are not looked at. Pieces, lines and the texts of one id are told apart
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,7 +47,7 @@ LISTED = 4
 #: Cells of a matrix that counts common shingles (4 bytes each).
 CELLS_AT_A_TIME = 1 << 22
 LAST = (1 << 63) - 1
-PIECE = np.dtype([("piece", "<u8"), ("doc", "<i8"), ("unit", "<u4"), ("many", "u1")])
+PIECE = np.dtype([("piece", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("unit", "<u4"), ("many", "u1")])
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 62, (ROWS * BANDS, 2)).astype(np.uint64)
 
 
@@ -232,18 +234,19 @@ def _linked_lines(docs: DataFrame, parts: int) -> DataFrame:
 
 
 def _repeated_pieces(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (key, doc, unit): pieces that occur more than once, with their first place."""
+    """Rows (key, doc, th, unit): pieces that occur more than once, with their first place."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            for start, stop in slices(record.column(1)):
-                units = Units(record.column(1).slice(start, stop - start))
+            for start, stop in slices(record.column(2)):
+                units = Units(record.column(2).slice(start, stop - start))
                 first, end = units.pieces
                 rows = np.zeros(len(first), PIECE)
                 rows["piece"], rows["unit"] = units.sequence(first, end), units.piece_number
-                rows["doc"] = record.column(0).to_numpy()[start:stop][units.of[first]]
+                for k, name in enumerate(("doc", "th")):
+                    rows[name] = record.column(k).to_numpy()[start:stop][units.of[first]]
                 part = (rows["piece"] >> np.uint64(44)) % np.uint64(parts)
-                rows = rows[np.lexsort((rows["unit"], rows["doc"], rows["piece"], part))]
+                rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["piece"], part))]
                 new = np.append(True, rows["piece"][1:] != rows["piece"][:-1])[:len(rows)]
                 counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
                 rows = rows[new]
@@ -254,31 +257,31 @@ def _repeated_pieces(docs: DataFrame, parts: int) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         rows = np.frombuffer(b"".join(table.column("payload").to_pylist()), PIECE)
-        rows = rows[np.lexsort((rows["unit"], rows["doc"], rows["piece"]))]
+        rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["piece"]))]
         begin = np.flatnonzero(np.append(True, rows["piece"][1:] != rows["piece"][:-1]))
         many = np.maximum.reduceat(rows["many"], begin) | (np.diff(np.append(begin, len(rows))) > 1)
         rows = rows[begin[many > 0]]
-        return pa.table({"key": pa.array(np.ascontiguousarray(rows["piece"]).view(np.int64)), "first_doc": pa.array(np.ascontiguousarray(rows["doc"])), "first_unit": pa.array(rows["unit"].astype(np.int64))})
+        return pa.table({"key": pa.array(np.ascontiguousarray(rows["piece"]).view(np.int64)), "first_doc": pa.array(np.ascontiguousarray(rows["doc"])), "first_th": pa.array(np.ascontiguousarray(rows["th"])), "first_unit": pa.array(rows["unit"].astype(np.int64))})
 
-    return docs.select("id", "text").mapInArrow(scatter, "part int, payload binary").groupBy("part").applyInArrow(gather, "key long, first_doc long, first_unit long")
+    return docs.select("id", "th", "text").mapInArrow(scatter, "part int, payload binary").groupBy("part").applyInArrow(gather, "key long, first_doc long, first_th long, first_unit long")
 
 
 def _places(docs: DataFrame, pieces, lines) -> DataFrame:
-    """Rows (piece, key, id, unit) of pieces and long lines that the two filters may hold."""
+    """Rows (piece, key, id, th, unit) of pieces and long lines that the two filters may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            ids = record.column(0).to_numpy()
-            for start, stop in slices(record.column(1)):
-                units = Units(record.column(1).slice(start, stop - start))
+            ids, hashes = (record.column(k).to_numpy() for k in (0, 1))
+            for start, stop in slices(record.column(2)):
+                units = Units(record.column(2).slice(start, stop - start))
                 first, end = units.pieces
                 at, node = units.long_lines
                 for is_piece, keys, owner, number, held in ((True, units.sequence(first, end), units.of[first], units.piece_number, pieces.value), (False, node, units.of[units.line_begin[at]], units.line_number[at], lines.value)):
                     keys = keys.view(np.int64)
                     keep = may_hold(held, keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), is_piece)), pa.array(keys[keep]), pa.array(ids[start:stop][owner[keep]]), pa.array(number[keep].astype(np.int64))], ["piece", "key", "id", "unit"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), is_piece)), pa.array(keys[keep]), pa.array(ids[start:stop][owner[keep]]), pa.array(hashes[start:stop][owner[keep]]), pa.array(number[keep].astype(np.int64))], ["piece", "key", "id", "th", "unit"])
 
-    return docs.select("id", "text").mapInArrow(run, "piece boolean, key long, id long, unit long")
+    return docs.select("id", "th", "text").mapInArrow(run, "piece boolean, key long, id long, th long, unit long")
 
 
 def removed_words(units: Units, owner: np.ndarray, is_piece: np.ndarray, number: np.ndarray, min_words: int) -> np.ndarray:
@@ -326,17 +329,17 @@ def cut_words(units: Units, gone: np.ndarray) -> np.ndarray:
 def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, the text that stays, n_words, n_removed (words), ``kept_in``, the ids that hold what was removed, and the columns to ``carry`` along."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumn("id", F.coalesce("doc_id", F.lit(LAST)))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumns({"id": F.coalesce("doc_id", F.lit(LAST)), "th": F.xxhash64("text")})
     pieces = materialise(_repeated_pieces(docs, parts))
     linked = materialise(_linked_lines(docs, parts))
     places = materialise(_places(docs, filter_of(pieces.select("key")), filter_of(linked.select("node"))))
-    later = places.where("piece").join(pieces, "key").where("id <> first_doc or unit <> first_unit").select("id", "piece", "unit", F.col("first_doc").alias("kept"))
+    later = places.where("piece").join(pieces, "key").where("id <> first_doc or th <> first_th or unit <> first_unit").select("id", "th", "piece", "unit", F.col("first_doc").alias("kept"))
     lines = places.where("not piece").join(linked.withColumnRenamed("node", "key"), "key")
-    place = F.struct("id", "unit")
+    place = F.struct("id", "th", "unit")
     heads = lines.groupBy("component").agg(F.min(place).alias("head"))
-    behind = lines.join(heads, "component").where(place != F.col("head")).select("id", "piece", "unit", F.col("head.id").alias("kept"))
-    removed = later.union(behind).distinct().groupBy("id").agg(F.collect_list(F.struct("piece", "unit", "kept")).alias("gone"))
-    joined = docs.join(removed, "id", "left").select("doc_id", "text", "gone", *carry)
+    behind = lines.join(heads, "component").where(place != F.col("head")).select("id", "th", "piece", "unit", F.col("head.id").alias("kept"))
+    removed = later.union(behind).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("piece", "unit", "kept")).alias("gone"))
+    joined = docs.join(removed, ["id", "th"], "left").select("doc_id", "text", "gone", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
