@@ -142,3 +142,14 @@ def test_rows_of_one_id_are_told_apart(spark, table_of):
     rows = [(1, passage, 1), (None, f"{own}\n{passage}\n{other}", 1), (None, "a short one", 1), (3, f"{other} end\n{passage}", 1), (3, "another\ntext", 1)]
     got = {(r["doc_id"], r["n_words"]): (r["text"], r["n_removed"]) for r in substrings.dedup_substrings(table_of(rows).repartition(1)).collect()}
     assert got == {(1, 60): (passage, 0), (None, 130): (own, 100), (None, 3): ("a short one", 0), (3, 101): (f"{other} end", 60), (3, 2): ("another\ntext", 0)}
+
+
+def test_only_what_stood_in_one_place_goes(spark, table_of):
+    rng = random.Random(8)
+    lines = [" ".join(prose(rng, 6)) for _ in range(12)]
+    block = "\n".join(lines)
+    rows = [(i, f"{line}\n" + " ".join(prose(rng, 8)), 1) for i, line in enumerate(lines)]
+    rows += [(50, block, 1), (51, f"own\n{block}\nend", 1), (52, "x " * 45, 1), (53, "\n".join(lines[::-1]), 1)]
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substrings.dedup_substrings(table_of(rows)).collect()}
+    want = {d: (text, 0) for d, text, _ in rows}
+    assert got == want | {51: ("own\nend", 72), 52: ("x " * 20, 25)}

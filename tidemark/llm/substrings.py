@@ -6,11 +6,12 @@ bands (3 rows, 12 bands: 99.9 % of the pairs at the threshold collide) propose
 pairs, the exact similarity decides, and components of the links keep one line.
 Passages inside longer lines are found by cutting every line where a word pair's
 hash is the smallest among its neighbours: the cuts depend on nearby words only,
-so a passage is cut alike wherever it stands. Pieces that occurred before are
-removed where a run of them has at least ``min_words`` words.
+so a passage is cut alike wherever it stands. The windows of ``min_words`` words
+that start at a cut or a line's begin, or end at a line's end, are compared; one
+that occurred before, the same words in one place, is removed.
 
 The first occurrence (smallest document id, then hash of the text, then place)
-stays. Repeated pieces are counted by hash in ranges, each task sending a piece
+stays. Repeated windows are counted by hash in ranges, each task sending a window
 once for each slice of its texts, so a passage that a third of all documents
 share is no hot key.
 
@@ -18,7 +19,7 @@ Defined cases: words are runs of characters other than ASCII white space; a null
 text stays null; rows with a null id come after all others; rows equal in id and
 text are one document and keep the same words, any other rows are documents of
 their own; a text may end up empty; an empty table gives an empty result; other
-columns are not looked at. Pieces, lines and the texts of one id are told apart
+columns are not looked at. Windows, lines and the texts of one id are told apart
 by 64-bit hashes.
 """
 
@@ -47,7 +48,7 @@ LISTED = 4
 #: Cells of a matrix that counts common shingles (4 bytes each).
 CELLS_AT_A_TIME = 1 << 22
 LAST = (1 << 63) - 1
-PIECE = np.dtype([("piece", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("unit", "<u4"), ("many", "u1")])
+WINDOW = np.dtype([("key", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("unit", "<u4"), ("many", "u1")])
 _RANDOM = np.random.default_rng(20).integers(1, 1 << 62, (ROWS * BANDS, 2)).astype(np.uint64)
 
 
@@ -98,9 +99,18 @@ class Units:
         return first, np.append(first[1:], n)
 
     @cached_property
-    def piece_number(self) -> np.ndarray:
-        owner = self.of[self.pieces[0]]
-        return np.arange(len(owner)) - np.searchsorted(owner, np.arange(self.batch.n))[owner]
+    def opening(self) -> np.ndarray:
+        """First word of every text."""
+        return np.searchsorted(self.of, np.arange(self.batch.n))
+
+    def windows(self, size: int) -> np.ndarray:
+        """First words of the windows to compare; inside a piece without cuts one starts every ``size`` words."""
+        first, end = self.pieces
+        more = (end - first - 1) // size
+        inner = np.repeat(first, more) + size * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+        at = np.unique(np.concatenate([first, inner, self.line_begin, self.line_begin + self.line_words - size]))
+        at = at[(at >= 0) & (at + size <= len(self.of))]
+        return at[self.of[at] == self.of[at + size - 1]]
 
     def shingles(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of some lines in ascending order, and the place of the line in ``lines``."""
@@ -233,72 +243,66 @@ def _linked_lines(docs: DataFrame, parts: int) -> DataFrame:
     return link(found, near_sizes, verify, inside)
 
 
-def _repeated_pieces(docs: DataFrame, parts: int) -> DataFrame:
-    """Rows (key, doc, th, unit): pieces that occur more than once, with their first place."""
+def _repeated_windows(docs: DataFrame, parts: int, size: int) -> DataFrame:
+    """Rows (key, doc, th, unit): windows that occur more than once, with their first place."""
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             for start, stop in slices(record.column(2)):
                 units = Units(record.column(2).slice(start, stop - start))
-                first, end = units.pieces
-                rows = np.zeros(len(first), PIECE)
-                rows["piece"], rows["unit"] = units.sequence(first, end), units.piece_number
+                first = units.windows(size)
+                rows = np.zeros(len(first), WINDOW)
+                rows["key"], rows["unit"] = units.sequence(first, first + size), first - units.opening[units.of[first]]
                 for k, name in enumerate(("doc", "th")):
                     rows[name] = record.column(k).to_numpy()[start:stop][units.of[first]]
-                part = (rows["piece"] >> np.uint64(44)) % np.uint64(parts)
-                rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["piece"], part))]
-                new = np.append(True, rows["piece"][1:] != rows["piece"][:-1])[:len(rows)]
+                part = (rows["key"] >> np.uint64(44)) % np.uint64(parts)
+                rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["key"], part))]
+                new = np.append(True, rows["key"][1:] != rows["key"][:-1])[:len(rows)]
                 counts = np.diff(np.append(np.flatnonzero(new), len(rows)))
                 rows = rows[new]
                 rows["many"] = counts > 1
-                part = ((rows["piece"] >> np.uint64(44)) % np.uint64(parts)).astype(np.int32)
+                part = ((rows["key"] >> np.uint64(44)) % np.uint64(parts)).astype(np.int32)
                 bounds = np.concatenate([np.flatnonzero(np.append(True, np.diff(part) != 0)), [len(part)]]) if len(part) else np.zeros(1, np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(part[bounds[:-1]], pa.int32()), pa.array([rows[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["part", "payload"])
 
     def gather(table: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(table.column("payload").to_pylist()), PIECE)
-        rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["piece"]))]
-        begin = np.flatnonzero(np.append(True, rows["piece"][1:] != rows["piece"][:-1]))
+        rows = np.frombuffer(b"".join(table.column("payload").to_pylist()), WINDOW)
+        rows = rows[np.lexsort((rows["unit"], rows["th"], rows["doc"], rows["key"]))]
+        begin = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))
         many = np.maximum.reduceat(rows["many"], begin) | (np.diff(np.append(begin, len(rows))) > 1)
         rows = rows[begin[many > 0]]
-        return pa.table({"key": pa.array(np.ascontiguousarray(rows["piece"]).view(np.int64)), "first_doc": pa.array(np.ascontiguousarray(rows["doc"])), "first_th": pa.array(np.ascontiguousarray(rows["th"])), "first_unit": pa.array(rows["unit"].astype(np.int64))})
+        return pa.table({"key": pa.array(np.ascontiguousarray(rows["key"]).view(np.int64)), "first_doc": pa.array(np.ascontiguousarray(rows["doc"])), "first_th": pa.array(np.ascontiguousarray(rows["th"])), "first_unit": pa.array(rows["unit"].astype(np.int64))})
 
     return docs.select("id", "th", "text").mapInArrow(scatter, "part int, payload binary").groupBy("part").applyInArrow(gather, "key long, first_doc long, first_th long, first_unit long")
 
 
-def _places(docs: DataFrame, pieces, lines) -> DataFrame:
-    """Rows (piece, key, id, th, unit) of pieces and long lines that the two filters may hold."""
+def _places(docs: DataFrame, windows, lines, size: int) -> DataFrame:
+    """Rows (window, key, id, th, unit) of windows and long lines that the two filters may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             ids, hashes = (record.column(k).to_numpy() for k in (0, 1))
             for start, stop in slices(record.column(2)):
                 units = Units(record.column(2).slice(start, stop - start))
-                first, end = units.pieces
+                first = units.windows(size)
                 at, node = units.long_lines
-                for is_piece, keys, owner, number, held in ((True, units.sequence(first, end), units.of[first], units.piece_number, pieces.value), (False, node, units.of[units.line_begin[at]], units.line_number[at], lines.value)):
+                for is_window, keys, owner, number, held in ((True, units.sequence(first, first + size), units.of[first], first - units.opening[units.of[first]], windows.value), (False, node, units.of[units.line_begin[at]], units.line_number[at], lines.value)):
                     keys = keys.view(np.int64)
                     keep = may_hold(held, keys)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), is_piece)), pa.array(keys[keep]), pa.array(ids[start:stop][owner[keep]]), pa.array(hashes[start:stop][owner[keep]]), pa.array(number[keep].astype(np.int64))], ["piece", "key", "id", "th", "unit"])
-
-    return docs.select("id", "th", "text").mapInArrow(run, "piece boolean, key long, id long, th long, unit long")
-
-
-def removed_words(units: Units, owner: np.ndarray, is_piece: np.ndarray, number: np.ndarray, min_words: int) -> np.ndarray:
-    """Which words go: those of the named lines, and of runs of named pieces with enough words."""
-    gone = np.zeros(len(units.words), bool)
-    first, end = units.pieces
-    owner_of = units.of[first]
-    base = np.searchsorted(owner_of, np.arange(units.batch.n))
-    hit = np.zeros(len(first) + 1, bool)
-    hit[base[owner[is_piece]] + number[is_piece]] = True
-    new = np.ones(len(first), bool)
-    new[1:] = ~hit[:-2] | (owner_of[1:] != owner_of[:-1])
-    run = np.cumsum(new) - 1
-    words = np.bincount(run[hit[:-1]], weights=(end - first)[hit[:-1]], minlength=len(first) + 1)
-    long = hit[:-1] & (words[run] >= min_words) if len(first) else hit[:-1]
-    gone |= np.repeat(long, end - first)
-    lines = {(int(o), int(n)) for o, n in zip(owner[~is_piece], number[~is_piece], strict=True)}
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(int(keep.sum()), is_window)), pa.array(keys[keep]), pa.array(ids[start:stop][owner[keep]]), pa.array(hashes[start:stop][owner[keep]]), pa.array(number[keep].astype(np.int64))], ["window", "key", "id", "th", "unit"])
+
+    return docs.select("id", "th", "text").mapInArrow(run, "window boolean, key long, id long, th long, unit long")
+
+
+def removed_words(units: Units, owner: np.ndarray, number: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which words go: those of the named ranges, and of the named lines, whose ``size`` is 0."""
+    ranges = size > 0
+    begin = units.opening[owner[ranges]] + number[ranges]
+    change = np.zeros(len(units.words) + 1, np.int64)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + size[ranges], -1)
+    gone = np.cumsum(change)[:-1] > 0
+    lines = {(int(o), int(n)) for o, n in zip(owner[~ranges], number[~ranges], strict=True)}
     if lines:
         mine = np.array([(int(o), int(n)) in lines for o, n in zip(units.of[units.line_begin], units.line_number, strict=True)], bool)
         gone |= np.repeat(mine, units.line_words)
@@ -330,15 +334,18 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
     """Per document: doc_id, the text that stays, n_words, n_removed (words), ``kept_in``, the ids that hold what was removed, and the columns to ``carry`` along."""
     parts = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *carry).withColumns({"id": F.coalesce("doc_id", F.lit(LAST)), "th": F.xxhash64("text")})
-    pieces = materialise(_repeated_pieces(docs, parts))
+    windows = materialise(_repeated_windows(docs, parts, min_words))
     linked = materialise(_linked_lines(docs, parts))
-    places = materialise(_places(docs, filter_of(pieces.select("key")), filter_of(linked.select("node"))))
-    later = places.where("piece").join(pieces, "key").where("id <> first_doc or th <> first_th or unit <> first_unit").select("id", "th", "piece", "unit", F.col("first_doc").alias("kept"))
-    lines = places.where("not piece").join(linked.withColumnRenamed("node", "key"), "key")
+    places = materialise(_places(docs, filter_of(windows.select("key")), filter_of(linked.select("node")), min_words))
+    # A later window that overlaps the first one in the same text leaves that one whole.
+    spared = F.when((F.col("id") == F.col("first_doc")) & (F.col("th") == F.col("first_th")), F.greatest(F.lit(0), F.col("first_unit") + min_words - F.col("unit"))).otherwise(F.lit(0))
+    again = places.where("window").join(windows, "key").where("id <> first_doc or th <> first_th or unit <> first_unit").withColumn("spared", spared)
+    later = again.select("id", "th", (F.col("unit") + F.col("spared")).alias("unit"), (min_words - F.col("spared")).alias("size"), F.col("first_doc").alias("kept"))
+    lines = places.where("not window").join(linked.withColumnRenamed("node", "key"), "key")
     place = F.struct("id", "th", "unit")
     heads = lines.groupBy("component").agg(F.min(place).alias("head"))
-    behind = lines.join(heads, "component").where(place != F.col("head")).select("id", "th", "piece", "unit", F.col("head.id").alias("kept"))
-    removed = later.union(behind).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("piece", "unit", "kept")).alias("gone"))
+    behind = lines.join(heads, "component").where(place != F.col("head")).select("id", "th", "unit", F.lit(0).cast("long").alias("size"), F.col("head.id").alias("kept"))
+    removed = later.union(behind).distinct().groupBy("id", "th").agg(F.collect_list(F.struct("unit", "size", "kept")).alias("gone"))
     joined = docs.join(removed, ["id", "th"], "left").select("doc_id", "text", "gone", *carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,10 +354,10 @@ def dedup_substrings(docs: DataFrame, key: str = "doc_id", text: str = "text", m
                 texts, gone = record.column(1).slice(start, stop - start), record.column(2).slice(start, stop - start)
                 units, n = Units(texts), stop - start
                 named = gone.flatten()
-                is_piece, number, kept = (x.to_numpy(zero_copy_only=False) for x in named.flatten())
+                number, size, kept = (x.to_numpy(zero_copy_only=False) for x in named.flatten())
                 counts = np.array([0 if x is None else x for x in pc.list_value_length(gone).to_pylist()], np.int64)
                 owner = np.repeat(np.arange(n), counts)
-                out = removed_words(units, owner, is_piece.astype(bool), number, min_words)
+                out = removed_words(units, owner, number, size)
                 stay = cut_words(units, out)
                 bounds = np.append(0, np.cumsum(stay))[units.batch.offsets]
                 body = units.batch.data[stay].tobytes()
