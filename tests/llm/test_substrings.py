@@ -153,3 +153,19 @@ def test_only_what_stood_in_one_place_goes(spark, table_of):
     got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in substrings.dedup_substrings(table_of(rows)).collect()}
     want = {d: (text, 0) for d, text, _ in rows}
     assert got == want | {51: ("own\nend", 72), 52: ("x " * 20, 25)}
+
+
+def test_wrapping_does_not_hide_a_passage(spark, table_of):
+    rng = random.Random(9)
+    rows = []
+    for i in range(20):
+        passage = prose(rng, 60)
+        wrapped = "\n".join(" ".join(passage[k:k + 6]) for k in range(0, 60, 6))
+        rows += [(i, " ".join(prose(rng, 9) + passage + prose(rng, 9)), 1), (100 + i, f"own {i}\n{wrapped}\nend {i}", 1)]
+    got = {r["doc_id"]: r for r in substrings.dedup_substrings(table_of(rows)).collect()}
+    plain, fed = (substrings.Units(pa.array([text])).pieces[0].tolist() for text in (rows[1][1].replace("\n", " "), rows[1][1]))
+    assert plain == fed
+    assert all(got[d]["text"] == text for d, text, _ in rows if d < 100)
+    for d, text, _ in rows[1::2]:
+        assert got[d]["kept_in"] == [d - 100] and got[d]["n_removed"] >= 40
+        assert not windows(text, 20) & windows(got[d]["text"], 20)

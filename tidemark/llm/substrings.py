@@ -4,9 +4,9 @@ Two kinds of paragraphs are compared. Lines of at least ``min_words`` words are
 linked when their five-word shingles reach a Jaccard similarity of 0.75: MinHash
 bands (3 rows, 12 bands: 99.9 % of the pairs at the threshold collide) propose
 pairs, the exact similarity decides, and components of the links keep one line.
-Passages inside longer lines are found by cutting every line where a word pair's
+Passages inside longer lines are found by cutting every text where a word pair's
 hash is the smallest among its neighbours: the cuts depend on nearby words only,
-so a passage is cut alike wherever it stands. The windows of ``min_words`` words
+not on line feeds, so a passage is cut alike wherever and however wrapped it stands. The windows of ``min_words`` words
 that start at a cut or a line's begin, or end at a line's end, are compared; one
 that occurred before, the same words in one place, is removed.
 
@@ -84,17 +84,16 @@ class Units:
         """First and end word of every piece."""
         n = len(self.words)
         pair = self.words.copy()
-        same = self.line[1:] == self.line[:-1]
+        same = self.of[1:] == self.of[:-1]
         pair[:-1][same] = self.words[:-1][same] * BASE + self.words[1:][same]
         pair = mix(pair)
         cut = np.ones(n, bool)
         for step in range(1, min(NEIGHBOURS, n - 1) + 1):
-            near = self.line[step:] == self.line[:-step]
+            near = self.of[step:] == self.of[:-step]
             cut[step:] &= ~near | (pair[step:] < pair[:-step])
             cut[:-step] &= ~near | (pair[:-step] < pair[step:])
-        begin = np.zeros(n, bool)
-        begin[self.line_begin] = True
-        begin[1:] |= cut[:-1]
+        begin = np.ones(n, bool)
+        begin[1:] = cut[:-1] | ~same
         first = np.flatnonzero(begin)
         return first, np.append(first[1:], n)
 
