@@ -109,7 +109,7 @@ def _(spark, sf):
     return ops.affordable(trips, pool, "decile").select("o", "l", "p", "ts_code", day("exit_day"), "quantity", "pool_size")
 
 
-DRAWS = 20
+DRAWS = 100
 TRIP_ID = ["entry_day", "ts_code", "quantity", "o", "l", "p"]
 
 
