@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
+from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,20 +46,30 @@ def shared_folder(spark: SparkSession) -> str:
         return named
     if not context.master.startswith("local[") and context.master != "local":
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
-    own = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(CHECKPOINT_DIR, own)
-    return own
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFrame:
     """Cut lineage: write a table in the shared folder and read it back.
 
     The copy survives lost executors, is columnar, and its known size lets
-    Spark choose a broadcast where it is small. It goes when the driver ends.
+    Spark choose a broadcast where it is small. It goes when the driver ends, or
+    once a later table is stored ``instead_of`` it.
     """
     folder = scratch_folder(df.sparkSession, "table")
     df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+    stored.scratch = folder
+    discard(*instead_of)
+    return stored
+
+
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of :func:`materialise` that nothing reads any more; other DataFrames are left alone."""
+    for df in stored:
+        if folder := getattr(df, "scratch", None):
+            drop_folder(df.sparkSession, folder)
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -67,8 +80,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Delete a folder of ours through Spark's file system, if the session still runs."""
+    """Delete a folder of ours through Spark's file system; a local one even after the session has stopped."""
     if spark.sparkContext._jsc is None:
+        where = urlparse(folder)
+        if where.scheme in ("", "file"):
+            shutil.rmtree(where.path, ignore_errors=True)
         return
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
