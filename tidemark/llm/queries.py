@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, lines, packing, pieces, quality, rules, substrings, urls, winnow
+from tidemark.llm import chat, jaccard, lines, merkle, packing, pieces, quality, rules, substrings, urls, winnow
+from tidemark.llm.checksql import CRC_TABLE, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -166,3 +167,50 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from b""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return rules.judge(table(spark, folder, "documents", "doc_id", "text"))
+
+
+_SPELLED = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '-')" for c in merkle.FIELDS)
+_LOWERED = _SPELLED.replace("text", f"translate(text, '{merkle.CAPITALS}', '{merkle.SMALL}')")
+
+
+def _climbed(name: str, start: str) -> str:
+    """A recursive table of all nodes of some trees, and beside it each node with its left and right siblings."""
+    return f"""
+    {name}_nodes(tree, level, pos, n, digest) as (
+        {start}
+        union all
+        select tree, level + 1, pos // 16, any_value(n + 15) // 16, sha256(string_agg(digest, '' order by pos)) from {name}_nodes where n > 1 group by tree, level, pos // 16
+    ), {name}_sides as (
+        select tree, level, pos, n, digest, coalesce(string_agg(digest, '') over (w rows between unbounded preceding and 1 preceding), '') as before,
+            coalesce(string_agg(digest, '') over (w rows between 1 following and unbounded following), '') as after
+        from {name}_nodes window w as (partition by tree, level, pos // 16 order by pos)
+    )"""
+
+
+@query("op11_merkle_manifest", f"""
+    with recursive {CRC_TABLE}, leaves as (
+        select doc_id, coalesce('1' || source, '0') as tree, sha256({_SPELLED}) as leaf,
+            case when {crc32("doc_id::varchar")} % 5 = 0 then sha256({_LOWERED}) else sha256({_SPELLED}) end as changed
+        from documents, crc_table
+    ), placed as (
+        select *, row_number() over (partition by tree order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by tree) as n from leaves
+    ), {_climbed("own", "select tree, 0, pos, n, leaf from placed")},
+    tops as (select tree as name, digest, row_number() over (order by tree) - 1 as pos, count(*) over () as n from own_nodes where n = 1),
+    {_climbed("top", "select '', 0, pos, n, digest from tops")},
+    up(doc_id, tree, first_pos, level, pos, folded, proof) as (
+        select doc_id, tree, pos, 0, pos, changed, '' from placed
+        union all
+        select u.doc_id, u.tree, u.first_pos, u.level + 1, u.pos // 16, sha256(s.before || u.folded || s.after), u.proof || s.before || s.after
+        from up u join own_sides s on s.tree = u.tree and s.level = u.level and s.pos = u.pos where s.n > 1
+    ), joined as (
+        select u.*, t.pos as top_pos, t.digest as subroot from up u join own_nodes o on o.tree = u.tree and o.level = u.level and o.n = 1 join tops t on t.name = u.tree
+    ), up2(doc_id, tree, first_pos, subroot, level, pos, folded, proof) as (
+        select doc_id, tree, first_pos, subroot, 0, top_pos, folded, proof from joined
+        union all
+        select u.doc_id, u.tree, u.first_pos, u.subroot, u.level + 1, u.pos // 16, sha256(s.before || u.folded || s.after), u.proof || s.before || s.after
+        from up2 u join top_sides s on s.level = u.level and s.pos = u.pos where s.n > 1
+    )
+    select u.doc_id, p.leaf, u.subroot, r.digest as root, sha256(u.proof) as proof_sha256, u.folded as folded_root, u.folded = r.digest as verified
+    from up2 u join top_nodes r on r.n = 1 and r.level = u.level join placed p on p.tree = u.tree and p.pos = u.first_pos""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, folder, "documents", *merkle.FIELDS))
