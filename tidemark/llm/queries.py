@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, lines, merkle, packing, pieces, quality, rules, substrings, urls, winnow
+from tidemark.llm import chat, jaccard, lines, merkle, packing, pieces, quality, repair, rules, substrings, urls, winnow
 from tidemark.llm.checksql import CRC_TABLE, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,3 +214,63 @@ def _climbed(name: str, start: str) -> str:
     from up2 u join top_nodes r on r.n = 1 and r.level = u.level join placed p on p.tree = u.tree and p.pos = u.first_pos""")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify_documents(table(spark, folder, "documents", *merkle.FIELDS))
+
+
+def _edge_rows() -> str:
+    """The ways to take a row: initial, fault, states, cost, padded letters, rows added before it, its role (null: deleted, empty: as it is)."""
+    out = []
+    for code, layer in enumerate(repair.ROW_LAYERS):
+        initial, fault = repair.INITIALS[code // 4], code % 4
+        for state, ways in enumerate(layer):
+            for after, cost, digits in ways:
+                letters = repair.letters_of(digits)
+                added, own, _ = repair.apply_edits(state, letters, initial)
+                lines = " || ".join([f"chr(10) || '{role}:'" for role in added] or ["''"])
+                role = "null" if own is None else f"'{own}'"
+                out.append(f"('{initial}', {fault}, {state}, {after}, {cost}, '{letters:3}', {lines}, {role})")
+    return ", ".join(out)
+
+
+_TAIL_ROWS = ", ".join(
+    f"({q}, {repair.COSTS['I'] * len(t)}, '{t}', " + " || ".join([f"chr(10) || '{r}:'" for r in repair.apply_edits(q, t, "")[0]] or ["''"]) + ")" for q, t in enumerate(repair.TAIL)
+)
+
+
+@query("op12_conversation_repair", rf"""
+    with recursive {CRC_TABLE}, drawn as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as act from conversations, crc_table
+    ), damaged as (
+        select conv_id, turn, case when act = 4 then 'user' else role end as role, case act when 1 then '' when 2 then translate(text, '.!?', '') else text end as text
+        from drawn, (values (0), (1)) c(copy) where act <> 0 and (copy = 0 or act = 3)
+    ), sealed as (
+        select *, coalesce('1' || conv_id, '0') as key, sha256(strlen(role) || ':' || role || text) as seal, left(role, 1) as initial from damaged
+    ), placed as (
+        select *, row_number() over (partition by key order by turn nulls first, seal) as i from sealed
+    ), faulty as (
+        select *, lag(initial) over (partition by key order by i) as before, case when not regexp_matches(text, '[^ 	-
+]') then 2 when i > min(i) over (partition by key, seal) then 3 when regexp_matches(text, '[.!?][ 	-
+]*$') then 0 else 1 end as fault from placed
+    ), counted as (
+        select key, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 2) as blank, count(*) filter (fault = 3) as duplicate,
+            count(*) filter (fault = 1) as truncated, count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal, count(*) as n
+        from faulty group by key
+    ), edges(initial, fault, state, after, cost, letters, added, own) as (values {_edge_rows()}),
+    ways(key, i, state, best) as (
+        select key, 0, 0, {{'cost': 0, 'audit': '', 'text': ''}} from counted
+        union all
+        select w.key, any_value(w.i + 1), e.after, min({{'cost': w.best.cost + e.cost, 'audit': w.best.audit || e.letters,
+            'text': w.best.text || e.added || case when e.own is null then '' else chr(10) || coalesce(nullif(e.own, ''), f.role) || ':' || f.text end}})
+        from ways w join faulty f on f.key = w.key and f.i = w.i + 1
+        join edges e on e.state = w.state and e.fault = f.fault and e.initial = case when f.initial in ('s', 'u', 'a') then f.initial else '-' end
+        group by w.key, e.after
+    ), ends as (
+        select w.key, min({{'cost': w.best.cost + t.cost, 'audit': w.best.audit || t.letters, 'text': w.best.text || t.added}}) as best
+        from ways w join counted c on c.key = w.key and c.n = w.i join (values {_TAIL_ROWS}) t(state, cost, letters, added) on t.state = w.state group by w.key
+    )
+    select o.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+        coalesce(illegal, 0)::bigint as illegal, coalesce(best.cost, 0)::bigint as cost, coalesce(replace(best.audit, ' ', ''), '') as audit, sha256(coalesce(best.text[2:], '')) as repaired_sha256
+    from (select distinct conv_id, coalesce('1' || conv_id, '0') as key from conversations) o left join counted using (key) left join ends using (key)""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    return repair.audit_conversations(repair.damage(turns), turns)
