@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, jaccard, lines, merkle, packing, pieces, quality, repair, rules, substrings, urls, winnow
+from tidemark.llm import chat, contamination, jaccard, lines, merkle, packing, pieces, quality, repair, rules, substrings, urls, winnow
 from tidemark.llm.checksql import CRC_TABLE, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,3 +274,24 @@ _TAIL_ROWS = ", ".join(
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     return repair.audit_conversations(repair.damage(turns), turns)
+
+
+def _words_of(text: str) -> str:
+    return rf"regexp_extract_all(translate(coalesce({text}, ''), '{merkle.CAPITALS}', '{merkle.SMALL}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query("op13_benchmark_decontamination", f"""
+    with d as (select row_number() over () as r, doc_id, {_words_of("text")} as w from documents),
+    t as (select coalesce(item_id::varchar, '') as item, {_words_of("text")} as w from benchmark),
+    i as (select item, least(len(w), {contamination.WINDOW}) as k, array_to_string(w[j:j + least(len(w), {contamination.WINDOW}) - 1], ' ') as g
+        from (select item, w, unnest(range(1, len(w) - least(len(w), {contamination.WINDOW}) + 2)) as j from t where len(w) > 0)),
+    g as (select r, k, j, array_to_string(w[j:j + k - 1], ' ') as g from (select r, w, k, unnest(range(1, len(w) - k + 2)) as j from d, (select distinct k from i) where len(w) >= k)),
+    o as (select distinct r, g.k, j, g from g where (k, g) in (select k, g from i)),
+    h as (select r, count(distinct p) as n_hit from (select r, unnest(range(j, j + k)) as p from o) group by r),
+    f as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from o join i using (k, g) group by r)
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+        sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+    from d left join h using (r) left join f using (r)""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    judged = contamination.judge_documents(table(spark, folder, "documents", "doc_id", "text"), table(spark, folder, "benchmark", "item_id", "text"))
+    return judged.drop("longest")
