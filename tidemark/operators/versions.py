@@ -16,6 +16,8 @@ from ..functions.values import canonical
 from .ordered import keep_first, keep_last
 
 STAGE_SHARE = 0.5
+#: Outcomes after which a partition shows the new answer.
+SHOWN = ("appended", "replaced", "restated")
 # Key fields a vendor fills in later; a fill is not a removal.
 BACKFILLED = {"disclosure_date": ("actual_date",), "dividend": ("ann_date",)}
 UNLOCK_IDENTITY = ("ts_code", "float_date", "holder_name", "share_type")
@@ -101,6 +103,28 @@ def classify_publish(old: DataFrame, new: DataFrame, keys: Sequence[str], datase
     return joined.withColumn("outcome", outcome)
 
 
+def classify_partitions(old: DataFrame, new: DataFrame, claims: DataFrame, partition: str, keys: Sequence[str], dataset: str = "") -> DataFrame:
+    """Outcome and key counts of every claimed partition, whether or not the answer holds rows of it.
+
+    ``claims`` has the partition and ``exists`` (true where one is held). The
+    removed share is counted on the key minus the vendor's late-filled fields.
+    """
+    stable = [key for key in keys if key not in BACKFILLED.get(dataset, ())]
+    counts = diff_counts(diff(old, new, keys), [partition])
+    if stable == list(keys):
+        counts = counts.withColumns({"stable_held": F.col("old_keys"), "stable_removed": F.col("removed")})
+    else:
+        share = diff_counts(diff(old.select(*stable), new.select(*stable), stable), [partition])
+        counts = counts.join(share.select(partition, F.col("old_keys").alias("stable_held"), F.col("removed").alias("stable_removed")), partition, "left")
+    met = claims.join(counts, partition, "left").fillna(0, [c for c in counts.columns if c != partition])
+    moved = F.col("added") + F.col("removed") + F.col("changed")
+    outcome = (
+        F.when(F.col("exists").isNull(), "appended").when((F.col("old_keys") > 0) & (F.col("new_keys") == 0), "defect").when(moved == 0, "unchanged")
+        .when((F.col("removed") > 0) & (F.col("stable_removed") > STAGE_SHARE * F.col("stable_held")), "staged")
+        .when(F.col("removed") + F.col("changed") > 0, "restated").otherwise("appended"))
+    return met.select(partition, "old_keys", "new_keys", "added", "removed", "changed", outcome.alias("outcome"))
+
+
 # -- versions and observations -----------------------------------------------------
 
 

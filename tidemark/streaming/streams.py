@@ -1,9 +1,10 @@
 """Incremental forms of the batch operators.
 
-Stateless work (visibility) is a plain stream; work over history keeps its
-state in tables written per micro-batch. Every table a batch writes is
-partitioned by the batch number and overwritten by it, so a repeated batch
-leaves the same state.
+Stateless work (visibility) is a plain stream; work over history keeps keyed
+state (:mod:`.state`) or, for published answers, one snapshot of pointers a
+batch. Every table a batch writes is partitioned by the batch number and
+overwritten by it, so a repeated batch leaves the same rows; no batch reads
+what earlier ones wrote but the snapshot before it.
 """
 
 from __future__ import annotations
@@ -16,8 +17,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import asof, intraday, versions
+from ..session import drop_folder, materialise
+from . import state
 
 EPOCH = "epoch"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_per_batch: int | None = None, glob: str = "*.parquet") -> DataFrame:
@@ -28,10 +33,16 @@ def read_stream(spark: SparkSession, folder: str, schema: T.StructType, files_pe
     return reader.parquet(folder)
 
 
-def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, *, available_now: bool = True) -> StreamingQuery:
-    """Start ``step(batch, epoch)`` over a stream."""
-    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+def run_batches(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str, *, available_now: bool = True, mode: str = "append") -> StreamingQuery:
+    """Start ``step(batch, epoch)`` over a stream, with its keyed state in RocksDB."""
+    conf = stream.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)  # a query keeps the settings it started with
+    try:
+        writer = stream.writeStream.outputMode(mode).foreachBatch(step).option("checkpointLocation", checkpoint)
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
 
 
 def read_state(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
@@ -66,115 +77,131 @@ def stream_visible(stream: DataFrame, spark: SparkSession, start: str, end: str,
 # -- first receipt -------------------------------------------------------------------
 
 
-def first_seen_step(folder: str, keys: Sequence[str], received: str) -> Callable[[DataFrame, int], None]:
-    """Record each key's first arrival once, however long ago it was."""
+def write_batches(folder: str) -> Callable[[DataFrame, int], None]:
+    """Keep what each batch emits in the batch's own partition."""
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.groupBy(*keys).agg(F.min(received).alias("first_seen_at"))
-        held = read_state(spark, folder, epoch)
-        if held is not None:
-            fresh = fresh.join(held.select(*keys), list(keys), "left_anti")
-        write_state(fresh, folder, epoch)
+        write_state(batch, folder, epoch)
 
     return step
 
 
-def first_seen_within(stream: DataFrame, keys: Sequence[str], received: str, horizon: str) -> DataFrame:
-    """First arrival with state bounded by the vendor's correction period."""
-    return stream.withWatermark(received, horizon).dropDuplicatesWithinWatermark(list(keys))
+def track_first_seen(stream: DataFrame, folder: str, checkpoint: str, keys: Sequence[str], received: str, ttl_ms: int | None = None) -> StreamingQuery:
+    """Record each key's first arrival once, however long ago it was."""
+    return run_batches(state.first_seen(stream, keys, received, ttl_ms), write_batches(folder), checkpoint, mode="update")
 
 
 # -- versioned upserts ----------------------------------------------------------------
 
 
-def publish_step(folder: str, partition: str, keys: Sequence[str], columns: Sequence[str]) -> Callable[[DataFrame, int], None]:
-    """Publish each batch as the next answer for the partitions it holds.
+def publish_step(folder: str, partition: str, keys: Sequence[str], columns: Sequence[str], *, dataset: str = "", claim: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Publish each batch as the next answer for the partitions it claims.
 
-    Tables under ``folder``: ``versions`` (rows by batch), ``events`` (outcome
-    per partition and batch). A partition shows its last published batch;
-    a staged or defective answer is recorded but not shown.
+    An answer claims the partitions of its rows and those its ``claim`` rows
+    name (rows with that column true and nothing else), so a partition may be
+    answered with nothing. Tables under ``folder``: ``versions`` (rows by
+    partition and batch), ``events`` (outcome per claimed partition and batch)
+    and ``shown`` (the batch each partition shows, one snapshot a batch). A
+    batch reads the snapshot before it and, of the rows, the shown version of
+    the partitions it claims; a staged or defective answer is recorded but not
+    shown.
     """
+    own = [partition, *[k for k in keys if k != partition]]
 
     def step(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        new = batch.select(*columns)
-        held = visible_rows(spark, folder, partition, epoch)
-        touched = new.select(partition).distinct()
-        old = held.select(*columns).join(touched, partition, "left_semi") if held is not None else new.where(F.lit(False))
-        changes = versions.diff(old, new, [partition, *[k for k in keys if k != partition]])
-        counts = versions.diff_counts(changes, [partition])
-        moved = F.col("added") + F.col("removed") + F.col("changed")
-        outcome = (
-            F.when((F.col("old_keys") > 0) & (F.col("new_keys") == 0), "defect").when(moved == 0, "unchanged")
-            .when(F.col("removed") > versions.STAGE_SHARE * F.col("old_keys"), "staged").when(F.col("removed") + F.col("changed") > 0, "restated").otherwise("appended"))
-        write_state(new, f"{folder}/versions", epoch)
-        write_state(counts.withColumn("outcome", outcome), f"{folder}/events", epoch)
+        is_claim = F.coalesce(F.col(claim), F.lit(False)) if claim else F.lit(False)
+        batch = batch.withColumn("_claim", is_claim).persist()
+        new = batch.where("not _claim").select(*columns)
+        claims = batch.select(partition).distinct()
+        shown = read_epoch(spark, f"{folder}/shown", epoch - 1)
+        held = shown_rows(spark, folder, partition, columns, shown.join(claims, partition, "left_semi")) if shown is not None else new.where(F.lit(False))
+        have = shown.select(partition, F.lit(True).alias("exists")) if shown is not None else claims.where(F.lit(False)).withColumn("exists", F.lit(True))
+        events = versions.classify_partitions(held.select(*columns), new, claims.join(have, partition, "left"), partition, own, dataset)
+        write_state(new, f"{folder}/versions", epoch, (partition,))
+        write_state(events, f"{folder}/events", epoch)
+        batch.unpersist()
+        written = read_epoch(spark, f"{folder}/events", epoch)
+        moved = written.where(F.col("outcome").isin(*versions.SHOWN)).select(partition, F.lit(epoch).alias("version"))
+        pointers = moved if shown is None else moved.unionByName(shown.select(partition, "version").join(moved, partition, "left_anti"))
+        write_state(pointers, f"{folder}/shown", epoch)
 
     return step
 
 
-def visible_rows(spark: SparkSession, folder: str, partition: str, before: int | None = None) -> DataFrame | None:
+def read_epoch(spark: SparkSession, folder: str, epoch: int) -> DataFrame | None:
+    """One batch's part of a table; None before the first batch."""
+    return spark.read.parquet(f"{folder}/{EPOCH}={epoch}") if epoch >= 0 else None
+
+
+def shown_rows(spark: SparkSession, folder: str, partition: str, columns: Sequence[str], shown: DataFrame) -> DataFrame:
+    """Rows of the version each of some partitions shows; only those folders are read."""
+    kind = shown.schema[partition].dataType
+    rows = spark.read.parquet(f"{folder}/versions").withColumn(partition, F.col(partition).cast(kind))
+    return rows.join(shown.select(partition, F.col("version").alias(EPOCH)), [partition, EPOCH], "left_semi").select(*columns)
+
+
+def visible_rows(spark: SparkSession, folder: str, partition: str, columns: Sequence[str]) -> DataFrame:
     """Rows each partition shows: those of its last published batch."""
-    events = read_state(spark, f"{folder}/events", before)
-    if events is None:
-        return None
-    shown = events.where(F.col("outcome").isin("appended", "restated")).groupBy(partition).agg(F.max(EPOCH).alias(EPOCH))
-    return spark.read.parquet(f"{folder}/versions").join(shown, [partition, EPOCH], "left_semi")
+    shown = spark.read.parquet(f"{folder}/shown")
+    last = shown.where(F.col(EPOCH) == shown.agg(F.max(EPOCH)).first()[0])
+    return shown_rows(spark, folder, partition, columns, last)
 
 
 # -- session days ------------------------------------------------------------------------
 
 
-def session_day_step(folder: str, columns: Sequence[str], reduce: Callable[[DataFrame], DataFrame] = intraday.intraday_flow) -> Callable[[DataFrame, int], None]:
-    """Re-derive the session days a batch touches, late bars included.
+def track_session_days(stream: DataFrame, folder: str, checkpoint: str, columns: Sequence[str], *, received: str = "received_at", delay: str = "0 seconds", keep_days: int | None = None) -> StreamingQuery:
+    """Reduce every session day when it closes, and again when a late bar comes.
 
-    Bars are kept by day and batch; a batch reads back only the days it
-    touches (partition pruning), and a repeated bar counts once. The list of
-    touched days is a handful of dates.
+    Tables under ``folder``: ``flow`` and ``stats`` (one row per stock-day and
+    batch that emitted it) and ``stale`` (bars that came after their day was
+    cleared). :func:`latest_rows` shows the newest row of each day.
     """
 
     def step(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        bars = batch.select(*columns)
-        marked = bars.withColumn(EPOCH, F.lit(epoch))
-        marked.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date", EPOCH).parquet(f"{folder}/bars")
-        touched = [row[0] for row in bars.select("trade_date").distinct().collect()]
-        if not touched:
-            return
-        store = spark.read.parquet(f"{folder}/bars").withColumn("trade_date", F.col("trade_date").cast("string"))
-        days = store.where(F.col("trade_date").isin(*touched) & (F.col(EPOCH) <= epoch))
-        rest = [c for c in columns if c not in ("ts_code", "trade_date", "trade_time")]
-        single = days.groupBy("ts_code", "trade_date", "trade_time").agg(F.max_by(F.struct(*rest), EPOCH).alias("_r")).select("ts_code", "trade_date", "trade_time", "_r.*")
-        reduce(single).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("trade_date").parquet(f"{folder}/days")
-
-    return step
-
+        batch = batch.persist()
+        days = batch.where("status = 'day'").drop("status")
+        write_state(intraday.intraday_flow(days), f"{folder}/flow", epoch)
+        write_state(intraday.intraday_stats(days), f"{folder}/stats", epoch)
+        write_state(batch.where("status = 'stale'").drop("status"), f"{folder}/stale", epoch)
+        batch.unpersist()
 
-def day_bars(stream: DataFrame, watermark: str, code: str = "ts_code", at: str = "trade_at") -> DataFrame:
-    """Bars, volume and amount per name and session day as a windowed stream."""
-    return stream.withWatermark(at, watermark).groupBy(F.window(at, "1 day"), code).agg(
-        F.count(F.lit(1)).alias("bars"), F.sum("vol").alias("vol"), F.sum("amount").alias("amount"))
+    return run_batches(state.closed_days(stream, columns, received, delay, keep_days), step, checkpoint, mode="update")
 
 
 # -- log tails -----------------------------------------------------------------------------
 
 
-def tail_counts(stream: DataFrame, keys: Sequence[str] = ("run_id", "event_type")) -> DataFrame:
-    """Running event counts over appended log rows (update mode)."""
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("events"))
-
+def track_tails(stream: DataFrame, folder: str, checkpoint: str, log: str = "run_id", kind: str = "event_type", offset: str = "seq") -> StreamingQuery:
+    """Running event counts over appended log rows; a repeated row counts once."""
+    return run_batches(state.tail_counts(stream, log, kind, offset), write_batches(folder), checkpoint, mode="update")
 
-def keep_latest_step(folder: str) -> Callable[[DataFrame, int], None]:
-    """Keep updated rows by batch; the newest batch of a key wins."""
 
-    def step(batch: DataFrame, epoch: int) -> None:
-        write_state(batch, folder, epoch)
-
-    return step
+def tail_totals(spark: SparkSession, folder: str, log: str = "run_id", kind: str = "event_type") -> DataFrame:
+    """Events of each log and type: the newest counts of its blocks, summed."""
+    return latest_rows(spark, folder, [log, "block", kind], ["events"]).groupBy(log, kind).agg(F.sum("events").alias("events"))
 
 
 def latest_rows(spark: SparkSession, folder: str, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """The row of each key's newest batch."""
     rows = spark.read.parquet(folder)
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), EPOCH).alias("_v"))
     return best.select(*keys, "_v.*")
+
+
+def compact(spark: SparkSession, folder: str, keys: Sequence[str], before: int) -> int:
+    """Fold the batches up to ``before`` into that batch's partition and drop the older ones; how many went.
+
+    A job beside the stream. Whatever it is stopped at, the newest row of each key stays the same.
+    """
+    rows = spark.read.parquet(folder).where(F.col(EPOCH) <= before)
+    older = [row[0] for row in rows.select(EPOCH).where(F.col(EPOCH) < before).distinct().collect()]
+    if older:
+        values = [c for c in rows.columns if c not in (*keys, EPOCH)]
+        best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), EPOCH).alias("_v"))
+        # The partition is among what is read, so the fold is stored before it is replaced.
+        write_state(materialise(best.select(*keys, "_v.*")), folder, before)
+        for epoch in older:
+            drop_folder(spark, f"{folder}/{EPOCH}={epoch}")
+    return len(older)
