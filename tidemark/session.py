@@ -20,6 +20,7 @@ DEFAULTS = {
     "spark.ui.showConsoleProgress": "false",
 }
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: str = "tidemark") -> SparkSession:
@@ -54,11 +55,18 @@ def materialise(df: DataFrame, instead_of: Iterable[DataFrame] = ()) -> DataFram
     """Cut lineage: write a table in the shared folder and read it back.
 
     The copy survives lost executors, is columnar, and its known size lets
-    Spark choose a broadcast where it is small. It goes when the driver ends, or
+    Spark choose a broadcast where it is small. Shuffle files of the job go as
+    soon as it ends. The table goes when the driver ends, or
     once a later table is stored ``instead_of`` it.
     """
     folder = scratch_folder(df.sparkSession, "table")
-    df.write.parquet(folder)
+    conf = df.sparkSession.conf
+    before = conf.get(SHUFFLE_CLEANUP)
+    conf.set(SHUFFLE_CLEANUP, "true")  # the table replaces what was shuffled for it
+    try:
+        df.write.parquet(folder)
+    finally:
+        conf.set(SHUFFLE_CLEANUP, before)
     stored = df.sparkSession.read.schema(df.schema).parquet(folder)
     stored.scratch = folder
     discard(*instead_of)
