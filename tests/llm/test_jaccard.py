@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -112,6 +113,43 @@ def test_a_large_group_of_near_copies(spark, table_of):
     assert {tuple(r) for r in got} == plain(rows)
 
 
+A, B = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, A), (1, B), (2, A + " x"), (3, B + " y")],
+    [(5, A), (5, B), (2, A + " x"), (3, B + " y")],
+    [(2, A), (2, B), (1, A + " x"), (3, B + " y"), (3, A)],
+    [(4, A), (4, B), (4, "short"), (4, ""), (2, B), (7, "Short"), (9, A + " z")],
+])
+def test_an_id_with_several_texts_joins_their_components(spark, table_of, rows):
+    got = jaccard.jaccard_components(table_of([(d, t, 1) for d, t in rows])).collect()
+    want = {d: c for d, _, c in plain(rows)}
+    assert len({c for d, c in want.items() if d != 0}) == 1
+    assert all(r["component_id"] == (want[r["doc_id"]] if r["n_shingles"] else r["doc_id"]) for r in got) and len(got) == len(rows)
+
+
+def test_keep_one_keeps_an_unlinked_text_of_a_linked_id(spark, table_of):
+    rows = [(1, A, 1), (2, A + " x", 2), (2, B, 3), (3, "a b c d e", 4), (3, "A b c d e", 5), (4, B + " y", 6), (4, B + " y", 7)]
+    kept = sorted(tuple(r) for r in jaccard.keep_one(table_of(rows)).collect())
+    assert [r[:2] for r in kept[:2]] == [(1, A), (2, B)] and len(kept) == 3 and kept[2][0] == 3
+
+
+def test_clashing_names_come_back(spark):
+    names = ["doc_id", "text", "th", "node", "row", "_text", "n", "label"]
+    rows = [(1, A, 1, 2, 3, "four", 5, 6), (2, A, 1, 2, 3, "five", 5, 6), (1, A, 9, 9, 9, "nine", 9, 9)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string, th int, node int, row int, _text string, n int, label int"))
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] in ([rows[0]], [rows[2]])
+
+
+def test_small_blocks_give_the_same(spark, table_of, monkeypatch):
+    monkeypatch.setattr(jaccard, "_blocked", partial(jaccard._blocked, blocks=3))
+    monkeypatch.setattr(jaccard, "_across", partial(jaccard._across, block=4))
+    rows = list(enumerate(corpus(5, 160)))
+    got = jaccard.jaccard_components(table_of([(d, t, 1) for d, t in rows]))
+    assert {tuple(r) for r in got.collect()} == plain(rows)
+
+
 def test_keep_one_and_empty(spark, table_of):
     rows = [(5, "a b c d e f", 1), (3, "A b c d e f", 1), (3, "A b c d e f", 1), (None, "a b c d e f", 1), (7, "", 1), (8, None, 1), (9, "z y x", 1)]
     kept = jaccard.keep_one(table_of(rows)).collect()

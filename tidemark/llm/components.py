@@ -4,7 +4,8 @@ Each round hangs every node and its neighbours on the smallest node near it, in
 two joins over the links; a hot node's neighbours are never gathered, only their
 minimum is, by an aggregate that combines before the shuffle. Rounds end when
 the links stop changing; their number grows with the logarithm of the longest
-chain. Every round is stored in the shared folder.
+chain. Every round is stored in the shared folder, in place of the one before.
+Nodes may be numbers or binary names.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def components(links: DataFrame) -> DataFrame:
     now = materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     seen = state(now)
     while seen[0]:
-        now = materialise(_small_star(_large_star(now)))
+        now = materialise(_small_star(_large_star(now)), instead_of=[now])
         before, seen = seen, state(now)
         if seen == before:
             break

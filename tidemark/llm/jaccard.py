@@ -16,8 +16,14 @@ Subsets travel packed by hash range. Sets that meet are verified exactly: first
 each bucket's first set against the others, then as many pairs as would join the
 rest of a bucket, then, among what is still unconnected, every remaining
 candidate. Before shingles are fetched, counts of them in a few cells, which
-never differ more than the sets, rule out most unlike pairs. So copies of one
-text cost a few checks each, and no link between different texts is lost.
+never differ more than the sets, rule out most unlike pairs. Pairs are verified
+in blocks around their hubs, so that a set travels once for all its pairs of a
+block and not once a pair; large buckets are compared block against block. So
+copies of one text cost a few checks each, and no link between different texts
+is lost.
+
+Classes of equal sets are named by the set's 128-bit key throughout; ids meet
+only at the end, where an id with several texts joins their components.
 
 The list of common shingles steers the order alone and is bounded by
 ``COMMON``; any list gives the same links.
@@ -37,13 +43,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.linking import filter_of, may_hold
 from tidemark.llm.textbatch import BASE, TextBatch, distinct_per_text, mix, slices
-from tidemark.session import materialise
+from tidemark.session import discard, materialise
 
 WORDS = 5
 #: The threshold: ``OF * intersection >= AT_LEAST * union``.
@@ -56,6 +62,10 @@ COMMON = 50_000
 COMMON_IN_SLICE, COMMON_A_TASK = 8, 5_000
 #: Cells of the counts that tell most unlike sets apart before their shingles are compared.
 CELLS = 256
+#: Sets of a block around a hub whose pairs one task verifies, and of a block of a bucket.
+HUB_BLOCK, BUCKET_BLOCK = 64, 512
+#: Bytes of packed rows that one task gathers.
+PART_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _DELETION, _SINGLE, _SHORT = (np.uint64(x) for x in (0xA5A5A5A5A5A5A5A5, 0x5A5A5A5A5A5A5A5A, 0xC3C3C3C3C3C3C3C3))
@@ -92,7 +102,11 @@ def shingle_sets(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.nd
 
 
 def _sizes(docs: DataFrame, words: int) -> DataFrame:
-    """Rows of documents (doc_id, n, k1, k2) and, with ``common`` true, of common shingles (k1, and their count as n)."""
+    """Rows of documents (doc_id, th, n, k1, node) and, with ``common`` true, of common shingles (k1, and their count as n).
+
+    ``node`` is the set's whole key, ``k1`` its first half, ``th`` the text's hash.
+    """
+    names = ["doc_id", "th", "n", "k1", "node", "common"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common: dict[int, int] = {}
@@ -105,16 +119,18 @@ def _sizes(docs: DataFrame, words: int) -> DataFrame:
                     common[key] = common.get(key, 0) + n
                 n = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays(
-                    [record.column(0).slice(start, n), pa.array(np.diff(bounds)), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.zeros(n, bool))],
-                    ["doc_id", "n", "k1", "k2", "common"],
-                )
+                    [record.column(0).slice(start, n), record.column(2).slice(start, n), pa.array(np.diff(bounds)), pa.array(sets[:, 0]), names_of(sets), pa.array(np.zeros(n, bool))], names)
         top = sorted(common.items(), key=lambda x: (-x[1], x[0]))[:COMMON_A_TASK]
+        n = len(top)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(top), pa.int64()), pa.array([n for _, n in top], pa.int64()), pa.array([k for k, _ in top], pa.int64()), pa.array([0] * len(top), pa.int64()), pa.array([True] * len(top), pa.bool_())],
-            ["doc_id", "n", "k1", "k2", "common"],
-        )
+            [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array([c for _, c in top], pa.int64()), pa.array([k for k, _ in top], pa.int64()), pa.nulls(n, pa.binary()), pa.array([True] * n, pa.bool_())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, k1 long, k2 long, common boolean")
+    return docs.select("doc_id", "text", "th").mapInArrow(run, "doc_id long, th long, n long, k1 long, node binary, common boolean")
+
+
+def names_of(sets: np.ndarray) -> pa.Array:
+    """The 16 bytes of each set's key."""
+    return pa.array([row.tobytes() for row in np.ascontiguousarray(sets)], pa.binary())
 
 
 def index_entries(keys: np.ndarray, bounds: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,10 +231,16 @@ def meetings(subset: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, list[np.
     return pairs, [np.frombuffer(x, np.int64) for x in sorted(buckets)]
 
 
-def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]]) -> DataFrame:
+def parts_for(spark: SparkSession, size: int) -> int:
+    """Parts for so many bytes of packed rows, each some ``PART_BYTES`` at most."""
+    return max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
+
+
+def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]], shingles: int) -> DataFrame:
     """Rows (a, b, members): pairs of sets that meet, and whole buckets of three or more."""
     spark = docs.sparkSession
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # A set indexes one subset for every three shingles, in 18 bytes at most.
+    parts = parts_for(spark, 6 * shingles)
     names = np.array([k for k, _ in common], np.int64).view(np.uint64)
     levels = np.minimum(15, 1 + np.log2(1 + np.array([n for _, n in common], np.float64))).astype(np.uint64)
     order = np.argsort(names)
@@ -250,7 +272,7 @@ def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]]) -> DataFra
 
 
 def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> DataFrame:
-    """Rows (rep, k1, n, profile) of the sets of ``wanted(rep, k1, k2)``.
+    """Rows (node, k1, n, profile) of the sets of ``wanted(rep, node)``, whose text the document ``rep`` has.
 
     The profile is the shingles themselves (``full``), or counts of shingles in
     ``CELLS`` cells: the counts of two sets differ in all by no more than the
@@ -269,10 +291,10 @@ def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> Dat
                     of = np.repeat(np.arange(len(sets)), np.diff(bounds))
                     cells = np.bincount(of * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS * len(sets))
                     packed = [row.tobytes() for row in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
-                yield pa.RecordBatch.from_arrays([record.column(0).slice(start, len(sets)), pa.array(sets[:, 0]), pa.array(sets[:, 1]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["rep", "k1", "k2", "n", "profile"])
+                yield pa.RecordBatch.from_arrays([names_of(sets), pa.array(sets[:, 0]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["node", "k1", "n", "profile"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "rep long, k1 long, k2 long, n long, profile binary")
-    return materialise(found.join(wanted, ["rep", "k1", "k2"], "left_semi").dropDuplicates(["rep"]).select("rep", "k1", "n", "profile"))
+    found = docs.select("doc_id", "text").mapInArrow(run, "node binary, k1 long, n long, profile binary")
+    return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _near(n_x, n_y, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -287,8 +309,8 @@ def _cells(column: pa.Array) -> np.ndarray:
 
 
 def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of first set keys, those (a, b) of representatives that sizes and counts allow."""
-    sides = [nodes.toDF(f"rep_{x}", x, f"n_{x}", f"cells_{x}") for x in "ab"]
+    """Of pairs (a, b) of halves of set keys, those (a, b) of sets that sizes and counts allow."""
+    sides = [nodes.toDF(f"node_{x}", x, f"n_{x}", f"cells_{x}") for x in "ab"]
     sized = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b").where(OF * F.least("n_a", "n_b") >= AT_LEAST * F.greatest("n_a", "n_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,58 +319,82 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             ok = pa.array(_near(n_a, n_b, _cells(record.column(4)), _cells(record.column(5))))
             yield pa.RecordBatch.from_arrays([record.column(i).filter(ok) for i in (0, 1)], ["a", "b"])
 
-    return _ordered(sized.select("rep_a", "rep_b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a long, b long"))
+    return _ordered(sized.select("node_a", "node_b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a binary, b binary"))
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of representatives whose sets reach the threshold."""
-    ids = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _profiles(docs, words, nodes.join(ids, "rep", "left_semi"), full=True)
-    full = pairs.join(sets.select(F.col("rep").alias("a"), F.col("profile").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("profile").alias("y")), "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for record in batches:
-            keep = []
-            for x, y in zip(record.column(2).to_pylist(), record.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(OF * common >= AT_LEAST * (len(x) + len(y) - common))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([record.column(i).filter(mask) for i in (0, 1)], ["a", "b"])
-
-    return full.mapInArrow(run, "a long, b long")
-
+def _blocked(pairs: DataFrame, sizes: DataFrame, blocks: int = HUB_BLOCK) -> DataFrame:
+    """Pairs (a, b) with a task number ``part``: pairs around one hub meet there, in blocks of its sets.
 
-def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
-    """Pairs (a, b) of representatives in different components that share a larger bucket and may reach the threshold.
-
-    ``nodes`` has rep, k1, n and the counts by cell, ``labels`` rep and label.
-    With ``forest`` a bucket gives only as many pairs as would join what may be
-    joined in it; else it gives all.
+    A set's hub is the least of it and its partners. A hub's sets are dealt
+    into blocks of some ``blocks``; the pairs between two blocks share a part.
+    """
+    spark = pairs.sparkSession
+    both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
+    hubs = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("hub"))
+    around = pairs.join(hubs.toDF("a", "hub_a"), "a").join(hubs.toDF("b", "hub_b"), "b").select("a", "b", F.least("hub_a", "hub_b").alias("hub"))
+    members = around.select("hub", F.explode(F.array("a", "b")).alias("node")).distinct()
+    counts = members.join(sizes, "node").groupBy("hub").agg(F.ceil(F.count("*") / blocks).alias("blocks"), F.sum("n").alias("shingles"))
+    parts = parts_for(spark, 8 * int(counts.agg(F.sum("shingles")).first()[0] or 0))
+    of = lambda side: F.pmod(F.xxhash64(side), F.col("blocks"))
+    dealt = around.join(counts, "hub").select("a", "b", "hub", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
+    return dealt.select("a", "b", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(parts)).alias("part"))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold."""
+    blocked = materialise(_blocked(pairs, sizes))
+    sends = blocked.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _profiles(docs, words, wanted.join(sends, "node", "left_semi"), full=True).select("node", "profile")
+
+    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
+        held = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets.column("node").to_pylist(), sets.column("profile").to_pylist(), strict=True)}
+        keep = []
+        for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
+            both = np.concatenate([held[a], held[b]])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            keep.append(OF * common >= AT_LEAST * (len(both) - common))
+        return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return sends.join(sets, "node").groupBy("to").cogroup(blocked.groupBy("part")).applyInArrow(run, "a binary, b binary")
+
+
+def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool, block: int = BUCKET_BLOCK) -> DataFrame:
+    """Pairs (a, b) of sets in different components that share a larger bucket and may reach the threshold.
+
+    ``nodes`` has node, k1, n and the counts by cell, ``labels`` node and label.
+    A bucket is compared block against block, each task holding two blocks. With
+    ``forest`` they give only as many pairs as would join what may be joined in
+    them; else all.
     """
-    named = nodes.select("rep", "k1").join(labels, "rep")
+    named = nodes.select("node", "k1").join(labels, "node")
     buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").distinct()
     tagged = buckets.select("bucket", F.explode("members").alias("k1")).distinct().join(named, "k1")
-    open_ = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    rows = tagged.join(open_, "bucket", "left_semi").select("bucket", "rep", "label").join(nodes.select("rep", "n", "profile"), "rep")
-    members = rows.groupBy("bucket").agg(F.collect_list(F.struct("rep", "label", "n", "profile")).alias("rows")).select("rows")
+    open_ = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    open_ = open_.select("bucket", F.ceil(F.col("size") / block).alias("blocks"))
+    rows = tagged.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label").join(nodes.select("node", "n", "profile"), "node")
+    members = rows.groupBy("bucket", "i", "j").agg(F.collect_list(F.struct("own", "node", "label", "n", "profile")).alias("rows")).select((F.col("i") == F.col("j")).alias("within"), "rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
-            for rows in record.column(0):
-                rep, label, n, cells = rows.values.flatten()
-                rep, label, n, cells = rep.to_numpy(), label.to_numpy().copy(), n.to_numpy(), _cells(cells)
+            for within, rows in zip(record.column(0).to_pylist(), record.column(1), strict=True):
+                own, node, label, n, cells = rows.values.flatten()
+                node, n, cells = np.array(node.to_pylist(), object), n.to_numpy(), _cells(cells)
+                # Components by number; a block's own rows are compared where it meets itself.
+                label = np.unique(np.array(label.to_pylist(), object), return_inverse=True)[1]
+                own = np.arange(len(n)) if within else own.to_numpy()
                 order = np.argsort(n, kind="stable")
-                rep, label, n, cells = rep[order], label[order], n[order], cells[order]
-                for i in range(len(rep) - 1):
+                own, node, label, n, cells = own[order], node[order], label[order], n[order], cells[order]
+                pairs = []
+                for i in range(len(node) - 1):
                     end = int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right"))
-                    at = i + 1 + np.flatnonzero(label[i + 1:end] != label[i])
+                    at = i + 1 + np.flatnonzero((label[i + 1:end] != label[i]) & (own[i + 1:end] != own[i]))
                     at = at[_near(n[i], n[at], cells[i], cells[at])]
                     if forest:
                         chosen = []
@@ -357,50 +403,76 @@ def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool)
                             label[label == label[at[0]]] = label[i]
                             at = at[label[at] != label[i]]
                         at = np.array(chosen, np.int64)
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), rep[i])), pa.array(rep[at])], ["a", "b"])
+                    pairs += [(node[i], node[x]) for x in at]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
-    return _ordered(members.mapInArrow(run, "a long, b long"))
+    return _ordered(members.mapInArrow(run, "a binary, b binary"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id, the smallest id reachable by links."""
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+def _linked(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents (doc_id, text, th): their sizes, the classes of equal sets, and the links between classes."""
     read = materialise(_sizes(docs, words))
     sizes = read.where("not common").drop("common")
     common = read.where("common").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(COMMON).collect()
     live = docs.where("doc_id is not null")
-    found = materialise(_meet(live, words, [tuple(r) for r in common]))
-    classes = sizes.where("doc_id is not null and n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    filled = sizes.where("doc_id is not null and n > 0")
+    shingles = filled.agg(F.sum("n")).first()[0] or 0
+    found = materialise(_meet(live, words, [tuple(r) for r in common], shingles))
+    classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k1").alias("k1"))
 
     pairs = found.where("members is null").select("a", "b").distinct()
     met = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "k1", "k2"))
-    nodes = _profiles(live, words, wanted, full=False)
+    wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "node", "n"))
+    nodes = materialise(_profiles(live, words, wanted, full=False))
 
     # Each round verifies few pairs for each set; only what they leave apart is compared in full.
+    counted = wanted.select("node", "n")
     tried = materialise(_near_pairs(pairs, nodes))
-    links = materialise(_verified(tried, live, words, wanted))
+    links = materialise(_verified(tried, live, words, wanted, counted))
     for forest in (True, False):
-        labels = materialise(nodes.select("rep").join(components(links).toDF("rep", "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("label")))
-        open_pairs = materialise(_across(found, nodes, labels, forest).join(tried, ["a", "b"], "left_anti"))
-        links = materialise(links.union(_verified(open_pairs, live, words, wanted)))
+        labels = materialise(nodes.select("node").join(components(links).toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+        open_pairs = materialise(_across(found, nodes, labels, forest).join(tried, ["a", "b"], "left_anti"), instead_of=[labels])
+        links = materialise(links.union(_verified(open_pairs, live, words, wanted, counted)), instead_of=[links])
         tried = tried.union(open_pairs)
-    linked = components(links).toDF("rep", "component")
+    discard(found, nodes, wanted)
+    return sizes, classes, links
+
+
+def _labelled(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes with the label of their component."""
+    return classes.join(components(links).toDF("node", "component"), "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
 
-    of = classes.join(linked, "rep", "left").select("k1", "k2", F.coalesce("component", "rep").alias("component"))
-    out = sizes.join(of, ["k1", "k2"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id, the smallest id reachable by links."""
+    docs = _named(docs, key, text)
+    sizes, classes, links = _linked(docs, words)
+    # Texts of one id are one document.
+    several = sizes.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    same_id = sizes.where("n > 0").join(several.select("doc_id", "low"), "doc_id").where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    labelled = _labelled(classes, links.union(same_id))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    of = labelled.join(least, "label").select("node", "component_id")
+    out = sizes.join(of, "node", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The document with the smallest id of each component; documents without words or id all stay.
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
+    """The text with the smallest id of each group of linked texts; texts without words or id all stay.
 
-    An id goes when any of its texts is linked with a smaller id; of equal rows of one id and text one stays.
+    Of rows with equal id and text one stays: the one whose columns have the least hash.
     """
-    names = docs.columns
-    grouped = jaccard_components(docs, key, text).where("n_shingles > 0 and doc_id is not null")
-    drop = grouped.where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.where(F.col(key).isNotNull()).join(drop, key, "left_anti").withColumn("_text", F.xxhash64(text))
-    return kept.dropDuplicates([key, "_text"]).select(names).unionByName(docs.where(F.col(key).isNull()))
+    sizes, classes, links = _linked(_named(docs, key, text), words)
+    rows = sizes.where("doc_id is not null and n > 0").join(_labelled(classes, links).select("node", "label"), "node")
+    name = F.struct("doc_id", "node", "th")
+    best = rows.groupBy("label").agg(F.min(name).alias("best"))
+    drop = rows.join(best, "label").where(name != F.col("best")).select("doc_id", "th").distinct()
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("th"))
+    kept = held.where("doc_id is not null").join(drop, ["doc_id", "th"], "left_anti").groupBy("doc_id", "th").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return kept.select("row.*").unionByName(held.where("doc_id is null").select("row.*"))
