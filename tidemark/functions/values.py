@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -65,6 +66,25 @@ def digest_number(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+#: Fixed value: the prime that numbers of draws are taken modulo.
+DRAW_PRIME = 2_147_483_647
+
+
+def draw_factor(seed: int, draw: int) -> int:
+    """The factor of one draw, from the MD5 of seed and draw."""
+    return int(hashlib.md5(f"{seed}|{draw}".encode()).hexdigest()[:15], 16) % (DRAW_PRIME - 1) + 1
+
+
+def draw_start(*parts: Column) -> Column:
+    """The number of whatever is drawn for, from the MD5 of its parts; never 0."""
+    return F.pmod(digest_number(*parts), F.lit(DRAW_PRIME - 1)) + 1
+
+
+def drawn_below(start: Column, factor: Column, size: Column) -> Column:
+    """A number from 0 below ``size``: start times factor modulo the prime, scaled down in whole numbers."""
+    return F.call_function("div", F.pmod(start * factor, F.lit(DRAW_PRIME)) * size, F.lit(DRAW_PRIME))
+
+
 def usable_price(value: Column) -> Column:
     """A finite positive number, else null."""
     number = value.cast("double")

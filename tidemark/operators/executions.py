@@ -8,16 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import LOT, any_size_minimum, board, lot_quantity
-from ..functions.values import Profile, digest_number, trade_fee, usable_price
+from ..functions.values import Profile, draw_factor, draw_start, drawn_below, stamp_duty, trade_fee, usable_price
+from ..session import materialise
 from .asof import asof_join
 from .ordered import MAX_GROUP_ROWS, Running, keep_last, largest_group, running, value_positions
 from .screen import date_index
 
 DECILES = 10
+#: Unit changes that one task sums along the calendar.
+MOVES_A_PART = 1_000_000
 
 
 def round_trips(
@@ -165,55 +170,120 @@ def affordable(trips: DataFrame, pool: DataFrame, bucket: str, group_rows: int |
     return joined.withColumn("pool_size", size.cast("long")).withColumn("own_place", F.when(mine, F.col("own_place"))).drop("place")
 
 
-def draw(sized: DataFrame, pool: DataFrame, bucket: str, draws: int, seed: int, trip: Sequence[str]) -> DataFrame:
+def draw(sized: DataFrame, pool: DataFrame, bucket: str, draws: int, seed: int, trip: Sequence[str], carry: Sequence[str] = ()) -> DataFrame:
     """One uniformly picked replacement per (draw, trip) with a non-empty pool.
 
-    The pick is a digest of (seed, draw, trip identity, twin), the same in any
+    The pick is a trip's number times the draw's factor modulo a prime, both
+    from digests: (seed, trip identity, twin) and (seed, draw), the same in any
     engine and after any retry. ``trip`` names the identity columns; the twins
-    of one identity are numbered by exit, so each draws a name of its own.
+    of one identity are numbered by exit, so each draws a name of its own. A
+    pool, at most the names of one day, meets its trips as one list in order of
+    cost, so no pick is shuffled to find its name. ``carry`` columns of the
+    pool's names come along.
     """
     same = Window.partitionBy(*trip).orderBy(F.col("exit_day").asc_nulls_last())
-    numbered = sized.withColumn("twin", F.row_number().over(same))
-    rows = numbered.where("pool_size > 0").withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    picked = F.pmod(digest_number(F.lit(seed), F.col("draw"), *map(F.col, trip), F.col("twin")), F.col("pool_size")) + 1
-    place = F.when(F.col("own_place") <= picked, picked + 1).otherwise(picked)
+    numbered = sized.withColumn("twin", F.row_number().over(same)).where("pool_size > 0")
+    started = numbered.withColumn("_start", draw_start(F.lit(seed), *map(F.col, trip), F.col("twin")))
     keys = ["entry_day", "_exit", bucket]
-    names = pool.select(*keys, "place", F.col("ts_code").alias("drawn_code"), "pool_open")
-    joined = rows.withColumn("place", place).join(names, [*keys, "place"])
-    return joined.withColumn("drawn_quantity", lot_quantity(F.col("notional"), F.col("pool_open"), F.col("drawn_code")))
+    name = F.struct("place", "ts_code", "pool_open", *carry)
+    lists = pool.groupBy(*keys).agg(F.array_sort(F.collect_list(name), lambda a, b: (a["place"] - b["place"]).cast("int")).alias("_names"))
+    factors = F.array(*[F.struct(F.lit(n).alias("draw"), F.lit(draw_factor(seed, n)).cast("long").alias("factor")) for n in range(draws)])
+    rows = started.join(lists, keys).withColumn("_d", F.explode(factors))
+    picked = drawn_below(F.col("_start"), F.col("_d.factor"), F.col("pool_size")) + 1
+    place = F.when(F.col("own_place") <= picked, picked + 1).otherwise(picked)
+    found = rows.withColumn("_name", F.element_at("_names", place.cast("int")))
+    out = found.select(*sized.columns, "twin", F.col("_d.draw").alias("draw"), F.col("_name.ts_code").alias("drawn_code"), F.col("_name.pool_open").alias("pool_open"), *[F.col(f"_name.{c}").alias(c) for c in carry])
+    return out.withColumn("drawn_quantity", lot_quantity(F.col("notional"), F.col("pool_open"), F.col("drawn_code")))
 
 
-def drawn_pnl(picks: DataFrame, daily: DataFrame, profile: Profile = Profile()) -> DataFrame:
-    """Daily profit of drawn holdings per (draw, day), with entry gates.
+def price_marks(daily: DataFrame, days: DataFrame) -> DataFrame:
+    """Bars by day number with a growth index, and the first day from each on which the name can be sold.
 
-    A holding grows by close over the exchange's previous close, so share
-    changes and cash dividends stay in its value. A drawn name that is halted
-    or opens at its limit on the entry day is not bought.
+    The index grows by close over the exchange's previous close, so share
+    changes and cash dividends stay in a holding's value. A name that is halted,
+    or opens at its lower limit, cannot be sold that day.
     """
-    days = date_index(daily)
-    bars = daily.join(F.broadcast(days), "trade_date")
     order = Window.partitionBy("ts_code").orderBy("di")
     growth = F.coalesce(F.log(F.col("close") / usable_price(F.col("pre_close"))), F.lit(0.0))
-    index = bars.select("ts_code", "di", "open", "close", "pre_close", "up_limit", "is_suspended", F.exp(F.sum(growth).over(order)).alias("_i"))
+    index = daily.join(F.broadcast(days), "trade_date").withColumn("_i", F.exp(F.sum(growth).over(order)))
     index = index.withColumn("_before", F.lag("_i").over(order))
-    entry = index.select(F.col("ts_code").alias("drawn_code"), F.col("di").alias("_from"), F.col("open").alias("_o"), F.col("close").alias("_c"), F.col("_i").alias("_ie"), "up_limit", "is_suspended")
-    starts = days.select(F.col("trade_date").alias("entry_day"), F.col("di").alias("_from"))
-    stops = days.select(F.col("trade_date").alias("exit_day"), F.col("di").alias("_to"))
-    last = days.agg(F.max("di").alias("_last"))
-    placed = picks.join(F.broadcast(starts), "entry_day").join(F.broadcast(stops), "exit_day", "left").join(F.broadcast(last)).join(entry, ["drawn_code", "_from"])
-    bought = placed.where(~F.col("is_suspended") & (F.col("_o") < F.col("up_limit")))
-    held = bought.groupBy("draw", "drawn_code", "_from", F.coalesce("_to", "_last").alias("_stop"), F.col("_to").isNotNull().alias("_sold")).agg(
-        F.sum("drawn_quantity").alias("_q"), F.first("_o").alias("_o"), F.first("_c").alias("_c"), F.first("_ie").alias("_ie"))
-    each = held.withColumn("di", F.explode(F.sequence(F.col("_from"), F.col("_stop"))))
-    marks = index.select(F.col("ts_code").alias("drawn_code"), "di", F.col("open").alias("_po"), F.col("pre_close").alias("_pp"), F.col("_i"), F.col("_before"))
-    joined = each.join(marks, ["drawn_code", "di"])
-    base = F.col("_q") * F.col("_c") / F.col("_ie")
-    fee = lambda notional: trade_fee(notional, profile)
-    first_day = F.col("_q") * (F.col("_c") - F.col("_o")) - fee(F.col("_q") * F.col("_o"))
-    exit_value = base * F.col("_before") * F.coalesce(F.col("_po") / usable_price(F.col("_pp")), F.lit(1.0))
-    last_day = exit_value - base * F.col("_before") - fee(exit_value)
-    gain = F.when(F.col("di") == F.col("_from"), first_day).when((F.col("di") == F.col("_stop")) & F.col("_sold"), last_day).otherwise(base * (F.col("_i") - F.col("_before")))
-    return joined.groupBy("draw", "di").agg(F.sum(gain).alias("pnl")).join(F.broadcast(days), "di").select("draw", "trade_date", "pnl")
+    ratio = F.coalesce(F.col("open") / usable_price(F.col("pre_close")), F.lit(1.0))
+    sale = F.struct("di", F.date_format("trade_date", "yyyyMMdd").alias("day"), F.col("_before").alias("before"), ratio.alias("ratio"))
+    ahead = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    open_ = ~F.col("is_suspended") & (F.col("open") > F.col("down_limit"))
+    return index.select("ts_code", "trade_date", "di", "open", "close", "up_limit", "is_suspended", "_i", "_before", F.first(F.when(open_, sale), ignorenulls=True).over(ahead).alias("sale"))
+
+
+MARKS = ("mark", "sale")
+
+
+def marked_pool(pool: DataFrame, marks: DataFrame) -> DataFrame:
+    """Pool names with what a holding of them needs: the entry bar (``mark``) and the first possible sale from the exit day (``sale``)."""
+    bought = ~F.col("is_suspended") & (F.col("open") < F.col("up_limit"))
+    entry = marks.select(F.col("trade_date").alias("entry_day"), "ts_code", F.struct("di", "open", "close", F.col("_i").alias("index"), bought.alias("bought")).alias("mark"))
+    exits = marks.select(F.col("trade_date").alias("_exit"), "ts_code", "sale")
+    return pool.join(entry, ["entry_day", "ts_code"]).join(exits, ["_exit", "ts_code"], "left")
+
+
+def drawn_pnl(picks: DataFrame, marks: DataFrame, draws: int, profile: Profile = Profile()) -> DataFrame:
+    """Daily profit of drawn holdings per (draw, day), with gates and costs on both sides.
+
+    ``picks`` are draws from a :func:`marked_pool`. A name that is halted or
+    opens at its upper limit on the entry day is not bought; a sale waits for
+    the first later day on which it can be made. Each lot pays its own costs: a
+    buy fills at the open, a sale at the open of its day (of a trip that leaves
+    on its entry day: at the close), both with slippage.
+
+    Between the two a holding is units of the name's index: each trip adds its
+    units once and takes them away once, and running sums along the calendar
+    times the index's steps give the profit. Rows are linear in trips and days;
+    no row is made for a day on which a trip is only held.
+    """
+    slip = profile.slippage_bps / 10_000.0
+    bought = picks.where("mark.bought")
+    shares = F.col("drawn_quantity")
+    paid, units = shares * F.col("mark.open") * (1 + slip), shares * F.col("mark.close") / F.col("mark.index")
+    entry_gain = shares * F.col("mark.close") - paid - trade_fee(paid, profile)
+    same_day = F.col("sale.di") == F.col("mark.di")
+    held = F.when(same_day, shares * F.col("mark.close")).otherwise(units * F.col("sale.before"))
+    value = F.when(same_day, held).otherwise(held * F.col("sale.ratio")) * (1 - slip)
+    exit_gain = value - held - trade_fee(value, profile) - stamp_duty(value, F.lit("sell"), F.col("sale.day"), profile)
+    row = lambda name, di, added, gain: F.struct(name.alias("ts_code"), di.cast("int").alias("di"), added.alias("units"), gain.alias("gain"))
+    nobody, zero, sold = F.lit(None).cast("string"), F.lit(0.0), F.col("sale.di").isNotNull()
+    events = F.array(
+        row(nobody, F.col("mark.di"), zero, entry_gain), F.when(sold, row(nobody, F.col("sale.di"), zero, exit_gain)),
+        F.when(~F.coalesce(same_day, F.lit(False)), row(F.col("drawn_code"), F.col("mark.di") + 1, units, zero)),
+        F.when(sold & ~same_day, row(F.col("drawn_code"), F.col("sale.di"), -units, zero)))
+    rows = bought.select("draw", F.explode(events).alias("e")).where("e is not null").select("draw", "e.*")
+    moved = materialise(rows.groupBy("ts_code", "draw", "di").agg(F.sum("units").alias("units"), F.sum("gain").alias("gain")))
+    days = date_index(marks)
+    last = days.agg(F.max("di")).first()[0] or 0
+    spark = picks.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved.count() // MOVES_A_PART))
+    part = F.pmod(F.xxhash64("ts_code"), F.lit(parts)).alias("part")
+    steps = marks.where("_before is not null").select(part, "ts_code", F.col("di").cast("int").alias("di"), (F.col("_i") - F.col("_before")).alias("step"))
+
+    def run(moves: pa.Table, steps: pa.Table) -> pa.Table:
+        total = np.zeros((draws, last + 2))
+        codes = moves.column("ts_code").combine_chunks().dictionary_encode()
+        name, number, day, units = codes.indices.to_numpy(), *(moves.column(c).to_numpy() for c in ("draw", "di", "units"))
+        place = {code: k for k, code in enumerate(codes.dictionary.to_pylist())}
+        owner = np.array([place.get(code, -1) for code in steps.column("ts_code").to_pylist()], np.int64)
+        at, step = steps.column("di").to_numpy(), steps.column("step").to_numpy()
+        order, steps_order = np.argsort(name, kind="stable"), np.argsort(owner, kind="stable")
+        bounds, steps_bounds = (np.searchsorted(x, np.arange(len(place) + 1)) for x in (name[order], owner[steps_order]))
+        for k in range(len(place)):
+            own, its = order[bounds[k]:bounds[k + 1]], steps_order[steps_bounds[k]:steps_bounds[k + 1]]
+            held, change = np.zeros((draws, last + 2)), np.zeros(last + 2)
+            np.add.at(held, (number[own], day[own]), units[own])
+            change[at[its]] = step[its]
+            total += np.cumsum(held, axis=1) * change
+        some = np.nonzero(total)
+        return pa.table({"draw": pa.array(some[0], pa.int32()), "di": pa.array(some[1], pa.int32()), "pnl": pa.array(total[some])})
+
+    holding = moved.where("ts_code is not null").select(part.alias("to"), "ts_code", "draw", "di", "units").groupBy("to").cogroup(steps.groupBy("part")).applyInArrow(run, "draw int, di int, pnl double")
+    pnl = holding.unionByName(moved.where("ts_code is null").select("draw", "di", F.col("gain").alias("pnl"))).groupBy("draw", "di").agg(F.sum("pnl").alias("pnl"))
+    return pnl.join(F.broadcast(days), "di").select("draw", "trade_date", "pnl")
 
 
 def baseline(pnl: DataFrame, curve: DataFrame, draws: int) -> DataFrame:
@@ -232,15 +302,16 @@ def baseline(pnl: DataFrame, curve: DataFrame, draws: int) -> DataFrame:
     return whole.select("trade_date", mean.alias("value"), (spread if draws > 1 else F.lit(0.0)).alias("draw_sd"))
 
 
-def draw_percentile(pnl: DataFrame, curve: DataFrame, draws: int) -> DataFrame:
-    """Where the book's compounded return stands among the draws'."""
+def draw_distribution(pnl: DataFrame, curve: DataFrame, draws: int) -> DataFrame:
+    """Where the book's compounded return stands among the draws': their mean, spread, tails, and the share at or below it."""
     order = Window.orderBy("trade_date")
     capital = curve.select("trade_date", F.coalesce(F.lag("equity").over(order), F.col("initial_equity")).alias("capital"))
     per_draw = pnl.join(F.broadcast(capital), "trade_date").groupBy("draw").agg((F.exp(F.sum(F.log1p(F.col("pnl") / F.col("capital")))) - 1).alias("_x"))
     every = curve.sparkSession.range(draws).select(F.col("id").cast("int").alias("draw")).join(per_draw, "draw", "left").na.fill(0.0, ["_x"])
     own = curve.agg((F.max_by("equity", "trade_date") / F.min_by("initial_equity", "trade_date") - 1).alias("observed"))
     return every.join(F.broadcast(own)).groupBy("observed").agg(
-        F.count(F.lit(1)).alias("draws"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), F.avg(F.when(F.col("_x") < F.col("observed"), 1.0).otherwise(0.0)).alias("percentile"))
+        F.count(F.lit(1)).alias("draws"), F.avg("_x").alias("mean"), F.stddev_samp("_x").alias("sd"), F.percentile("_x", F.lit(0.05)).alias("p05"),
+        F.percentile("_x", F.lit(0.95)).alias("p95"), F.avg(F.when(F.col("_x") <= F.col("observed"), 1.0).otherwise(0.0)).alias("share_at_or_below"))
 
 
 def carried_limit(limit: Column, own_pre_close: Column, new_pre_close: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.values import DRAW_PRIME
 from ..operators import calendar as cal_ops, executions as ops, signals, text as text_ops, topk
 from ..registry import query
 from ..session import materialise
@@ -101,6 +102,29 @@ def matched_trips(spark, sf):
     return trips, pool, ranked
 
 
+# Pools of names that are in the benchmark as the trip's own name is, by the section in force before the entry.
+MEMBER_SQL = ("sec as (select trade_date as section, ts_code from daily where mi % 3 = 0 and circ_mv > 100000 and pb > 0)",
+              "sday as (select trade_date, (select max(section) from sec where section < t.trade_date) as section from (select distinct trade_date from daily where trade_date >= date '1995-06-01') t)",
+              "mem as (select d.*, w.ts_code is not null as member from daily d join sday using (trade_date) left join sec w on w.section = sday.section and w.ts_code = d.ts_code)")
+
+
+@query("ex03_membership_pool", with_sql(*TRIP_SQL, *MEMBER_SQL) + """
+select o, l, p, tp.ts_code, strftime(exit_day, '%Y%m%d') as exit_day, cast(qty as bigint) as quantity, m.member, (select count(*) from mem c where c.trade_date = tp.entry_day and c.member = m.member and c.ts_code <> tp.ts_code and right(c.ts_code, 3) <> '.BJ'
+   and c.open * case when c.ts_code like '688%' then 200 else 100 end <= tp.notional and (tp.exit_day is null or exists (select 1 from mem x where x.trade_date = tp.exit_day and x.ts_code = c.ts_code))) as pool_size
+from tp join mem m on m.trade_date = tp.entry_day and m.ts_code = tp.ts_code""")
+def _(spark, sf):
+    from ..operators import membership
+    trips, _, ranked = matched_trips(spark, sf)
+    weights = ranked.where("mi % 3 = 0 and circ_mv > 100000 and pb > 0").select("trade_date", F.col("ts_code").alias("con_code"))
+    dated = ranked.where("trade_date >= date '1995-06-01'")
+    marks = membership.members_before(dated.select(F.col("trade_date").alias("entry_day"), "ts_code"), weights)
+    flagged = materialise(dated.join(marks.select(F.col("entry_day").alias("trade_date"), "ts_code", F.col("is_member").alias("member")), ["trade_date", "ts_code"]))
+    own = flagged.select(F.col("trade_date").alias("entry_day"), "ts_code", "member")
+    trips = materialise(trips.join(own, ["entry_day", "ts_code"]))
+    pool = materialise(ops.pool_positions(trips, flagged, "member", BOARDS))
+    return ops.affordable(trips, pool, "member").select("o", "l", "p", "ts_code", day("exit_day"), "quantity", "member", "pool_size")
+
+
 @query("ex03_candidate_pool", with_sql(*TRIP_SQL) + """
 select o, l, p, ts_code, strftime(exit_day, '%Y%m%d') as exit_day, cast(qty as bigint) as quantity, (select count(*) from dec c where c.trade_date = tp.entry_day and c.decile = tp.decile and c.ts_code <> tp.ts_code and right(c.ts_code, 3) <> '.BJ'
    and c.open * case when c.ts_code like '688%' then 200 else 100 end <= tp.notional and (tp.exit_day is null or exists (select 1 from daily x where x.trade_date = tp.exit_day and x.ts_code = c.ts_code))) as pool_size from tp""")
@@ -114,16 +138,22 @@ TRIP_ID = ["entry_day", "ts_code", "quantity", "o", "l", "p"]
 
 
 def picks(spark, sf):
+    """The draws, the marks of their pools, and the ranked bars."""
+    from ..operators.screen import date_index
     trips, pool, ranked = matched_trips(spark, sf)
-    return ops.draw(ops.affordable(trips, pool, "decile"), pool, "decile", DRAWS, 7, TRIP_ID), ranked
+    marks = materialise(ops.price_marks(ranked, date_index(ranked)))
+    known = ops.marked_pool(pool, marks)
+    return ops.draw(ops.affordable(trips, pool, "decile"), known, "decile", DRAWS, 7, TRIP_ID, ops.MARKS), marks, ranked
 
 
-# Each trip's affordable names in order of cost, and the pick of every draw by digest.
+# Each trip's affordable names in order of cost, and the pick of every draw: the trip's number times the draw's factor.
 PICK_SQL = f"""tw as (select *, cast(qty as bigint) as quantity, row_number() over (partition by entry_day, ts_code, qty, o, l, p order by exit_day nulls last) as twin from tp),
    cd as (select tw.*, c.ts_code as code, c.open as pool_open, c.open * case when c.ts_code like '688%' then 200 else 100 end as cost from tw join dec c on c.trade_date = tw.entry_day and c.decile = tw.decile and c.ts_code <> tw.ts_code
      where right(c.ts_code, 3) <> '.BJ' and c.open > 0 and cost <= notional and (tw.exit_day is null or exists (select 1 from daily x where x.trade_date = tw.exit_day and x.ts_code = c.ts_code))),
-   po as (select o, l, p, ts_code, quantity, notional, entry_day, exit_day, twin, count(*) as pool_size, list(code order by cost, code) as codes, list(pool_open order by cost, code) as opens from cd group by all),
-   pk as (select po.*, draw, cast('0x' || substr(md5(concat_ws('|', '7', draw, entry_day, ts_code, quantity, o, l, p, twin)), 1, 15) as bigint) % pool_size + 1 as spot from po, (select unnest(range({DRAWS})) as draw))"""
+   po as (select o, l, p, ts_code, quantity, notional, entry_day, exit_day, twin, count(*) as pool_size, list(code order by cost, code) as codes, list(pool_open order by cost, code) as opens,
+     cast('0x' || substr(md5(concat_ws('|', '7', entry_day, ts_code, quantity, o, l, p, twin)), 1, 15) as bigint) % {DRAW_PRIME - 1} + 1 as start from cd group by all),
+   fa as (select draw, cast('0x' || substr(md5(concat_ws('|', '7', draw)), 1, 15) as bigint) % {DRAW_PRIME - 1} + 1 as factor from (select unnest(range({DRAWS})) as draw)),
+   pk as (select po.*, draw, (start * factor % {DRAW_PRIME}) * pool_size // {DRAW_PRIME} + 1 as spot from po, fa)"""
 
 
 @query("ex05_seeded_draw", with_sql(*TRIP_SQL, PICK_SQL) + """
@@ -133,30 +163,47 @@ def _(spark, sf):
     return picks(spark, sf)[0].select("draw", "o", "l", "p", "ts_code", day("entry_day"), "drawn_code", "drawn_quantity", "pool_size")
 
 
-# Daily profit of the drawn holdings: bought at the open unless halted or at the limit, valued by growth over the previous close.
+# Daily profit of the drawn holdings: bought at the open unless halted or at the limit, valued by growth over the
+# previous close, sold on the first day from the exit on which it is neither halted nor at its lower limit.
 _FEE = "(greatest({0} * 2.5 / 10000.0, 5.0) + {0} * 0.1 / 10000.0)"
-PROFIT_SQL = f"""ix as (select ts_code, di, open, pre_close, close, up_limit, is_suspended, exp(sum(coalesce(ln(close / case when pre_close > 0 then pre_close end), 0)) over (partition by ts_code order by di)) as i from daily join dd using (trade_date)),
-   ib as (select *, lag(i) over (partition by ts_code order by di) as before from ix),
-   dp as (select draw, codes[spot] as code, a.di as f, b.di as t, case when codes[spot] like '688%' then floor(notional / opens[spot]) else floor(notional / opens[spot] / 100) * 100 end as dq
+_SALE = f"({_FEE} + {{0}} * 10.0 / 10000.0)"
+PROFIT_SQL = f"""ix as (select ts_code, di, open, pre_close, close, up_limit, down_limit, is_suspended, exp(sum(coalesce(ln(close / case when pre_close > 0 then pre_close end), 0)) over (partition by ts_code order by di)) as i from daily join dd using (trade_date)),
+   ib as (select *, lag(i) over (partition by ts_code order by di) as before, min(case when not is_suspended and open > down_limit then di end) over (partition by ts_code order by di rows between current row and unbounded following) as out_di from ix),
+   dp as (select draw, codes[spot] as code, a.di as f, b.di as t, case when codes[spot] like '688%' then floor(notional / opens[spot]) else floor(notional / opens[spot] / 100) * 100 end as n
      from pk join dd a on a.trade_date = entry_day left join dd b on b.trade_date = exit_day),
-   bt as (select dp.*, e.open as o, e.close as c, e.i as ie from dp join ib e on e.ts_code = code and e.di = f where not e.is_suspended and e.open < e.up_limit),
-   hd as (select draw, code, f, coalesce(t, (select max(di) from dd)) as stop, t is not null as sold, sum(dq) as n, any_value(o) as o, any_value(c) as c, any_value(ie) as ie from bt group by all),
-   mk as (select hd.*, m.di, m.i, m.before, n * c / ie as base, n * c / ie * m.before * coalesce(m.open / case when m.pre_close > 0 then m.pre_close end, 1) as leave from hd join ib m on m.ts_code = code and m.di between f and stop),
-   gn as (select draw, di, sum(case when di = f then n * (c - o) - {_FEE.format("(n * o)")} when di = stop and sold then leave - base * before - {_FEE.format("leave")} else base * (i - before) end) as pnl from mk group by all),
+   bt as (select dp.*, e.open as o, e.close as c, n * e.close / e.i as base, x.out_di as x from dp join ib e on e.ts_code = code and e.di = f left join ib x on x.ts_code = code and x.di = t where not e.is_suspended and e.open < e.up_limit),
+   sv as (select bt.*, case when x = f then n * c else base * m.before end as held, case when x = f then n * c else base * m.before * coalesce(m.open / case when m.pre_close > 0 then m.pre_close end, 1) end * 0.999 as v from bt join ib m on m.ts_code = code and m.di = x),
+   gn as (select draw, di, sum(g) as pnl from (
+     select draw, f as di, n * c - n * o * 1.001 - {_FEE.format("(n * o * 1.001)")} as g from bt
+     union all select draw, x, v - held - {_SALE.format("v")} from sv
+     union all select draw, m.di, base * (m.i - m.before) from bt join ib m on m.ts_code = code and m.di > f and (x is null or m.di < x)) group by all),
    eq as (select trade_date, di, cash + coalesce(h, 0) as equity from ca left join hv using (run_id, di)),
    cp as (select trade_date, di, coalesce(lag(equity) over (order by di), 1e9) as capital from eq),
    rt as (select trade_date, coalesce(sum(pnl / capital), 0) as s, coalesce(sum(pnl / capital * (pnl / capital)), 0) as ss from cp left join gn using (di) group by trade_date)"""
 
 
+def drawn_book(spark, sf):
+    """Daily profits of the draws, and the book's own curve."""
+    drawn, marks, d = picks(spark, sf)
+    return ops.drawn_pnl(drawn, marks, DRAWS), ops.book_curve(book(spark, sf), d, 1e9)
+
+
 @query("ex06_random_baseline", with_sql(*TRIP_SQL, PICK_SQL, curve_sql("tb"), PROFIT_SQL) + f"""
 select strftime(trade_date, '%Y%m%d') as trade_date, round(s / {DRAWS}, 9) as value, round(sqrt(greatest(0.0, (ss - s * s / {DRAWS}) / {DRAWS - 1})), 7) as draw_sd from rt""")
 def _(spark, sf):
-    drawn, d = picks(spark, sf)
-    curve = ops.book_curve(book(spark, sf), d, 1e9)
-    out = ops.baseline(ops.drawn_pnl(drawn, d), curve, DRAWS)
+    out = ops.baseline(*drawn_book(spark, sf), DRAWS)
     return out.select(day("trade_date"), r(F.col("value"), 9).alias("value"), r(F.col("draw_sd"), 7).alias("draw_sd"))
 
 
+@query("ex06_draw_distribution", with_sql(*TRIP_SQL, PICK_SQL, curve_sql("tb"), PROFIT_SQL, "xs as (select fa.draw, exp(coalesce(sum(ln(1 + pnl / capital)), 0)) - 1 as x from fa left join (gn join cp using (di)) using (draw) group by fa.draw)",
+       "ob as (select arg_max(equity, di) / 1e9 - 1 as observed from eq)") + """
+select round(observed, 7) as observed, count(*) as draws, round(avg(x), 7) as mean, round(stddev_samp(x), 7) as sd, round(quantile_cont(x, 0.05), 7) as p05, round(quantile_cont(x, 0.95), 7) as p95, avg(case when x <= observed then 1.0 else 0.0 end) as share_at_or_below
+from xs, ob group by observed""")
+def _(spark, sf):
+    out = ops.draw_distribution(*drawn_book(spark, sf), DRAWS)
+    return out.select("draws", "share_at_or_below", *[r(F.col(c), 7).alias(c) for c in ("observed", "mean", "sd", "p05", "p95")])
+
+
 @query("ex07_carried_limit", with_sql(DAILY_SQL, "n as (select trade_date, ts_code, low, pre_close from daily where pre_close is not null)", "o as (select trade_date, arg_max(pre_close, ts_code) as other from n group by all)") + """
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, floor(low / pre_close * other * 100 + 0.5) / 100 as carried from n join o using (trade_date)""")
 def _(spark, sf):
