@@ -143,7 +143,7 @@ def test_clashing_names_come_back(spark):
 
 
 def test_small_blocks_give_the_same(spark, table_of, monkeypatch):
-    monkeypatch.setattr(jaccard, "_blocked", partial(jaccard._blocked, blocks=3))
+    monkeypatch.setattr(jaccard, "_blocked", partial(jaccard._blocked, block_bytes=600))
     monkeypatch.setattr(jaccard, "_across", partial(jaccard._across, block=4))
     rows = list(enumerate(corpus(5, 160)))
     got = jaccard.jaccard_components(table_of([(d, t, 1) for d, t in rows]))

@@ -13,11 +13,10 @@ differences; should even that not suffice, its single shingles. Sets that stradd
 the next band as well. Equal sets are one node from the start.
 
 Subsets travel packed by hash range. Sets that meet are verified exactly: first
-each bucket's first set against the others, then as many pairs as would join the
-rest of a bucket, then, among what is still unconnected, every remaining
-candidate. Before shingles are fetched, counts of them in a few cells, which
+each bucket's first set against the others, then, among what is still
+unconnected, every remaining candidate. Before shingles are fetched, counts of them in a few cells, which
 never differ more than the sets, rule out most unlike pairs. Pairs are verified
-in blocks around their hubs, so that a set travels once for all its pairs of a
+in blocks around their hubs, so that a text travels once for all its pairs of a
 block and not once a pair; large buckets are compared block against block. So
 copies of one text cost a few checks each, and no link between different texts
 is lost.
@@ -62,9 +61,9 @@ COMMON = 50_000
 COMMON_IN_SLICE, COMMON_A_TASK = 8, 5_000
 #: Cells of the counts that tell most unlike sets apart before their shingles are compared.
 CELLS = 256
-#: Sets of a block around a hub whose pairs one task verifies, and of a block of a bucket.
-HUB_BLOCK, BUCKET_BLOCK = 64, 512
-#: Bytes of packed rows that one task gathers.
+#: Sets of a block of a bucket.
+BUCKET_BLOCK = 512
+#: Bytes of packed rows, or of sets around a hub, that one task gathers.
 PART_BYTES = 32 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
@@ -271,12 +270,21 @@ def _meet(docs: DataFrame, words: int, common: list[tuple[int, int]], shingles:
     return packed.groupBy("part").applyInArrow(gather, "a long, b long, members array<long>")
 
 
-def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> DataFrame:
-    """Rows (node, k1, n, profile) of the sets of ``wanted(rep, node)``, whose text the document ``rep`` has.
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (rep, th, text) that ``wanted(rep, th)`` names, each once."""
+    held = filter_of(wanted.select("rep"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for record in batches:
+            yield record.filter(pa.array(may_hold(held.value, record.column(0).to_numpy())))
 
-    The profile is the shingles themselves (``full``), or counts of shingles in
-    ``CELLS`` cells: the counts of two sets differ in all by no more than the
-    sets do.
+    return docs.select("doc_id", "th", "text").mapInArrow(run, "rep long, th long, text string").dropDuplicates(["rep", "th"])
+
+
+def _profiles(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """Rows (node, k1, n, profile) of the sets of ``wanted(rep, th, node)``: their shingles counted in ``CELLS`` cells.
+
+    The counts of two sets differ in all by no more than the sets do.
     """
     held = filter_of(wanted.select("rep"))
 
@@ -285,12 +293,9 @@ def _profiles(docs: DataFrame, words: int, wanted: DataFrame, full: bool) -> Dat
             record = record.filter(pa.array(may_hold(held.value, record.column(0).to_numpy())))
             for start, stop in slices(record.column(1)):
                 keys, bounds, sets = shingle_sets(record.column(1).slice(start, stop - start), words)
-                if full:
-                    packed = [keys[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                else:
-                    of = np.repeat(np.arange(len(sets)), np.diff(bounds))
-                    cells = np.bincount(of * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS * len(sets))
-                    packed = [row.tobytes() for row in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
+                of = np.repeat(np.arange(len(sets)), np.diff(bounds))
+                cells = np.bincount(of * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS * len(sets))
+                packed = [row.tobytes() for row in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
                 yield pa.RecordBatch.from_arrays([names_of(sets), pa.array(sets[:, 0]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["node", "k1", "n", "profile"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "node binary, k1 long, n long, profile binary")
@@ -326,32 +331,41 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _blocked(pairs: DataFrame, sizes: DataFrame, blocks: int = HUB_BLOCK) -> DataFrame:
-    """Pairs (a, b) with a task number ``part``: pairs around one hub meet there, in blocks of its sets.
+def _blocked(pairs: DataFrame, sizes: DataFrame, block_bytes: int = PART_BYTES) -> DataFrame:
+    """Pairs (a, b) with a task number ``part``: pairs around one hub meet there.
 
-    A set's hub is the least of it and its partners. A hub's sets are dealt
-    into blocks of some ``blocks``; the pairs between two blocks share a part.
+    A set's hub is the least of it and its partners. A hub whose sets exceed
+    ``block_bytes`` is dealt into blocks of them; the pairs between two blocks
+    share a part.
     """
     spark = pairs.sparkSession
     both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
     hubs = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("hub"))
     around = pairs.join(hubs.toDF("a", "hub_a"), "a").join(hubs.toDF("b", "hub_b"), "b").select("a", "b", F.least("hub_a", "hub_b").alias("hub"))
     members = around.select("hub", F.explode(F.array("a", "b")).alias("node")).distinct()
-    counts = members.join(sizes, "node").groupBy("hub").agg(F.ceil(F.count("*") / blocks).alias("blocks"), F.sum("n").alias("shingles"))
+    counts = members.join(sizes, "node").groupBy("hub").agg(F.sum("n").alias("shingles"))
+    counts = counts.withColumn("blocks", F.ceil(8 * F.col("shingles") / block_bytes))
     parts = parts_for(spark, 8 * int(counts.agg(F.sum("shingles")).first()[0] or 0))
     of = lambda side: F.pmod(F.xxhash64(side), F.col("blocks"))
     dealt = around.join(counts, "hub").select("a", "b", "hub", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
     return dealt.select("a", "b", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(parts)).alias("part"))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that reach the threshold."""
-    blocked = materialise(_blocked(pairs, sizes))
-    sends = blocked.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = _profiles(docs, words, wanted.join(sends, "node", "left_semi"), full=True).select("node", "profile")
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
+    """The pairs (a, b) of sets that reach the threshold.
 
-    def run(sets: pa.Table, pairs: pa.Table) -> pa.Table:
-        held = {k: np.frombuffer(v, np.uint64) for k, v in zip(sets.column("node").to_pylist(), sets.column("profile").to_pylist(), strict=True)}
+    Texts travel, not their sets, which are larger: each once for all its pairs
+    of a part.
+    """
+    blocked = materialise(_blocked(pairs, wanted.select("node", "n")))
+    sends = blocked.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.select("node", "rep", "th"), "node").select("to", "rep", "th")
+    texts = sends.join(_texts(docs, sends), ["rep", "th"]).select("to", "text")
+
+    def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
+        held, column = {}, texts.column("text").combine_chunks()
+        for start, stop in slices(column):
+            keys, bounds, sets = shingle_sets(column.slice(start, stop - start), words)
+            held |= {row.tobytes(): keys[a:b] for row, a, b in zip(np.ascontiguousarray(sets), bounds[:-1], bounds[1:], strict=True)}
         keep = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True):
             both = np.concatenate([held[a], held[b]])
@@ -360,16 +374,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame,
             keep.append(OF * common >= AT_LEAST * (len(both) - common))
         return pairs.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sends.join(sets, "node").groupBy("to").cogroup(blocked.groupBy("part")).applyInArrow(run, "a binary, b binary")
+    return texts.groupBy("to").cogroup(blocked.groupBy("part")).applyInArrow(run, "a binary, b binary")
 
 
-def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool, block: int = BUCKET_BLOCK) -> DataFrame:
+def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
     """Pairs (a, b) of sets in different components that share a larger bucket and may reach the threshold.
 
     ``nodes`` has node, k1, n and the counts by cell, ``labels`` node and label.
-    A bucket is compared block against block, each task holding two blocks. With
-    ``forest`` they give only as many pairs as would join what may be joined in
-    them; else all.
+    A bucket is compared block against block, each task holding two blocks.
     """
     named = nodes.select("node", "k1").join(labels, "node")
     buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").distinct()
@@ -395,15 +407,7 @@ def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, forest: bool,
                 for i in range(len(node) - 1):
                     end = int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right"))
                     at = i + 1 + np.flatnonzero((label[i + 1:end] != label[i]) & (own[i + 1:end] != own[i]))
-                    at = at[_near(n[i], n[at], cells[i], cells[at])]
-                    if forest:
-                        chosen = []
-                        while len(at):
-                            chosen.append(at[0])
-                            label[label == label[at[0]]] = label[i]
-                            at = at[label[at] != label[i]]
-                        at = np.array(chosen, np.int64)
-                    pairs += [(node[i], node[x]) for x in at]
+                    pairs += [(node[i], node[x]) for x in at[_near(n[i], n[at], cells[i], cells[at])]]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], ["a", "b"])
 
@@ -419,22 +423,20 @@ def _linked(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame, DataFram
     filled = sizes.where("doc_id is not null and n > 0")
     shingles = filled.agg(F.sum("n")).first()[0] or 0
     found = materialise(_meet(live, words, [tuple(r) for r in common], shingles))
-    classes = filled.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("k1").alias("k1"))
+    first = F.min(F.struct("doc_id", "th")).alias("first")
+    classes = filled.groupBy("node").agg(first, F.first("n").alias("n"), F.first("k1").alias("k1")).select("node", F.col("first.doc_id").alias("rep"), F.col("first.th").alias("th"), "n", "k1")
 
     pairs = found.where("members is null").select("a", "b").distinct()
     met = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "node", "n"))
-    nodes = materialise(_profiles(live, words, wanted, full=False))
+    wanted = materialise(classes.join(met, "k1", "left_semi").select("rep", "th", "node", "n"))
+    nodes = materialise(_profiles(live, words, wanted))
 
-    # Each round verifies few pairs for each set; only what they leave apart is compared in full.
-    counted = wanted.select("node", "n")
+    # First each bucket's first set against the others; then what that left apart.
     tried = materialise(_near_pairs(pairs, nodes))
-    links = materialise(_verified(tried, live, words, wanted, counted))
-    for forest in (True, False):
-        labels = materialise(nodes.select("node").join(components(links).toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
-        open_pairs = materialise(_across(found, nodes, labels, forest).join(tried, ["a", "b"], "left_anti"), instead_of=[labels])
-        links = materialise(links.union(_verified(open_pairs, live, words, wanted, counted)), instead_of=[links])
-        tried = tried.union(open_pairs)
+    links = materialise(_verified(tried, live, words, wanted))
+    labels = materialise(nodes.select("node").join(components(links).toDF("node", "component"), "node", "left").select("node", F.coalesce("component", "node").alias("label")))
+    open_pairs = materialise(_across(found, nodes, labels).join(tried, ["a", "b"], "left_anti"), instead_of=[labels])
+    links = materialise(links.union(_verified(open_pairs, live, words, wanted)), instead_of=[links])
     discard(found, nodes, wanted)
     return sizes, classes, links
 
