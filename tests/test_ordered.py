@@ -6,11 +6,12 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join
 from tidemark.operators.executions import deciles, round_trips, unpaired_sells
-from tidemark.operators.ordered import Running, average_rank, keep_first, keep_last, quantiles, running
+from tidemark.operators.ordered import Running, average_rank, day_quantiles, day_rank, keep_first, keep_last, lay_out, quantiles, running, windowed
 
 
 def skewed(spark, rows=900, seed=3):
@@ -20,47 +21,48 @@ def skewed(spark, rows=900, seed=3):
     return spark.createDataFrame(data, "key string, at int, qty int, val double").repartition(5)
 
 
+@pytest.fixture
+def many_tasks(spark):
+    """Small tables keep their range partitions, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 SPECS = {
     "total": Running("sum", "qty"), "before": Running("sum", "qty", exclusive=True), "top": Running("max", "val"), "held": Running("last", "val"),
 }
 
 
-def test_chunked_running_matches_window(spark):
-    df = skewed(spark)
+@pytest.mark.parametrize("seed", [3, 4])
+def test_running_over_range_partitions_matches_windows(spark, many_tasks, seed):
+    """Hot and null keys span several tasks; both directions."""
+    df = skewed(spark, seed=seed)
+    laid = lay_out(df, ["key"], ["at"])
+    assert laid.groupBy("key").agg(F.count_distinct("_task").alias("n")).agg(F.max("n")).first()[0] > 1
     for backwards in (False, True):
-        plain = running(df, ["key"], ["at"], SPECS, backwards=backwards).toPandas().sort_values("at").reset_index(drop=True)
-        split = running(df, ["key"], ["at"], SPECS, backwards=backwards, max_group_rows=25).toPandas().sort_values("at").reset_index(drop=True)
+        plain = windowed(df, ["key"], ["at"], SPECS, backwards).toPandas().sort_values("at").reset_index(drop=True)
+        split = running(df, ["key"], ["at"], SPECS, backwards=backwards).toPandas().sort_values("at").reset_index(drop=True)
         pd.testing.assert_frame_equal(plain, split[plain.columns])
 
 
-def test_a_null_key_is_a_group_like_any_other(spark):
-    df = skewed(spark, seed=4)
-    plain = running(df, ["key"], ["at"], SPECS).toPandas().sort_values("at").reset_index(drop=True)
-    split = running(df, ["key"], ["at"], SPECS, max_group_rows=25).toPandas().sort_values("at").reset_index(drop=True)
-    pd.testing.assert_frame_equal(plain, split[plain.columns])
-    ranks = [average_rank(df, ["key"], "val", "rank", max_group_rows=limit).toPandas().sort_values("at")["rank"].to_numpy(float) for limit in (10**6, 20)]
-    np.testing.assert_allclose(*ranks, equal_nan=True)
-
-
-def test_chunks_cut_only_hot_groups(spark):
-    from tidemark.operators.ordered import add_chunks
-
-    chunks = add_chunks(skewed(spark), ["key"], ["at"], 40).groupBy("key", "_chunk").count().toPandas()
-    hot = chunks[chunks.key == "hot"]
-    assert len(hot) > 10
-    assert hot["count"].max() < 200
-    assert (hot.sort_values("_chunk")["count"] > 0).all()
+def test_running_over_the_whole_table(spark, many_tasks):
+    df = skewed(spark)
+    got = running(df, [], ["at"], SPECS).toPandas().sort_values("at")
+    want = df.toPandas().sort_values("at")
+    np.testing.assert_allclose(got["total"], want["qty"].cumsum())
+    np.testing.assert_allclose(got["held"].astype(float), want["val"].ffill(), equal_nan=True)
 
 
-def test_rank_and_quantile_paths_match_pandas(spark):
+def test_ranks_and_quantiles_match_pandas(spark, many_tasks):
     df = skewed(spark)
     pdf = df.toPandas()
-    expected = pdf.groupby("key")["val"].rank(method="average")
-    for limit in (10**6, 20):
-        got = average_rank(df, ["key"], "val", "rank", max_group_rows=limit, count_name="n").toPandas().sort_values("at").reset_index(drop=True)
-        want = pdf.assign(want=expected).sort_values("at").reset_index(drop=True)["want"]
-        np.testing.assert_allclose(got["rank"].astype(float), want, equal_nan=True)
-        cuts = quantiles(df, ["key"], "val", {"low": 0.3, "high": 0.85}, max_group_rows=limit).toPandas().set_index("key")
+    want = pdf.assign(want=pdf.groupby("key")["val"].rank(method="average")).sort_values("at").reset_index(drop=True)["want"]
+    any_size = average_rank(df, ["key"], "val", "rank", count_name="n")
+    for got in (any_size, df.withColumn("rank", day_rank(["key"], "val"))):
+        np.testing.assert_allclose(got.toPandas().sort_values("at")["rank"].astype(float), want, equal_nan=True)
+    for make in (quantiles, day_quantiles):
+        cuts = make(df, ["key"], "val", {"low": 0.3, "high": 0.85}).toPandas().set_index("key")
         for name, q in (("low", 0.3), ("high", 0.85)):
             np.testing.assert_allclose(cuts[name].sort_index(), pdf.groupby("key")["val"].quantile(q).reindex(cuts.index).sort_index())
 
@@ -92,20 +94,19 @@ def fifo(rows):
     return sorted(trips + [(at, None, qty) for at, qty in lots], key=str), lost
 
 
-def test_round_trips_match_row_by_row(spark):
+def test_round_trips_match_row_by_row(spark, many_tasks):
     rng = random.Random(11)
-    data = {f"s{n}": [(i, rng.choice(["buy", "sell"]), rng.randrange(1, 9)) for i in range(rng.randrange(1, 60))] for n in range(30)}
+    data = {f"s{n}": [(i, rng.choice(["buy", "sell"]), rng.randrange(1, 9)) for i in range(600 if n == 0 else rng.randrange(1, 60))] for n in range(30)}
     rows = [(symbol, at, action, qty) for symbol, seq in data.items() for at, action, qty in seq]
     df = spark.createDataFrame(rows, "ts_code string, at int, action string, quantity long").repartition(6)
-    for limit in (10**6, 12):
-        got = round_trips(df, ["ts_code"], ["at"], ["at"], max_group_rows=limit).toPandas()
-        lost = dict(unpaired_sells(df, ["ts_code"], ["at"], max_group_rows=limit).collect())
-        for symbol, seq in data.items():
-            trips, unpaired = fifo(seq)
-            mine = got[got.ts_code == symbol]
-            pairs = sorted([(int(e), None if pd.isna(x) else int(x), int(q)) for e, x, q in zip(mine.entry_at, mine.exit_at, mine.trip_quantity)], key=str)
-            assert pairs == trips
-            assert lost.get(symbol, 0) == unpaired
+    got = round_trips(df, ["ts_code"], ["at"], ["at"]).toPandas()
+    lost = dict(unpaired_sells(df, ["ts_code"], ["at"]).collect())
+    for symbol, seq in data.items():
+        trips, unpaired = fifo(seq)
+        mine = got[got.ts_code == symbol]
+        pairs = sorted([(int(e), None if pd.isna(x) else int(x), int(q)) for e, x, q in zip(mine.entry_at, mine.exit_at, mine.trip_quantity)], key=str)
+        assert pairs == trips
+        assert lost.get(symbol, 0) == unpaired
 
 
 def test_asof_join_matches_merge_asof(spark):
@@ -120,7 +121,7 @@ def test_asof_join_matches_merge_asof(spark):
 
 def test_deciles_share_ties(spark):
     df = spark.createDataFrame([("d", f"c{i}", float(i // 5)) for i in range(50)], "trade_date string, ts_code string, circ_mv double")
-    got = deciles(df, group_rows=50).toPandas()
+    got = deciles(df).toPandas()
     assert got.groupby("circ_mv")["decile"].nunique().eq(1).all()
     want = np.minimum((got["circ_mv"].rank(method="min", pct=True) * 10).astype(int), 9)
     assert (got["decile"] == want).all()

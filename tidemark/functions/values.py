@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .times import months_after_rolling
 
@@ -18,17 +19,25 @@ DIVIDEND_TAX_CUTOVER = "20150908"
 DIVIDEND_TAX_FLOOR = "20130101"
 
 
-def canonical(value: Column) -> Column:
+def canonical(value: Column, kind: T.DataType | None = None) -> Column:
     """One text per value: ``1.0``, ``1`` and ``1e0`` agree, empty markers are ''.
 
     Every digit counts: a number is written out plainly, whatever its length.
-    Only exponents beyond three digits keep a power, of one fixed form.
+    Only exponents beyond three digits keep a power, of one fixed form. A known
+    ``kind`` of column picks the cheapest form when the plan is made.
     """
     text = F.trim(value.cast("string"))
+    if isinstance(kind, (T.IntegralType, T.DateType, T.BooleanType)):
+        return F.coalesce(value.cast("string"), F.lit(""))
+    if isinstance(kind, T.DecimalType):
+        short = F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if kind.scale else text
+        return F.when(text.isNull(), F.lit("")).when(value == 0, F.lit("0")).otherwise(short)
     empty = text.isNull() | F.lower(text).isin("nan", "none", "nat", "")
+    # Only a text that begins like a number can be one.
+    numeric = F.instr(F.lit("+-.0123456789"), F.substring(text, 1, 1)) > 0
     plain = text.rlike(r"^(0|-?[1-9]\d*|-?(0|[1-9]\d*)\.\d*[1-9])$")
     number = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d{1,8})?$")
-    return F.when(empty, F.lit("")).when(plain, text).when(number, _written_out(text)).otherwise(text)
+    return F.when(empty, F.lit("")).when(~numeric, text).when(plain, text).when(number, _written_out(text)).otherwise(text)
 
 
 def _written_out(text: Column) -> Column:

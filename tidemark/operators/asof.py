@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import catalog
 from ..functions.times import ceil_second
-from .ordered import Running, running
+from .ordered import Running, running, windowed
 
 
 def visible_from(available: Column, first_seen: Column | None = None) -> Column:
@@ -173,20 +173,22 @@ def latest_vintage(df: DataFrame, when: Column, vintage: str = "vintage") -> Dat
 
 def asof_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_on: str, right_on: str, take: Sequence[str],
-    *, strict: bool = False, prefix: str = "", group_rows: int | None = None,
+    *, strict: bool = False, prefix: str = "", bounded: bool = False,
 ) -> DataFrame:
     """Latest right row at or before (``strict``: before) each left row.
 
     Both sides are stacked and one running value carries the right payload
-    along time, so no pair of rows is ever formed and hot keys split. Right
-    rows sharing a key and an instant collapse to the largest payload.
+    along time, so no pair of rows is ever formed and hot keys split. With
+    ``bounded`` (keys hold no more than the days of a calendar) it is a plain
+    window. Right rows sharing a key and an instant collapse to the largest payload.
     """
     payload = F.struct(*[F.col(name) for name in take])
     single = right.groupBy(*keys, F.col(right_on).alias("_time")).agg(F.max(payload).alias("_right"))
     whole = F.struct(*[F.col(name) for name in left.columns])
     queries = left.select(*keys, F.col(left_on).alias("_time"), F.lit(0 if strict else 2).alias("_side"), whole.alias("_left"))
     stacked = queries.unionByName(single.withColumn("_side", F.lit(1)), allowMissingColumns=True)
-    done = running(stacked, keys, ["_time", "_side"], {"_found": Running("last", "_right")}, group_rows=group_rows)
+    found = {"_found": Running("last", "_right")}
+    done = windowed(stacked, keys, ["_time", "_side"], found) if bounded else running(stacked, keys, ["_time", "_side"], found)
     kept = done.where(F.col("_left").isNotNull())
     return kept.select("_left.*", *[F.col(f"_found.{name}").alias(f"{prefix}{name}") for name in take])
 

@@ -17,7 +17,8 @@ from ..functions.codes import LOT, any_size_minimum, board, lot_quantity
 from ..functions.values import Profile, draw_factor, draw_start, drawn_below, stamp_duty, trade_fee, usable_price
 from ..session import materialise
 from .asof import asof_join
-from .ordered import MAX_GROUP_ROWS, Running, keep_last, largest_group, running, value_positions
+from .intervals import inside
+from .ordered import Running, along, keep_last, lay_out, running, windowed
 from .screen import date_index
 
 DECILES = 10
@@ -25,9 +26,7 @@ DECILES = 10
 MOVES_A_PART = 1_000_000
 
 
-def round_trips(
-    fills: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str], *, max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None
-) -> DataFrame:
+def round_trips(fills: DataFrame, keys: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
     """First-in-first-out pairs of buys and sells per key.
 
     Bought shares are laid end to end, and sold shares over them: sells that
@@ -36,31 +35,28 @@ def round_trips(
     one sell. ``order`` must be unique per key; ``carry`` columns travel as
     ``entry_*`` and ``exit_*``. An open trip has null exit columns.
     """
-    size = largest_group(fills, keys) if group_rows is None else group_rows
-    options = {"max_group_rows": max_group_rows, "group_rows": size}
     buy = F.col("action") == "buy"
     rows = fills.withColumns({"_b": F.when(buy, F.col("quantity")).otherwise(0).cast("long"), "_s": F.when(buy, 0).otherwise(F.col("quantity")).cast("long")})
-    summed = running(rows, keys, order, {"_B": Running("sum", "_b"), "_S": Running("sum", "_s")}, **options)
-    short = running(summed.withColumn("_short", F.col("_S") - F.col("_B")), keys, order, {"_worst": Running("max", "_short")}, **options)
+    summed = along(lay_out(rows, keys, order), keys, {"_B": Running("sum", "_b"), "_S": Running("sum", "_s")})
+    short = along(summed.withColumn("_short", F.col("_S") - F.col("_B")), keys, {"_worst": Running("max", "_short")})
     lost = F.greatest(F.lit(0), F.col("_worst"))
     payload = F.struct(*[F.col(name) for name in carry])
     ends = short.withColumn("_end", F.when(buy, F.col("_B")).otherwise(F.col("_S") - lost)).groupBy(*keys, "_end").agg(
         F.max(F.when(buy, payload)).alias("_entry"), F.min(F.when(~buy, F.struct(*[F.col(name) for name in order], payload.alias("_p")))).alias("_exit"))
     ends = ends.where("_end > 0")
-    bounds = {"max_group_rows": max_group_rows, "group_rows": size}
-    marked = running(ends, keys, ["_end"], {"_from": Running("max", "_end", exclusive=True)}, **bounds)
-    closed = running(marked, keys, ["_end"], {"_entry": Running("last", "_entry"), "_exit": Running("last", "_exit")}, backwards=True, **bounds)
+    marked = along(lay_out(ends, keys, ["_end"]), keys, {"_from": Running("max", "_end", exclusive=True)})
+    closed = along(marked, keys, {"_entry": Running("last", "_entry"), "_exit": Running("last", "_exit")}, backwards=True)
     pieces = closed.where("_entry is not null").withColumn("trip_quantity", F.col("_end") - F.coalesce("_from", F.lit(0)))
     return pieces.select(
         *keys, "trip_quantity", *[F.col(f"_entry.{name}").alias(f"entry_{name}") for name in carry],
         *[F.col(f"_exit._p.{name}").alias(f"exit_{name}") for name in carry])
 
 
-def unpaired_sells(fills: DataFrame, keys: Sequence[str], order: Sequence[str], *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def unpaired_sells(fills: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Sold shares no buy accounts for, per key."""
     buy = F.col("action") == "buy"
     signed = fills.withColumn("_d", F.when(buy, -F.col("quantity")).otherwise(F.col("quantity")).cast("long"))
-    short = running(signed, keys, order, {"_short": Running("sum", "_d")}, max_group_rows=max_group_rows)
+    short = running(signed, keys, order, {"_short": Running("sum", "_d")})
     return short.groupBy(*keys).agg(F.greatest(F.lit(0), F.max("_short")).alias("unpaired_shares")).where("unpaired_shares > 0")
 
 
@@ -114,16 +110,11 @@ def book_curve(fills: DataFrame, daily: DataFrame, initial_cash: float, run: str
 # -- candidate pools ----------------------------------------------------------------
 
 
-def deciles(daily: DataFrame, value: str = "circ_mv", name: str = "decile", group_rows: int | None = None) -> DataFrame:
+def deciles(daily: DataFrame, value: str = "circ_mv", name: str = "decile") -> DataFrame:
     """Decile of each day's cross-section by minimum rank; ties share a bucket."""
-    size = largest_group(daily, ["trade_date"]) if group_rows is None else group_rows
-    if size <= MAX_GROUP_ROWS:
-        window = Window.partitionBy("trade_date", F.col(value).isNull())
-        share = F.rank().over(window.orderBy(value)) / F.count(F.lit(1)).over(window)
-        ranked = daily.withColumn("_share", F.when(F.col(value).isNotNull(), share))
-    else:
-        spots = value_positions(daily, ["trade_date"], value, group_rows=size)
-        ranked = daily.join(spots.select("trade_date", value, ((F.col("n_below") + 1) / F.col("n_all")).alias("_share")), ["trade_date", value], "left")
+    window = Window.partitionBy("trade_date", F.col(value).isNull())
+    share = F.rank().over(window.orderBy(value)) / F.count(F.lit(1)).over(window)
+    ranked = daily.withColumn("_share", F.when(F.col(value).isNotNull(), share))
     return ranked.withColumn(name, F.least(F.floor(F.col("_share") * DECILES), F.lit(DECILES - 1)).cast("long")).drop("_share")
 
 
@@ -132,7 +123,7 @@ def minimum_cost(price: Column, code: Column) -> Column:
     return price * F.coalesce(any_size_minimum(code), F.lit(LOT))
 
 
-def pool_positions(trips: DataFrame, daily: DataFrame, bucket: str, boards: Sequence[str] | None = None, group_rows: int | None = None) -> DataFrame:
+def pool_positions(trips: DataFrame, daily: DataFrame, bucket: str, boards: Sequence[str] | None = None) -> DataFrame:
     """Names open to each (entry day, exit day, bucket), numbered by cost.
 
     ``trips`` carry entry_day, exit_day and ``bucket``. A pool is built once per
@@ -149,12 +140,11 @@ def pool_positions(trips: DataFrame, daily: DataFrame, bucket: str, boards: Sequ
     closed = pool.where("exit_day is not null").join(exits, ["exit_day", "ts_code"], "left_semi")
     both = closed.unionByName(pool.where("exit_day is null")).withColumn("_one", F.lit(1).cast("long"))
     keyed = both.withColumn("_exit", F.coalesce("exit_day", F.lit("9999-12-31").cast("date")))
-    # A pool holds at most the names of one day: that bound is measured on the bars.
-    size = largest_group(daily, ["trade_date"]) if group_rows is None else group_rows
-    return running(keyed, ["entry_day", "_exit", bucket], ["cost", "ts_code"], {"place": Running("sum", "_one")}, group_rows=size).drop("_one", "exit_day")
+    # A pool holds at most the names of one day.
+    return windowed(keyed, ["entry_day", "_exit", bucket], ["cost", "ts_code"], {"place": Running("sum", "_one")}).drop("_one", "exit_day")
 
 
-def affordable(trips: DataFrame, pool: DataFrame, bucket: str, group_rows: int | None = None) -> DataFrame:
+def affordable(trips: DataFrame, pool: DataFrame, bucket: str) -> DataFrame:
     """``pool_size`` of each trip: names its money buys, itself left out.
 
     The count is the place of the dearest affordable name, found as-of along
@@ -162,7 +152,7 @@ def affordable(trips: DataFrame, pool: DataFrame, bucket: str, group_rows: int |
     """
     keyed = trips.withColumn("_exit", F.coalesce("exit_day", F.lit("9999-12-31").cast("date")))
     keys = ["entry_day", "_exit", bucket]
-    reach = asof_join(keyed, pool, keys, "notional", "cost", ["place"], group_rows=group_rows)
+    reach = asof_join(keyed, pool, keys, "notional", "cost", ["place"])
     own = pool.select(*keys, "ts_code", F.col("place").alias("own_place"))
     joined = reach.join(own, [*keys, "ts_code"], "left")
     mine = F.col("own_place") <= F.col("place")
@@ -329,8 +319,7 @@ def sellable(trips: DataFrame, multipliers: DataFrame, trip: Sequence[str]) -> D
     hence an ordered fold. An exit on an ex-date sells no share it creates.
     """
     changes = multipliers.where("multiplier is not null").select("ts_code", F.col("trade_date").alias("_day"), "multiplier")
-    inside = (F.col("_day") > F.col("entry_day")) & (F.col("_day") <= F.col("exit_day"))
-    hits = trips.alias("t").join(changes.alias("m"), "ts_code").where(inside)
+    hits = inside(changes, trips, "_day", "entry_day", "exit_day", ["ts_code"]).where("_day > entry_day")
     lists = hits.groupBy(*trip).agg(F.array_sort(F.collect_list(F.struct("_day", "multiplier"))).alias("_m"))
     joined = trips.join(lists, list(trip), "left")
     step = lambda held, m: F.floor(F.round(held * m["multiplier"], 6)).cast("long")
@@ -377,8 +366,7 @@ def dividend_tax(lots: DataFrame, actions: DataFrame) -> DataFrame:
     from ..functions.values import dividend_tax_rate, dividend_tax_withheld
 
     income = F.col("quantity") * (F.col("cash_per_share") + F.col("bonus_per_share"))
-    held = (F.col("ex_day") > F.col("acquired")) & (F.col("ex_day") <= F.col("sold"))
-    joined = lots.join(actions, "ts_code").where(held)
+    joined = inside(actions, lots, "ex_day", "acquired", "sold", ["ts_code"]).where("ex_day > acquired")
     record = F.col("record_day")
     due = income * (dividend_tax_rate(F.col("acquired"), F.col("sold"), record) - dividend_tax_withheld(record))
     return joined.groupBy("ts_code").agg(F.sum(income).alias("income"), F.sum(due).alias("tax"))

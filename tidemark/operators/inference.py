@@ -7,22 +7,25 @@ number of series and of bootstrap draws is what grows, and both are rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import digest_number
+from ..functions.values import DRAW_PRIME, draw_start
 from .stats import drawdown_path
 from .style import TRADING_DAYS, factor_ols
 
 # Minimum days of a regression, draws, block length, power constant.
 MIN_DAYS, DRAWS, BLOCK_DAYS, DETECT_Z = 8, 2000, 20, 2.12
-# Draws of one series that a row computes at a time.
+# Steps of the numbers that block starts come from.
+DRAW_STEP, BLOCK_STEP, MIX = 1_103_515_245, 362_437, 48_271
+# Draws of one series that are computed at a time.
 LOT_DRAWS = 250
 
 
@@ -75,41 +78,50 @@ def prefix_sums(series: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.select(*group, "days", sums.alias("prefix"))
 
 
-def block_estimate(prefix: Column, days: Column, seed: Column, draw: Column, block: int = BLOCK_DAYS) -> Column:
-    """Mean of one resample made of whole blocks, the last one cut to length.
-
-    Block starts are a digest of (seed, draw, block number): the same seed gives
-    the same days in any engine and after any retry.
-    """
-    blocks = F.ceil(days / block).cast("int")
-    places = F.sequence(F.lit(0), blocks - 1)
-
-    def gain(total: Column, number: Column) -> Column:
-        start = F.pmod(digest_number(seed, draw, number), days - block + 1).cast("int")
-        length = F.least(F.lit(block), days.cast("int") - number * block)
-        return total + F.element_at(prefix, start + length + 1) - F.element_at(prefix, start + 1)
-
-    return F.aggregate(places, F.lit(0.0), gain) / days
+def block_starts(start: int, draws: np.ndarray, blocks: int, places: int) -> np.ndarray:
+    """Where the blocks of each draw begin, among ``places``: whole-number steps that any engine repeats."""
+    z = (start + draws[:, None] * DRAW_STEP + np.arange(blocks, dtype=np.int64) * BLOCK_STEP) % DRAW_PRIME
+    y = (z * z + MIX) % DRAW_PRIME
+    return (y * y + z) % DRAW_PRIME * places // DRAW_PRIME
 
 
-def bootstrap_draws(prefixes: DataFrame, seed: Column, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
-    """One row per (series, draw) with the resampled mean.
+def bootstrap_draws(points: DataFrame, group: Sequence[str], seed: Column, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
+    """One row per (series, days, draw): the mean of one resample of the first ``days`` days.
 
-    The estimates are made where the running sums are, and only they are
-    exploded; draws come in lots, so one series fills several tasks.
+    ``points`` has the group, ``prefix`` and an array of ``days``. A resample is
+    made of whole blocks, the last one cut to length. A series' running sums are
+    held once for all its draws and days; draws are computed in lots.
     """
-    short = F.raise_error(F.lit("series shorter than one bootstrap block")).cast("bigint")
-    ready = prefixes.withColumn("days", F.when(F.col("days") >= block, F.col("days")).otherwise(short)).withColumn("_seed", seed.cast("string"))
-    lots = ready.withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(LOT_DRAWS)))).repartition(F.col("_seed"), F.col("_lot"))
-    numbers = F.sequence(F.col("_lot"), F.least(F.col("_lot") + LOT_DRAWS, F.lit(draws)) - 1)
-    estimate = F.transform(numbers, lambda draw: F.struct(draw.alias("draw"), block_estimate(F.col("prefix"), F.col("days"), F.col("_seed"), draw, block).alias("estimate")))
-    names = [name for name in prefixes.columns if name != "prefix"]
-    return lots.select(*names, estimate.alias("_drawn")).select(*names, F.explode("_drawn").alias("_d")).select(*names, "_d.draw", "_d.estimate")
+    short = F.raise_error(F.lit("series shorter than one bootstrap block")).cast("boolean")
+    fits = F.when(F.array_min("days") < block, short).otherwise(True)
+    rows = points.where(fits).select(*group, "days", "prefix", draw_start(seed).alias("start"))
+    names = list(group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                days, prefix, start = (row.column(len(names) + k)[0].as_py() for k in range(3))
+                sums = np.array(prefix)
+                for n in days:
+                    blocks = -(-n // block)
+                    lengths = np.minimum(block, n - np.arange(blocks) * block)
+                    for lot in range(0, draws, LOT_DRAWS):
+                        numbers = np.arange(lot, min(lot + LOT_DRAWS, draws), dtype=np.int64)
+                        at = block_starts(start, numbers, blocks, n - block + 1)
+                        means = (sums[at + lengths] - sums[at]).sum(axis=1) / n
+                        repeat = pa.array(np.zeros(len(numbers), np.int64))
+                        yield pa.RecordBatch.from_arrays(
+                            [*(row.column(k).take(repeat) for k in range(len(names))), pa.array(np.full(len(numbers), n)), pa.array(numbers.astype(np.int32)), pa.array(means)],
+                            [*names, "days", "draw", "estimate"])
+
+    kinds = ", ".join(f"`{name}` {points.schema[name].dataType.simpleString()}" for name in names)
+    return rows.mapInArrow(run, f"{kinds}, days long, draw int, estimate double")
 
 
 def block_bootstrap(series: DataFrame, group: Sequence[str], seed: Column, confidence: float, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
     """One-sided lower bound of each series' annualised mean."""
-    rows = bootstrap_draws(prefix_sums(series, group), seed, draws, block)
+    rows = bootstrap_draws(prefix_sums(series, group).withColumn("days", F.array(F.col("days").cast("long"))), group, seed, draws, block)
     return rows.groupBy(*group).agg(
         (F.percentile("estimate", F.lit(1.0 - confidence)) * TRADING_DAYS).alias("lower_bound"), F.first("days").alias("days"))
 
@@ -219,8 +231,8 @@ def first_transition(
     both = drawdown_path(account, group, "active").withColumnRenamed("drawdown", "active_drawdown").drop("equity", "cumulative")
     prefixes = prefix_sums(paths.withColumn("value", F.col("active")), group).withColumnRenamed("days", "_total")
     marks = F.sequence(F.lit(checkpoint_days).cast("long"), F.col("_total"), F.lit(checkpoint_days).cast("long"))
-    points = prefixes.where(F.col("_total") >= F.lit(max(checkpoint_days, block))).withColumn("days", F.explode(marks)).where(F.col("days") >= block)
-    drawn = bootstrap_draws(points.select(*group, "days", "prefix"), F.concat_ws("|", *group), draws, block)
+    points = prefixes.where(F.col("_total") >= F.lit(max(checkpoint_days, block))).withColumn("days", F.filter(marks, lambda n: n >= block))
+    drawn = bootstrap_draws(points, group, F.concat_ws("|", *group), draws, block)
     bounds = drawn.groupBy(*group, "days").agg(
         (F.percentile("estimate", F.lit(1.0 - confirm_confidence)) * TRADING_DAYS).alias("confirm_lower_bound"),
         (F.percentile("estimate", F.lit(kill_confidence)) * TRADING_DAYS).alias("kill_upper_bound"))

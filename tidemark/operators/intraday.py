@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import market_bucket
 from ..functions.times import date_text, market_time
 from .auction import correct_auction
-from .ordered import keep_last, quantiles
+from .ordered import day_quantiles, keep_last
 
 DAY = ["ts_code", "trade_date"]
 BARS_PER_DAY = 241
@@ -114,7 +114,7 @@ def last_at_labels(minutes: DataFrame, labels: dict[str, str], default: str = "o
     return path.groupBy(*DAY).agg(*picks)
 
 
-def auction_alignment(minutes: DataFrame, auctions: DataFrame, daily: DataFrame, group_rows: int | None = None) -> DataFrame:
+def auction_alignment(minutes: DataFrame, auctions: DataFrame, daily: DataFrame) -> DataFrame:
     """Quantiles per bucket and day of minute/auction and minute/daily ratios.
 
     The 09:30 bar, as served and corrected, is set against the auction; the
@@ -133,7 +133,7 @@ def auction_alignment(minutes: DataFrame, auctions: DataFrame, daily: DataFrame,
         shape("sum_vol", F.try_divide("_sum_vol", "_day_vol")), shape("sum_amount", F.try_divide("_sum_amount", "_day_amount")))).alias("m"))
     rows = left.unionByName(right).select("trade_date", market_bucket(F.col("ts_code")).alias("bucket"), "m.metric", "m.ratio").where("ratio is not null")
     groups = ["trade_date", "bucket", "metric"]
-    cuts = quantiles(rows, groups, "ratio", {"p10": 0.1, "median": 0.5, "p90": 0.9}, group_rows=group_rows)
+    cuts = day_quantiles(rows, groups, "ratio", {"p10": 0.1, "median": 0.5, "p90": 0.9})
     counts = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("names"))
     return cuts.join(counts, groups)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .asof import asof_join
-from .ordered import MAX_GROUP_ROWS, Running, running
+from .ordered import Running, running
 
 RUN = "run_id"
 
@@ -89,13 +89,13 @@ def model_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     return priced.withColumn("cost_usd", (rate("tier_prompt") * prompt + rate("tier_completion") * F.col("completion") * F.col("price_completion")) / 1_000_000)
 
 
-def intervals(marks: DataFrame, meters: list[str], order: str = "at", *, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def intervals(marks: DataFrame, meters: list[str], order: str = "at") -> DataFrame:
     """Spend between consecutive marks of cumulative meters, from zero.
 
     A mark without a meter leaves its own interval and the next unmetered.
     """
     row = marks.withColumn("_mark", F.struct(order, *meters))
-    linked = running(row, [RUN], [order, "step"], {"_prev": Running("last", "_mark", exclusive=True)}, max_group_rows=max_group_rows)
+    linked = running(row, [RUN], [order, "step"], {"_prev": Running("last", "_mark", exclusive=True)})
     before = lambda m: F.when(F.col("_prev").isNull(), F.lit(0)).otherwise(F.col(f"_prev.{m}"))
     spent = {f"{m}_spent": F.col(m) - before(m) for m in meters}
     wall = F.timestamp_diff("SECOND", F.col(f"_prev.{order}"), F.col(order))

@@ -40,7 +40,7 @@ def sections_before(trips: DataFrame, weights: DataFrame, day: str = "entry_day"
     """Attach the latest constituent section dated strictly before each trip day."""
     sections = weights.select(F.col("trade_date").alias("section")).distinct()
     days = trips.select(day).distinct()
-    found = asof_join(days, sections, [], day, "section", ["section"], strict=True, group_rows=0)
+    found = asof_join(days, sections, [], day, "section", ["section"], strict=True, bounded=True)
     refused = F.raise_error(F.lit("no constituent section before a trip day")).cast("date")
     found = found.withColumn("section", F.coalesce("section", refused))
     return trips.join(found, day, "left")

@@ -1,14 +1,11 @@
 """Ordered work over groups of any size.
 
-``Window.partitionBy(key).orderBy(...)`` puts a whole group into one task. That
-is the right plan while groups are bounded, and the wrong one once a single key
-holds a large share of the table. The functions here measure the largest group
-first (one map-side-combined count) and, only when it is too large, cut every
-hot group into ordered chunks: windows then run inside a chunk, and one small
-aggregate per chunk carries the running state across chunks.
-
-Cut points are the order values of rows whose hash falls under a fixed rate, so
-they depend on the data alone: a recomputed task finds the same chunks.
+``Window.partitionBy(key).orderBy(...)`` puts a whole group into one task. Where
+a group is bounded by what it is (the names of one day, the bars of one
+stock-day) that is the right plan, and the functions named after the day use
+it. Everything else takes one path, whatever the size: rows are laid out in
+range partitions by key and order, windows run inside a task's run of a key, and
+one small row per run carries the totals of the runs before it.
 """
 
 from __future__ import annotations
@@ -19,10 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 2_000_000
-MAX_CUTS = 4095
-BROADCAST_CUTS = 200_000
-_HASH_SPACE = 1 << 40
+from .numbering import ordered_runs
 
 
 @dataclass(frozen=True)
@@ -52,64 +46,29 @@ def _keep(df: DataFrame, keys: Sequence[str], order, pick) -> DataFrame:
     return kept.select(*[F.col(f"_row.{name}").alias(name) if name in rest else F.col(name) for name in df.columns])
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group; a single number reaches the driver."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+def lay_out(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Rows in range partitions by key and order, once for any number of :func:`along` calls."""
+    return ordered_runs(df, list(keys), [F.col(name).asc() for name in order])
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    values: dict[str, Running],
-    *,
-    backwards: bool = False,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """Add running values along ``order`` inside each key.
-
-    ``order`` must be unique inside a key. ``group_rows`` passes a known bound
-    on the group size and saves the measuring pass.
-    """
-    size = largest_group(df, keys) if group_rows is None else group_rows
-    if size <= max_group_rows:
-        return _windowed(df, list(keys), order, values, backwards)
-    chunked = add_chunks(df, keys, order, max_group_rows).withColumn("_chunk", F.col("_chunk").cast("int"))
-    inside = _windowed(chunked, [*keys, "_chunk"], order, values, backwards)
-    order_struct = F.struct(*order)
-    totals = chunked.groupBy(*keys, "_chunk").agg(
-        *[_chunk_total(spec, order_struct, backwards).alias(f"_tot_{name}") for name, spec in values.items()]
-    )
-    direction = F.col("_chunk").desc() if backwards else F.col("_chunk").asc()
+def along(laid: DataFrame, keys: Sequence[str], values: dict[str, Running], *, backwards: bool = False) -> DataFrame:
+    """Add running values along the order of a layout; the layout's own columns stay."""
+    run = [*keys, "_task"]
+    inside = windowed(laid, run, ["_at"], values, backwards)
+    totals = laid.groupBy(*run).agg(*[_run_total(spec, F.col("_at"), backwards).alias(f"_tot_{name}") for name, spec in values.items()])
+    direction = F.col("_task").desc() if backwards else F.col("_task").asc()
+    # A key has at most one row for each task here.
     before = Window.partitionBy(*keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys,
-        "_chunk",
-        *[_fold(spec, f"_tot_{name}").over(before).alias(f"_carry_{name}") for name, spec in values.items()],
-    )
-    joined = null_safe_join(inside, carried, [*keys, "_chunk"])
+    carried = totals.select(*run, *[_fold(spec, f"_tot_{name}").over(before).alias(f"_carry_{name}") for name, spec in values.items()])
+    joined = null_safe_join(inside, carried, run)
     for name, spec in values.items():
         joined = joined.withColumn(name, _combine(spec, F.col(name), F.col(f"_carry_{name}")))
-    return joined.drop("_chunk", *[f"_carry_{name}" for name in values])
-
-
-def add_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int) -> DataFrame:
-    """Number ordered chunks (``_chunk``) of about ``max_group_rows / 2`` rows per key."""
-    rate = min(_HASH_SPACE, max(1, 2 * _HASH_SPACE // max_group_rows))
-    drawn = F.pmod(F.xxhash64(*order), F.lit(_HASH_SPACE))
-    cuts = (
-        df.select(*keys, F.struct(*order).alias("_cut"), drawn.alias("_draw"))
-        .where(F.col("_draw") < rate)
-        .groupBy(*keys)
-        .agg(F.slice(F.array_sort(F.collect_set(F.struct("_draw", "_cut"))), 1, MAX_CUTS).alias("_drawn"))
-        .select(*keys, F.array_sort(F.transform("_drawn", lambda item: item["_cut"])).alias("_cuts"))
-    )
-    measured = cuts.agg(F.sum(F.size("_cuts"))).first()[0] or 0
-    cuts = F.broadcast(cuts) if measured <= BROADCAST_CUTS else cuts
-    joined = null_safe_join(df, cuts, keys)
-    return joined.withColumn("_chunk", _cuts_up_to(F.col("_cuts"), F.struct(*order))).drop("_cuts")
+    return joined.drop(*[f"_carry_{name}" for name in values])
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Running], *, backwards: bool = False) -> DataFrame:
+    """Add running values along ``order``, which must be unique inside each key."""
+    return along(lay_out(df, keys, order), keys, values, backwards=backwards).drop("_task", "_at")
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
@@ -121,20 +80,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_right_{key}" for key in keys])
 
 
-def _cuts_up_to(cuts: Column, value: Column) -> Column:
-    """How many sorted cuts lie at or below ``value`` (binary search)."""
-    steps = F.array(*[F.lit(1 << power) for power in range(MAX_CUTS.bit_length() - 1, -1, -1)])
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= F.size(cuts)) & (F.try_element_at(cuts, at + step) <= value), at + step
-        ).otherwise(at),
-    )
-    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
-
-
-def _windowed(df: DataFrame, keys: list[str], order: Sequence[str], values: dict[str, Running], backwards: bool) -> DataFrame:
+def windowed(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, Running], backwards: bool = False) -> DataFrame:
+    """Running values by plain windows, for keys that are bounded by what they are."""
     ordering = [F.col(name).desc() if backwards else F.col(name).asc() for name in order]
     base = Window.partitionBy(*keys).orderBy(*ordering)
     added = {}
@@ -154,11 +101,11 @@ def _fold(spec: Running, column: str) -> Column:
     raise ValueError(f"unknown running kind {spec.kind!r}")
 
 
-def _chunk_total(spec: Running, order: Column, backwards: bool) -> Column:
+def _run_total(spec: Running, place: Column, backwards: bool) -> Column:
     if spec.kind != "last":
         return _fold(spec, spec.column)
     pick = F.min_by if backwards else F.max_by
-    return pick(F.col(spec.column), F.when(F.col(spec.column).isNotNull(), order))
+    return pick(F.col(spec.column), F.when(F.col(spec.column).isNotNull(), place))
 
 
 def _combine(spec: Running, here: Column, carry: Column) -> Column:
@@ -171,74 +118,37 @@ def _combine(spec: Running, here: Column, carry: Column) -> Column:
     return F.coalesce(here, carry)
 
 
-def value_positions(
-    df: DataFrame, group: Sequence[str], value: str, *, max_group_rows: int = MAX_GROUP_ROWS, group_rows: int | None = None
-) -> DataFrame:
+def present(value: str) -> Column:
+    """Neither null nor NaN."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def value_positions(df: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """Distinct values of each group with ``n_below``, ``n_equal`` and ``n_all``.
 
     Equal values collapse before anything is sorted, so a value shared by most
     of a group costs one row. Nulls and NaNs are left out.
     """
-    present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = present.groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
-    ranked = running(
-        counts, group, [value], {"n_below": Running("sum", "n_equal", exclusive=True)},
-        max_group_rows=max_group_rows, group_rows=group_rows,
-    )
+    counts = df.where(present(value)).groupBy(*group, value).agg(F.count(F.lit(1)).alias("n_equal"))
+    ranked = running(counts, group, [value], {"n_below": Running("sum", "n_equal", exclusive=True)})
     sizes = counts.groupBy(*group).agg(F.sum("n_equal").alias("n_all"))
     joined = null_safe_join(ranked, sizes, group, "inner") if group else ranked.join(F.broadcast(sizes))
     return joined.withColumn("n_below", F.coalesce("n_below", F.lit(0).cast("long")))
 
 
-def average_rank(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    name: str,
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-    count_name: str | None = None,
-) -> DataFrame:
-    """Add the average rank (ties share their mean) of ``value`` inside ``group``.
+def average_rank(df: DataFrame, group: Sequence[str], value: str, name: str, *, count_name: str | None = None) -> DataFrame:
+    """Add the average rank (ties share their mean) of ``value`` inside groups of any size.
 
     Null and NaN values get a null rank and do not count.
     """
-    size = largest_group(df, group) if group_rows is None else group_rows
-    usable = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    if size <= max_group_rows:
-        window = Window.partitionBy(*group, usable)
-        peers = window.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow)
-        ranked = F.rank().over(window.orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2
-        out = df.withColumn(name, F.when(usable, ranked))
-        return out.withColumn(count_name, F.when(usable, F.count(F.lit(1)).over(window))) if count_name else out
-    positions = value_positions(df, group, value, max_group_rows=max_group_rows, group_rows=size).select(
-        *group, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name),
-        *([F.col("n_all").alias(count_name)] if count_name else []),
-    )
+    positions = value_positions(df, group, value).select(
+        *group, value, (F.col("n_below") + (F.col("n_equal") + 1) / 2).alias(name), *([F.col("n_all").alias(count_name)] if count_name else []))
     return null_safe_join(df, positions, [*group, value])
 
 
-def quantiles(
-    df: DataFrame,
-    group: Sequence[str],
-    value: str,
-    cuts: dict[str, float],
-    *,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    group_rows: int | None = None,
-) -> DataFrame:
-    """Exact linear-interpolation quantiles per group.
-
-    ``percentile`` keeps every distinct value of a group in one buffer, so past
-    the bound the order statistics are found from running counts instead.
-    """
-    size = largest_group(df, group) if group_rows is None else group_rows
-    if size <= max_group_rows:
-        return df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*group).agg(
-            *[F.percentile(value, F.lit(cut)).alias(name) for name, cut in cuts.items()]
-        )
-    positions = value_positions(df, group, value, max_group_rows=max_group_rows, group_rows=size)
+def quantiles(df: DataFrame, group: Sequence[str], value: str, cuts: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of groups of any size, from running counts."""
+    positions = value_positions(df, group, value)
     picked = []
     for name, cut in cuts.items():
         at = (F.col("n_all") - 1) * F.lit(cut)
@@ -249,3 +159,19 @@ def quantiles(
         share = F.max(at - low)
         picked.append((below + (above - below) * share).alias(name))
     return positions.groupBy(*group).agg(*picked)
+
+
+# -- cross-sections of a day: a group has one row for each listed name ------------------
+
+
+def day_rank(group: Sequence[str], value: str, usable: Column | None = None) -> Column:
+    """Average rank of a value among a day's names, null where it is not usable."""
+    usable = present(value) if usable is None else usable
+    window = Window.partitionBy(*group, usable)
+    peers = window.orderBy(value).rangeBetween(Window.currentRow, Window.currentRow)
+    return F.when(usable, F.rank().over(window.orderBy(value)) + (F.count(F.lit(1)).over(peers) - 1) / 2)
+
+
+def day_quantiles(df: DataFrame, group: Sequence[str], value: str, cuts: dict[str, float]) -> DataFrame:
+    """Exact linear-interpolation quantiles of a day's names."""
+    return df.where(~F.isnan(F.col(value).cast("double"))).groupBy(*group).agg(*[F.percentile(value, F.lit(cut)).alias(name) for name, cut in cuts.items()])

@@ -57,17 +57,19 @@ def report(findings: DataFrame) -> DataFrame:
     return counts.withColumn("status", status_of(F.col("error"), F.col("warning")))
 
 
-def dataset_summary(findings: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Counts per dataset; a finding belongs to the longest name prefixing its check.
+def owners(checks: DataFrame, datasets: DataFrame) -> DataFrame:
+    """The dataset of each check: the longest name that equals it or its beginning up to a ``_``; none: left out."""
+    words = F.split("check", "_")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), "_"))
+    cut = checks.select("check").distinct().withColumn("dataset", F.explode(prefixes))
+    return cut.join(datasets.select("dataset").distinct(), "dataset").groupBy("check").agg(F.max_by("dataset", F.length("dataset")).alias("dataset"))
 
-    Findings and dataset names are both metadata-sized lists.
-    """
-    named = F.broadcast(datasets.select("dataset").distinct())
-    prefix = (F.col("check") == F.col("dataset")) | F.expr("startswith(check, concat(dataset, '_'))")
-    keyed = check_findings(findings).withColumn("_id", F.struct("severity", "check", "message", F.to_json("details").alias("d")))
-    counted = keyed.groupBy("_id", "severity", "check").agg(F.count(F.lit(1)).alias("_n"))
-    owner = counted.join(named, prefix).groupBy("_id", "severity", "_n").agg(F.max_by("dataset", F.length("dataset")).alias("dataset"))
-    sums = owner.groupBy("dataset").agg(*[F.sum(F.when(F.col("severity") == s, F.col("_n")).otherwise(0)).alias(s) for s in SEVERITIES])
+
+def dataset_summary(findings: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Counts per dataset; a finding belongs to the longest name prefixing its check."""
+    counted = check_findings(findings).groupBy("severity", "check").agg(F.count(F.lit(1)).alias("_n"))
+    named = counted.join(owners(counted, datasets), "check")
+    sums = named.groupBy("dataset").agg(*[F.sum(F.when(F.col("severity") == s, F.col("_n")).otherwise(0)).alias(s) for s in SEVERITIES])
     whole = datasets.select("dataset").distinct().join(sums, "dataset", "left").na.fill(0, list(SEVERITIES))
     return whole.withColumn("status", status_of(F.col("error"), F.col("warning")))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .ordered import MAX_GROUP_ROWS, Running, average_rank, largest_group, running
+from .ordered import day_rank, present
 from .panel import unique_or_fail
 
 KEYS = ["trade_date", "ts_code"]
@@ -113,48 +113,67 @@ def forward_returns(daily: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return grid.select(*KEYS, *[f"{kind}_{h}" for h in horizons for kind in ("ret", "step")])
 
 
-def size_neutral(df: DataFrame, score: str = "score", size: str = "log_mv", name: str = "neutral", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Residual of the score's rank on log size per date (one-factor fit).
-
-    Only one row per date is joined back, so the fit is a broadcast.
-    """
-    both = F.col(score).isNotNull() & F.col(size).isNotNull()
-    usable = df.withColumn("_s", F.when(both, F.col(score)))
-    ranked = average_rank(usable, ["di"], "_s", "_rank", group_rows=group_rows, max_group_rows=max_group_rows)
+def size_neutral(df: DataFrame, score: str = "score", size: str = "log_mv", name: str = "neutral") -> DataFrame:
+    """Residual of the score's rank on log size per date (one-factor fit), in windows over the date's names."""
+    both = F.col(score).isNotNull() & F.col(size).isNotNull() & ~F.isnan(score)
+    ranked = df.withColumn("_rank", day_rank(["di"], score, both))
+    day = Window.partitionBy("di")
     x, s = F.when(F.col("_rank").isNotNull(), F.col(size)), F.col("_rank")
-    fit = ranked.groupBy("di").agg(F.avg(s).alias("_ms"), F.avg(x).alias("_mx"), F.try_divide(F.covar_pop(s, x), F.var_pop(x)).alias("_beta"))
-    joined = ranked.join(F.broadcast(fit), "di")
-    residual = (s - F.col("_ms")) - (F.col(size) - F.col("_mx")) * F.coalesce("_beta", F.lit(0.0))
-    return joined.withColumn(name, F.when(s.isNotNull(), residual)).drop("_s", "_rank", "_ms", "_mx", "_beta")
+    beta = F.coalesce(F.try_divide(F.covar_pop(s, x).over(day), F.var_pop(x).over(day)), F.lit(0.0))
+    residual = (s - F.avg(s).over(day)) - (F.col(size) - F.avg(x).over(day)) * beta
+    return ranked.withColumn(name, F.when(s.isNotNull(), residual)).drop("_rank")
 
 
-def rank_ic(
-    pairs: DataFrame, group: Sequence[str], min_names: int, a: str = "a", b: str = "b", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS
-) -> DataFrame:
+def rank_ic(pairs: DataFrame, group: Sequence[str], min_names: int, a: str = "a", b: str = "b") -> DataFrame:
     """Spearman correlation of ``a`` and ``b`` per group over complete pairs.
 
     Groups with fewer than ``min_names`` pairs, or without spread, are null.
     """
-    whole = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(a) & ~F.isnan(b))
-    limits = {"group_rows": group_rows, "max_group_rows": max_group_rows}
-    ranked = average_rank(whole, group, a, "_ra", **limits)
-    ranked = average_rank(ranked, group, b, "_rb", **limits)
-    # Ranks are half-integers: plain sums are exact, so equal orders cancel to exactly zero.
-    n = F.count(F.lit(1)).cast("double")
+    whole = pairs.where(present(a) & present(b))
+    ranked = whole.withColumns({"_ra": day_rank(group, a), "_rb": day_rank(group, b)})
+    return ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= min_names, _rank_correlation(F.lit(True), "_ra", "_rb")).alias("ic"), F.count(F.lit(1)).alias("pairs"))
+
+
+def _rank_correlation(usable: Column, a: str, b: str) -> Column:
+    """Correlation of two rank columns. Ranks are half-integers: plain sums are exact, so equal orders cancel to exactly zero."""
+    n = F.count_if(usable).cast("double")
     cross = lambda x, y: n * F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y)
-    ic = F.try_divide(cross("_ra", "_rb"), F.sqrt(cross("_ra", "_ra") * cross("_rb", "_rb")))
-    return ranked.groupBy(*group).agg(F.when(F.count(F.lit(1)) >= min_names, ic).alias("ic"), F.count(F.lit(1)).alias("pairs"))
+    return F.try_divide(cross(a, b), F.sqrt(cross(a, a) * cross(b, b)))
+
+
+def metric_columns(horizons: Sequence[int]) -> list[tuple[str, int, str, str]]:
+    """Every correlation of the report: metric, horizon and its two columns."""
+    rows = [("autocorr", 0, "score", "score_before")]
+    for h in horizons:
+        rows += [("ic", h, "score", f"ret_{h}"), ("ic_marginal", h, "score", f"step_{h}"), ("ic_size_neutral", h, "neutral", f"ret_{h}")]
+    return rows
+
 
+def metric_ics(grid: DataFrame, horizons: Sequence[int], min_names: int) -> DataFrame:
+    """Rank correlations of all metrics: one row per (metric, horizon, date) that has pairs.
 
-def top_selection(df: DataFrame, fraction: float, name: str = "is_top", group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    Each metric ranks its own complete pairs, in windows over the dates of one
+    exchange; the grid is not copied for each metric.
+    """
+    metrics, ranks, sums = metric_columns(horizons), {}, []
+    for k, (metric, horizon, a, b) in enumerate(metrics):
+        whole = present(a) & present(b)
+        ranks |= {f"_a{k}": day_rank(["di"], a, whole), f"_b{k}": day_rank(["di"], b, whole)}
+        usable = F.col(f"_a{k}").isNotNull()
+        ic = F.when(F.count_if(usable) >= min_names, _rank_correlation(usable, f"_a{k}", f"_b{k}"))
+        sums.append(F.struct(F.lit(metric).alias("metric"), F.lit(horizon).alias("horizon"), ic.alias("ic"), F.count_if(usable).alias("pairs")))
+    needed = sorted({c for _, _, a, b in metrics for c in (a, b)})
+    days = grid.select("di", "trade_date", *needed).repartition("di").withColumns(ranks).groupBy("di").agg(F.first("trade_date").alias("trade_date"), F.array(*sums).alias("m"))
+    return days.select("di", "trade_date", F.explode("m").alias("m")).select("m.metric", "m.horizon", "di", "trade_date", "m.ic", "m.pairs").where("pairs > 0")
+
+
+def top_selection(df: DataFrame, fraction: float, name: str = "is_top") -> DataFrame:
     """Mark the best ``ceil(n x fraction)`` tradable names per date, ties by code."""
-    usable = F.col("tradable_next") & F.col("score").isNotNull()
-    marked = df.withColumns({"_usable": usable.cast("long"), "_neg": F.when(usable, -F.col("score")).otherwise(float("inf"))})
-    counts = marked.groupBy("di").agg(F.sum("_usable").alias("_n"))
-    placed = running(marked, ["di"], ["_neg", "ts_code"], {"_pos": Running("sum", "_usable")}, group_rows=group_rows, max_group_rows=max_group_rows)
-    joined = placed.join(F.broadcast(counts), "di")
-    wanted = F.ceil(F.col("_n") * F.lit(fraction))
-    return joined.withColumn(name, (F.col("_usable") == 1) & (F.col("_pos") <= wanted)).drop("_usable", "_neg", "_n", "_pos")
+    usable = F.coalesce(F.col("tradable_next") & F.col("score").isNotNull(), F.lit(False))
+    day = Window.partitionBy("di")
+    place = F.row_number().over(day.orderBy(usable.desc(), F.col("score").desc(), "ts_code"))
+    wanted = F.ceil(F.count_if(usable).over(day) * F.lit(fraction))
+    return df.withColumn(name, usable & (place <= wanted))
 
 
 def summarise(series: DataFrame, group: Sequence[str], value: str, horizon: Column) -> DataFrame:
@@ -178,16 +197,6 @@ def summarise(series: DataFrame, group: Sequence[str], value: str, horizon: Colu
     )
 
 
-def metric_pairs(grid: DataFrame, horizons: Sequence[int]) -> DataFrame:
-    """Every correlation of the report as long (metric, horizon, di, a, b) rows."""
-    rows = [F.struct(F.lit("autocorr").alias("metric"), F.lit(0).alias("horizon"), F.col("score").alias("a"), F.col("score_before").alias("b"))]
-    for h in horizons:
-        for metric, a, b in (("ic", "score", f"ret_{h}"), ("ic_marginal", "score", f"step_{h}"), ("ic_size_neutral", "neutral", f"ret_{h}")):
-            rows.append(F.struct(F.lit(metric).alias("metric"), F.lit(h).alias("horizon"), F.col(a).alias("a"), F.col(b).alias("b")))
-    long = grid.select("trade_date", "di", F.explode(F.array(*rows)).alias("m"))
-    return long.select("trade_date", "di", "m.metric", "m.horizon", "m.a", "m.b").where("a is not null and b is not null")
-
-
 def top_excess(grid: DataFrame, horizons: Sequence[int], min_names: int) -> DataFrame:
     """Per date and horizon, mean return of the top minus that of all scored names."""
     scored = F.col("score").isNotNull()
@@ -226,27 +235,25 @@ def coverage(grid: DataFrame) -> DataFrame:
 
 def prepare(
     daily: DataFrame, signal: DataFrame | Callable[[DataFrame], DataFrame], horizons: Sequence[int], *, start: str | None = None, end: str | None = None,
-    top_fraction: float = 0.1, decision: str | None = None, max_group_rows: int = MAX_GROUP_ROWS,
-) -> tuple[DataFrame, int]:
-    """The full grid of a screen and its largest date, measured once."""
+    top_fraction: float = 0.1, decision: str | None = None,
+) -> DataFrame:
+    """The full grid of a screen."""
     scores = check_signal(signal(daily) if callable(signal) else signal)
     grid = screen_grid(daily, scores, horizons, decision)
     if start:
         grid = grid.where(F.col("trade_date") >= start)
     if end:
         grid = grid.where(F.col("trade_date") <= end)
-    size = largest_group(daily, ["trade_date"])
-    grid = size_neutral(grid, group_rows=size, max_group_rows=max_group_rows)
-    return top_selection(grid, top_fraction, group_rows=size, max_group_rows=max_group_rows), size
+    # One exchange by date for the ranks, the fit and the selection.
+    return top_selection(size_neutral(grid.repartition("di")), top_fraction)
 
 
 def run_screen(
-    daily: DataFrame, signal: DataFrame | Callable[[DataFrame], DataFrame], horizons: Sequence[int] = (1, 5, 10, 20), *, min_names: int = 30, max_group_rows: int = MAX_GROUP_ROWS, **window,
+    daily: DataFrame, signal: DataFrame | Callable[[DataFrame], DataFrame], horizons: Sequence[int] = (1, 5, 10, 20), *, min_names: int = 30, **window,
 ) -> DataFrame:
     """One row per horizon: IC, its decay and size-neutral form, top excess, turnover."""
-    grid, size = prepare(daily, signal, horizons, max_group_rows=max_group_rows, **window)
-    grid = materialise(grid)
-    ic = rank_ic(metric_pairs(grid, horizons), ["metric", "horizon", "di", "trade_date"], min_names, group_rows=size, max_group_rows=max_group_rows)
+    grid = materialise(prepare(daily, signal, horizons, **window))
+    ic = metric_ics(grid, horizons, min_names)
     ics = summarise(ic, ["metric", "horizon"], "ic", F.greatest("horizon", F.lit(1)))
     # One row per (metric, horizon): turned into columns by an aggregate, not joins.
     pick = lambda metric, column, name: F.max(F.when(F.col("metric") == metric, F.col(column))).alias(name)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .intervals import inside
 from .style import TRADING_DAYS, curve_returns
 
 RUN = "run_id"
@@ -113,11 +114,13 @@ def return_stats(curve: DataFrame, fills: DataFrame) -> DataFrame:
 def sub_windows(curve: DataFrame, fills: DataFrame, windows: DataFrame, start: Column, end: Column) -> DataFrame:
     """The summary per calendar window (``label, lo, hi``), chained on closes.
 
-    The window list is a handful of rows. A day outside every window fails.
+    Days meet windows once for each day of the calendar. A day outside every
+    window fails.
     """
-    small = F.broadcast(windows)
-    inside = lambda day: (F.col(day) >= F.col("lo")) & (F.col(day) <= F.col("hi"))
-    placed = curve.join(small, inside("trade_date"), "left")
+    def labels(rows: DataFrame, day: str) -> DataFrame:
+        return inside(rows.select(day).distinct(), windows.select("label", "lo", "hi"), day, "lo", "hi")
+
+    placed = curve.join(F.broadcast(labels(curve, "trade_date")), "trade_date", "left")
     placed = placed.withColumn("label", F.coalesce("label", F.raise_error(F.lit("a day lies outside the windows"))))
     order = Window.partitionBy(RUN).orderBy("trade_date")
     rows = placed.withColumn("_before", F.coalesce(F.lag("equity").over(order), F.col("initial_equity")))
@@ -129,7 +132,8 @@ def sub_windows(curve: DataFrame, fills: DataFrame, windows: DataFrame, start: C
         F.first("_open").alias("opening"), F.max_by("equity", "trade_date").alias("closing"), sharpe(F.col("value")).alias("sharpe"),
         F.greatest(F.lit(0.0), F.max(F.try_divide(F.col("_peak") - F.col("equity"), "_peak"))).alias("max_drawdown"),
         ((start > F.first("lo")) | (end < F.first("hi"))).alias("partial"), F.first("initial_equity").alias("_initial"))
-    done = fills.where(_filled()).join(small, inside("fill_date")).groupBy(RUN, "label").agg(
+    filled = fills.where(_filled())
+    done = filled.join(F.broadcast(labels(filled, "fill_date")), "fill_date").groupBy(RUN, "label").agg(
         F.sum(_notional()).alias("_traded"), F.count("realized_pnl").alias("trade_count"))
     joined = cut.join(done, [RUN, "label"], "left")
     return joined.select(
@@ -170,8 +174,7 @@ def attach_benchmark(windows: DataFrame, benchmark: DataFrame, active: DataFrame
     out = out.withColumn("excess_return", F.col("return") - F.col("benchmark_return"))
 
     def folded(series: DataFrame, value: Column) -> DataFrame:
-        joined = series.join(windows.select(*keys, "start", "end"), RUN).where(F.col("trade_date").between(F.col("start"), F.col("end")))
-        return joined.groupBy(*keys).agg(value)
+        return inside(series, windows.select(*keys, "start", "end"), "trade_date", "start", "end", [RUN]).groupBy(*keys).agg(value)
 
     if active is not None:
         out = out.join(folded(active, (F.avg("value") * TRADING_DAYS).alias("active_excess_return")), keys, "left")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codes import board
 from .asof import asof_join
-from .ordered import MAX_GROUP_ROWS, average_rank, largest_group, quantiles
+from .ordered import day_quantiles, day_rank, present
 from .screen import with_index
 
 TRADING_DAYS = 244
@@ -24,10 +24,10 @@ TAIL, MIN_NAMES, TURNOVER_DAYS, TURNOVER_MIN_DAYS = 0.30, 30, 20, 10
 UNCLASSIFIED = "未分类"
 
 
-def spread(rows: DataFrame, group: Sequence[str], *, tail: float = TAIL, min_names: int = MIN_NAMES, group_rows: int | None = None, max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+def spread(rows: DataFrame, group: Sequence[str], *, tail: float = TAIL, min_names: int = MIN_NAMES) -> DataFrame:
     """Top-minus-bottom mean of ``pct_chg`` sorted by ``prior``, per group."""
     usable = rows.where("prior is not null and pct_chg is not null and not isnan(prior) and not isnan(pct_chg)")
-    cuts = quantiles(usable, group, "prior", {"_low": tail, "_high": 1.0 - tail}, group_rows=group_rows, max_group_rows=max_group_rows)
+    cuts = day_quantiles(usable, group, "prior", {"_low": tail, "_high": 1.0 - tail})
     joined = usable.join(F.broadcast(cuts), list(group))
     high = F.avg(F.when(F.col("prior") >= F.col("_high"), F.col("pct_chg")))
     low = F.avg(F.when(F.col("prior") <= F.col("_low"), F.col("pct_chg")))
@@ -67,8 +67,7 @@ def factor_legs(
     )
     rows = pool.withColumn("_legs", legs).select("trade_date", "pct_chg", F.explode("_legs").alias("l")).select(
         "trade_date", "pct_chg", "l.leg", "l.prior", "l.sign")
-    bound = largest_group(daily, ["trade_date"])
-    days = spread(rows, ["leg", "sign", "trade_date"], tail=tail, min_names=min_names, group_rows=bound)
+    days = spread(rows, ["leg", "sign", "trade_date"], tail=tail, min_names=min_names)
     out = days.select("leg", "trade_date", (F.col("sign") * F.col("spread")).alias("value"), "names")
     return out.where(F.col("trade_date") >= first_day) if first_day is not None else out
 
@@ -158,13 +157,13 @@ def holdings(curve: DataFrame, run: str = "run_id") -> DataFrame:
     return rows.where("quantity > 0")
 
 
-def valued_holdings(held: DataFrame, daily: DataFrame, run: str = "run_id", group_rows: int | None = None) -> DataFrame:
+def valued_holdings(held: DataFrame, daily: DataFrame, run: str = "run_id") -> DataFrame:
     """Holdings with value, weight and percentile ranks of their day's names."""
     wanted = daily.join(held.select("trade_date").distinct(), "trade_date", "left_semi")
     ranked = wanted
     for column, name in (("circ_mv", "size"), ("pb", "pb"), ("turnover_rate", "turnover")):
-        ranked = average_rank(ranked, ["trade_date"], column, f"_r_{name}", group_rows=group_rows, count_name=f"_n_{name}")
-        ranked = ranked.withColumn(f"rank_{name}", F.coalesce(F.try_divide(f"_r_{name}", f"_n_{name}"), F.lit(0.5)))
+        count = F.count_if(present(column)).over(Window.partitionBy("trade_date"))
+        ranked = ranked.withColumn(f"rank_{name}", F.coalesce(F.try_divide(day_rank(["trade_date"], column), count), F.lit(0.5)))
     priced = ranked.where("close > 0").select("trade_date", "ts_code", "close", "rank_size", "rank_pb", "rank_turnover")
     rows = held.join(priced, ["trade_date", "ts_code"]).withColumn("held_value", F.col("quantity") * F.col("close"))
     gross = rows.groupBy(run, "trade_date").agg(F.sum("held_value").alias("gross")).where("gross > 0")
@@ -188,7 +187,7 @@ def industry_weights(valued: DataFrame, vintages: DataFrame, run: str = "run_id"
     vintage is unclassified.
     """
     dates = vintages.select("vintage").distinct()
-    days = asof_join(valued.select("trade_date").distinct(), dates, [], "trade_date", "vintage", ["vintage"], group_rows=0)
+    days = asof_join(valued.select("trade_date").distinct(), dates, [], "trade_date", "vintage", ["vintage"], bounded=True)
     labelled = valued.join(F.broadcast(days), "trade_date").join(vintages, ["vintage", "ts_code"], "left")
     name = F.when(F.coalesce("l1_name", F.lit("")) == "", UNCLASSIFIED).otherwise(F.col("l1_name"))
     total = valued.groupBy(run).agg(F.count_distinct("trade_date").alias("_days"))
@@ -208,7 +207,7 @@ def active_series(strategy: DataFrame, baseline: DataFrame, keys: Sequence[str])
 # -- feature panel ------------------------------------------------------------
 
 
-def feature_panel(daily: DataFrame, group_rows: int | None = None) -> DataFrame:
+def feature_panel(daily: DataFrame) -> DataFrame:
     """5/20-day return, 20-day volatility, their daily z-scores, and the label.
 
     The label says whether the name's next five-day return beats the day's
@@ -226,7 +225,7 @@ def feature_panel(daily: DataFrame, group_rows: int | None = None) -> DataFrame:
     }).drop("_ret")
     stats = rows.groupBy("trade_date").agg(*[
         f(name).alias(f"_{tag}_{name}") for name in ("ret_5", "ret_20", "vol_20") for tag, f in (("m", F.avg), ("s", F.stddev_samp))])
-    medians = quantiles(rows, ["trade_date"], "fwd_5", {"_median": 0.5}, group_rows=group_rows)
+    medians = day_quantiles(rows, ["trade_date"], "fwd_5", {"_median": 0.5})
     joined = rows.join(F.broadcast(stats), "trade_date").join(F.broadcast(medians), "trade_date", "left")
     for name in ("ret_5", "ret_20", "vol_20"):
         joined = joined.withColumn(f"z_{name}", F.try_divide(F.col(name) - F.col(f"_m_{name}"), f"_s_{name}")).drop(f"_m_{name}", f"_s_{name}")

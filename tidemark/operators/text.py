@@ -38,14 +38,14 @@ def dedupe_text(df: DataFrame, identity: Sequence[str], row_id: str, when: str =
     return df.join(first.select(F.col(f"_o.{row_id}").alias(row_id)), row_id, "left_semi")
 
 
-def split_library(df: DataFrame, row_id: str, dataset: str = "dataset", group_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def split_library(df: DataFrame, row_id: str, dataset: str = "dataset") -> tuple[DataFrame, DataFrame]:
     """Index and body tables sharing ``text_id`` = dataset:stamp:position.
 
     Positions count a dataset's rows in (stamp, row id) order; a dataset too
     large for one task is numbered in chunks.
     """
     keys = df.select(dataset, "available_at", row_id).withColumn("_one", F.lit(1).cast("long"))
-    placed = running(keys, [dataset], ["available_at", row_id], {"_pos": Running("sum", "_one")}, group_rows=group_rows)
+    placed = running(keys, [dataset], ["available_at", row_id], {"_pos": Running("sum", "_one")})
     text_id = F.concat_ws(":", dataset, F.date_format("available_at", "yyyy-MM-dd HH:mm:ss"), (F.col("_pos") - 1).cast("string"))
     named = df.join(placed.select(row_id, text_id.alias("text_id")), row_id)
     index = named.select("text_id", dataset, "ts_codes", F.substring("title", 1, INDEX_TITLE_CHARS).alias("title"), "available_at",

@@ -20,13 +20,13 @@ STAGE_SHARE = 0.5
 SHOWN = ("appended", "replaced", "restated")
 # Key fields a vendor fills in later; a fill is not a removal.
 BACKFILLED = {"disclosure_date": ("actual_date",), "dividend": ("ann_date",)}
-UNLOCK_IDENTITY = ("ts_code", "float_date", "holder_name", "share_type")
+# The fields of an unlock event.
 UNLOCK_FIELDS = ("ts_code", "ann_date", "float_date", "float_share", "float_ratio", "holder_name", "share_type")
 
 
 def _shape(df: DataFrame, keys: Sequence[str], values: Sequence[str], side: str) -> DataFrame:
     """Canonical keys, the canonical values as an array, and the side's mark."""
-    cell = lambda name: canonical(F.col(name)) if name in df.columns else F.lit("")
+    cell = lambda name: canonical(F.col(name), df.schema[name].dataType) if name in df.columns else F.lit("")
     row = F.array(*[cell(name) for name in values]).cast("array<string>")
     return df.select(*[cell(key).alias(key) for key in keys], row.alias("_row"), F.lit(int(side == "old")).alias("_o"), F.lit(int(side == "new")).alias("_n"))
 
@@ -231,17 +231,6 @@ def _identity(df: DataFrame) -> DataFrame:
 IDENTITY = ["ts_code", "float_date", "_holder", "share_type"]
 
 
-def newest_announcements(active: DataFrame) -> DataFrame:
-    """Rows of each physical event's newest announcement.
-
-    Only answers that were not cut at the row cap may win, so cut evidence
-    never deletes; undated rows rank below every date.
-    """
-    marked = _identity(active)
-    newest = marked.groupBy(*IDENTITY).agg(F.max(F.when(~F.col("source_cap_risk"), F.col("_ann")).otherwise("")).alias("_newest"))
-    return marked.join(newest, IDENTITY).where(F.col("_ann") >= F.col("_newest")).drop("_newest")
-
-
 def drop_undated(df: DataFrame) -> DataFrame:
     """Drop an undated row whose identity and amount also have a dated row."""
     marked = _identity(df).withColumn("_share", F.col("float_share").try_cast("double"))
@@ -250,36 +239,53 @@ def drop_undated(df: DataFrame) -> DataFrame:
     return joined.where((F.col("_ann") != "") | F.col("_dated").isNull()).select(*df.columns)
 
 
+def unlock_groups(baseline: DataFrame, active: DataFrame) -> DataFrame:
+    """Distinct rows of both sides with what becomes of them, in one stacked pass.
+
+    Flags: ``in_base``; ``superseded`` (its event was re-dated by dated, uncut
+    evidence and its own date has none); ``stays`` (part of the union). Answers
+    cut at the row cap never delete: only uncut ones name an event's newest
+    announcement, and undated rows rank below every date. A physical event has
+    a few announcements, so windows over it are small.
+    """
+    cap = F.coalesce(F.col("source_cap_risk").cast("boolean"), F.lit(False))
+    sides = baseline.select(*UNLOCK_FIELDS, F.lit(True).alias("_b"), F.lit(None).cast("boolean").alias("_cap")).unionByName(
+        active.select(*UNLOCK_FIELDS, F.lit(False).alias("_b"), cap.alias("_cap")))
+    rows = sides.groupBy(*UNLOCK_FIELDS).agg(F.max("_b").alias("in_base"), F.min("_cap").alias("_cap"))
+    rows = _identity(rows).withColumn("_share", F.col("float_share").try_cast("double")).repartition(*IDENTITY)
+    event, dated = Window.partitionBy(*IDENTITY), Window.partitionBy(*IDENTITY, "_ann")
+    answered, uncut = F.col("_cap").isNotNull(), F.coalesce(~F.col("_cap"), F.lit(False))
+    rows = rows.withColumns({"_newest": F.max(F.when(uncut, F.col("_ann"))).over(event), "_uncut": F.max(uncut).over(dated), "_answered": F.max(answered).over(dated)})
+    newest = F.coalesce("_newest", F.lit(""))
+    fresh, known = answered & (F.col("_ann") >= newest), F.col("_answered") & (F.col("_ann") >= newest)
+    replaced = F.col("_uncut") & (F.col("_ann") == newest)
+    superseded = F.col("in_base") & (newest != "") & ~known
+    rows = rows.withColumns({"superseded": superseded, "_in": fresh | (F.col("in_base") & ~replaced & ~superseded)})
+    # An undated row goes when its event and amount also have a dated one in the union.
+    twin = F.max(F.col("_in") & (F.col("_ann") != "")).over(Window.partitionBy(*IDENTITY, "_share"))
+    lonely = (F.col("_ann") != "") | F.col("_share").isNull() | ~twin
+    return rows.withColumn("stays", F.col("_in") & lonely).select(*UNLOCK_FIELDS, "_holder", "_ann", "in_base", "superseded", "stays")
+
+
+def unlock_shrink(groups: DataFrame) -> DataFrame:
+    """Distinct event groups before and after, the sanctioned re-dated ones, and whether the union shrinks beyond them."""
+    each = groups.groupBy(*IDENTITY, "_ann").agg(*[F.max(name).alias(name) for name in ("in_base", "stays", "superseded")])
+    counts = each.agg(F.count_if("in_base").alias("before"), F.count_if("stays").alias("after"), F.count_if("superseded").alias("superseded"))
+    return counts.withColumn("shrinks", F.col("after") < F.col("before") - F.col("superseded"))
+
+
 def merge_unlocks(baseline: DataFrame, active: DataFrame) -> DataFrame:
     """Union of a baseline with refreshed event groups.
 
     A group refreshed by an uncut answer replaces its baseline group; an event
     re-dated by dated, uncut evidence replaces its old dating; undated copies
-    of dated rows go. Shrinking beyond re-dated groups is refused.
+    of dated rows go. Shrinking beyond re-dated groups fails the job.
     """
-    single = keep_first(active, list(UNLOCK_FIELDS), F.col("source_cap_risk").cast("int"))
-    fresh = newest_announcements(single)
-    groups = [*IDENTITY, "_ann"]
-    safe = fresh.where(~F.col("source_cap_risk"))
-    safe_groups = safe.select(*groups).distinct().withColumn("_safe", F.lit(True))
-    any_groups = fresh.select(*groups).distinct().withColumn("_any", F.lit(True))
-    dated = safe.where("_ann <> ''").select(*IDENTITY).distinct().withColumn("_redated", F.lit(True))
-    base = _identity(baseline).join(any_groups, groups, "left").join(safe_groups, groups, "left").join(dated, IDENTITY, "left")
-    replaced = F.col("_safe").isNotNull()
-    superseded = F.col("_redated").isNotNull() & F.col("_any").isNull()
-    kept = base.where(~replaced & ~superseded).select(*baseline.columns)
-    union = fresh.select(*UNLOCK_FIELDS).unionByName(kept.select(*UNLOCK_FIELDS)).dropDuplicates()
-    return drop_undated(union)
-
-
-def unlock_shrink(baseline: DataFrame, merged: DataFrame, active: DataFrame) -> DataFrame:
-    """Distinct event groups before and after, and the sanctioned re-dated ones."""
-    groups = [*IDENTITY, "_ann"]
-    count = lambda df, name: _identity(df).select(*groups).distinct().agg(F.count(F.lit(1)).alias(name))
-    fresh = newest_announcements(keep_first(active, list(UNLOCK_FIELDS), F.col("source_cap_risk").cast("int")))
-    redated = _identity(baseline).select(*groups).distinct().join(fresh.where("not source_cap_risk and _ann <> ''").select(*IDENTITY).distinct(), IDENTITY, "left_semi")
-    redated = redated.join(fresh.select(*groups).distinct(), groups, "left_anti").agg(F.count(F.lit(1)).alias("superseded"))
-    return count(baseline, "before").join(count(merged, "after")).join(redated).withColumn("shrinks", F.col("after") < F.col("before") - F.col("superseded"))
+    groups = unlock_groups(baseline, active)
+    lost = F.concat(F.lit("the union would shrink event groups from "), F.col("before").cast("string"), F.lit(" to "), F.col("after").cast("string"))
+    allowed = F.when(F.col("shrinks"), F.raise_error(lost).cast("boolean")).otherwise(True)
+    verdict = unlock_shrink(groups).select(allowed.alias("_allowed"))
+    return groups.where("stays").join(F.broadcast(verdict)).where("_allowed").select(*UNLOCK_FIELDS)
 
 
 def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:

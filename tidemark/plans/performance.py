@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.values import DRAW_PRIME
 from ..operators import calendar as cal_ops, inference, stats, style
 from ..registry import query
 from .adapters import FILLS_SQL, SERIES_SQL, curve, fills, market_legs, r, series, with_sql
@@ -229,8 +230,10 @@ DRAWN_SQL = ("bp as (select run_id, value - base as v, row_number() over (partit
 
 def drawn_sql(points: str) -> str:
     """Draws of every (run_id, days) of a table: the mean of blocks within the first ``days`` days."""
-    return f"""bs as (select run_id, days, draw, blk, cast('0x' || substr(md5(run_id || '|' || draw || '|' || blk), 1, 15) as bigint) % (days - 19) as st, least(20, days - blk * 20) as len
+    return f"""b1 as (select run_id, days, draw, blk, (cast('0x' || substr(md5(run_id), 1, 15) as bigint) % {DRAW_PRIME - 1} + 1 + draw * {inference.DRAW_STEP} + blk * {inference.BLOCK_STEP}) % {DRAW_PRIME} as z
        from {points}, (select unnest(range(2000)) as draw), (select unnest(range(1000)) as blk) where blk * 20 < days),
+     b2 as (select *, (z * z + {inference.MIX}) % {DRAW_PRIME} as y from b1),
+     bs as (select run_id, days, draw, ((y * y + z) % {DRAW_PRIME}) * (days - 19) // {DRAW_PRIME} as st, least(20, days - blk * 20) as len from b2),
      be as (select bs.run_id, days, draw, sum(b.s - a.s) / days as e from bs join cum a on a.run_id = bs.run_id and a.i = st join cum b on b.run_id = bs.run_id and b.i = st + len group by bs.run_id, days, draw)"""
 
 

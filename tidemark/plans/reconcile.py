@@ -143,6 +143,11 @@ def unlocks(spark, sf):
         F.concat(F.lit("Fund "), "o_orderstatus").alias("holder_name"), F.lit("A").alias("share_type"), F.col("o_orderkey").alias("id"))
 
 
+def unlock_sides(rows):
+    active = rows.where("id % 4 <= 1 and id % 8 <> 5").withColumns({"holder_name": F.regexp_replace("holder_name", " ", ""), "source_cap_risk": F.col("id") % 8 == 1})
+    return rows.where("id % 4 <> 0").drop("id"), active.drop("id")
+
+
 MERGE_SQL = """base as (select * exclude (id) from ub where id % 4 <> 0),
   act0 as (select *, id % 8 = 1 as cap from (select * replace ('Fund' || right(holder_name, 1) as holder_name) from ub where id % 4 <= 1 and id % 8 <> 5)),
   act as (select ts_code, ann_date, float_date, float_share, float_ratio, holder_name, share_type, bool_and(cap) as cap from act0 group by all),
@@ -157,10 +162,18 @@ MERGE_SQL = """base as (select * exclude (id) from ub where id % 4 <> 0),
 
 @query("ver11_restatement_union", with_sql(UNLOCK_SQL, MERGE_SQL) + "select * from merged")
 def _(spark, sf):
-    rows = unlocks(spark, sf)
-    base = rows.where("id % 4 <> 0").drop("id")
-    active = rows.where("id % 4 <= 1 and id % 8 <> 5").withColumns({"holder_name": F.regexp_replace("holder_name", " ", ""), "source_cap_risk": F.col("id") % 8 == 1}).drop("id")
-    return ops.merge_unlocks(base, active)
+    return ops.merge_unlocks(*unlock_sides(unlocks(spark, sf)))
+
+
+# The baseline also holds undated copies of some dated rows: dropping them would lose event groups, which is refused.
+@query("ver11_shrink_refused", with_sql(UNLOCK_SQL, MERGE_SQL.replace("base as (select * exclude (id) from ub where id % 4 <> 0)", "base as (select * exclude (id) from ub where id % 4 <> 0 union all select * exclude (id) replace ('' as ann_date) from ub where id % 4 <> 0 and id % 50 = 7 and ann_date <> '')"),
+       "gk as (select distinct ts_code, float_date, replace(holder_name, ' ', '') as h, share_type, trim(ann_date) as a from base)", "gm as (select distinct ts_code, float_date, replace(holder_name, ' ', '') as h, share_type, trim(ann_date) as a from merged)",
+       "gs as (select distinct ts_code, float_date, replace(holder_name, ' ', '') as h, share_type, trim(ann_date) as a from b2 where redated and not anyg)") + """
+select (select count(*) from gk) as before, (select count(*) from gm) as after, (select count(*) from gs) as superseded, (select count(*) from gm) < (select count(*) from gk) - (select count(*) from gs) as shrinks""")
+def _(spark, sf):
+    base, active = unlock_sides(unlocks(spark, sf))
+    twins = unlocks(spark, sf).where("id % 4 <> 0 and id % 50 = 7 and ann_date <> ''").drop("id").withColumn("ann_date", F.lit(""))
+    return ops.unlock_shrink(ops.unlock_groups(base.unionByName(twins), active))
 
 
 @query("ver12_undated_duplicates", with_sql(UNLOCK_SQL, "t as (select ts_code, ann_date, float_date, ROUND(float_share / 100000) as float_share, holder_name, share_type, id from ub)") + """

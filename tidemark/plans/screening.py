@@ -60,8 +60,7 @@ def panel_once(spark, sf):
 
 def grid(spark, sf):
     """The screen's grid, written once for the aggregates that follow."""
-    prepared, size = ops.prepare(panel_once(spark, sf), reversal, HORIZONS)
-    return prepared, size
+    return ops.prepare(panel_once(spark, sf), reversal, HORIZONS)
 
 
 @query("scr01_signal_contract", with_sql(DAILY_SQL, "x as (select trade_date, 'k' || cast(k % 2 as varchar) as ts_code, sum(vol) as score from daily group by trade_date, k % 2)") + """
@@ -106,28 +105,35 @@ def _(spark, sf):
 @query("scr06_average_rank", with_sql(DAILY_SQL, "v as (select trade_date, ts_code, case when pb > 0 then vol - vol % 20 end as v from daily)") + """
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, case when v is not null then rank() over (partition by trade_date, v is null order by v) + (count(*) over (partition by trade_date, v) - 1) / 2.0 end :: double as rank from v""")
 def _(spark, sf):
-    from ..operators.ordered import average_rank
+    from ..operators.ordered import day_rank
     d = daily(spark, sf).select(*KEYS, F.when(F.col("pb") > 0, F.col("vol") - F.col("vol") % 20).alias("v"))
-    return day_text(average_rank(d, ["trade_date"], "v", "rank")).select(*KEYS, "rank")
+    return day_text(d.withColumn("rank", day_rank(["trade_date"], "v"))).select(*KEYS, "rank")
+
+
+@query("scr06_whole_rank", with_sql(DAILY_SQL, "v as (select trade_date, ts_code, case when pb > 0 then vol - vol % 20 end as v from daily)") + """
+select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, case when v is not null then rank() over (partition by v is null order by v) + (count(*) over (partition by v) - 1) / 2.0 end :: double as rank, count(v) over () as names from v where v is not null""")
+def _(spark, sf):
+    from ..operators.ordered import average_rank
+    d = daily(spark, sf).select(*KEYS, F.when(F.col("pb") > 0, F.col("vol") - F.col("vol") % 20).alias("v")).where("v is not null")
+    return day_text(average_rank(d, [], "v", "rank", count_name="names")).select(*KEYS, "rank", "names")
 
 
 @query("scr07_rank_ic", with_sql(*SCREEN_SQL) + """
 select strftime(trade_date, '%Y%m%d') as trade_date, metric, cast(horizon as bigint) as horizon, pairs, round(ic, 8) as ic from ics""")
 def _(spark, sf):
-    g, size = grid(spark, sf)
-    ic = ops.rank_ic(ops.metric_pairs(g, HORIZONS), ["metric", "horizon", "di", "trade_date"], MIN, group_rows=size)
+    ic = ops.metric_ics(grid(spark, sf), HORIZONS, MIN)
     return day_text(ic).select("trade_date", "metric", F.col("horizon").cast("long").alias("horizon"), "pairs", r(F.col("ic"), 8).alias("ic"))
 
 
 @query("scr08_size_neutral", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL) + """
 select strftime(trade_date, '%Y%m%d') as trade_date, ts_code, round(neutral, 7) as neutral from neut""")
 def _(spark, sf):
-    return day_text(grid(spark, sf)[0]).select(*KEYS, r(F.col("neutral"), 7).alias("neutral"))
+    return day_text(grid(spark, sf)).select(*KEYS, r(F.col("neutral"), 7).alias("neutral"))
 
 
 @query("scr09_top_selection", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL) + "select strftime(trade_date, '%Y%m%d') as trade_date, ts_code from full_grid where is_top")
 def _(spark, sf):
-    return day_text(grid(spark, sf)[0].where("is_top")).select(*KEYS)
+    return day_text(grid(spark, sf).where("is_top")).select(*KEYS)
 
 
 @query("scr10_series_summary", with_sql(*SCREEN_SQL, "s as (select metric, horizon, ic as v, greatest(horizon, 1) as h, date_trunc('month', trade_date) as m from ics where ic is not null)",
@@ -136,8 +142,7 @@ def _(spark, sf):
 select metric, cast(horizon as bigint) as horizon, n_days, round(mean, 8) as mean, round(std, 8) as std, round(ratio, 7) as ratio, round(t_stat, 6) as t_stat, round(positive_share, 8) as positive_share,
   round(pms, 8) as positive_month_share, n_months from a join c using (metric, horizon)""")
 def _(spark, sf):
-    g, size = grid(spark, sf)
-    ic = ops.rank_ic(ops.metric_pairs(g, HORIZONS), ["metric", "horizon", "di", "trade_date"], MIN, group_rows=size)
+    ic = ops.metric_ics(grid(spark, sf), HORIZONS, MIN)
     out = ops.summarise(ic, ["metric", "horizon"], "ic", F.greatest("horizon", F.lit(1)))
     return out.select("metric", F.col("horizon").cast("long").alias("horizon"), "n_days", r(F.col("mean"), 8).alias("mean"), r(F.col("std"), 8).alias("std"), r(F.col("ratio"), 7).alias("ratio"),
                       r(F.col("t_stat")).alias("t_stat"), r(F.col("positive_share"), 8).alias("positive_share"), r(F.col("positive_month_share"), 8).alias("positive_month_share"), "n_months")
@@ -146,9 +151,7 @@ def _(spark, sf):
 @query("scr11_marginal_decay", with_sql(*SCREEN_SQL) + """
 select cast(horizon as bigint) as horizon, round(avg(ic) filter (where metric = 'ic'), 8) as ic, round(avg(ic) filter (where metric = 'ic_marginal'), 8) as ic_marginal from ics where metric in ('ic', 'ic_marginal') group by all""")
 def _(spark, sf):
-    g, size = grid(spark, sf)
-    pairs = ops.metric_pairs(g, HORIZONS).where("metric in ('ic', 'ic_marginal')")
-    ic = ops.rank_ic(pairs, ["metric", "horizon", "di"], MIN, group_rows=size)
+    ic = ops.metric_ics(grid(spark, sf), HORIZONS, MIN).where("metric in ('ic', 'ic_marginal')")
     pick = lambda name: r(F.avg(F.when(F.col("metric") == name, F.col("ic"))), 8).alias(name)
     return ic.groupBy(F.col("horizon").cast("long").alias("horizon")).agg(pick("ic"), pick("ic_marginal"))
 
@@ -161,14 +164,14 @@ EXCESS_ROWS_SQL = "xs as (" + " union all ".join(f"select trade_date, top_count,
 @query("scr12_top_excess", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL, EXCESS_SQL, EXCESS_ROWS_SQL) + """
 select strftime(trade_date, '%Y%m%d') as trade_date, top_count, cast(horizon as bigint) as horizon, round(v, 7) as excess from xs""")
 def _(spark, sf):
-    out = ops.top_excess(grid(spark, sf)[0], HORIZONS, MIN)
+    out = ops.top_excess(grid(spark, sf), HORIZONS, MIN)
     return day_text(out).select("trade_date", "top_count", F.col("horizon").cast("long").alias("horizon"), r(F.col("excess"), 7).alias("excess"))
 
 
 @query("scr13_turnover", with_sql(DAILY_SQL, GRID_SQL, NEUTRAL_SQL, TOP_SQL) + """
 select cast(a.di as bigint) as di, round(avg(case when b.is_top then 0.0 else 1.0 end), 8) as new_share, count(*) as top_count from full_grid a left join full_grid b on a.ts_code = b.ts_code and b.di = a.di - 1 where a.is_top and a.di > 1 group by all""")
 def _(spark, sf):
-    out = ops.top_turnover(grid(spark, sf)[0], first_di=1)
+    out = ops.top_turnover(grid(spark, sf), first_di=1)
     return out.select(F.col("di").cast("long").alias("di"), r(F.col("new_share"), 8).alias("new_share"), "top_count")
 
 
@@ -177,7 +180,7 @@ def _(spark, sf):
 select count(*) filter (where scored > 0) as days_scored, round(avg(scored) filter (where scored > 0), 6) as names_per_day, round(avg(sb / bars) filter (where scored > 0), 8) as universe_share,
  round(sum(l) / sum(e), 8) as limit_excluded_share, round(sum(u) / sum(scored), 8) as unavailable_share from c""")
 def _(spark, sf):
-    out = ops.coverage(grid(spark, sf)[0])
+    out = ops.coverage(grid(spark, sf))
     return out.select("days_scored", r(F.col("names_per_day")).alias("names_per_day"), *[r(F.col(c), 8).alias(c) for c in ("universe_share", "limit_excluded_share", "unavailable_share")])
 
 
