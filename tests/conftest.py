@@ -16,3 +16,11 @@ def spark():
     session = local_session(8, shuffle_partitions=4, app="tests")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def many_tasks(spark):
+    """Small tables keep their partitions, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -52,9 +52,11 @@ def test_session_without_machine_settings(tmp_path):
         "from tidemark.session import local_session, materialise\n"
         "spark = local_session(1)\n"
         "t = materialise(spark.range(3)); print('rows', t.count()); print('folder', t.scratch)\n"
+        "from pyspark.sql import functions as F; from tidemark.operators.inference import upper_tail\n"
+        "print('tail', spark.range(1).select(upper_tail(F.lit(0.0))).first()[0])\n"
         "spark.stop()\n"
     )
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"SPARK_CONF_DIR": str(tmp_path)}, capture_output=True, text=True, timeout=300, check=True).stdout
-    assert "rows 3" in out
+    assert "rows 3" in out and "tail 0.5" in out
     folder = out.split("folder ")[1].strip().removeprefix("file:")
     assert not os.path.exists(folder)

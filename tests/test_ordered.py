@@ -21,14 +21,6 @@ def skewed(spark, rows=900, seed=3):
     return spark.createDataFrame(data, "key string, at int, qty int, val double").repartition(5)
 
 
-@pytest.fixture
-def many_tasks(spark):
-    """Small tables keep their range partitions, as large ones do."""
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    yield
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-
-
 SPECS = {
     "total": Running("sum", "qty"), "before": Running("sum", "qty", exclusive=True), "top": Running("max", "val"), "held": Running("last", "val"),
 }

@@ -95,9 +95,11 @@ def assign_nodes(df: DataFrame, spark: SparkSession) -> DataFrame:
     return joined.withColumn("nodes", F.coalesce("_special", default, evening)).drop("_special")
 
 
-def visible_cutoff(assigned: DataFrame, instances: DataFrame, when: Column, lookback_days: int = 10) -> DataFrame:
-    """Start of the newest finished instance per assigned dataset."""
-    finished = instances.where((F.col("ready") <= when) & (F.col("day") > F.date_sub(F.to_date(when), lookback_days)))
+def visible_cutoff(assigned: DataFrame, instances: DataFrame, when: Column, lookback_days: int | None = None) -> DataFrame:
+    """Start of the newest finished instance per assigned dataset, however old; ``lookback_days`` leaves out older ones."""
+    finished = instances.where(F.col("ready") <= when)
+    if lookback_days is not None:
+        finished = finished.where(F.col("day") > F.date_sub(F.to_date(when), lookback_days))
     exploded = assigned.select("domain", "dataset", F.explode_outer("nodes").alias("node"))
     return exploded.join(F.broadcast(finished), "node", "left").groupBy("domain", "dataset").agg(F.max("start").alias("cutoff"))
 

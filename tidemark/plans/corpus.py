@@ -97,6 +97,14 @@ def _(spark, sf):
     return page.select("file", F.col("line").cast("long").alias("line"), F.md5("content").alias("content_md5"))
 
 
+@query("txt07_search_whole", """
+with l as (select 'd' || cast(doc_id as varchar) as file, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)
+select file, line, md5(content) as content_md5 from l where regexp_matches(content, '^[A-Z][a-z]+ and')""")
+def _(spark, sf):
+    df = table(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), "text")
+    return ops.grep(df, "file", "text", "^[A-Z][a-z]+ and", "content").select("file", F.col("line").cast("long").alias("line"), F.md5("content").alias("content_md5"))
+
+
 @query("txt08_bodies_asof", with_sql(TEXTS_SQL) + "select row_id as text_id, md5(text) as body_md5 from docs where available_at <= timestamp '2024-02-10 09:25:00'")
 def _(spark, sf):
     df = docs(spark, sf)

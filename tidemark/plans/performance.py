@@ -253,6 +253,16 @@ def _(spark, sf):
     return inference.seed_mean(g, ["y"], ["v", "b"], RUN).select("y", "members", *keep("v", "b", places=9))
 
 
+# A run's own and its base returns as two members of one book.
+@query("tst04_aligned_mean", with_sql(SERIES_SQL) + """
+select run_id, strftime(trade_date, '%Y%m%d') as trade_date, round((value + base) / 2, 9) as value from series where value is not null and base is not null""")
+def _(spark, sf):
+    both = series(spark, sf).where("value is not null and base is not null")
+    members = F.explode(F.array(*[F.struct(F.lit(name).alias("member"), F.col(name).alias("value")) for name in ("value", "base")])).alias("m")
+    mean = inference.aligned_mean(both.select(RUN, "trade_date", members).select(RUN, "trade_date", "m.*"), [RUN], "member")
+    return mean.select(RUN, F.date_format("trade_date", "yyyyMMdd").alias("trade_date"), *keep("value", places=9))
+
+
 @query("tst05_mandate", with_sql(SERIES_SQL, OLS_SQL) + """
 select run_id, array_to_string(list_filter([case when sqrt(rss / (n - 3) * 244) > 0.18 then 'tracking_error_above_cap' end, case when b1 not between -0.02 and 0.02 then 'beta_outside_band' end], lambda x: x is not null), '|') as reasons from fit""")
 def _(spark, sf):

@@ -13,7 +13,7 @@ from ..session import scratch_folder
 from ..sources import events as event_store, lake, ledger, sinks
 from ..sources.tables import table
 from ..streaming import streams
-from .adapters import FILINGS_SQL, MINUTES_SQL, NOTICES_SQL, filings, minutes, notices, r, text_of, with_sql
+from .adapters import DATASET_NAMES, FILINGS_SQL, MINUTES_SQL, NOTICES_SQL, filings, minutes, notices, r, text_of, with_sql
 from .corpus import LOG_SQL, trace
 from .intraday import PATH_SQL, SIGN_SQL
 from .visibility import ASSIGN_SQL, INSTANCES_SQL, VISIBLE_SQL, nodes_values, span
@@ -42,17 +42,22 @@ def _(spark, sf):
     return lake.read_window(spark, lake_of(spark, sf, "year", 4), "19970315", "19980620").select("id")
 
 
-@query("src03_dataset_union", with_sql(NOTICES_SQL) + "select dataset, count(*) as rows, count(amount) as amounts, count(ts_code) as codes from (select dataset, case when dataset = 'margin' then amount end as amount, case when dataset <> 'margin' then ts_code end as ts_code from notices where dataset in ('margin', 'report_rc')) group by all")
+# Each dataset brings its own columns: id and one of amount, ts_code, priority.
+_OWN = {name: ("amount", "ts_code", "priority")[n % 3] for n, name in enumerate(DATASET_NAMES)}
+_OWN_SQL = ", ".join("count(case when dataset in ({}) then {} end) as {}".format(", ".join(f"'{n}'" for n, c in _OWN.items() if c == column), column, f"{column}s") for column in ("amount", "ts_code", "priority"))
+
+
+@query("src03_dataset_union", with_sql(NOTICES_SQL) + f"select dataset, count(*) as rows, {_OWN_SQL} from notices group by all")
 def _(spark, sf):
     df = notices(spark, sf)
-    union = lake.union_datasets({"margin": df.where("dataset = 'margin'").select("id", "amount"), "report_rc": df.where("dataset = 'report_rc'").select("id", "ts_code")})
-    return union.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.count("amount").alias("amounts"), F.count("ts_code").alias("codes"))
+    union = lake.union_datasets({name: df.where(F.col("dataset") == name).select("id", column) for name, column in _OWN.items()})
+    return union.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"{c}s") for c in ("amount", "ts_code", "priority")])
 
 
-@query("src04_padded_union", with_sql(NOTICES_SQL) + "select id, cast(null as double) as pages, cast(null as varchar) as note, cast(null as boolean) as final from notices where dataset = 'margin'")
+@query("src04_padded_union", with_sql(NOTICES_SQL) + "select id, cast(null as double) as pages, cast(null as varchar) as note, cast(null as boolean) as final from notices")
 def _(spark, sf):
     declared = T.StructType([T.StructField("id", T.LongType()), T.StructField("pages", T.IntegerType()), T.StructField("note", T.StringType()), T.StructField("final", T.BooleanType())])
-    return lake.pad_union(notices(spark, sf).where("dataset = 'margin'").select("id"), [declared])
+    return lake.pad_union(notices(spark, sf).select("id"), [declared])
 
 
 @query("src05_source_trees", with_sql(NOTICES_SQL) + "select dataset as src, count(*) as rows from notices where dataset in ('margin', 'report_rc') and left(event_date, 6) between '199701' and '199712' group by all")
@@ -98,7 +103,7 @@ def _(spark, sf):
 @query("src08_date_major", with_sql(MINUTES_SQL) + "select trade_date, count(*) as bars, count(distinct ts_code) as codes, round(sum(vol), 2) as vol from minutes group by all")
 def _(spark, sf):
     folder = scratch_folder(spark, "bars")
-    lake.repartition_by_date(minutes(spark, sf), folder, files_per_day=2)
+    lake.repartition_by_date(minutes(spark, sf), folder, target_bytes=20_000)
     back = spark.read.parquet(folder).withColumn("trade_date", F.col("trade_date").cast("string"))
     return back.groupBy("trade_date").agg(F.count(F.lit(1)).alias("bars"), F.count_distinct("ts_code").alias("codes"), r(F.sum("vol"), 2).alias("vol"))
 

@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable
+from pathlib import Path
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +34,25 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, app: st
     builder = builder.config("spark.driver.memory", "12g")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Hand this package to Python workers, which may start in any folder; once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "tidemark_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="spark-")  # Spark serves the file from here while the driver runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tidemark.zip", "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(f"{folder}/tidemark.zip")
+    context.tidemark_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 

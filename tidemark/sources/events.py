@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.asof import visible_from
 from ..operators.ordered import keep_last
+from ..session import discard, materialise
+from .layout import TARGET_BYTES, files_of, spread
 
 MONTH = "available_month"
 
@@ -30,18 +32,20 @@ def dedupe_events(events: DataFrame, order: Sequence[str] = ("version_rank", "so
     return keep_last(events, ["dataset", "business_key", "available_at"], *order)
 
 
-def write_event_months(events: DataFrame, folder: str, months: Sequence[str], datasets: Sequence[str], *, buckets: int = 1) -> DataFrame:
-    """Replace whole months of each dataset; returns the per-month manifest.
+def write_event_months(events: DataFrame, folder: str, months: Sequence[str], datasets: Sequence[str], *, target_bytes: int = TARGET_BYTES) -> DataFrame:
+    """Replace whole months of each dataset; returns the per-month manifest (``rows, files``).
 
-    Refuses to replace held rows by nothing. Months without rows are written as
-    zero-row markers in the manifest, so a month that was never built shows.
+    The input is evaluated once, into a stored table that the guard, the sizes
+    and the write all read. Refuses to replace held rows by nothing. Months
+    without rows are zero-row markers in the manifest, so a month that was never
+    built shows. A month takes as many files as its measured size needs.
     """
     spark: SparkSession = events.sparkSession
-    inside = events.where(F.col(MONTH).isin(*months) & F.col("dataset").isin(*datasets))
-    fresh = dedupe_events(inside)
+    key = ["dataset", MONTH]
+    fresh = materialise(dedupe_events(events.where(F.col(MONTH).isin(*months) & F.col("dataset").isin(*datasets))))
     wanted = spark.createDataFrame([(d, m) for d in datasets for m in months], f"dataset string, {MONTH} string")
-    counts = fresh.groupBy("dataset", MONTH).agg(F.count(F.lit(1)).alias("rows"))
-    manifest = wanted.join(counts, ["dataset", MONTH], "left").na.fill(0, ["rows"])
+    sizes = materialise(files_of(fresh, key, target_bytes))
+    manifest = wanted.join(sizes, key, "left").na.fill(0, ["rows", "files"])
     try:
         held = spark.read.parquet(folder).where(F.col(MONTH).isin(*months)).groupBy("dataset", F.col(MONTH).cast("string").alias(MONTH)).count()
     except Exception as error:  # first write: the store does not exist yet
@@ -49,10 +53,11 @@ def write_event_months(events: DataFrame, folder: str, months: Sequence[str], da
             raise
         held = None
     if held is not None:
-        emptied = manifest.where("rows = 0").join(held.where("count > 0"), ["dataset", MONTH], "left_semi").limit(20).collect()
-        if emptied:
-            raise ValueError(f"refusing to replace held rows by nothing: {[tuple(row)[:2] for row in emptied]}")
-    salt = F.pmod(F.xxhash64("business_key"), F.lit(buckets))
-    spread = fresh.repartition("dataset", MONTH, salt).sortWithinPartitions("available_at", "ts_code", "business_key")
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset", MONTH).parquet(folder)
+        emptied = manifest.where("rows = 0").join(held.where("count > 0"), key, "left_semi").orderBy(*key)
+        total = emptied.count()
+        if total:
+            raise ValueError(f"refusing to replace held rows of {total} months by nothing, the first: {[tuple(row)[:2] for row in emptied.limit(20).collect()]}")
+    dealt = spread(fresh, sizes, key, "business_key").sortWithinPartitions("available_at", "ts_code", "business_key")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*key).parquet(folder)
+    discard(fresh)
     return manifest

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .layout import TARGET_BYTES, files_of, spread
+
 PARTITION = "partition_value"
 
 
@@ -106,12 +108,12 @@ def pad_union(df: DataFrame, schemas: Sequence[T.StructType]) -> DataFrame:
     return df.withColumns(added) if added else df
 
 
-def repartition_by_date(df: DataFrame, folder: str, *, key: str = "trade_date", order: Sequence[str] = ("ts_code", "trade_time"), files_per_day: int = 1) -> None:
+def repartition_by_date(df: DataFrame, folder: str, *, key: str = "trade_date", order: Sequence[str] = ("ts_code", "trade_time"), target_bytes: int = TARGET_BYTES) -> None:
     """Re-write code-major bars date-major.
 
-    Each date is spread over ``files_per_day`` tasks by code, so a heavy day is
-    not one task's work; rows inside a file are sorted for row-group pruning.
+    A date takes as many files as its measured size needs, dealt by code, so a
+    heavy day is several tasks; rows inside a file are sorted for row-group
+    pruning.
     """
-    salt = F.pmod(F.xxhash64(order[0]), F.lit(files_per_day))
-    spread = df.repartition(F.col(key), salt).sortWithinPartitions(key, *order)
-    spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
+    dealt = spread(df, files_of(df, [key], target_bytes), [key], order[0])
+    dealt.sortWithinPartitions(key, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(folder)
