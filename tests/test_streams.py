@@ -32,20 +32,25 @@ def test_days_close_once_late_bars_come_again_and_open_days_wait(spark):
     batches = [
         [bar(2, "09:30", 10.0, 100.0, at(2, 9, 31)), bar(2, "09:31", 10.5, 100.0, at(2, 9, 32)), bar(2, "09:31", 10.5, 100.0, at(2, 9, 33))],
         [bar(3, "09:30", 11.0, 100.0, at(3, 9, 31))],
-        [bar(2, "09:32", 10.0, 200.0, at(3, 9, 40)), bar(3, "09:31", 12.0, 50.0, at(3, 9, 41))],
+        [bar(3, "09:31", 12.0, 50.0, at(3, 9, 35))],
+        [bar(2, "09:32", 10.0, 200.0, at(3, 9, 40)), bar(4, "09:30", 11.0, 1.0, at(4, 18, 0))],
+        [bar(3, "09:32", 12.0, 50.0, at(4, 18, 1)), bar(3, "09:33", 12.0, 50.0, at(4, 18, 2))],
+        [bar(3, "09:34", 12.0, 50.0, at(4, 18, 3))],
         [bar(12, "09:30", 9.0, 10.0, at(12, 9, 31))],
+        [bar(12, "09:31", 9.0, 10.0, at(12, 9, 40))],
         [bar(2, "09:33", 10.0, 5.0, at(12, 9, 50))],
     ]
     folder, columns = scratch_folder(spark, "days"), ["ts_code", "trade_date", "trade_time", "open", "close", "vol", "amount"]
     streams.track_session_days(feed(spark, BAR, batches), folder, scratch_folder(spark, "cp"), columns, keep_days=5).awaitTermination()
     stats = spark.read.parquet(f"{folder}/stats")
     emitted = {(r["trade_date"], r["n_bars"]) for r in stats.collect()}
-    # The second day closed with both of its bars; the twelfth is still open; the first came again with its late bar.
-    assert emitted == {("20240102", 2), ("20240102", 3), ("20240103", 2)}
+    # The first day closed and came again with its late bar; the next closed in the batch of its late bars and came again
+    # with one more; the fourth closed; the twelfth is still open.
+    assert emitted == {("20240102", 2), ("20240102", 3), ("20240103", 4), ("20240103", 5), ("20240104", 1)}
     last = {r["trade_date"]: r["n_bars"] for r in streams.latest_rows(spark, f"{folder}/stats", ["ts_code", "trade_date"], ["n_bars"]).collect()}
-    assert last == {"20240102": 3, "20240103": 2}
+    assert last == {"20240102": 3, "20240103": 5, "20240104": 1}
     flow = {r["trade_date"]: r["nret"] for r in streams.latest_rows(spark, f"{folder}/flow", ["ts_code", "trade_date"], ["nret"]).collect()}
-    assert flow == {"20240102": 2, "20240103": 1}
+    assert flow == {"20240102": 2, "20240103": 4, "20240104": 0}
     stale = spark.read.parquet(f"{folder}/stale").select("trade_time", "vol").collect()
     assert [tuple(r) for r in stale] == [("2024-01-02 09:33:00", 5.0)]
 

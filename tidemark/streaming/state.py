@@ -184,11 +184,11 @@ class SessionDay(StatefulProcessor):
             self.handle.registerTimer(closes + self.keep_days * DAY_MS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        phase = self.phase.get()[0] if self.phase.exists() else 0
+        phase, closes = self.phase.get()[0] if self.phase.exists() else 0, closes_ms(key[1])
         if phase == 0:
-            self._closed(closes_ms(key[1]))
+            self._closed(closes)
             yield self._rows(key, list(self.bars.get()), "day")
-        elif phase == 1:
+        elif phase == 1 and expiredTimerInfo.getExpiryTimeInMs() > closes:  # a late bar may have closed the day before its timer
             self.bars.clear()
             self.phase.update((2,))
 
