@@ -318,8 +318,11 @@ def sentinel_verdict(days: DataFrame, min_dates: int = 5, ratio: float = 0.25) -
     return out.withColumn("massive_revision", (F.col("structural") >= min_dates) & (F.col("structural") >= ratio * F.col("checked")))
 
 
-def validate_auction(df: DataFrame, floor: int = 0, ratio: float = 0.85) -> DataFrame:
-    """Auction capture per day, its row floor taken from the day before."""
+def validate_auction(df: DataFrame, floor: int = 0, ratio: float = 0.85, feed: Sequence[str] = ()) -> DataFrame:
+    """Auction capture per day, its row floor taken from the day before.
+
+    Rows of one day and code are copies of each other unless they differ in the ``feed`` columns.
+    """
     price, vol, amount = (F.col(name).cast("double") for name in ("price", "vol", "amount"))
     bad_vol = vol.isNull() | F.isnan(vol) | (vol < 0)
     bad_amount = amount.isNull() | F.isnan(amount) | (amount < 0)
@@ -328,7 +331,7 @@ def validate_auction(df: DataFrame, floor: int = 0, ratio: float = 0.85) -> Data
     priced = price.isNotNull() & (price > 0)
     recovered = F.try_divide(amount, vol)
     off = both & priced & (F.abs(price - recovered) > PRICE_TOLERANCE + 1e-9 * F.abs(recovered))
-    per_code = df.groupBy("trade_date", "ts_code").agg(
+    per_code = df.groupBy("trade_date", "ts_code", *feed).agg(
         F.count(F.lit(1)).alias("_n"), F.count_if(bad_vol).alias("_v"), F.count_if(bad_amount).alias("_a"),
         F.count_if(fine & ((vol > 0) | (amount > 0)) & ~both).alias("_i"), F.count_if(off).alias("_m"), F.count_if(fine & (vol == 0) & (amount == 0) & priced).alias("_h"))
     days = per_code.groupBy("trade_date").agg(
