@@ -14,8 +14,9 @@ the next band as well. Equal sets are one node from the start.
 
 Subsets travel packed by hash range. Sets that meet are verified exactly: first
 each bucket's first set against the others, then, among what is still
-unconnected, every remaining candidate. Before shingles are fetched, counts of them in a few cells, which
-never differ more than the sets, rule out most unlike pairs. Pairs are verified
+unconnected, every remaining candidate. Before shingles are fetched, parities of their counts in cells, which
+never differ more than the sets, rule out most unlike pairs; the cells grow with
+the set, so that they tell large sets apart as well as small ones. Pairs are verified
 in blocks around their hubs, so that a text travels once for all its pairs of a
 block and not once a pair; large buckets are compared block against block. So
 copies of one text cost a few checks each, and no link between different texts
@@ -59,8 +60,8 @@ SLACK = 1.5
 COMMON = 50_000
 #: Shingles that a task names as common: found this often in one slice of texts.
 COMMON_IN_SLICE, COMMON_A_TASK = 8, 5_000
-#: Cells of the counts that tell most unlike sets apart before their shingles are compared.
-CELLS = 256
+#: Cells a shingle (at least) of the parities that tell most unlike sets apart before their shingles are compared, and cells of a set at most.
+CELLS_A_SHINGLE, MOST_CELLS = 2, 1 << 17
 #: Sets of a block of a bucket.
 BUCKET_BLOCK = 512
 #: Bytes of packed rows, or of sets around a hub, that one task gathers.
@@ -282,9 +283,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _profiles(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
-    """Rows (node, k1, n, profile) of the sets of ``wanted(rep, th, node)``: their shingles counted in ``CELLS`` cells.
+    """Rows (node, k1, n, profile) of the sets of ``wanted(rep, th, node)``: whether each cell holds an odd number of their shingles.
 
-    The counts of two sets differ in all by no more than the sets do.
+    The cells of two sets differ in no more places than the sets do.
     """
     held = filter_of(wanted.select("rep"))
 
@@ -293,24 +294,57 @@ def _profiles(docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
             record = record.filter(pa.array(may_hold(held.value, record.column(0).to_numpy())))
             for start, stop in slices(record.column(1)):
                 keys, bounds, sets = shingle_sets(record.column(1).slice(start, stop - start), words)
-                of = np.repeat(np.arange(len(sets)), np.diff(bounds))
-                cells = np.bincount(of * CELLS + (keys % np.uint64(CELLS)).astype(np.int64), minlength=CELLS * len(sets))
-                packed = [row.tobytes() for row in np.minimum(cells, 255).astype(np.uint8).reshape(-1, CELLS)]
+                packed = [parities(keys[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([names_of(sets), pa.array(sets[:, 0]), pa.array(np.diff(bounds)), pa.array(packed, pa.binary())], ["node", "k1", "n", "profile"])
 
     found = docs.select("doc_id", "text").mapInArrow(run, "node binary, k1 long, n long, profile binary")
     return found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+def parities(keys: np.ndarray) -> bytes:
+    """A bit a cell: whether an odd number of shingles falls there. Cells are a power of two, 64 at least, never fewer for a larger set."""
+    cells = min(MOST_CELLS, max(64, CELLS_A_SHINGLE << max(len(keys) - 1, 0).bit_length()))
+    return np.packbits(np.bincount((keys % np.uint64(cells)).astype(np.int64), minlength=cells).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(profiles: list[bytes], size: int) -> np.ndarray:
+    """Profiles of one length as rows of ``size`` bytes; longer ones are folded onto as many cells."""
+    cells = np.frombuffer(b"".join(profiles), np.uint64).reshape(len(profiles), -1, size // 8)
+    return np.bitwise_xor.reduce(cells, axis=1)
+
+
 def _near(n_x, n_y, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether sizes and counts by cell allow the threshold; arrays broadcast."""
+    """Whether sizes and parities by cell allow the threshold; arrays broadcast."""
     fits = OF * np.minimum(n_x, n_y) >= AT_LEAST * np.maximum(n_x, n_y)
-    apart = np.abs(x.astype(np.int16) - y.astype(np.int16)).sum(axis=-1, dtype=np.int64)
+    apart = np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
     return fits & (apart <= (n_x + n_y) * (OF - AT_LEAST) // (OF + AT_LEAST))
 
 
-def _cells(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, CELLS)
+def near_rows(n_x: np.ndarray, n_y: np.ndarray, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Row by row, whether sizes and profiles of two columns allow the threshold."""
+    ok = np.zeros(len(n_x), bool)
+    lengths = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(lengths, axis=0):
+        at = np.flatnonzero((lengths[:, 0] == a) & (lengths[:, 1] == b))
+        sides = [folded([column[i] for i in at], min(a, b)) for column in (x, y)]
+        ok[at] = _near(n_x[at], n_y[at], *sides)
+    return ok
+
+
+def near_across(own: np.ndarray, label: np.ndarray, n: np.ndarray, profiles: list[bytes]) -> list[tuple[int, int]]:
+    """Of sets in ascending order of size, the pairs of unlike ``own`` and ``label`` whose sizes and profiles allow the threshold."""
+    pairs = []
+    length = np.array([len(x) for x in profiles], np.int64)
+    for size in np.unique(length):
+        # Partners are at most a third larger, so their profiles are at most one length up.
+        a, b, c = np.searchsorted(length, [size, size + 1, 2 * size + 1])
+        cells = np.concatenate([folded(profiles[x:y], size) for x, y in ((a, b), (b, c)) if x < y])
+        for i in range(a, b):
+            end = min(c, int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right")))
+            at = i + 1 + np.flatnonzero((label[i + 1:end] != label[i]) & (own[i + 1:end] != own[i]))
+            if len(at):
+                pairs += [(i, int(x)) for x in at[_near(n[i], n[at], cells[i - a], cells[at - a])]]
+    return pairs
 
 
 def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -321,7 +355,7 @@ def _near_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             n_a, n_b = record.column(2).to_numpy(), record.column(3).to_numpy()
-            ok = pa.array(_near(n_a, n_b, _cells(record.column(4)), _cells(record.column(5))))
+            ok = pa.array(near_rows(n_a, n_b, record.column(4).to_pylist(), record.column(5).to_pylist()))
             yield pa.RecordBatch.from_arrays([record.column(i).filter(ok) for i in (0, 1)], ["a", "b"])
 
     return _ordered(sized.select("node_a", "node_b", "n_a", "n_b", "cells_a", "cells_b").mapInArrow(run, "a binary, b binary"))
@@ -380,12 +414,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame)
 def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int = BUCKET_BLOCK) -> DataFrame:
     """Pairs (a, b) of sets in different components that share a larger bucket and may reach the threshold.
 
-    ``nodes`` has node, k1, n and the counts by cell, ``labels`` node and label.
-    A bucket is compared block against block, each task holding two blocks.
+    ``nodes`` has node, k1, n and the parities by cell, ``labels`` node and label.
+    Buckets that begin with the same set are one group, so that a set's cells
+    travel once for all of them. A group is compared block against block, each
+    task holding two blocks.
     """
     named = nodes.select("node", "k1").join(labels, "node")
-    buckets = found.where("members is not null").select(F.xxhash64("members").alias("bucket"), "members").distinct()
-    tagged = buckets.select("bucket", F.explode("members").alias("k1")).distinct().join(named, "k1")
+    grouped = found.where("members is not null").select(F.col("members")[0].alias("bucket"), F.explode("members").alias("k1")).distinct()
+    tagged = grouped.join(named, "k1")
     open_ = tagged.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
     open_ = open_.select("bucket", F.ceil(F.col("size") / block).alias("blocks"))
     rows = tagged.join(open_, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks"))
@@ -396,20 +432,14 @@ def _across(found: DataFrame, nodes: DataFrame, labels: DataFrame, block: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for record in batches:
             for within, rows in zip(record.column(0).to_pylist(), record.column(1), strict=True):
-                own, node, label, n, cells = rows.values.flatten()
-                node, n, cells = np.array(node.to_pylist(), object), n.to_numpy(), _cells(cells)
+                order = rows.values.field("n").to_numpy().argsort(kind="stable")
+                own, node, label, n, profile = rows.values.take(pa.array(order)).flatten()
                 # Components by number; a block's own rows are compared where it meets itself.
                 label = np.unique(np.array(label.to_pylist(), object), return_inverse=True)[1]
                 own = np.arange(len(n)) if within else own.to_numpy()
-                order = np.argsort(n, kind="stable")
-                own, node, label, n, cells = own[order], node[order], label[order], n[order], cells[order]
-                pairs = []
-                for i in range(len(node) - 1):
-                    end = int(np.searchsorted(n, n[i] * OF // AT_LEAST, side="right"))
-                    at = i + 1 + np.flatnonzero((label[i + 1:end] != label[i]) & (own[i + 1:end] != own[i]))
-                    pairs += [(node[i], node[x]) for x in at[_near(n[i], n[at], cells[i], cells[at])]]
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], ["a", "b"])
+                pairs = np.array(near_across(own, label, n.to_numpy(), profile.to_pylist()), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([node.take(pa.array(x)) for x in pairs.T], ["a", "b"])
 
     return _ordered(members.mapInArrow(run, "a binary, b binary"))
 
