@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -40,9 +41,9 @@ def plain(value: Any) -> Any:
 
 
 class FirstSeen(StatefulProcessor):
-    """Emits a key with its least receipt in the first batch that has it."""
+    """Emits a key with its least receipt in the first batch that has it, and forgets it after ``ttl_ms``."""
 
-    def __init__(self, keys: Sequence[str], received: str, kind: str, ttl_ms: int | None):
+    def __init__(self, keys: Sequence[str], received: str, kind: str, ttl_ms: int):
         self.keys, self.received, self.kind, self.ttl_ms = list(keys), received, kind, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -61,15 +62,46 @@ class FirstSeen(StatefulProcessor):
         pass
 
 
+def least_received(rows: DataFrame, keys: Sequence[str], received: str) -> DataFrame:
+    """One row (keys, ``first_seen_at``) for each key that a task has, with its least receipt; no state.
+
+    A task holds its distinct keys of one micro-batch.
+    """
+    names = [*keys, "first_seen_at"]
+    schema = rows.select(*keys, F.col(received).alias("first_seen_at")).schema
+
+    def least(table: pa.Table) -> pa.Table:
+        return table.group_by(names[:-1]).aggregate([("first_seen_at", "min")]).rename_columns({"first_seen_at_min": "first_seen_at"}).select(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+        for record in batches:
+            held.append(least(pa.Table.from_batches([record.rename_columns(names)])))
+            waiting += len(held[-1])
+            if len(held) > 1 and waiting > 2 * len(held[0]) + 100_000:  # the first holds what was joined so far
+                held = [least(pa.concat_tables(held))]
+                waiting = len(held[0])
+        if held:
+            yield from least(pa.concat_tables(held)).to_batches(max_chunksize=10_000)
+
+    return rows.select(*keys, received).mapInArrow(run, schema)
+
+
 def first_seen(stream: DataFrame, keys: Sequence[str], received: str, ttl_ms: int | None = None) -> DataFrame:
     """Each key once, with ``first_seen_at``, however long ago it came and however often it comes again.
 
-    With ``ttl_ms`` a key is forgotten that long (by the wall clock) after it was recorded.
+    A micro-batch's keys are reduced to their least receipts first, inside tasks
+    before and after one exchange; Spark's own deduplication then keeps the keys
+    that no earlier batch had. With ``ttl_ms`` a key is forgotten that long (by
+    the wall clock) after it was recorded, which takes a Python call a key.
     """
+    if ttl_ms is None:
+        once = least_received(least_received(stream, keys, received).repartition(*keys), keys, "first_seen_at")
+        return once.dropDuplicates(list(keys))
     kind = stream.schema[received].dataType.simpleString()
     processor = FirstSeen(keys, received, kind, ttl_ms)
     return stream.select(*keys, received).groupBy(*keys).transformWithStateInPandas(
-        processor, f"{fields_of(stream, keys)}, first_seen_at {kind}", "Update", "ProcessingTime" if ttl_ms else "None")
+        processor, f"{fields_of(stream, keys)}, first_seen_at {kind}", "Update", "ProcessingTime")
 
 
 # -- log tails -----------------------------------------------------------------------
