@@ -370,19 +370,19 @@ def _blocked(pairs: DataFrame, sizes: DataFrame, block_bytes: int = PART_BYTES)
 
     A set's hub is the least of it and its partners. A hub whose sets exceed
     ``block_bytes`` is dealt into blocks of them; the pairs between two blocks
-    share a part.
+    share a part. What two later steps read is stored, so that it is made once.
     """
     spark = pairs.sparkSession
     both = pairs.union(pairs.select("b", "a")).toDF("node", "other")
     hubs = both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("hub"))
-    around = pairs.join(hubs.toDF("a", "hub_a"), "a").join(hubs.toDF("b", "hub_b"), "b").select("a", "b", F.least("hub_a", "hub_b").alias("hub"))
+    around = materialise(pairs.join(hubs.toDF("a", "hub_a"), "a").join(hubs.toDF("b", "hub_b"), "b").select("a", "b", F.least("hub_a", "hub_b").alias("hub")))
     members = around.select("hub", F.explode(F.array("a", "b")).alias("node")).distinct()
     counts = members.join(sizes, "node").groupBy("hub").agg(F.sum("n").alias("shingles"))
-    counts = counts.withColumn("blocks", F.ceil(8 * F.col("shingles") / block_bytes))
+    counts = materialise(counts.withColumn("blocks", F.ceil(8 * F.col("shingles") / block_bytes)))
     parts = parts_for(spark, 8 * int(counts.agg(F.sum("shingles")).first()[0] or 0))
     of = lambda side: F.pmod(F.xxhash64(side), F.col("blocks"))
     dealt = around.join(counts, "hub").select("a", "b", "hub", F.least(of("a"), of("b")).alias("i"), F.greatest(of("a"), of("b")).alias("j"))
-    return dealt.select("a", "b", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(parts)).alias("part"))
+    return materialise(dealt.select("a", "b", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(parts)).alias("part")), instead_of=[around, counts])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame) -> DataFrame:
@@ -391,8 +391,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, wanted: DataFrame)
     Texts travel, not their sets, which are larger: each once for all its pairs
     of a part.
     """
-    blocked = materialise(_blocked(pairs, wanted.select("node", "n")))
-    sends = blocked.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.select("node", "rep", "th"), "node").select("to", "rep", "th")
+    blocked = _blocked(pairs, wanted.select("node", "n"))
+    sends = materialise(blocked.select(F.col("part").alias("to"), F.explode(F.array("a", "b")).alias("node")).distinct().join(wanted.select("node", "rep", "th"), "node").select("to", "rep", "th"))
     texts = sends.join(_texts(docs, sends), ["rep", "th"]).select("to", "text")
 
     def run(texts: pa.Table, pairs: pa.Table) -> pa.Table:
