@@ -7,7 +7,7 @@ number of series and of bootstrap draws is what grows, and both are rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from statistics import NormalDist
 
 import numpy as np
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import DRAW_PRIME, draw_start
+from ..functions.digests import digest_numbers
+from ..functions.values import DRAW_PRIME, start_number
 from .stats import drawdown_path
 from .style import TRADING_DAYS, factor_ols
 
@@ -78,14 +79,23 @@ def prefix_sums(series: DataFrame, group: Sequence[str]) -> DataFrame:
     return rows.select(*group, "days", sums.alias("prefix"))
 
 
-def block_starts(start: int, draws: np.ndarray, blocks: int, places: int) -> np.ndarray:
-    """Where the blocks of each draw begin, among ``places``: whole-number steps that any engine repeats."""
-    z = (start + draws[:, None] * DRAW_STEP + np.arange(blocks, dtype=np.int64) * BLOCK_STEP) % DRAW_PRIME
+def digest_starts(seed: str, draws: np.ndarray, blocks: int, places: int) -> np.ndarray:
+    """Where the blocks of each draw begin, among ``places``: each by the MD5 of (seed, draw, block), so none follows from another."""
+    numbers = digest_numbers([f"{seed}|{draw}|".encode() for draw in draws], pa.array([str(k) for k in range(blocks)]))
+    return numbers.T % places
+
+
+def stepped_starts(seed: str, draws: np.ndarray, blocks: int, places: int) -> np.ndarray:
+    """The same by whole-number steps from one MD5 of the seed."""
+    z = (start_number(seed) + draws[:, None] * DRAW_STEP + np.arange(blocks, dtype=np.int64) * BLOCK_STEP) % DRAW_PRIME
     y = (z * z + MIX) % DRAW_PRIME
     return (y * y + z) % DRAW_PRIME * places // DRAW_PRIME
 
 
-def bootstrap_draws(points: DataFrame, group: Sequence[str], seed: Column, draws: int = DRAWS, block: int = BLOCK_DAYS) -> DataFrame:
+def bootstrap_draws(
+    points: DataFrame, group: Sequence[str], seed: Column, draws: int = DRAWS, block: int = BLOCK_DAYS,
+    starts: Callable[[str, np.ndarray, int, int], np.ndarray] = digest_starts,
+) -> DataFrame:
     """One row per (series, days, draw): the mean of one resample of the first ``days`` days.
 
     ``points`` has the group, ``prefix`` and an array of ``days``. A resample is
@@ -94,21 +104,21 @@ def bootstrap_draws(points: DataFrame, group: Sequence[str], seed: Column, draws
     """
     short = F.raise_error(F.lit("series shorter than one bootstrap block")).cast("boolean")
     fits = F.when(F.array_min("days") < block, short).otherwise(True)
-    rows = points.where(fits).select(*group, "days", "prefix", draw_start(seed).alias("start"))
+    rows = points.where(fits).select(*group, "days", "prefix", F.concat_ws("|", seed.cast("string")).alias("seed"))
     names = list(group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                days, prefix, start = (row.column(len(names) + k)[0].as_py() for k in range(3))
+                days, prefix, name = (row.column(len(names) + k)[0].as_py() for k in range(3))
                 sums = np.array(prefix)
                 for n in days:
                     blocks = -(-n // block)
                     lengths = np.minimum(block, n - np.arange(blocks) * block)
                     for lot in range(0, draws, LOT_DRAWS):
                         numbers = np.arange(lot, min(lot + LOT_DRAWS, draws), dtype=np.int64)
-                        at = block_starts(start, numbers, blocks, n - block + 1)
+                        at = starts(name, numbers, blocks, n - block + 1)
                         means = (sums[at + lengths] - sums[at]).sum(axis=1) / n
                         repeat = pa.array(np.zeros(len(numbers), np.int64))
                         yield pa.RecordBatch.from_arrays(
@@ -232,7 +242,7 @@ def first_transition(
     prefixes = prefix_sums(paths.withColumn("value", F.col("active")), group).withColumnRenamed("days", "_total")
     marks = F.sequence(F.lit(checkpoint_days).cast("long"), F.col("_total"), F.lit(checkpoint_days).cast("long"))
     points = prefixes.where(F.col("_total") >= F.lit(max(checkpoint_days, block))).withColumn("days", F.filter(marks, lambda n: n >= block))
-    drawn = bootstrap_draws(points, group, F.concat_ws("|", *group), draws, block)
+    drawn = bootstrap_draws(points, group, F.concat_ws("|", *group), draws, block, stepped_starts)
     bounds = drawn.groupBy(*group, "days").agg(
         (F.percentile("estimate", F.lit(1.0 - confirm_confidence)) * TRADING_DAYS).alias("confirm_lower_bound"),
         (F.percentile("estimate", F.lit(kill_confidence)) * TRADING_DAYS).alias("kill_upper_bound"))

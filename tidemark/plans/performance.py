@@ -228,13 +228,23 @@ DRAWN_SQL = ("bp as (select run_id, value - base as v, row_number() over (partit
              "cum as (select run_id, i, sum(v) over (partition by run_id order by i) as s from bp union all select distinct run_id, 0, 0.0 from bp)")
 
 
+def means_sql(starts: str) -> str:
+    return starts + """,
+     be as (select bs.run_id, days, draw, sum(b.s - a.s) / days as e from bs join cum a on a.run_id = bs.run_id and a.i = st join cum b on b.run_id = bs.run_id and b.i = st + len group by bs.run_id, days, draw)"""
+
+
 def drawn_sql(points: str) -> str:
     """Draws of every (run_id, days) of a table: the mean of blocks within the first ``days`` days."""
-    return f"""b1 as (select run_id, days, draw, blk, (cast('0x' || substr(md5(run_id), 1, 15) as bigint) % {DRAW_PRIME - 1} + 1 + draw * {inference.DRAW_STEP} + blk * {inference.BLOCK_STEP}) % {DRAW_PRIME} as z
+    return means_sql(f"""bs as (select run_id, days, draw, blk, cast('0x' || substr(md5(run_id || '|' || draw || '|' || blk), 1, 15) as bigint) % (days - 19) as st, least(20, days - blk * 20) as len
+       from {points}, (select unnest(range(2000)) as draw), (select unnest(range(1000)) as blk) where blk * 20 < days)""")
+
+
+def stepped_sql(points: str) -> str:
+    """The same with starts by steps from one digest of each run."""
+    return means_sql(f"""b1 as (select run_id, days, draw, blk, (cast('0x' || substr(md5(run_id), 1, 15) as bigint) % {DRAW_PRIME - 1} + 1 + draw * {inference.DRAW_STEP} + blk * {inference.BLOCK_STEP}) % {DRAW_PRIME} as z
        from {points}, (select unnest(range(2000)) as draw), (select unnest(range(1000)) as blk) where blk * 20 < days),
      b2 as (select *, (z * z + {inference.MIX}) % {DRAW_PRIME} as y from b1),
-     bs as (select run_id, days, draw, ((y * y + z) % {DRAW_PRIME}) * (days - 19) // {DRAW_PRIME} as st, least(20, days - blk * 20) as len from b2),
-     be as (select bs.run_id, days, draw, sum(b.s - a.s) / days as e from bs join cum a on a.run_id = bs.run_id and a.i = st join cum b on b.run_id = bs.run_id and b.i = st + len group by bs.run_id, days, draw)"""
+     bs as (select run_id, days, draw, ((y * y + z) % {DRAW_PRIME}) * (days - 19) // {DRAW_PRIME} as st, least(20, days - blk * 20) as len from b2)""")
 
 
 @query("tst03_block_bootstrap", with_sql(SERIES_SQL, *DRAWN_SQL, "pt as (select run_id, count(*) as days from bp group by run_id)", drawn_sql("pt")) + """
@@ -317,7 +327,7 @@ def _(spark, sf):
     return inference.candidate_changes(entries(spark, sf).withColumn("fingerprint", F.col("days") % 3), [RUN])
 
 
-@query("tst11_first_transition", with_sql(SERIES_SQL, *DRAWN_SQL, "tot as (select run_id, count(*) as n from bp group by run_id)", "pt as (select run_id, unnest(range(120, n + 1, 120)) as days from tot)", drawn_sql("pt"),
+@query("tst11_first_transition", with_sql(SERIES_SQL, *DRAWN_SQL, "tot as (select run_id, count(*) as n from bp group by run_id)", "pt as (select run_id, unnest(range(120, n + 1, 120)) as days from tot)", stepped_sql("pt"),
        "bnd as (select run_id, days, quantile_cont(e, 0.05) * 244 as lo, quantile_cont(e, 0.95) * 244 as hi from be group by run_id, days)",
        "eq as (select run_id, trade_date, row_number() over w as days, exp(sum(ln(1 + value)) over w) as a, exp(sum(ln(1 + value - base)) over w) as b from series window w as (partition by run_id order by trade_date))",
        "dd as (select *, 1 - a / greatest(1, max(a) over w) as ad, 1 - b / greatest(1, max(b) over w) as bd from eq window w as (partition by run_id order by trade_date))",
